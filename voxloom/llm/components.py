@@ -1,0 +1,29 @@
+"""Connected components of an edge table, with joins and grouping only."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from voxloom.llm.scratch import saved
+
+
+def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
+    """(node, label) of every node of ``edges`` (a, b); label is the smallest node of its component.
+
+    Every round gives each node the smallest label around it and then follows that label once more, so a path shrinks
+    to half or less. The groupings combine on the map side, so a node with very many edges is no hot key; the joins
+    have a shuffle on either side, which adaptive execution may split. Each round's labels are a written table.
+    """
+    spark = edges.sparkSession
+    both = saved(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
+    labels = saved(both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("least", "a").alias("label")), "labels")
+    for _ in range(rounds):
+        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near")).withColumnRenamed("a", "node")
+        lower = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
+        after = saved(lower.join(jump, "label", "left").select("node", "old", F.least("label", "further").alias("label")), "labels")
+        labels = after.select("node", "label")
+        if after.where("label <> old").isEmpty():
+            return labels
+    raise RuntimeError(f"no end after {rounds} rounds")
