@@ -81,7 +81,7 @@ def windows(docs: DataFrame, items: DataFrame, id_col: str, text_col: str) -> Da
         some = offsets if passes == 1 else offsets.where(F.pmod(F.xxhash64("shingle"), F.lit(passes)) == part)
         start = F.col("at") - F.col("offset")
         hits = rolled.join(F.broadcast(some), "shingle").select("id", "words", "length", F.greatest(F.lit(0), F.least(start, F.size("words") - F.col("length"))).alias("start"))
-        return hits.where(F.size("words") >= F.col("length")).select("id", "start", "length", F.slice("words", F.col("start") + 1, F.col("length")).alias("words"))
+        return hits.select("id", "start", "length", F.slice("words", F.col("start") + 1, F.col("length")).alias("words"))
 
     return reduce(DataFrame.unionByName, [one(k) for k in range(passes)]).distinct()
 
@@ -90,8 +90,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     """(id_col, item_col, start, similarity): for each document and item, the best window of similarity 0.8 or more.
 
     ``start`` counts words; of equally good windows the first counts. Items of fewer than five words have no shingle and
-    match nothing; null and empty texts have no windows, and a text shorter than an item none of that length. Rows with a
-    null id are reported under null; repeated rows once. Texts of any length are searched whole.
+    match nothing; null and empty texts have no windows, and a text shorter than an item is one window as a whole. Rows
+    with a null id are reported under null; repeated rows once. Texts of any length are searched whole.
     """
     index = saved(indexed(benchmark, item_col, item_text_col), "items")
     cut = saved(windows(docs, index, id_col, text_col), "windows")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxloom.llm.scratch import saved
-from voxloom.llm.spans import found, placed, tagged, written
+from voxloom.llm.spans import found, is_kind, placed, tagged, written
 
 # The base patterns.
 ASSIGN = r"""(?i)(?:password|passwd|secret|token|api_?key)["']?\x20*+[:=]\x20*+["']?[A-Za-z0-9+/_.=-]++"""
@@ -84,7 +84,7 @@ def owned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner
 
 
 def digest(spans: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    counts = [F.size(F.filter("base", is_kind(k))).cast("long").alias(f"n_{k}") for k in KINDS]
     tagged_live = F.transform("live", lambda s: F.struct(F.lit("live").alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     plain = F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     everything = _by_start(F.concat(plain, tagged_live))
