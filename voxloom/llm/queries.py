@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxloom.llm import decontaminate, minhash, mixing, pii, secrets
+from voxloom.llm import decontaminate, minhash, mixing, pii, quality, secrets, tokens, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,10 +23,22 @@ def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.sanitised(table(spark, sf_dir, "documents")))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_counts(table(spark, sf_dir, "documents"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.owned(table(spark, sf_dir, "documents")))
 
@@ -36,7 +48,7 @@ def op10_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_near_duplicates, op2_personal_data, op6_mixing, op9_secrets, op10_benchmark_leaks)}
+    return {f.__name__: f for f in (op1_near_duplicates, op2_personal_data, op3_toxicity, op5_quality, op6_mixing, op7_token_counts, op9_secrets, op10_benchmark_leaks)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -40,12 +40,12 @@ _UP = _powers(_BASE, _BLOCK + 1)
 _DOWN = _powers(pow(_BASE, -1, 1 << 64), _BLOCK + 1)
 
 
-def slices(column: pa.Array) -> Iterator[tuple[int, int]]:
-    """Row ranges of about SLICE_BYTES of text each."""
+def slices(column: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Row ranges of about ``size`` bytes of text each."""
     offsets = _offsets(column)
     at, n = 0, len(column)
     while at < n:
-        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE_BYTES, side="right")) - 1)
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, side="right")) - 1)
         yield at, min(end, n)
         at = min(end, n)
 
