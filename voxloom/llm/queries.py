@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxloom.llm import decontaminate, minhash, mixing, pii, quality, secrets, tokens, toxicity
+from voxloom.llm import chat, decontaminate, minhash, mixing, pii, quality, secrets, tokens, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +27,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -39,6 +43,12 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat.round_trip(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.owned(table(spark, sf_dir, "documents")))
 
@@ -48,8 +58,8 @@ def op10_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_near_duplicates, op2_personal_data, op3_toxicity, op5_quality, op6_mixing, op7_token_counts, op9_secrets, op10_benchmark_leaks)}
+    return {f.__name__: f for f in (op1_near_duplicates, op2_personal_data, op3_toxicity, op4_warc, op5_quality, op6_mixing, op7_token_counts, op8_chat, op9_secrets, op10_benchmark_leaks)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing": mixing.SQL}
+    return {"op4_warc": warc.SQL, "op6_mixing": mixing.SQL}
