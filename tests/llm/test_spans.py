@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tests.conftest import SF
 from tests.llm.plain import ODD, joined, personal, secret, sha
 from voxloom.llm import pii, secrets
+from voxloom.llm.spans import redacted
 
 FIELDS = "doc_id long, text string, lang string, source string, n_chars long, spans string, h string"
 
@@ -46,10 +47,24 @@ def test_terms_that_disclose(spark):
     assert all("term" not in got[10 + i].spans for i in range(40))
 
 
-def test_removed(spark):
+def test_redacted(spark):
     df = spark.createDataFrame([("abcdef",), ("",), (None,)], "text string")
-    spans = F.array(F.struct(F.lit(3).alias("start"), F.lit(5).alias("end")), F.struct(F.lit(1).alias("start"), F.lit(4).alias("end")))
-    assert [r[0] for r in df.select(pii.redacted(F.col("text"), spans)).collect()][0] == "a[removed]f"
+    spans = F.array(F.struct(F.lit(3).cast("long").alias("start"), F.lit(5).cast("long").alias("end"), F.lit("[x]").alias("mark")), F.struct(F.lit(1).cast("long").alias("start"), F.lit(4).cast("long").alias("end"), F.lit("[y]").alias("mark")))
+    assert [r[0] for r in df.select(redacted(F.col("text"), spans)).collect()] == ["a[y]f", "[y]", None]
+
+
+def test_secrets_removed(docs):
+    """No secret stays, all else does."""
+    rows = docs.collect()
+    got = secrets.removed(docs)
+    assert got.columns == docs.columns
+    out = got.collect()
+    assert Counter(r.doc_id for r in out) == Counter(r.doc_id for r in rows)
+    assert not any(secret(r.text) for r in out)
+    plain = Counter((r.doc_id, r.text) for r in rows if "[secret]" not in (r.text or ""))
+    changed = Counter((r.doc_id, r.text) for r in out if "[secret]" not in (r.text or "") and "[example]" not in (r.text or ""))
+    assert all(n <= plain[k] for k, n in changed.items())
+    assert sum(changed.values()) >= sum(1 for r in rows if not secret(r.text)) - 40
 
 
 def test_owners(spark):

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxloom.llm.scratch import saved
-from voxloom.llm.spans import found, is_kind, placed, tagged, written
+from voxloom.llm.spans import found, is_kind, placed, redacted, tagged, written
 
 # The base patterns.
 ASSIGN = r"""(?i)(?:password|passwd|secret|token|api_?key)["']?\x20*+[:=]\x20*+["']?[A-Za-z0-9+/_.=-]++"""
@@ -51,8 +51,8 @@ def _by_start(spans: Column) -> Column:
 
 
 def owned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repository_cols: tuple[str, ...] = ("source", "lang"), live_owners: int = LIVE_OWNERS) -> DataFrame:
-    """Every row's (id_col, base, live, n_example): base spans by start and kind, live-looking spans, and the number of
-    candidates that are widely copied examples.
+    """Every row's (id_col, h, base, live, examples, n_example, n_live, most_repositories): base spans by start and kind,
+    other spans that look live, the base spans that are widely copied examples, and counts. h hashes the row's text.
 
     Null text is empty; a null owner or repository is one owner or repository. Repeated rows come out alike, and count as
     one repository and owner. A candidate that overlaps a base span is part of it and no span of its own.
@@ -75,12 +75,13 @@ def owned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner
     live = F.col("owners") <= live_owners
     judged = places.join(owners, "hash").groupBy("id", "h").agg(
         F.array_sort(F.collect_set(F.when((F.col("kind") == "other") & live, F.struct("start", "end")))).alias("live"),
+        F.array_sort(F.collect_set(F.when((F.col("kind") != "other") & ~live, F.struct("start", "end")))).alias("examples"),
         F.sum(F.when(live, 0).otherwise(1)).alias("n_example"), F.sum(F.when(live, 1).otherwise(0)).alias("n_live"), F.max("repositories").alias("most_repositories"),
     )
     both = seen.alias("s").join(judged.alias("t"), F.col("s.id").eqNullSafe(F.col("t.id")) & (F.col("s.h") == F.col("t.h")), "left")
     none = F.array().cast("array<struct<start:bigint,end:bigint>>")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c)
-    return both.select(F.col("s.id").alias(id_col), "s.h", _by_start(F.col("s.base")).alias("base"), F.coalesce("t.live", none).alias("live"), zero("n_example"), zero("n_live"), zero("most_repositories"))
+    return both.select(F.col("s.id").alias(id_col), "s.h", _by_start(F.col("s.base")).alias("base"), F.coalesce("t.live", none).alias("live"), F.coalesce("t.examples", none).alias("examples"), zero("n_example"), zero("n_live"), zero("most_repositories"))
 
 
 def digest(spans: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -89,3 +90,25 @@ def digest(spans: DataFrame, id_col: str = "doc_id") -> DataFrame:
     plain = F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     everything = _by_start(F.concat(plain, tagged_live))
     return spans.select(id_col, *counts, F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(everything).alias("spans"), "n_live", "n_example", "most_repositories")
+
+
+def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None, **columns) -> DataFrame:
+    """``docs`` with every secret replaced: ``[secret]``, or ``[example]`` where it is a widely copied example.
+
+    All columns and rows stay; rows without a secret are untouched, null stays null. Where a text changes, ``length_col``
+    (if given) becomes its new length. The rows that hold secrets are the
+    small side of the join, which is broadcast only if Spark finds it small.
+    """
+    found = owned(docs, id_col, text_col, **columns).where(F.size("base") + F.size("live") > 0)
+    is_example = lambda s: F.exists("examples", lambda e: (e["start"] == s["start"]) & (e["end"] == s["end"]))
+    marked = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(is_example(s), "[example]").otherwise("[secret]").alias("mark"))
+    live = F.transform("live", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit("[secret]").alias("mark")))
+    own = "_" * (1 + max(map(len, docs.columns)))  # no column of docs begins like this
+    places = saved(found.select(F.col(id_col).alias(f"{own}id"), F.col("h").alias(f"{own}h"), F.concat(F.transform("base", marked), live).alias(f"{own}spans")).dropDuplicates([f"{own}id", f"{own}h"]), "places")
+    joined = docs.join(places, F.col(id_col).eqNullSafe(F.col(f"{own}id")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col(f"{own}h")), "left")
+    found = F.col(f"{own}spans").isNotNull()
+    cleaned = joined.withColumn(f"{own}clean", F.when(found, redacted(F.col(text_col), F.col(f"{own}spans"))).otherwise(F.col(text_col)))
+    new = {text_col: F.col(f"{own}clean")}
+    if length_col:
+        new[length_col] = F.when(found, F.length(f"{own}clean").cast("long")).otherwise(F.col(length_col))
+    return cleaned.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])

@@ -47,3 +47,16 @@ def is_kind(kind: str) -> Callable[[Column], Column]:
 def written(spans: Column) -> Column:
     """kind:start:end, comma-joined, in the order given."""
     return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
+
+
+def redacted(text: Column, spans: Column) -> Column:
+    """``text`` with each span (start, end, mark) replaced by its mark; of spans that overlap the first one's mark stays."""
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["mark"].alias("mark"))))
+
+    def step(acc: Column, s: Column) -> Column:
+        gap = F.when(s["start"] >= acc["at"], F.concat(F.substr(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), s["mark"])).otherwise(F.lit(""))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], gap).alias("out"))
+
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+    rest = F.aggregate(ordered, start, step, lambda acc: F.concat(acc["out"], F.substr(text, (acc["at"] + 1).cast("int"))))
+    return F.when(F.size(spans) > 0, rest).otherwise(text)
