@@ -9,8 +9,9 @@ The second term is the risk on clean texts, estimated without any; it can't be n
 estimate below zero its gradient is turned round (Kiryo et al. 2017). The loss is the logistic one, so the sigmoid of g
 is the chance of being toxic.
 
-Training reads bounded samples, the ``MOST_EXAMPLES`` and ``MOST_UNLABELLED`` rows with the smallest hashes of their text;
-the prior is counted over all labels. Scoring reads every text whole.
+Training reads bounded samples, about ``MOST_EXAMPLES`` and ``MOST_UNLABELLED`` rows chosen by a hash; the prior is
+counted over all labels. Features are counted and chosen in Spark; the task that fits the classifiers gets only the
+numbers of the chosen features that each sampled text has. Scoring reads every text whole.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from voxloom.llm.text import Texts, counted, filled, mix, slices
 BITS = 22
 #: Lengths in bytes of the word beginnings that are features, besides whole words.
 BEGINNINGS = (4, 5, 6, 7)
-MOST_EXAMPLES, MOST_UNLABELLED = 6_000, 12_000
+MOST_EXAMPLES, MOST_UNLABELLED = 5_000, 10_000
 #: A feature is used if its count in the examples has so much log-likelihood ratio against the rate in unlabelled texts.
 LEAST_EVIDENCE = 14.0
 MODELS, EPOCHS, RATE, DECAY, PENALTY = 3, 60, 0.3, 1e-6, 2e-5
@@ -117,42 +118,57 @@ def fitted(p: Sparse, u: Sparse, size: int, prior: float, seed: int) -> tuple[np
     return weight, bias
 
 
-def train(sample: pd.DataFrame) -> bytes:
-    """The classifiers, pickled: feature numbers, their weights, and a bias for each model. Rows: text, example, prior."""
-    prior = float(np.clip(sample["prior"].iloc[0], 1e-3, 0.5))
-    found = []
-    for example in (True, False):
-        column = filled(pa.array(sample.loc[sample["example"] == example, "text"], pa.string()))
-        rows, columns = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text, example) to (feature, in_p, in_u): how many of a task's examples and other texts have each feature."""
+    seen = np.zeros((2, 1 << BITS), np.int64)
+    for batch in batches:
+        column, example = filled(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
         for low, high in slices(column):
-            r, c = features(Texts(column.slice(low, high - low)))
-            rows.append(r + low)
-            columns.append(c)
-        found.append((np.concatenate(rows), np.concatenate(columns), len(column)))
-    (pr, pc, pn), (ur, uc, un) = found
-    in_p, in_u = (np.bincount(c, minlength=1 << BITS) for c in (pc, uc))
-    expected = (in_u + 1) * (pn / max(1, un))
-    used = np.flatnonzero((in_p > expected) & (in_p * np.log(np.maximum(in_p, 1) / np.maximum(expected, 1e-12)) - (in_p - expected) >= LEAST_EVIDENCE))
-    number = np.full(1 << BITS, -1)
-    number[used] = np.arange(len(used))
-
-    def narrowed(rows, columns, n):
-        columns = number[columns]
-        return Sparse(rows[columns >= 0], columns[columns >= 0], n)
-
-    if not pn or not un:
-        return pickle.dumps((used[:0], np.zeros((0, MODELS)), np.full(MODELS, np.log(prior / (1 - prior)))))
-    models = [fitted(narrowed(pr, pc, pn), narrowed(ur, uc, un), len(used), prior, seed) for seed in range(MODELS)]
-    return pickle.dumps((used, np.stack([w for w, _ in models], axis=1), np.array([b for _, b in models])))
-
-
-def scores(texts: Texts, model: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+            rows, ids = features(Texts(column.slice(low, high - low)))
+            of = example[low:high][rows]
+            seen[0] += np.bincount(ids[of], minlength=1 << BITS)
+            seen[1] += np.bincount(ids[~of], minlength=1 << BITS)
+    some = np.flatnonzero(seen.any(axis=0))
+    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[0, some]), pa.array(seen[1, some])], ["feature", "in_p", "in_u"])
+
+
+def chosen(sample: DataFrame, n_p: int, n_u: int) -> np.ndarray:
+    """The features whose counts in examples stand out, in order; at most 2 ** BITS numbers."""
+    counts = sample.select("text", "example").mapInArrow(_counts, "feature long, in_p long, in_u long").groupBy("feature").agg(F.sum("in_p").alias("in_p"), F.sum("in_u").alias("in_u"))
+    expected = (F.col("in_u") + 1) * (n_p / max(1, n_u))
+    evidence = F.col("in_p") * F.log(F.col("in_p") / expected) - (F.col("in_p") - expected)
+    return np.sort(counts.where((F.col("in_p") > expected) & (evidence >= LEAST_EVIDENCE)).select("feature").toPandas()["feature"].to_numpy(np.int64))
+
+
+def _hits(texts: Texts, used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text, place in ``used``) of the chosen features of each text."""
+    rows, ids = features(texts)
+    if not len(used):
+        return rows[:0], ids[:0]
+    at = np.minimum(np.searchsorted(used, ids), len(used) - 1)
+    hit = used[at] == ids
+    return rows[hit], at[hit]
+
+
+def train(sample: pd.DataFrame, size: int, prior: float) -> bytes:
+    """Weights (feature, model) and biases, pickled. Rows: example, hits (places of the chosen features)."""
+    prior = float(np.clip(prior, 1e-3, 0.5))
+    sides = []
+    for example in (True, False):
+        hits = sample.loc[sample["example"] == example, "hits"].to_list()
+        lengths = np.array([len(h) for h in hits], np.int64)
+        columns = np.concatenate([np.asarray(h, np.int64) for h in hits]) if len(hits) else np.zeros(0, np.int64)
+        sides.append(Sparse(np.repeat(np.arange(len(hits)), lengths), columns, len(hits)))
+    if not sides[0].n or not sides[1].n:
+        return pickle.dumps((np.zeros((size, MODELS)), np.full(MODELS, np.log(prior / (1 - prior)))))
+    models = [fitted(*sides, size, prior, seed) for seed in range(MODELS)]
+    return pickle.dumps((np.stack([w for w, _ in models], axis=1), np.array([b for _, b in models])))
+
+
+def scores(texts: Texts, used: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
     """The mean of the models' chances."""
-    used, weights, bias = model
-    rows, columns = features(texts)
-    at = np.minimum(np.searchsorted(used, columns), max(0, len(used) - 1))
-    hit = used[at] == columns if len(used) else np.zeros(len(columns), bool)
-    margins = [np.bincount(rows[hit], weights[at[hit], k], minlength=texts.n) + bias[k] for k in range(len(bias))]
+    rows, at = _hits(texts, used)
+    margins = [np.bincount(rows, weights[at, k], minlength=texts.n) + bias[k] for k in range(len(bias))]
     return np.mean([sigmoid(m) for m in margins], axis=0)
 
 
@@ -171,22 +187,33 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     spark = docs.sparkSession
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("_id")).agg((F.max(label_col) == 1).alias("example"))
     known = saved(known, "known")
-    told = known.agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("example").cast("double")).alias("prior")).first()
+    told = known.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.col("example").cast("long")), F.lit(0)).alias("n_p")).first()
+    prior = told["n_p"] / told["n"] if told["n"] else UNKNOWN_PRIOR
     side = F.broadcast(known) if told["n"] <= BROADCAST_ROWS else known
     rows = docs.where(~held_out(id_col)).select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(side, "_id", "left")
-    drawn = rows.select("text", F.coalesce("example", F.lit(False)).alias("example"), F.xxhash64("text", "_id").alias("draw"))
-    sample = [drawn.where(F.col("example") == e).orderBy("draw").limit(n) for e, n in ((True, MOST_EXAMPLES), (False, MOST_UNLABELLED))]
-    both = sample[0].unionByName(sample[1]).withColumn("prior", F.lit(UNKNOWN_PRIOR if told["prior"] is None else told["prior"]))
-    fit = both.groupBy(F.lit(0).alias("all")).applyInPandas(lambda s: pd.DataFrame({"model": [train(s)]}), "model binary").first()
-    blob = fit["model"] if fit else pickle.dumps((np.zeros(0, np.int64), np.zeros((0, MODELS)), np.full(MODELS, np.log(UNKNOWN_PRIOR / (1 - UNKNOWN_PRIOR)))))
-    shared = spark.sparkContext.broadcast(blob)
+    drawn = rows.select("text", F.coalesce("example", F.lit(False)).alias("example"), F.pmod(F.xxhash64("text", "_id"), F.lit(1 << 30)).alias("draw"))
+    most = F.when(F.col("example"), MOST_EXAMPLES / max(1, told["n_p"])).otherwise(MOST_UNLABELLED / max(1, docs.count()))
+    sample = saved(drawn.where(F.col("draw") < most * (1 << 30)).select("text", "example"), "sample")
+    size = {r["example"]: r["n"] for r in sample.groupBy("example").agg(F.count(F.lit(1)).alias("n")).collect()}
+    used = chosen(sample, size.get(True, 0), size.get(False, 0))
+
+    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = filled(batch.column(0))
+            for low, high in slices(column):
+                found, at = _hits(Texts(column.slice(low, high - low)), used)
+                ends = np.searchsorted(found, np.arange(high - low + 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(low, high - low), pa.ListArray.from_arrays(pa.array(ends), pa.array(at.astype(np.int32)))], ["example", "hits"])
+
+    fit = sample.mapInArrow(hits, "example boolean, hits array<int>").groupBy(F.lit(0).alias("all")).applyInPandas(lambda s: pd.DataFrame({"model": [train(s, len(used), prior)]}), "model binary").first()
+    weights, bias = pickle.loads(fit["model"]) if fit else (np.zeros((len(used), MODELS)), np.full(MODELS, np.log(prior / (1 - prior))))
+    shared = spark.sparkContext.broadcast((used, weights, bias))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = pickle.loads(shared.value)
         for batch in batches:
             column = filled(batch.column(1))
             for low, high in slices(column):
-                out = scores(Texts(column.slice(low, high - low)), model)
+                out = scores(Texts(column.slice(low, high - low)), *shared.value)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), batch.column(2).slice(low, high - low), pa.array(out), pa.array((out >= 0.5).astype(np.int32))], [id_col, "held_out", "score", "predicted"])
 
     return docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("_text"), held_out(id_col).alias("held_out")).mapInArrow(score, f"`{id_col}` long, held_out boolean, score double, predicted int")
