@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 FLAGSHIP = "ref54_distribution_by_split"
+MODULES = ("q_volumes", "q_splits", "q_metrics")
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
@@ -25,7 +26,11 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    pass
+    """The modules register their queries as they are imported."""
+    import importlib
+
+    for name in MODULES:
+        importlib.import_module(f"voxloom.plans.{name}")
 
 
 def queries() -> dict[str, Query]:
