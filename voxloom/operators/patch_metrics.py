@@ -149,7 +149,8 @@ def evaluated(patches: DataFrame, channels: int, side: int) -> DataFrame:
     by = reconstruction(patches, side)
     for other in (segmentation(patches), porosity_metrics(patches), latent_stats(patches)):
         by = by.join(other, "batch_id")
-    return mean_of_batches(by).join(F.broadcast(active_units(merged_moments(channel_sums(patches, channels)))), F.lit(True))
+    one = F.lit(1).alias("one")  # both sides are a single row
+    return mean_of_batches(by).select("*", one).join(active_units(merged_moments(channel_sums(patches, channels))).select("*", one), "one").drop("one")
 
 
 def rolling_active(by_batch: DataFrame, window: int = 50, threshold: float = 0.01) -> DataFrame:
