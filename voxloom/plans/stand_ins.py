@@ -54,16 +54,22 @@ def set_voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed(spark, sf_dir).where("mask = 1").select("volume_id", "z", "y", "x")
 
 
-def placed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """volume_id, z, y, x, mask of dense volumes of 8 x 8 x 8 voxels; eight consecutive embeddings are a volume."""
+def dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """volume_id, z, y, x, e of dense volumes of 8 x 8 x 8 voxels; eight consecutive embeddings are a volume."""
     e = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 8).cast("string").alias("volume_id"), (F.col("vec_id") % 8).cast("int").alias("part"), F.posexplode("embedding").alias("pos", "e"))
     at = lambda part, pos: (part * 4 + pos).cast("int")
-    return e.select("volume_id", at(F.floor(F.col("part") / 4), F.floor(F.col("pos") / 16)).alias("z"), at(F.floor(F.col("part") / 2) % 2, F.floor(F.col("pos") / 4) % 4).alias("y"), at(F.col("part") % 2, F.col("pos") % 4).alias("x"), (F.col("e") > 0.1).cast("int").alias("mask"))
+    return e.select("volume_id", at(F.floor(F.col("part") / 4), F.floor(F.col("pos") / 16)).alias("z"), at(F.floor(F.col("part") / 2) % 2, F.floor(F.col("pos") / 4) % 4).alias("y"), at(F.col("part") % 2, F.col("pos") % 4).alias("x"), "e")
 
 
+def placed(spark: SparkSession, sf_dir: str, above: float = 0.1) -> DataFrame:
+    """volume_id, z, y, x, mask of the same volumes."""
+    return dense(spark, sf_dir).select("volume_id", "z", "y", "x", (F.col("e") > F.lit(above).cast("float")).cast("int").alias("mask"))
+
+
+#: With the mask above 0.1 as mask, and above 0.15 as sparse.
 PLACED_SQL = """
 e AS (SELECT (vec_id // 8)::VARCHAR AS volume_id, vec_id % 8 AS part, unnest(embedding) AS e, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings),
-placed AS (SELECT volume_id, (part // 4) * 4 + pos // 16 AS z, ((part // 2) % 2) * 4 + (pos // 4) % 4 AS y, (part % 2) * 4 + pos % 4 AS x, (e > 0.1::FLOAT)::INT AS mask FROM e)"""
+placed AS (SELECT volume_id, (part // 4) * 4 + pos // 16 AS z, ((part // 2) % 2) * 4 + (pos // 4) % 4 AS y, (part % 2) * 4 + pos % 4 AS x, e, (e > 0.1::FLOAT)::INT AS mask, (e > 0.15::FLOAT)::INT AS sparse FROM e)"""
 
 
 def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
