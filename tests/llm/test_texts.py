@@ -106,6 +106,15 @@ def test_toxicity_on_held_out_labels(spark):
     assert (rank[got.toxic == 1].sum() - n * (n + 1) / 2) / n / (len(got) - n) > 0.94
 
 
+def test_more_labels_than_may_be_broadcast(docs, labels, monkeypatch):
+    """The joins that shuffle give the same rows as those that broadcast."""
+    few = quality.judged(docs, labels).collect(), toxicity.toxicity(docs, labels).collect()
+    monkeypatch.setattr(quality, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(toxicity, "BROADCAST_ROWS", 0)
+    assert Counter(few[0]) == Counter(quality.judged(docs, labels).collect())
+    assert Counter((r.doc_id, round(r.score, 9)) for r in few[1]) == Counter((r.doc_id, round(r.score, 9)) for r in toxicity.toxicity(docs, labels).collect())
+
+
 def test_toxicity_of_odd_rows(docs, labels):
     got = toxicity.toxicity(docs, labels).collect()
     assert Counter(r.doc_id for r in got) == Counter(r.doc_id for r in docs.collect())

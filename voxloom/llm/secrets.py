@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxloom.llm.scratch import saved
-from voxloom.llm.spans import found, is_kind, placed, redacted, tagged, written
+from voxloom.llm.spans import found, is_kind, placed, tagged, with_replaced, written
 
 # The base patterns.
 ASSIGN = r"""(?i)(?:password|passwd|secret|token|api_?key)["']?\x20*+[:=]\x20*+["']?[A-Za-z0-9+/_.=-]++"""
@@ -96,19 +96,10 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     """``docs`` with every secret replaced: ``[secret]``, or ``[example]`` where it is a widely copied example.
 
     All columns and rows stay; rows without a secret are untouched, null stays null. Where a text changes, ``length_col``
-    (if given) becomes its new length. The rows that hold secrets are the
-    small side of the join, which is broadcast only if Spark finds it small.
+    (if given) becomes its new length.
     """
-    found = owned(docs, id_col, text_col, **columns).where(F.size("base") + F.size("live") > 0)
     is_example = lambda s: F.exists("examples", lambda e: (e["start"] == s["start"]) & (e["end"] == s["end"]))
     marked = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(is_example(s), "[example]").otherwise("[secret]").alias("mark"))
     live = F.transform("live", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit("[secret]").alias("mark")))
-    own = "_" * (1 + max(map(len, docs.columns)))  # no column of docs begins like this
-    places = saved(found.select(F.col(id_col).alias(f"{own}id"), F.col("h").alias(f"{own}h"), F.concat(F.transform("base", marked), live).alias(f"{own}spans")).dropDuplicates([f"{own}id", f"{own}h"]), "places")
-    joined = docs.join(places, F.col(id_col).eqNullSafe(F.col(f"{own}id")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col(f"{own}h")), "left")
-    found = F.col(f"{own}spans").isNotNull()
-    cleaned = joined.withColumn(f"{own}clean", F.when(found, redacted(F.col(text_col), F.col(f"{own}spans"))).otherwise(F.col(text_col)))
-    new = {text_col: F.col(f"{own}clean")}
-    if length_col:
-        new[length_col] = F.when(found, F.length(f"{own}clean").cast("long")).otherwise(F.col(length_col))
-    return cleaned.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+    found = owned(docs, id_col, text_col, **columns).select(id_col, "h", F.concat(F.transform("base", marked), live).alias("spans"))
+    return with_replaced(docs, found, id_col, text_col, length_col)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxloom.llm.scratch import saved
+
 SPAN = "array<struct<start:bigint,end:bigint,value:string>>"
 
 
@@ -60,3 +62,21 @@ def redacted(text: Column, spans: Column) -> Column:
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
     rest = F.aggregate(ordered, start, step, lambda acc: F.concat(acc["out"], F.substr(text, (acc["at"] + 1).cast("int"))))
     return F.when(F.size(spans) > 0, rest).otherwise(text)
+
+
+def with_replaced(docs: DataFrame, found: DataFrame, id_col: str, text_col: str, length_col: str | None = None) -> DataFrame:
+    """``docs`` with the spans of ``found`` (id_col, h, spans) replaced by their marks.
+
+    Rows are matched by id and by the hash h of their text; all rows and columns stay, and rows without spans are
+    untouched. Where a text changes, ``length_col`` (if given) becomes its new length. Spark broadcasts the rows with
+    spans only if it finds them small.
+    """
+    own = "_" * (1 + max(map(len, docs.columns)))  # no column of docs begins like this
+    places = saved(found.where(F.size("spans") > 0).select(F.col(id_col).alias(f"{own}id"), F.col("h").alias(f"{own}h"), F.col("spans").alias(f"{own}spans")).dropDuplicates([f"{own}id", f"{own}h"]), "places")
+    joined = docs.join(places, F.col(id_col).eqNullSafe(F.col(f"{own}id")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col(f"{own}h")), "left")
+    hit = F.col(f"{own}spans").isNotNull()
+    cleaned = joined.withColumn(f"{own}clean", F.when(hit, redacted(F.col(text_col), F.col(f"{own}spans"))).otherwise(F.col(text_col)))
+    new = {text_col: F.col(f"{own}clean")}
+    if length_col:
+        new[length_col] = F.when(hit, F.length(f"{own}clean").cast("long")).otherwise(F.col(length_col))
+    return cleaned.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
