@@ -47,7 +47,7 @@ def kl(spark, sf):
     return rounded(pm.kl_losses(si.model_output(spark, sf), 8, 0.015).drop("kl_per_channel"))
 
 
-@with_sql("ref78_kl_per_channel", _KL + " SELECT batch_id, ch, round(k, 6) AS kl FROM k")
+@with_sql("ref78_kl_per_channel", _KL + " SELECT batch_id, ch::INT AS ch, round(k, 6) AS kl FROM k")
 def kl_per_channel(spark, sf):
     return rounded(pm.kl_losses(si.model_output(spark, sf), 8, 0.0).select("batch_id", F.posexplode("kl_per_channel").alias("ch", "kl")))
 
