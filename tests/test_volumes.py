@@ -114,8 +114,8 @@ def test_material_mask(spark, volume):
     assert voxels(segmentation.material_mask(frame(spark, volume))) == true(plain_material(volume))
 
 
-def test_only_pores(spark, volume):
-    got = segmentation.only_pores(frame(spark, volume), frontwall=2, backwall=9, window=4, k=0.125, least=2).collect()
+def test_segmented_pores(spark, volume):
+    got = segmentation.segmented_pores(frame(spark, volume), frontwall=2, backwall=9, window=4, k=0.125, least=2).collect()
     at = np.argwhere(volume > 0)
     lo, hi = np.maximum(at.min(axis=0) - 4, 0), np.minimum(at.max(axis=0) + 4, np.array(volume.shape) - 1) + 1
     box = tuple(slice(a, b) for a, b in zip(lo, hi, strict=True))

@@ -96,7 +96,7 @@ def clean_pores(pores: DataFrame, least: int = 8) -> DataFrame:
     return labels.join(good, ["volume_id", "label"], "left_semi").select("volume_id", "z", "y", "x")
 
 
-def only_pores(voxels: DataFrame, frontwall: int = 0, backwall: int = 0, window: int = 30, k: float = 0.125, least: int = -1) -> DataFrame:
+def segmented_pores(voxels: DataFrame, frontwall: int = 0, backwall: int = 0, window: int = 30, k: float = 0.125, least: int = -1) -> DataFrame:
     """(volume_id, z, y, x, pore, sample, binary) of every voxel of the volumes that hold anything above 0.
 
     Local threshold and material mask see the box of the data only; wall slices count from the box's first slice and are
@@ -126,5 +126,5 @@ def only_pores(voxels: DataFrame, frontwall: int = 0, backwall: int = 0, window:
 def masks(voxels: DataFrame, **options) -> DataFrame:
     """(volume_id, z, y, x, mask, sample) of every voxel; a volume without data has no pores and is all sample."""
     keys = ["volume_id", "z", "y", "x"]
-    found = only_pores(voxels, **options)
+    found = segmented_pores(voxels, **options)
     return voxels.select(*keys).join(found, keys, "left").select(*keys, F.coalesce(F.col("pore").cast("int"), F.lit(0)).alias("mask"), F.coalesce("sample", F.lit(True)).alias("sample"))

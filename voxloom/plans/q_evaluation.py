@@ -59,9 +59,9 @@ def material_mask(spark, sf):
     return sg.material_mask(intensities(spark, sf))
 
 
-@query("ref25_only_pores")
-def only_pores(spark, sf):
-    return sg.only_pores(intensities(spark, sf), window=5, least=2)
+@query("ref25_segmented_pores")
+def segmented_pores(spark, sf):
+    return sg.segmented_pores(intensities(spark, sf), window=5, least=2)
 
 
 @query("ref26_masks")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Top folders that are a source group by themselves; volumes of all others are grouped below ``others``.
+# Fixed value: top folders of the data that are a source group by themselves; all others are grouped below ``others``.
 KEPT_GROUPS = ("MedidasDB",)
 
 
