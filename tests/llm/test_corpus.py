@@ -71,6 +71,29 @@ def test_near_duplicates_in_blocks(spark, monkeypatch):
     assert Counter(tuple(r) for r in minhash.near_duplicates(df).collect()) == classes(rows)
 
 
+def test_rows_that_share_an_id_or_have_none(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, "other text of the same id " + "x y z " * 5), (1, text), (None, text + " end"), (None, "alone " * 9), (4, text), (None, text)]
+    got = Counter(tuple(r) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == classes(rows)
+
+
+@pytest.mark.parametrize("changes", [1, 12])
+def test_large_family(spark, monkeypatch, changes):
+    """Many near copies of one text in several blocks: with few changes the head settles most, with many it settles few."""
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", 20)
+    rnd = random.Random(changes)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(90):
+        text = list(base)
+        for _ in range(rnd.randint(0, changes)):
+            text[rnd.randrange(len(text))] = f"v{rnd.randint(0, 30)}"
+        rows.append((i, " ".join(text)))
+    got = Counter(tuple(r) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == classes(rows)
+
+
 def test_signature_estimates_probability_jaccard():
     rng = np.random.default_rng(3)
     x, y = {}, {}

@@ -4,9 +4,11 @@
    before anything is compared) and, from a ProbMinHash signature, one key for each band.
 2. The nodes of a bucket (equal band keys) are tied to the bucket's smallest node: n - 1 edges, never all pairs.
    The components of these edges are families; two documents that share any bucket are in one family.
-3. Within a family all pairs are compared exactly, on the shingles of their whole texts, in a task that keeps only the
-   edges of a spanning forest. A family of more than ``BLOCK_ROWS`` texts or ``BLOCK_BYTES`` is cut into blocks and
-   every pair of blocks is a task of its own, so no task's memory depends on the largest family.
+3. Within a family texts are compared exactly, on the shingles of their whole texts, in a task that keeps only the edges
+   of a spanning forest. A family of more than ``BLOCK_ROWS`` texts or ``BLOCK_BYTES`` is cut into blocks: first every
+   block is compared with the family's head, which is linear and settles a large group of copies of one text. Only the
+   texts that aren't similar to the head are then compared with all others, each pair of blocks in a task of its own, so
+   that no link is lost and no task's memory depends on the largest family.
 4. Classes are the components of the exact edges.
 """
 
@@ -16,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxloom.llm.components import components
@@ -76,14 +78,15 @@ def _signed(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text) to (id, node, bands); a text without words has no bands."""
+    """(id, h, text) to (id, h, node, bands); a text without words has no bands."""
     for batch in batches:
-        column = filled(batch.column(1))
+        column = filled(batch.column(2))
         for low, high in slices(column):
             node, bands, n_words = _signed(Texts(column.slice(low, high - low)))
             ends = np.concatenate([[0], np.cumsum(np.where(n_words > 0, BANDS, 0))]).astype(np.int32)
             flat = pa.array(bands[n_words > 0].ravel().view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(node.view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), flat)], ["id", "node", "bands"])
+            own = [batch.column(k).slice(low, high - low) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(node.view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), flat)], ["id", "h", "node", "bands"])
 
 
 def linked(table: pa.Table) -> pa.Table:
@@ -136,31 +139,73 @@ def linked(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
+TASK = ["kind", "label", "i", "j"]
+
+
+def _blocks(texts: DataFrame) -> DataFrame:
+    """(label, blocks, head) of each family."""
+    size = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum(F.octet_length("text")) / BLOCK_BYTES), F.lit(1)).cast("int")
+    return texts.groupBy("label").agg(size.alias("blocks"), F.min("node").alias("head"))
+
+
+def _block(blocks: str) -> Column:
+    return F.pmod(F.xxhash64("node", "label"), F.col(blocks)).cast("int")
+
+
+def _each(blocks: str) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+
+
+def _task(kind: int, i: Column, j: Column, side: Column) -> list[Column]:
+    return [F.lit(kind).alias("kind"), F.col("label"), i.alias("i"), j.alias("j"), F.col("node"), F.col("text"), side.alias("side")]
+
+
+def _linked(tasks: DataFrame) -> DataFrame:
+    return tasks.groupBy(*TASK).applyInArrow(lambda t: linked(t.select(["node", "text", "side"])), "a long, b long")
+
+
+def _links(texts: DataFrame) -> DataFrame:
+    """Edges (a, b) whose components are those of all similar pairs within a family; texts: label, node, text."""
+    zero = F.lit(0)
+    placed = texts.join(saved(_blocks(texts), "blocks"), "label").withColumn("block", _block("blocks"))
+    found = _linked(placed.where("blocks = 1").select(*_task(0, zero, zero, zero)))
+    large = saved(placed.where("blocks > 1"), "large")
+    if large.isEmpty():
+        return found
+    heads = large.where("node = head").dropDuplicates(["node"])
+    to_head = large.where("node <> head").select(*_task(1, F.col("block"), zero, zero)).unionByName(heads.withColumn("k", _each("blocks")).select(*_task(1, F.col("k"), zero, F.lit(1))))
+    star = saved(_linked(to_head), "star")
+    near = star.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("near", F.lit(True))
+    told = saved(large.join(near, "node", "left").withColumn("near", F.coalesce("near", F.col("node") == F.col("head"))), "told")
+    rest = told.where("not near")
+    parts = saved(_blocks(rest).select("label", F.col("blocks").alias("parts")), "parts")
+    rest = rest.join(parts, "label").withColumn("part", _block("parts"))
+    core = told.where("near").join(parts, "label")
+    other = rest.withColumn("k", _each("parts"))
+    within = other.select(*_task(2, F.least("part", "k"), F.greatest("part", "k"), F.when(F.col("part") > F.col("k"), 1).otherwise(0)))
+    across = rest.withColumn("k", _each("blocks")).select(*_task(3, F.col("part"), F.col("k"), zero)).unionByName(core.withColumn("k", _each("parts")).select(*_task(3, F.col("k"), F.col("block"), F.lit(1))))
+    return found.unionByName(star).unionByName(_linked(within.unionByName(across)))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row's (id_col, class_id): the smallest id among the texts that a chain of similar texts connects to it.
 
     Similar: the Jaccard similarity of the sets of five-word shingles is ``SIMILARITY`` or more; words are runs without
     white space, and a text of one to four words is one shingle. Null and empty texts have no words and form one class
     (they are equal). Rows with a null id compare like others and get their class's smallest id (null if none has one).
-    Repeated rows come out as often as they came in. Empty tables give empty results; other columns don't matter.
+    Repeated rows come out as often as they came in; rows that share an id but not a text are judged each by its text.
+    Empty tables give empty results; other columns don't matter.
     """
-    pairs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = saved(pairs.mapInArrow(sign, "id long, node long, bands array<long>"), "signed")
+    pairs = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    signed = saved(pairs.mapInArrow(sign, "id long, h long, node long, bands array<long>"), "signed")
     buckets = signed.select("node", F.explode("bands").alias("bucket")).distinct()
     heads = buckets.groupBy("bucket").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
     ties = buckets.join(heads, "bucket").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
     families = components(ties)
-    reps = signed.groupBy("node").agg(F.min("id").alias("id"))
-    members = families.join(reps, "node").where("id is not null")
-    texts = saved(pairs.join(members, "id").select("node", "label", "text"), "families")
-    sums = texts.groupBy("label").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum(F.octet_length("text")) / BLOCK_BYTES), F.lit(1)).alias("blocks"))
-    placed = texts.join(sums, "label").withColumn("block", F.expr("pmod(xxhash64(node, label), blocks)"))
-    others = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    tasks = placed.select("label", "node", "text", "block", others.alias("other")).select(
-        "label", "node", "text", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.when(F.col("block") > F.col("other"), 1).otherwise(0).alias("side")
-    )
-    edges = tasks.groupBy("label", "i", "j").applyInArrow(lambda t: linked(t.select(["node", "text", "side"])), "a long, b long")
-    classes = components(edges)
+    first = signed.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("r"))
+    members = families.join(first, "node").select("node", "label", F.col("r.id").alias("_id"), F.col("r.h").alias("_h"))
+    texts = pairs.join(members, F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h"))).select("label", "node", "text")
+    classes = components(_links(saved(texts, "families")))
     ids = signed.select("id", "node").join(classes, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = ids.groupBy("label").agg(F.min("id").alias("class_id"))
+    least = saved(ids.groupBy("label").agg(F.min("id").alias("class_id")), "classes")
     return ids.join(least, "label").select(F.col("id").alias(id_col), "class_id")
