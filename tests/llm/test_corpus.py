@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from tests.conftest import SF
 from tests.llm.plain import ODD, WORD, shingles
-from voxloom.llm import components, decontaminate, minhash, mixing
+from voxloom.llm import decontaminate, minhash, mixing
 from voxloom.llm.text import Texts, counted
+from voxloom.operators import components
 
 FIELDS = "doc_id long, text string, lang string, source string, n_chars long, label string, id long"
 

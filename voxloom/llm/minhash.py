@@ -21,9 +21,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.components import components
-from voxloom.llm.scratch import saved
 from voxloom.llm.text import Texts, counted, filled, mix, slices
+from voxloom.operators.components import components
+from voxloom.scratch import saved
 
 SHINGLE = 5
 SIMILARITY = 0.8
