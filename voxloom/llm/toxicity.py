@@ -99,8 +99,9 @@ def fitted(p: Sparse, u: Sparse, size: int, prior: float, seed: int) -> tuple[np
             on_p, on_u = in_p == k, in_u == k
             if not on_p.any() or not on_u.any():
                 continue
-            sp, su = sigmoid(p.margin(weight, bias)), sigmoid(u.margin(weight, bias))
-            clean = np.log1p(np.exp(np.clip(u.margin(weight, bias), -500, 500)))[on_u].mean() - prior * np.log1p(np.exp(np.clip(p.margin(weight, bias), -500, 500)))[on_p].mean()
+            mp, mu = p.margin(weight, bias), u.margin(weight, bias)
+            sp, su = sigmoid(mp), sigmoid(mu)
+            clean = np.logaddexp(0, mu[on_u]).mean() - prior * np.logaddexp(0, mp[on_p]).mean()
             toward = (sp - 1) * on_p * (prior / on_p.sum())
             away_p, away_u = -sp * on_p * (prior / on_p.sum()), su * on_u / on_u.sum()
             if clean >= 0:
