@@ -108,3 +108,18 @@ def due_steps(spark, sf):
 @query("ref133_best_epoch", "SELECT event_type AS run, arg_min(event_id, (value, event_id)) AS best FROM events GROUP BY 1")
 def best_epoch(spark, sf):
     return si.table(spark, sf, "events").groupBy(F.col("event_type").alias("run")).agg(F.min_by("event_id", F.struct("value", "event_id")).alias("best"))
+
+
+@query("ref131_inferred", f"WITH {si.OUTPUT_SQL} SELECT vec_id, (pos // 8)::INT AS ch, round(avg(xct), 6) AS mu FROM p GROUP BY 1, 2")
+def inferred(spark, sf):
+    from voxloom.operators import inference
+
+    got = inference.inferred(si.model_output(spark, sf).select("vec_id", "xct"), inference.mean_encoder, "vec_id long, mu array<double>", channels=8)
+    return got.select("vec_id", F.posexplode("mu").alias("ch", "mu")).withColumn("mu", F.round("mu", 6))
+
+
+@query("ref138_learning_rate", "SELECT event_id AS step, round(CASE WHEN event_id < 400 THEN 0.001 * (0.01 + 0.99 * event_id / 400) ELSE 0.00001 + (0.001 - 0.00001) * (1 + cos(pi() * least(event_id - 400, 7600) / 7600)) / 2 END, 9) AS lr FROM events")
+def learning_rate(spark, sf):
+    from voxloom.functions.schedules import learning_rate as lr
+
+    return si.table(spark, sf, "events").select(F.col("event_id").alias("step"), F.round(lr(F.col("event_id"), 1e-3, 1e-5, 400, 8000), 9).alias("lr"))
