@@ -47,6 +47,18 @@ def test_terms_that_disclose(spark):
     assert all("term" not in got[10 + i].spans for i in range(40))
 
 
+def test_terms_that_disclose_are_marked_everywhere(spark):
+    """Far from the entity, in a text without it, in other case and beside letters of other planes; not inside a word."""
+    rows = [(i, "the mail of zanzibar is king@example.org now") for i in range(40)] + [(100 + i, f"the mail of the shop is shop{i}@example.org now") for i in range(400)]
+    far = "zanzibar is king@example.org " + "so it goes on " * 30 + "Zanzibar"
+    rows += [(50, far), *[(51, "ZANZIBAR, zanzibars. 😀zanzibar 𝐀zanzibar zanzibar𝐀")] * 2, (52, "zanzibar@b.co"), (None, "zanzibar")]
+    got = [(r.doc_id, [s for s in r.spans.split(",") if s.startswith("term")]) for r in pii.digest(pii.sanitised(spark.createDataFrame(rows, "doc_id long, text string"))).collect()]
+    assert [t for d, t in got if d == 50] == [["term:0:8", f"term:{len(far) - 8}:{len(far)}"]]
+    assert [t for d, t in got if d == 51] == [["term:0:8", "term:22:30"]] * 2
+    assert [t for d, t in got if d is None] == [["term:0:8"]] and [t for d, t in got if d == 52] == [[]]
+    assert not any(t for d, t in got if d is not None and d >= 100)
+
+
 def test_redacted(spark):
     df = spark.createDataFrame([("abcdef",), ("",), (None,)], "text string")
     spans = F.array(F.struct(F.lit(3).cast("long").alias("start"), F.lit(5).cast("long").alias("end"), F.lit("[x]").alias("mark")), F.struct(F.lit(1).cast("long").alias("start"), F.lit(4).cast("long").alias("end"), F.lit("[y]").alias("mark")))

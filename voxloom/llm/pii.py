@@ -4,8 +4,8 @@ A term discloses a protected entity (an address, number and so on that a pattern
 of what there is to know about the entity: pointwise mutual information PMI(t; e) = log2(df(t, e) N / (df(t) df(e))),
 against the entity's information content IC(e) = log2(N / df(e)). PMI reaches IC exactly when the term never occurs
 without the entity. Terms around an entity (``CONTEXT_TERMS`` on either side) with PMI >= ``DISCLOSURE`` * IC that occur
-with it in ``MIN_SUPPORT`` documents or more are disclosed: they become spans of kind ``term``. All frequencies count
-every document.
+with it in ``MIN_SUPPORT`` documents or more are disclosed: wherever they stand, in any document, they become spans of
+kind ``term``. All frequencies count every document.
 """
 
 from __future__ import annotations
@@ -23,12 +23,16 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9]++(?:[\x20-][0-9]++)*+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 TERM = r"\p{L}{3,}+"
+# Java looks behind by whole code points only if the look-behind spells out one beyond the first plane; any letter will do.
+BEFORE = "(?<![\\p{L}\U0001D400])"
 KINDS = ("email", "ip", "card", "phone")
 
 CONTEXT_TERMS = 8
 CONTEXT_CHARS = 160
 DISCLOSURE = 0.9
 MIN_SUPPORT = 2
+#: Disclosed terms that are looked up by a broadcast; more are looked up by a join that shuffles.
+BROADCAST_ROWS = 1_000_000
 
 
 def _is_ip(v: Column) -> Column:
@@ -88,7 +92,8 @@ def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", d
     disclosing terms.
 
     Null and empty texts have no spans. Rows with equal id and text are counted each and come out alike; a null id is a
-    value like any other. A term that overlaps a pattern's span is no term. Very long texts are searched whole.
+    value like any other. A term that overlaps a pattern's span is no term. Very long texts are searched whole. The
+    places next to an entity only tell which terms disclose; those are marked at all their places in all texts.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"))
@@ -105,12 +110,19 @@ def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", d
     scored = together.join(entities, "entity").join(used, "term")
     pmi = F.log2(F.col("df_both") * n_docs / (F.col("df_term") * F.col("df_entity")))
     content = F.log2(n_docs / F.col("df_entity"))
-    disclosed = saved(scored.where(pmi >= disclosure * content).where(content > 0).select("entity", "term"), "disclosed")
-
-    places = seen.where("size(near) > 0").select("id", "h", F.explode("near").alias("t")).select("id", "h", "t.entity", "t.term", "t.start", "t.end").distinct()
-    hits = places.join(disclosed, ["entity", "term"], "left_semi").groupBy("id", "h").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("terms"))
-    both = seen.alias("s").join(hits.alias("t"), F.col("s.id").eqNullSafe(F.col("t.id")) & (F.col("s.h") == F.col("t.h")), "left")
-    return both.select(F.col("s.id").alias(id_col), "s.h", "s.base", F.coalesce("t.terms", F.array().cast("array<struct<start:bigint,end:bigint>>")).alias("terms"))
+    disclosed = saved(scored.where(pmi >= disclosure * content).where(content > 0).select(F.col("term").alias("low")).distinct(), "disclosed")
+
+    words = rows.select("id", F.xxhash64("text").alias("h"), F.explode(F.array_distinct(found(F.col("text"), TERM))).alias("word")).withColumn("low", F.lower("word"))
+    told = words.join(F.broadcast(disclosed) if disclosed.count() <= BROADCAST_ROWS else disclosed, "low", "left_semi")
+    hits = saved(told.groupBy("id", "h").agg(F.collect_set("word").alias("words")), "told")
+    same = lambda a, b: F.col(f"{a}.id").eqNullSafe(F.col(f"{b}.id")) & (F.col(f"{a}.h") == F.col(f"{b}.h"))
+    pattern = F.concat(F.lit(BEFORE + "(?:"), F.concat_ws("|", "words"), F.lit(r")(?!\p{L})"))
+    texts = rows.withColumn("h", F.xxhash64("text")).alias("r").join(hits.alias("t"), same("r", "t")).select("r.id", "r.h", "r.text", pattern.alias("pattern"))
+    places = placed(F.col("text"), found(F.col("text"), F.col("pattern")), F.col("pattern"))
+    terms = texts.select("id", "h", F.transform(places, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"))).alias("terms")).dropDuplicates(["id", "h"])
+    apart = F.filter("t.terms", lambda t: ~F.exists("s.base", lambda b: (b["start"] < t["end"]) & (b["end"] > t["start"])))
+    both = seen.alias("s").join(terms.alias("t"), same("s", "t"), "left")
+    return both.select(F.col("s.id").alias(id_col), "s.h", "s.base", F.coalesce(apart, F.array().cast("array<struct<start:bigint,end:bigint>>")).alias("terms"))
 
 
 def digest(spans: DataFrame, id_col: str = "doc_id") -> DataFrame:

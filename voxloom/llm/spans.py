@@ -12,12 +12,12 @@ from voxloom.scratch import saved
 SPAN = "array<struct<start:bigint,end:bigint,value:string>>"
 
 
-def found(text: Column, pattern: str) -> Column:
+def found(text: Column, pattern: str | Column) -> Column:
     """All leftmost, non-overlapping matches, as strings."""
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
-def placed(text: Column, matches: Column, pattern: str, holds: Callable[[Column], Column] | None = None) -> Column:
+def placed(text: Column, matches: Column, pattern: str | Column, holds: Callable[[Column], Column] | None = None) -> Column:
     """The spans of those ``matches`` (what ``found`` gave for the same text and pattern) for which ``holds``.
 
     Splitting at the pattern leaves the pieces between matches; the lengths of pieces and matches in turn give each
