@@ -95,6 +95,18 @@ def test_large_family(spark, monkeypatch, changes):
     assert got == classes(rows)
 
 
+def test_near_copies_of_texts_with_repeated_lines(spark):
+    """One text repeats a quarter of its passages a hundred times, its near copy has them once."""
+    rows = []
+    for f in range(40):
+        line, rest = [f"l{f}x{i}" for i in range(50)], [f"r{f}x{i}" for i in range(150)]
+        changed = [f"c{w}" if i in (30, 70, 110) else w for i, w in enumerate(rest)]
+        rows += [(2 * f, " ".join(line * 100 + rest)), (2 * f + 1, " ".join(line + changed))]
+    want = classes(rows)
+    assert all(c == d - d % 2 for d, c in want)
+    assert Counter(tuple(r) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == want
+
+
 def test_signature_estimates_probability_jaccard():
     rng = np.random.default_rng(3)
     x, y = {}, {}

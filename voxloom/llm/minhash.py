@@ -1,7 +1,8 @@
 """Near-duplicates: ProbMinHash signatures, banding, and an exact check of whole families.
 
 1. ``sign`` gives every document a node (a hash of its set of shingles: equal sets are one node, so copies fold together
-   before anything is compared) and, from a ProbMinHash signature, one key for each band.
+   before anything is compared) and, from ProbMinHash signatures, one key for each band: one signature with all weights
+   1, whose registers agree as often as the verified similarity says, and, where shingles repeat, one weighted by count.
 2. The nodes of a bucket (equal band keys) are tied to the bucket's smallest node: n - 1 edges, never all pairs.
    The components of these edges are families; two documents that share any bucket are in one family.
 3. Within a family texts are compared exactly, on the shingles of their whole texts, in a task that keeps only the edges
@@ -62,19 +63,32 @@ def probminhash(docs: np.ndarray, keys: np.ndarray, weights: np.ndarray, n_docs:
     return owner.reshape(n_docs, registers)
 
 
+def _banded(signature: np.ndarray) -> np.ndarray:
+    bands = np.zeros((len(signature), BANDS), np.uint64)
+    for k in range(ROWS):
+        bands = mix(bands ^ signature[:, k * BANDS : (k + 1) * BANDS])
+    return mix(bands ^ np.arange(BANDS, dtype=np.uint64))
+
+
 def _signed(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(node, bands, number of bands) of each text; bands in one row.
+
+    Where no shingle repeats, the weighted signature is the plain one, so both kinds share their keys.
+    """
     words = texts.words()
     docs, keys, counts = counted(*words.shingles(words.hashes(), SHINGLE))
     spread = mix(keys)
     node = np.zeros(texts.n, np.uint64)
     np.add.at(node, docs, spread)
     node = mix(node)
-    signature = probminhash(docs, keys, 1.0 + np.log(counts), texts.n, BANDS * ROWS)
-    bands = np.zeros((texts.n, BANDS), np.uint64)
-    for k in range(ROWS):
-        bands = mix(bands ^ signature[:, k * BANDS : (k + 1) * BANDS])
-    bands = mix(bands ^ np.arange(BANDS, dtype=np.uint64))
-    return node, bands, words.counts
+    repeats = np.zeros(texts.n, bool)
+    repeats[docs[counts > 1]] = True
+    on, place = repeats[docs], np.cumsum(repeats) - 1
+    bands = np.zeros((texts.n, 2 * BANDS), np.uint64)
+    bands[:, :BANDS] = _banded(probminhash(docs, keys, np.ones(len(keys)), texts.n, BANDS * ROWS))
+    bands[repeats, BANDS:] = _banded(probminhash(place[docs[on]], keys[on], 1.0 + np.log(counts[on]), int(repeats.sum()), BANDS * ROWS))
+    n_bands = np.where(words.counts > 0, np.where(repeats, 2 * BANDS, BANDS), 0)
+    return node, bands[np.arange(2 * BANDS) < n_bands[:, None]], n_bands
 
 
 def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,9 +96,9 @@ def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         column = filled(batch.column(2))
         for low, high in slices(column):
-            node, bands, n_words = _signed(Texts(column.slice(low, high - low)))
-            ends = np.concatenate([[0], np.cumsum(np.where(n_words > 0, BANDS, 0))]).astype(np.int32)
-            flat = pa.array(bands[n_words > 0].ravel().view(np.int64))
+            node, bands, n_bands = _signed(Texts(column.slice(low, high - low)))
+            ends = np.concatenate([[0], np.cumsum(n_bands)]).astype(np.int32)
+            flat = pa.array(bands.view(np.int64))
             own = [batch.column(k).slice(low, high - low) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([*own, pa.array(node.view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), flat)], ["id", "h", "node", "bands"])
 
@@ -201,7 +215,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = signed.select("node", F.explode("bands").alias("bucket")).distinct()
     heads = buckets.groupBy("bucket").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
     ties = buckets.join(heads, "bucket").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
-    families = components(ties)
+    # a node's heads are tied to the least of them, so that a large group has one edge a node and not one for each band
+    heads_of = ties.groupBy("a").agg(F.array_sort(F.collect_set("b")).alias("heads"))
+    least_head = F.col("heads")[0]
+    families = components(heads_of.select(F.explode(F.transform(F.concat(F.array("a"), F.slice("heads", 2, 2 * BANDS)), lambda x: F.struct(x.alias("a"), least_head.alias("b")))).alias("e")).select("e.*").distinct())
     first = signed.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("r"))
     members = families.join(first, "node").select("node", "label", F.col("r.id").alias("_id"), F.col("r.h").alias("_h"))
     texts = pairs.join(members, F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h"))).select("label", "node", "text")
