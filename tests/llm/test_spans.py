@@ -96,6 +96,16 @@ def test_owners(spark):
     assert got[9].n_live == 1 and got[9].spans == "live:8:31"
 
 
+def test_keys_with_slashes(spark):
+    """A key with slashes is judged by its owners like any other; a path of plain words and numbers is none."""
+    key = "wJalr/XUtnFEMI/K7MDENGbPxRfiCYzq0w1e2r3t"
+    rows = [(1, f"aws_secret_access_key = {key}", "s1"), (2, "see /usr/share/some_docs/2024/05/index-of/page", "s2"), (3, "+Ab3/9xQ/Zz81/kkLmN0pQ4rS==", "s3")]
+    docs = spark.createDataFrame([(i, t, "en", s) for i, t, s in rows], "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r.spans for r in secrets.digest(secrets.owned(docs)).collect()}
+    assert got == {1: "live:24:64", 2: "", 3: "live:0:27"}
+    assert {r.doc_id: r.text for r in secrets.removed(docs).collect()}[1] == "aws_secret_access_key = [secret]"
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], FIELDS)
     assert pii.digest(pii.sanitised(none)).count() == 0

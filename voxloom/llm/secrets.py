@@ -1,6 +1,7 @@
 """Secrets: patterns, and other credential-like strings judged by who owns them. DataFrame functions only.
 
-Besides the patterns' spans, every long string that mixes letters and digits is a candidate. Its hash is counted over
+Besides the patterns' spans, every long string that mixes letters and digits and isn't a path of plain words and short
+numbers is a candidate. Its hash is counted over
 the whole corpus by distinct repositories and owners: a string that many owners hold is a widely copied example; one
 that ``LIVE_OWNERS`` owners or fewer hold looks live, and its places become spans of kind ``live``.
 """
@@ -19,6 +20,8 @@ ASSIGN_VALUE = r"""(?i)^(?:password|passwd|secret|token|api_?key)["']?\x20*+[:=]
 ACCESS = r"AKIA[A-Z0-9]++"
 HEX = r"[0-9a-f]{24,}+"
 OTHER = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
+# Paths, by their shape: every segment between slashes is lower-case words or a short number.
+PATH = r"^(?=.*/.*/)/*+(?:(?:[a-z]++(?:[_-][a-z]++)*+|[0-9]{1,4})(?:/++|$))++$"
 KINDS = ("assign", "access", "hex")
 
 LIVE_OWNERS = 2
@@ -29,7 +32,7 @@ def _value(v: Column) -> Column:
 
 
 def _is_other(v: Column) -> Column:
-    return v.rlike("[0-9]") & v.rlike("[A-Za-z]") & ~v.rlike("/.*/")
+    return v.rlike("[0-9]") & v.rlike("[A-Za-z]") & ~v.rlike(PATH)
 
 
 _RULES = {
