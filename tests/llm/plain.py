@@ -60,3 +60,39 @@ def joined(spans) -> str:
 def shingles(text: str | None, size: int = 5) -> set:
     w = WORD.findall(text or "")
     return {tuple(w)} if 0 < len(w) < size else {tuple(w[i : i + size]) for i in range(len(w) - size + 1)}
+
+
+LETTERS = re.compile(r"[^\W\d_]{3,}")
+
+
+def masked(text: str | None) -> str:
+    text = text or ""
+    for _, s, e in personal(text):
+        text = text[:s] + " " * (e - s) + text[e:]
+    return text
+
+
+def disclosing(texts: list[str | None], threshold: float = 0.9, support: int = 2) -> set[str]:
+    """The terms whose mutual information with some entity reaches the threshold, pair by pair."""
+    import math
+    from collections import defaultdict
+
+    has, holds = defaultdict(set), defaultdict(set)
+    for k, t in enumerate(texts):
+        for w in LETTERS.findall(masked(t)):
+            has[w.lower()].add(k)
+        for _, s, e in personal(t):
+            holds[t[s:e]].add(k)
+    n, out = len(texts), set()
+    entities = {frozenset(d) for d in holds.values() if support <= len(d) < n}
+    for w, mine in has.items():
+        for d in entities:
+            both = len(mine & d)
+            if both >= support and math.log2(both * n / (len(mine) * len(d))) >= threshold * math.log2(n / len(d)) - 1e-12:
+                out.add(w)
+                break
+    return out
+
+
+def term_spans(text: str | None, terms: set[str]) -> list[tuple[str, int, int]]:
+    return [("term", m.start(), m.end()) for m in LETTERS.finditer(masked(text)) if m[0].lower() in terms]

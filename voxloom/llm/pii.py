@@ -3,9 +3,9 @@
 A term discloses a protected entity (an address, number and so on that a pattern found) if knowing the term tells most
 of what there is to know about the entity: pointwise mutual information PMI(t; e) = log2(df(t, e) N / (df(t) df(e))),
 against the entity's information content IC(e) = log2(N / df(e)). PMI reaches IC exactly when the term never occurs
-without the entity. Terms around an entity (``CONTEXT_TERMS`` on either side) with PMI >= ``DISCLOSURE`` * IC that occur
-with it in ``MIN_SUPPORT`` documents or more are disclosed: wherever they stand, in any document, they become spans of
-kind ``term``. All frequencies count every document.
+without the entity. Terms that stand in ``MIN_SUPPORT`` texts or more together with an entity, with PMI >= ``DISCLOSURE``
+* IC, are disclosed: wherever they stand, in any document, they become spans of kind ``term``. All frequencies count every
+document, and whole texts.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.spans import found, is_kind, placed, tagged, with_replaced, written
+from voxloom.llm.spans import found, is_kind, placed, redacted, small, tagged, with_replaced, written
 from voxloom.scratch import saved
 
 # The base patterns. Possessive quantifiers and the look-behinds change no match; they keep a run that
@@ -23,16 +23,10 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9]++(?:[\x20-][0-9]++)*+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 TERM = r"\p{L}{3,}+"
-# Java looks behind by whole code points only if the look-behind spells out one beyond the first plane; any letter will do.
-BEFORE = "(?<![\\p{L}\U0001D400])"
 KINDS = ("email", "ip", "card", "phone")
 
-CONTEXT_TERMS = 8
-CONTEXT_CHARS = 160
 DISCLOSURE = 0.9
 MIN_SUPPORT = 2
-#: Disclosed terms that are looked up by a broadcast; more are looked up by a join that shuffles.
-BROADCAST_ROWS = 1_000_000
 
 
 def _is_ip(v: Column) -> Column:
@@ -69,22 +63,52 @@ def base_spans(docs: DataFrame, text_col: str = "text", out: str = "base") -> Da
     return raw.withColumn(out, spans).drop(*[f"_{k}" for k in _RULES])
 
 
-def _context(text: Column, entity: Column) -> Column:
-    """The terms next to an entity, whole ones only, with their places."""
-    low = F.greatest(entity["start"] - CONTEXT_CHARS, F.lit(0))
-    before = F.substr(text, low + 1, entity["start"] - low)
-    after = F.substr(text, entity["end"] + 1, F.lit(CONTEXT_CHARS))
-    left = F.filter(placed(before, found(before, TERM), TERM), lambda t: (t["start"] > 0) | (low == 0))
-    right = F.filter(placed(after, found(after, TERM), TERM), lambda t: (t["end"] < CONTEXT_CHARS))
-    near = F.slice(left, F.greatest(F.size(left) - CONTEXT_TERMS + 1, F.lit(1)), F.lit(CONTEXT_TERMS))
-    far = F.slice(right, F.lit(1), F.lit(CONTEXT_TERMS))
+def terms_of(text: Column) -> Column:
+    """The distinct terms of a text, in lower case."""
+    return F.array_distinct(F.transform(F.array_distinct(found(text, TERM)), F.lower))
 
-    def moved(by: Column):
-        return lambda t: F.struct(
-            entity["value"].alias("entity"), F.lower(t["value"]).alias("term"), (t["start"] + by).alias("start"), (t["end"] + by).alias("end")
-        )
 
-    return F.concat(F.transform(near, moved(low)), F.transform(far, moved(entity["end"])))
+def _masked(text: Column, base: Column) -> Column:
+    """The text with its pattern spans blanked out; all places stay."""
+    return redacted(text, F.transform(base, lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"), F.repeat(F.lit(" "), (b["end"] - b["start"]).cast("int")).alias("mark"))))
+
+
+def _frequency(weight: Column) -> list[Column]:
+    """``df``, and sums of hashes of the documents: equal for two values only if the same documents hold them."""
+    prints = [F.sum(weight * F.pmod(F.xxhash64(F.lit(k), "h"), F.lit(1 << 29))).alias(f"sum{k}") for k in range(3)]
+    return [F.sum(weight).alias("df"), *prints]
+
+
+def _class(name: str) -> Column:
+    return F.xxhash64("df", "sum0", "sum1", "sum2").alias(name)
+
+
+def disclosed(seen: DataFrame, rows: DataFrame, disclosure: float) -> DataFrame:
+    """(low): the terms that disclose an entity. ``seen``: h, base, terms, added, hidden; ``rows``: text.
+
+    Entities, and terms, that the same documents hold have the same frequencies and are compared once: what is joined
+    within a text are classes, so a text with many addresses doesn't meet its terms one by one. Only entities that
+    ``MIN_SUPPORT`` documents hold, and terms that aren't too frequent for any PMI to reach the threshold
+    (df(t) <= df(e) ** d * N ** (1 - d) for threshold d), are looked at; this loses none.
+    """
+    one = F.lit(1).cast("long")
+    n_docs = seen.count()
+    holders = saved(seen.where(F.size("base") > 0).groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.first("terms").alias("terms"), F.first(F.array_distinct(F.transform("base", lambda b: b["value"]))).alias("entities")), "holders")
+    entities = saved(holders.select("h", "n", F.explode("entities").alias("entity")).groupBy("entity").agg(*_frequency(F.col("n"))).where((F.col("df") >= MIN_SUPPORT) & (F.col("df") < n_docs)).select("entity", F.col("df").alias("df_entity"), _class("entity_class")), "entities")
+    told = saved(holders.select("h", "n", F.explode("entities").alias("entity")).join(small(entities), "entity").select("h", "n", "entity_class", "df_entity").distinct(), "told")
+    most = entities.agg(F.max("df_entity")).first()[0]
+    if most is None:
+        return rows.sparkSession.createDataFrame([], "low string")
+    reach = lambda df: F.pow(df.cast("double"), F.lit(disclosure)) * n_docs ** (1 - disclosure) * (1 + 1e-9)
+    counted = rows.select(F.xxhash64("text").alias("h"), F.explode(terms_of(F.col("text"))).alias("low"), one.alias("n"))
+    changed = [seen.where(F.size(c) > 0).select("h", F.explode(c).alias("low"), (one * sign).alias("n")) for c, sign in (("added", 1), ("hidden", -1))]
+    terms = counted.unionByName(changed[0]).unionByName(changed[1]).groupBy("low").agg(*_frequency(F.col("n")))
+    terms = saved(terms.where((F.col("df") >= MIN_SUPPORT) & (F.col("df") <= reach(F.lit(most)))).select("low", F.col("df").alias("df_term"), _class("term_class")), "terms")
+    near = holders.join(small(told.select("h").distinct()), "h", "left_semi").select("h", F.explode("terms").alias("low")).join(terms, "low").select("h", "term_class", "df_term").distinct()
+    both = near.join(told, "h").where(F.col("df_term") <= reach(F.col("df_entity"))).groupBy("entity_class", "term_class", "df_entity", "df_term").agg(F.sum("n").alias("df_both"))
+    pmi = F.log2(F.col("df_both").cast("double") * n_docs / (F.col("df_term").cast("double") * F.col("df_entity")))
+    strong = both.where((F.col("df_both") >= MIN_SUPPORT) & (pmi >= disclosure * F.log2(n_docs / F.col("df_entity"))))
+    return terms.join(strong.select("term_class").distinct(), "term_class", "left_semi").select("low")
 
 
 def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = DISCLOSURE) -> DataFrame:
@@ -92,37 +116,27 @@ def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", d
     disclosing terms.
 
     Null and empty texts have no spans. Rows with equal id and text are counted each and come out alike; a null id is a
-    value like any other. A term that overlaps a pattern's span is no term. Very long texts are searched whole. The
-    places next to an entity only tell which terms disclose; those are marked at all their places in all texts.
+    value like any other. Terms are looked for in what the patterns' spans leave of a text. Very long texts, and texts
+    with very many spans, are searched whole. Empty tables give empty results; other columns, whatever their names, don't
+    matter. Disclosing terms are marked at all their places in all texts.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"))
-    based = base_spans(rows)
-    terms = F.flatten(F.transform("base", lambda e: _context(F.col("text"), e)))
-    free = F.filter(terms, lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (b["end"] > t["start"])))
-    seen = saved(based.select("id", F.xxhash64("text").alias("h"), "base", F.when(F.size("base") > 0, free).alias("near")), "pii")
-
-    pairs = seen.where("size(near) > 0").select(F.explode(F.array_distinct(F.transform("near", lambda t: F.struct(t["entity"].alias("entity"), t["term"].alias("term"))))).alias("p"))
-    together = pairs.groupBy("p.entity", "p.term").agg(F.count(F.lit(1)).alias("df_both")).where(F.col("df_both") >= MIN_SUPPORT)
-    entities = seen.select(F.explode(F.array_distinct(F.transform("base", lambda b: b["value"]))).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("df_entity"))
-    used = rows.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df_term")).where(F.col("df_term") >= MIN_SUPPORT)
-    n_docs = F.lit(seen.count())
-    scored = together.join(entities, "entity").join(used, "term")
-    pmi = F.log2(F.col("df_both") * n_docs / (F.col("df_term") * F.col("df_entity")))
-    content = F.log2(n_docs / F.col("df_entity"))
-    disclosed = saved(scored.where(pmi >= disclosure * content).where(content > 0).select(F.col("term").alias("low")).distinct(), "disclosed")
-
-    words = rows.select("id", F.xxhash64("text").alias("h"), F.explode(F.array_distinct(found(F.col("text"), TERM))).alias("word")).withColumn("low", F.lower("word"))
-    told = words.join(F.broadcast(disclosed) if disclosed.count() <= BROADCAST_ROWS else disclosed, "low", "left_semi")
-    hits = saved(told.groupBy("id", "h").agg(F.collect_set("word").alias("words")), "told")
+    some = F.size("base") > 0
+    based = base_spans(rows).withColumn("left", F.when(some, terms_of(_masked(F.col("text"), F.col("base"))))).withColumn("all", F.when(some, terms_of(F.col("text"))))
+    seen = saved(based.select("id", F.xxhash64("text").alias("h"), "base", F.col("left").alias("terms"), F.array_except("left", "all").alias("added"), F.array_except("all", "left").alias("hidden")), "pii")
+    told = small(saved(disclosed(seen, rows, disclosure), "disclosed"))
+
+    words = rows.select("id", F.xxhash64("text").alias("h"), F.explode(terms_of(F.col("text"))).alias("low"))
+    extra = seen.where(F.size("added") > 0).select("id", "h", F.explode("added").alias("low"))
+    hits = saved(words.unionByName(extra).join(told, "low", "left_semi").select("id", "h").distinct(), "hits")
     same = lambda a, b: F.col(f"{a}.id").eqNullSafe(F.col(f"{b}.id")) & (F.col(f"{a}.h") == F.col(f"{b}.h"))
-    pattern = F.concat(F.lit(BEFORE + "(?:"), F.concat_ws("|", "words"), F.lit(r")(?!\p{L})"))
-    texts = rows.withColumn("h", F.xxhash64("text")).alias("r").join(hits.alias("t"), same("r", "t")).select("r.id", "r.h", "r.text", pattern.alias("pattern"))
-    places = placed(F.col("text"), found(F.col("text"), F.col("pattern")), F.col("pattern"))
-    terms = texts.select("id", "h", F.transform(places, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"))).alias("terms")).dropDuplicates(["id", "h"])
-    apart = F.filter("t.terms", lambda t: ~F.exists("s.base", lambda b: (b["start"] < t["end"]) & (b["end"] > t["start"])))
+    texts = base_spans(rows.withColumn("h", F.xxhash64("text")).alias("r").join(small(hits).alias("t"), same("r", "t"), "left_semi"))
+    places = texts.withColumn("text", _masked(F.col("text"), F.col("base"))).withColumn("words", found(F.col("text"), TERM))
+    places = places.select("id", "h", F.explode(placed(F.col("text"), F.col("words"), TERM)).alias("t")).select("id", "h", "t.start", "t.end", F.lower("t.value").alias("low")).join(told, "low", "left_semi")
+    terms = places.groupBy("id", "h").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("terms"))
     both = seen.alias("s").join(terms.alias("t"), same("s", "t"), "left")
-    return both.select(F.col("s.id").alias(id_col), "s.h", "s.base", F.coalesce(apart, F.array().cast("array<struct<start:bigint,end:bigint>>")).alias("terms"))
+    return both.select(F.col("s.id").alias(id_col), "s.h", "s.base", F.coalesce("t.terms", F.array().cast("array<struct<start:bigint,end:bigint>>")).alias("terms"))
 
 
 def digest(spans: DataFrame, id_col: str = "doc_id") -> DataFrame:

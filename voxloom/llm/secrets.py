@@ -1,9 +1,11 @@
 """Secrets: patterns, and other credential-like strings judged by who owns them. DataFrame functions only.
 
-Besides the patterns' spans, every long string that mixes letters and digits and isn't a path of plain words and short
-numbers is a candidate. Its hash is counted over
-the whole corpus by distinct repositories and owners: a string that many owners hold is a widely copied example; one
-that ``LIVE_OWNERS`` owners or fewer hold looks live, and its places become spans of kind ``live``.
+Besides the patterns' spans, every long string that mixes letters and digits and has a key's shape is a candidate: it
+isn't made of plain words and short numbers (as paths and slugs are), and its characters vary (``LEAST_ENTROPY`` bits
+each). The hash of each is counted over the whole corpus by distinct repositories and owners. A string that many owners
+hold, or a few owners in many repositories, is a widely copied example. One of a single owner, or of ``LIVE_OWNERS`` owners
+or fewer in ``LIVE_REPOSITORIES`` repositories or fewer (a key that was handed on), looks live, and its places become spans
+of kind ``live``.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.spans import found, is_kind, placed, tagged, with_replaced, written
+from voxloom.llm.spans import apart, found, placed, small, tagged, with_replaced, written
 from voxloom.scratch import saved
 
 # The base patterns.
@@ -20,19 +22,26 @@ ASSIGN_VALUE = r"""(?i)^(?:password|passwd|secret|token|api_?key)["']?\x20*+[:=]
 ACCESS = r"AKIA[A-Z0-9]++"
 HEX = r"[0-9a-f]{24,}+"
 OTHER = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
-# Paths, by their shape: every segment between slashes is lower-case words or a short number.
-PATH = r"^(?=.*/.*/)/*+(?:(?:[a-z]++(?:[_-][a-z]++)*+|[0-9]{1,4})(?:/++|$))++$"
+# Paths, slugs and names by their shape: every segment is a word, with or without a capital, or a short number.
+WORDS = r"^[/_=+-]*+(?:(?:[A-Z]?+[a-z]++|[A-Z]++|[0-9]{1,4}+)(?:[/_=+-]++|$))++$"
 KINDS = ("assign", "access", "hex")
 
-LIVE_OWNERS = 2
+LIVE_OWNERS, LIVE_REPOSITORIES = 2, 4
+LEAST_ENTROPY = 3.0
 
 
 def _value(v: Column) -> Column:
     return F.regexp_extract(v, ASSIGN_VALUE, 1)
 
 
+def _entropy(v: Column) -> Column:
+    """Bits a character, by how often the string has each."""
+    share = lambda c: (F.length(v) - F.length(F.replace(v, c, F.lit("")))) / F.length(v)
+    return -F.aggregate(F.array_distinct(F.split(v, "")), F.lit(0.0), lambda acc, c: acc + F.when(c == "", 0.0).otherwise(share(c) * F.log2(share(c))))
+
+
 def _is_other(v: Column) -> Column:
-    return v.rlike("[0-9]") & v.rlike("[A-Za-z]") & ~v.rlike(PATH)
+    return v.rlike("[0-9]") & v.rlike("[A-Za-z]") & ~v.rlike(WORDS) & (_entropy(v) >= LEAST_ENTROPY)
 
 
 _RULES = {
@@ -48,51 +57,46 @@ def _all_spans(text: Column, docs: DataFrame) -> DataFrame:
     return raw.withColumns({k: tagged(placed(text, F.col(f"_{k}"), pattern, holds), k) for k, (pattern, holds) in _RULES.items()})
 
 
-def _by_start(spans: Column) -> Column:
-    order = lambda s: F.struct(s["start"].alias("start"), F.element_at(F.create_map(*[x for i, k in enumerate((*KINDS, "live")) for x in (F.lit(k), F.lit(i))]), s["kind"]).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"))
-    return F.array_sort(F.transform(spans, order))
-
-
-def owned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repository_cols: tuple[str, ...] = ("source", "lang"), live_owners: int = LIVE_OWNERS) -> DataFrame:
-    """Every row's (id_col, h, base, live, examples, n_example, n_live, most_repositories): base spans by start and kind,
-    other spans that look live, the base spans that are widely copied examples, and counts. h hashes the row's text.
+def owned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repository_cols: tuple[str, ...] = ("source", "lang"), live_owners: int = LIVE_OWNERS, live_repositories: int = LIVE_REPOSITORIES) -> DataFrame:
+    """Every row's (id_col, h, spans, n_example, n_live, most_repositories): spans (start, rank, kind, end, live) of the
+    patterns and of candidates of kind ``live``, by start and kind, and counts. h hashes the row's text.
 
-    Null text is empty; a null owner or repository is one owner or repository. Repeated rows come out alike, and count as
-    one repository and owner. A candidate that overlaps a base span is part of it and no span of its own.
+    Null text is empty, and empty texts have no spans; texts of any length are searched whole. A null owner or repository
+    is one owner or repository. Repeated rows come out alike, and count as one repository and owner. A candidate that
+    overlaps a pattern's span is part of it and no span of its own. Empty tables give empty results; other columns,
+    whatever their names, don't matter.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\0"))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), name(owner_col).alias("owner"), F.concat_ws("\1", *[name(c) for c in repository_cols]).alias("repository"))
-    spans = _all_spans(F.col("text"), rows)
-    base = F.concat(*KINDS)
-    apart = F.filter("other", lambda o: ~F.exists("base", lambda b: (b["start"] < o["end"]) & (b["end"] > o["start"])))
+    spans = _all_spans(F.col("text"), rows).withColumn("base", F.concat(*KINDS))
     secret = lambda s: F.sha2(F.when(s["kind"] == "assign", _value(s["value"])).otherwise(s["value"]), 256)
     hashed = lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), secret(s).alias("hash"))
-    seen = spans.withColumn("base", base).withColumn("apart", apart).select(
-        "id", F.xxhash64("text").alias("h"), "owner", "repository", F.when(F.size("base") > 0, F.transform("base", hashed)).otherwise(F.array()).alias("base"), F.when(F.size("apart") > 0, F.transform("apart", hashed)).otherwise(F.array()).alias("apart")
-    )
-    seen = saved(seen, "secrets")
-    held = seen.select("owner", "repository", F.explode(F.array_distinct(F.transform(F.concat("base", "apart"), lambda s: s["hash"]))).alias("hash")).distinct()
-    owners = held.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("n")).groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("n").alias("repositories"))
-    places = seen.where("size(base) + size(apart) > 0").select("id", "h", F.explode(F.concat("base", "apart")).alias("s")).select("id", "h", "s.*").distinct()
-    live = F.col("owners") <= live_owners
+    everything = F.concat("base", apart(F.col("other"), F.col("base")))
+    seen = saved(spans.select("id", F.xxhash64("text").alias("h"), "owner", "repository", F.when(F.size("base") + F.size("other") > 0, F.transform(everything, hashed)).alias("found")), "secrets")
+    held = seen.select("owner", "repository", F.explode(F.array_distinct(F.transform("found", lambda s: s["hash"]))).alias("hash")).distinct()
+    counts = held.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("n")).groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("n").alias("repositories"))
+    live = (F.col("owners") == 1) | ((F.col("owners") <= live_owners) & (F.col("repositories") <= live_repositories))
+    owners = small(saved(counts.select("hash", "repositories", live.alias("live")), "owners"))
+    places = seen.select("id", "h", F.explode("found").alias("s")).select("id", "h", "s.*").distinct()
+    rank = F.element_at(F.create_map(*[x for i, k in enumerate((*KINDS, "other")) for x in (F.lit(k), F.lit(i))]), F.col("kind"))
+    kind = F.when(F.col("kind") == "other", "live").otherwise(F.col("kind"))
+    is_span = (F.col("kind") != "other") | F.col("live")
     judged = places.join(owners, "hash").groupBy("id", "h").agg(
-        F.array_sort(F.collect_set(F.when((F.col("kind") == "other") & live, F.struct("start", "end")))).alias("live"),
-        F.array_sort(F.collect_set(F.when((F.col("kind") != "other") & ~live, F.struct("start", "end")))).alias("examples"),
-        F.sum(F.when(live, 0).otherwise(1)).alias("n_example"), F.sum(F.when(live, 1).otherwise(0)).alias("n_live"), F.max("repositories").alias("most_repositories"),
-    )
+        F.array_sort(F.collect_list(F.when(is_span, F.struct("start", rank.alias("rank"), kind.alias("kind"), "end", "live")))).alias("spans"),
+        F.sum(F.when(F.col("live"), 0).otherwise(1)).alias("n_example"), F.sum(F.when(F.col("live"), 1).otherwise(0)).alias("n_live"), F.max("repositories").alias("most_repositories"),
+    )
     both = seen.alias("s").join(judged.alias("t"), F.col("s.id").eqNullSafe(F.col("t.id")) & (F.col("s.h") == F.col("t.h")), "left")
-    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
+    none = F.array().cast("array<struct<start:bigint,rank:int,kind:string,end:bigint,live:boolean>>")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c)
-    return both.select(F.col("s.id").alias(id_col), "s.h", _by_start(F.col("s.base")).alias("base"), F.coalesce("t.live", none).alias("live"), F.coalesce("t.examples", none).alias("examples"), zero("n_example"), zero("n_live"), zero("most_repositories"))
+    return both.select(F.col("s.id").alias(id_col), "s.h", F.coalesce("t.spans", none).alias("spans"), zero("n_example"), zero("n_live"), zero("most_repositories"))
 
 
 def digest(spans: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    counts = [F.size(F.filter("base", is_kind(k))).cast("long").alias(f"n_{k}") for k in KINDS]
-    tagged_live = F.transform("live", lambda s: F.struct(F.lit("live").alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    plain = F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    everything = _by_start(F.concat(plain, tagged_live))
-    return spans.select(id_col, *counts, F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(everything).alias("spans"), "n_live", "n_example", "most_repositories")
+    """The counts, digest and span list of ``owned``'s rows."""
+    counts = [F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]  # noqa: B023
+    base = F.filter("spans", lambda s: s["kind"] != "live")
+    return spans.select(id_col, *counts, F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"), "n_live", "n_example", "most_repositories")
 
 
 def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None, **columns) -> DataFrame:
@@ -101,8 +105,5 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     All columns and rows stay; rows without a secret are untouched, null stays null. Where a text changes, ``length_col``
     (if given) becomes its new length.
     """
-    is_example = lambda s: F.exists("examples", lambda e: (e["start"] == s["start"]) & (e["end"] == s["end"]))
-    marked = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(is_example(s), "[example]").otherwise("[secret]").alias("mark"))
-    live = F.transform("live", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit("[secret]").alias("mark")))
-    found = owned(docs, id_col, text_col, **columns).select(id_col, "h", F.concat(F.transform("base", marked), live).alias("spans"))
-    return with_replaced(docs, found, id_col, text_col, length_col)
+    marked = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(s["live"], "[secret]").otherwise("[example]").alias("mark"))
+    return with_replaced(docs, owned(docs, id_col, text_col, **columns).select(id_col, "h", F.transform("spans", marked).alias("spans")), id_col, text_col, length_col)
