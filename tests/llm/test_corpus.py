@@ -1,6 +1,7 @@
 """Near-duplicates, mixing and benchmark leaks against brute force and SQL."""
 
 import random
+import time
 from collections import Counter, defaultdict
 
 import duckdb
@@ -207,16 +208,17 @@ def leaked(rows, items):
     found = set()
     for item, text in items:
         words = WORD.findall(text or "")
-        if len(words) < 5:
+        size = min(5, len(words))
+        if not size:
             continue
-        grams = Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
+        grams = Counter(tuple(words[i : i + size]) for i in range(len(words) - size + 1))
         for d, t in rows:
             w = WORD.findall(t or "")
-            each = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+            each = [tuple(w[i : i + size]) for i in range(len(w) - size + 1)]
             if not {*each} & {*grams}:
                 continue
             for at in range(max(1, len(w) - len(words) + 1)):
-                mine = Counter(each[at : at + len(words) - 4])
+                mine = Counter(each[at : at + len(words) - size + 1])
                 common = sum((mine & grams).values())
                 if common >= 0.8 * (sum(mine.values()) + sum(grams.values()) - common):
                     found.add((d, item))
@@ -237,7 +239,9 @@ def test_leaks(spark):
                 part[k : k + 1] = rnd.choice([[], ["new"], [part[k], "new"]])
         at = rnd.randint(0, len(words))
         rows.append((n, " ".join(words[:at] + part[rnd.choice([0, 0, 1]) : len(part) - rnd.choice([0, 0, 2])] + words[at:])))
-    rows += [(500, None), (501, ""), (502, "la " * 30), (502, "la " * 30), (None, items[3][1])]
+    rows += [(500, None), (501, ""), (502, "la " * 30), (502, "la " * 30), (None, items[3][1]), (503, "so too few words do"), (504, "few too words")]
+    long = [(i, t.split()) for i, t in items if t and len(t.split()) >= 40]
+    rows += [(600 + i, " ".join(["x"] * 9 + w[len(w) // 2 :] + w[: len(w) // 2] + ["y"] * 9)) for i, w in long]  # halves in the other order
     df = spark.createDataFrame([(*r, 1, 1, 1) for r in rows], "doc_id long, text string, length int, shingle long, item long")
     it = spark.createDataFrame([(*i, "x") for i in items], "item_id long, text string, words string")
     got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(df, it).collect()}
@@ -252,15 +256,53 @@ def test_leaks_of_the_tables(spark):
     assert got == leaked([(r.doc_id, r.text) for r in docs.collect()], [(r.item_id, r.text) for r in items.collect()])
 
 
-def test_block_index_finds_all_within_radius():
-    """32 blocks of 4 bits: two prints of 128 bits that differ in 31 places or fewer share a block."""
+def test_block_index_finds_all_within_radius(spark):
+    """Prints of 128 bits that differ in 31 places or fewer meet; of random ones fewer than a tenth do."""
     rnd = random.Random(2)
-    for _ in range(300):
-        a = rnd.getrandbits(128)
-        b = a
-        for k in rnd.sample(range(128), decontaminate.RADIUS):
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    halves = lambda x: [signed(x & (1 << 64) - 1), signed(x >> 64)]
+    rows = []
+    for i in range(200):
+        a = b = rnd.getrandbits(128)
+        for k in rnd.sample(range(128), rnd.choice([0, 3, decontaminate.RADIUS, decontaminate.RADIUS])):
             b ^= 1 << k
-        assert any((a >> 4 * i) & 15 == (b >> 4 * i) & 15 for i in range(32))
+        rows.append((i, halves(a), halves(b)))
+    df = spark.createDataFrame(rows, "i int, a array<long>, b array<long>")
+    left = df.select("i", F.explode(decontaminate.window_probes(F.col("a"))).alias("p"))
+    right = df.select(F.col("i").alias("j"), F.explode(decontaminate.item_probes(F.col("b"))).alias("p"))
+    met = {tuple(r) for r in left.join(right, "p").select("i", "j").distinct().collect()}
+    assert all((i, i) in met for i in range(200))
+    assert len(met) < 0.1 * 200 * 200 + 200
+
+
+def test_candidates_of_items_of_one_length(spark):
+    """5,000 items of one length: a window meets few of them."""
+    rnd = random.Random(3)
+    texts = [(i, " ".join(f"w{rnd.randint(0, 3000)}" for _ in range(30))) for i in range(5000)]
+    df = decontaminate._fingerprinted(spark.createDataFrame(texts, "i int, t string").select("i", decontaminate.word_hashes(F.col("t")).alias("words")), 30)
+    right = df.select(F.explode(decontaminate.item_probes(F.col("print"))).alias("p"), "i")
+    left = df.where("i < 20").select(F.explode(decontaminate.window_probes(F.col("print"))).alias("p"), F.col("i").alias("j"))
+    assert left.join(right, "p").select("i", "j").distinct().count() < 0.1 * 20 * 5000
+
+
+def test_simhash(spark):
+    rnd = random.Random(4)
+    words = [[rnd.getrandbits(63) - (1 << 62) for _ in range(n)] for n in (1, 2, 3, 30, 59)]
+    got = spark.createDataFrame([(w,) for w in words], "words array<long>").select(decontaminate.simhash(F.col("words"), 59)).collect()
+    for w, (prints,) in zip(words, got, strict=True):
+        w = w if len(w) % 2 else [*w, min(w)]
+        want = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in w) > len(w))
+        assert prints[0] & (1 << 64) - 1 == want
+
+
+def test_leaks_in_a_text_of_a_million_words(spark):
+    item = " ".join(f"q{i}" for i in range(40))
+    text = "so it goes on and on with words " * 125_000 + item
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.time()
+    got = decontaminate.leaks(df, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    assert [(r.doc_id, r.item_id, r.start, r.similarity) for r in got] == [(1, 7, 1_000_000, 1.0)]
+    assert time.time() - began < 60
 
 
 def test_words_and_counts():

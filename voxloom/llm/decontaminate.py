@@ -1,19 +1,25 @@
 """Benchmark passages in documents: SimHash windows, block index, exact check. DataFrame functions only.
 
-A window as long as a benchmark item can be similar to it only if the two share a shingle, so the windows that are
-fingerprinted are those that lay a shingle of a document over an equal shingle of some item (``windows``); all others have
-similarity 0. Every window gets a SimHash of its words, in two 64-bit halves. Items are indexed by block: 128 bits in
-``RADIUS + 1`` blocks, of which two fingerprints within ``RADIUS`` bits share one for certain, so the join on blocks finds
-every such pair. The pairs are then checked by the weighted Jaccard similarity of their shingles.
+Windows are all item-sized runs of words of a text, but for those that can't be similar enough to any item of their
+length. With n shingles in an item, a weighted Jaccard similarity of 0.8 takes 0.8 n common shingles or more, as the
+union has n at least. A window has no more common shingles with an item than places whose shingle is one of any item of
+that length. ``_starts`` therefore keeps every window that has ceil(0.8 n) such places or more; no other can reach 0.8.
+
+Every kept window gets a SimHash of its words, 128 bits. Two fingerprints within ``RADIUS`` bits differ by three bits or
+fewer in one of 8 blocks of 16 bits, as 8 x 4 - 1 = 31. Blocks are looked up with up to two bits turned on the item's side
+and one on the window's, which finds every such pair; of random pairs about one in twelve meet. Pairs are then checked by
+the exact weighted Jaccard similarity of their shingles.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxloom.llm.spans import let, small
 from voxloom.scratch import saved
 
 SHINGLE = 5
@@ -21,85 +27,173 @@ SIMILARITY = 0.8
 HALVES = 2
 #: Words that differ between texts of similarity 0.8 turn about 17 of 128 bits at most, with a deviation of 4.
 RADIUS = 31
-#: Shingles of the items that one pass over the documents broadcasts; with more items, there are more passes.
-SHINGLES_AT_ONCE = 500_000
+BLOCK_BITS = 16
+#: Shingles of the items that are broadcast; more are looked up by a join that shuffles.
+BROADCAST_SHINGLES = 500_000
 GAP = r"[\x20\x09-\x0D]+"
 
 
-def words(text: Column) -> Column:
-    return F.filter(F.split(F.coalesce(text, F.lit("")), GAP), lambda w: w != "")
+def word_hashes(text: Column) -> Column:
+    """A hash of each word of a text."""
+    return F.transform(F.array_remove(F.split(F.coalesce(text, F.lit("")), GAP), ""), lambda w: F.xxhash64(w))
 
 
-def shingles(words: Column) -> Column:
-    """A hash for each run of five words."""
-    n = F.size(words) - SHINGLE + 1
-    one = lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(SHINGLE)])
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), one)).otherwise(F.array().cast("array<bigint>"))
+def shingles(words: Column, size: int = SHINGLE) -> Column:
+    """A hash for each run of ``size`` words."""
+    one = lambda v, i: F.xxhash64(*[F.get(v, i + k) for k in range(size)])
+    rolled = let(words, lambda v: F.when(F.size(v) >= size, F.transform(F.sequence(F.lit(0), F.size(v) - size), lambda i: one(v, i))))
+    return F.coalesce(rolled, F.array().cast("array<bigint>"))
 
 
-def simhash(words: Column) -> Column:
-    """Two longs; bit b is the sign of the words' votes by bit b of their hashes. A repeated word votes again."""
+def numbered(hashes: Column) -> Column:
+    """Distinct hashes: the second, third and so on of equal ones count as others, so that sets stand for multisets."""
+    nth = lambda s: F.transform(s, lambda x, k: F.xxhash64(x, k + 1 - F.array_position(s, x)))
+    return let(hashes, lambda v: F.when(F.size(F.array_distinct(v)) == F.size(v), F.transform(v, lambda x: F.xxhash64(x, F.lit(0).cast("long")))).otherwise(let(F.array_sort(v), nth)))
 
-    def half(seed: int) -> Column:
-        hashes = F.transform(words, lambda w: F.xxhash64(F.lit(seed), w))
-        votes = lambda b: F.aggregate(hashes, F.lit(0), lambda acc, h: acc + F.when(F.getbit(h, b) == 1, 1).otherwise(-1))
-        bits = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda b: F.when(votes(b) > 0, F.expr("1L")).otherwise(F.expr("0L")))
-        return F.aggregate(bits, F.lit(0).cast("long"), lambda acc, bit: F.shiftleft(acc, 1).bitwiseOR(bit))
 
-    return F.array(*[half(s) for s in range(HALVES)])
+def simhash(words: Column, most: int) -> Column:
+    """Two longs; a bit is set if more than half of the words' hashes have it. A repeated word votes again; among an even
+    number of words the one with the least hash does, so that there are no ties, which would favour one value.
 
+    ``most`` is the largest number of words. The votes of 64 bits are counted at once, in binary: long j of the counters
+    holds digit j of all 64 counts.
+    """
+    digits = (most + 1).bit_length()
+    zero = F.lit(0).cast("long")
+
+    def counted(votes: Column, half: int) -> Column:
+        def add(acc: Column, word: Column) -> Column:
+            carry, out = (word if half == 0 else F.xxhash64(word, F.lit(half))), []
+            for j in range(digits):
+                out.append(acc[f"d{j}"].bitwiseXOR(carry).alias(f"d{j}"))
+                carry = acc[f"d{j}"].bitwiseAND(carry)
+            return F.struct(*out)
+
+        return F.aggregate(votes, F.struct(*[zero.alias(f"d{j}") for j in range(digits)]), add)
+
+    def majority(c: Column, half_of: Column) -> Column:
+        """Where the count reaches half_of + 1, digit by digit from the highest."""
+        above, equal = zero, F.lit(-1).cast("long")
+        for j in reversed(range(digits)):
+            need = -F.shiftright(half_of + 1, j).bitwiseAND(F.lit(1)).cast("long")
+            above = above.bitwiseOR(equal.bitwiseAND(c[f"d{j}"]).bitwiseAND(F.bitwise_not(need)))
+            equal = equal.bitwiseAND(F.bitwise_not(c[f"d{j}"].bitwiseXOR(need)))
+        return above.bitwiseOR(equal)
 
-def blocks(fingerprint: Column) -> Column:
-    """(number, bits) of RADIUS + 1 blocks of 4 bits: together all 128."""
-    width = 64 * HALVES // (RADIUS + 1)
-    each = 64 // width
-    return F.array(*[F.struct(F.lit(i).alias("number"), F.shiftrightunsigned(F.get(fingerprint, F.lit(i // each)), (i % each) * width).bitwiseAND(F.lit((1 << width) - 1)).cast("int").alias("bits")) for i in range(RADIUS + 1)])
+    half_of = lambda v: F.floor(F.size(v) / 2).cast("int")
+    votes = F.when(F.size(words) % 2 == 0, F.concat(words, F.array(F.array_min(words)))).otherwise(words)
+    return let(votes, lambda v: F.array(*[let(counted(v, h), lambda c: majority(c, half_of(v))) for h in range(HALVES)]))
 
 
-def _similarity(a: Column, b: Column) -> Column:
-    """Weighted Jaccard of two arrays of hashes, each hash weighing as often as it is there."""
-    count = lambda xs, x: F.size(F.filter(xs, lambda y: y == x))
-    common = F.aggregate(F.array_intersect(a, b), F.lit(0), lambda acc, x: acc + F.least(count(a, x), count(b, x)))
-    return common / (F.size(a) + F.size(b) - common)
+def _shifted(x: Column, by: Column) -> Column:
+    return F.call_function("shiftrightunsigned", x, by)
 
 
-def indexed(items: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """Items of five words or more, with length, shingles and fingerprint."""
-    split = items.select(F.col(item_col).alias("item"), words(F.col(text_col)).alias("words")).where(F.size("words") >= SHINGLE)
-    return split.select("item", F.size("words").alias("length"), shingles(F.col("words")).alias("item_shingles"), simhash(F.col("words")).alias("item_print"))
+def _probes(fingerprint: Column, turns: list[tuple[int, int]]) -> Column:
+    """A number for each block, tier and content: all blocks with each choice of n bits turned, (tier, n) of ``turns``."""
+    each = 64 // BLOCK_BITS
+    block = lambda i: _shifted(F.get(fingerprint, F.floor(i / each).cast("int")), i % each * BLOCK_BITS).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)).cast("int")
+    masks = F.array(*[F.lit(tier << BLOCK_BITS | sum(1 << b for b in some)) for tier, n in turns for some in combinations(range(BLOCK_BITS), n)])
+    bases = F.transform(F.sequence(F.lit(0), F.lit(64 * HALVES // BLOCK_BITS - 1)), lambda i: i * F.lit(2 << BLOCK_BITS) + block(i))
+    return F.flatten(F.transform(bases, lambda b: F.transform(masks, lambda m: b.bitwiseXOR(m))))
 
 
-def windows(docs: DataFrame, items: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, start, length, words) of each window that lays a shingle of a text over an equal one of an item."""
-    offsets = items.select("length", F.posexplode("item_shingles").alias("offset", "shingle")).distinct()
-    total = offsets.count()
-    passes = max(1, -(-total // SHINGLES_AT_ONCE))
-    split = docs.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("words"))
-    rolled = split.select("id", "words", F.posexplode(shingles(F.col("words"))).alias("at", "shingle"))
+def window_probes(fingerprint: Column) -> Column:
+    return _probes(fingerprint, [(0, 0), (1, 1)])
 
-    def one(part: int) -> DataFrame:
-        some = offsets if passes == 1 else offsets.where(F.pmod(F.xxhash64("shingle"), F.lit(passes)) == part)
-        start = F.col("at") - F.col("offset")
-        hits = rolled.join(F.broadcast(some), "shingle").select("id", "words", "length", F.greatest(F.lit(0), F.least(start, F.size("words") - F.col("length"))).alias("start"))
-        return hits.select("id", "start", "length", F.slice("words", F.col("start") + 1, F.col("length")).alias("words"))
 
-    return reduce(DataFrame.unionByName, [one(k) for k in range(passes)]).distinct()
+def item_probes(fingerprint: Column) -> Column:
+    """Tier 0 meets blocks that differ by up to two bits; tier 1, with a bit turned on the other side, by three."""
+    return _probes(fingerprint, [(0, 0), (0, 1), (0, 2), (1, 2)])
+
+
+def _starts(places: Column, length: Column, n_words: Column) -> Column:
+    """The starts of all windows with ceil(0.8 n) of ``places`` or more, n = length - 4; a text shorter than that is one.
+
+    For each run of so many places the windows that cover it and don't reach back to the place before are a range.
+    """
+    n = length - (SHINGLE - 1)
+    need = F.ceil(n * SIMILARITY - 1e-9).cast("int")
+
+    def window_starts(p: Column) -> Column:
+        def covering(i: Column) -> Column:
+            low = F.greatest(F.get(p, i + need - 1) - n + 1, F.when(i > 0, F.get(p, i - 1) + 1).otherwise(F.lit(-(1 << 30))), -n)
+            return F.when(low <= F.get(p, i), F.sequence(low, F.get(p, i))).otherwise(F.array().cast("array<int>"))
+
+        ranges = F.transform(F.sequence(F.lit(0), F.size(p) - need), covering)
+        return F.array_distinct(F.transform(F.flatten(ranges), lambda s: F.greatest(F.least(s, n_words - length), F.lit(0))))
+
+    return let(F.array_sort(places), lambda p: F.when(F.size(p) >= need, window_starts(p)).otherwise(F.array().cast("array<int>")))
+
+
+def _fingerprinted(df: DataFrame, most: int) -> DataFrame:
+    """Replaces ``words`` by their numbered shingles and fingerprint."""
+    return df.withColumns({"shingles": numbered(shingles(F.col("words"))), "print": simhash(F.col("words"), most)}).drop("words")
+
+
+def windows(rows: DataFrame, items: DataFrame, most: int) -> DataFrame:
+    """(id, h, length, start, shingles, print) of the windows of ``rows`` (id, h, text) that may be similar to an item."""
+    known = saved(items.select("length", F.explode(shingles(F.col("words"))).alias("shingle")).distinct().groupBy("shingle").agg(F.collect_set("length").alias("lengths")), "shingles")
+    split = rows.select("id", "h", word_hashes(F.col("text")).alias("words")).withColumn("n_words", F.size("words"))
+    rolled = split.select("id", "h", "n_words", F.posexplode(shingles(F.col("words"))).alias("at", "shingle"))  # without the text or its words
+    hits = rolled.join(F.broadcast(known) if known.count() <= BROADCAST_SHINGLES else known, "shingle").select("id", "h", "n_words", "at", F.explode("lengths").alias("length"))
+    found = hits.groupBy("id", "h", "n_words", "length").agg(F.collect_set("at").alias("places")).select("id", "h", "length", _starts(F.col("places"), F.col("length"), F.col("n_words")).alias("starts"))
+    found = small(saved(found.where(F.size("starts") > 0), "starts"))
+    same = F.col("r.id").eqNullSafe(F.col("f.id")) & (F.col("r.h") == F.col("f.h"))
+    texts = rows.alias("r").join(small(found.select("id", "h").distinct()).alias("f"), same, "left_semi").dropDuplicates(["id", "h"]).select("id", "h", word_hashes(F.col("text")).alias("words"))
+    at = texts.alias("r").join(found.alias("f"), same).select("r.id", "r.h", "f.length", "r.words", "f.starts")
+    cut = F.transform("starts", lambda s: F.struct(s.alias("start"), F.slice("words", s + 1, F.col("length")).alias("words")))
+    return _fingerprinted(at.select("id", "h", "length", F.explode(cut).alias("w")).select("id", "h", "length", "w.start", "w.words"), most)
+
+
+def short_matches(rows: DataFrame, items: DataFrame) -> DataFrame:
+    """(id, h, item, start, similarity): items of fewer than five words, which are one shingle, wherever they stand."""
+    short = saved(items.where(F.size("words") < SHINGLE).select("item", "length", F.xxhash64("length", "words").alias("key")), "short")
+    lengths = [r.length for r in short.select("length").distinct().orderBy("length").collect()]  # 1 to 4
+    cut = lambda n: lambda i: F.struct(i.alias("start"), F.xxhash64(F.lit(n), F.slice("words", i + 1, n)).alias("key"))
+    rows = rows.select("id", "h", word_hashes(F.col("text")).alias("words"))
+    runs = [F.transform(F.sequence(F.lit(0), F.size("words") - n), cut(n)) for n in lengths]
+    runs = [F.when(F.size("words") >= n, r) for n, r in zip(lengths, runs, strict=True)]
+    each = [rows.select("id", "h", F.explode(r).alias("w")).select("id", "h", "w.start", "w.key").join(small(short), "key").select("id", "h", "item", "start", F.lit(1.0).alias("similarity")) for r in runs]
+    return reduce(DataFrame.unionByName, each) if each else rows.select("id", "h", F.lit(None).cast(items.schema["item"].dataType).alias("item"), F.lit(0).alias("start"), F.lit(1.0).alias("similarity")).where("false")
+
+
+def text_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """(id, h, item, start, similarity): the best window of each text (h: its hash) and item."""
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"), F.col(text_col).alias("text"))
+    split = benchmark.select(F.col(item_col).alias("item"), word_hashes(F.col(item_text_col)).alias("words"))
+    items = saved(split.withColumn("length", F.size("words")).where("length > 0"), "items")
+    most = items.agg(F.max("length")).first()[0] or 1
+    full = items.where(F.col("length") >= SHINGLE)
+    index = saved(_fingerprinted(full, most), "index")
+    prints = saved(windows(rows, full, most), "windows")
+    left = prints.select("id", "h", "start", "length", "print", F.explode(window_probes(F.col("print"))).alias("probe"))
+    right = index.select("item", "length", F.col("print").alias("item_print"), F.explode(item_probes(F.col("print"))).alias("probe"))
+    differ = [F.get("print", F.lit(h)).bitwiseXOR(F.get("item_print", F.lit(h))) for h in range(HALVES)]
+    met = left.join(right, ["length", "probe"]).where(sum((F.bit_count(d) for d in differ[1:]), F.bit_count(differ[0])) <= RADIUS)
+    number, each = F.shiftright("probe", BLOCK_BITS + 1), 64 // BLOCK_BITS
+    in_block = F.bit_count(_shifted(F.when(number < each, differ[0]).otherwise(differ[1]), number % each * BLOCK_BITS).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)))
+    once = met.where((F.getbit("probe", F.lit(BLOCK_BITS)) == 0) | (in_block == 3))  # tier 1 repeats what tier 0 finds
+    close = once.select("id", "h", "start", "length", "item").distinct()
+    same = F.col("c.id").eqNullSafe(F.col("w.id")) & (F.col("c.h") == F.col("w.h")) & (F.col("c.start") == F.col("w.start")) & (F.col("c.length") == F.col("w.length"))
+    pairs = close.alias("c").join(prints.alias("w"), same).select("c.id", "c.h", "c.start", "c.item", "w.shingles").join(index.select("item", F.col("shingles").alias("item_shingles")), "item")
+    common = F.size(F.array_intersect("shingles", "item_shingles"))
+    scored = pairs.select("id", "h", "item", "start", (common / (F.size("shingles") + F.size("item_shingles") - common)).alias("similarity")).where(F.col("similarity") >= SIMILARITY)
+    return _best(scored.unionByName(short_matches(rows, items)), ["id", "h", "item"])
+
+
+def _best(scored: DataFrame, keys: list[str]) -> DataFrame:
+    return scored.groupBy(*keys).agg(F.max_by("start", F.struct("similarity", -F.col("start"))).alias("start"), F.max("similarity").alias("similarity"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(id_col, item_col, start, similarity): for each document and item, the best window of similarity 0.8 or more.
 
-    ``start`` counts words; of equally good windows the first counts. Items of fewer than five words have no shingle and
-    match nothing; null and empty texts have no windows, and a text shorter than an item is one window as a whole. Rows
-    with a null id are reported under null; repeated rows once. Texts of any length are searched whole.
+    ``start`` counts words; of equally good windows the first counts. An item of one to four words is one shingle and
+    matches where its words stand in a row. Null and empty texts and items have no windows, and a text shorter than an
+    item is one window as a whole. Rows with a null id are reported under null; repeated rows, and texts that share an id,
+    once. Items are expected to have ids of their own. Texts of any length are searched whole. Empty tables give empty
+    results; other columns, whatever their names, don't matter.
     """
-    index = saved(indexed(benchmark, item_col, item_text_col), "items")
-    cut = saved(windows(docs, index, id_col, text_col), "windows")
-    prints = saved(cut.select("id", "start", "length", shingles(F.col("words")).alias("shingles"), simhash(F.col("words")).alias("print")), "prints")
-    left = prints.select("id", "start", "length", "print", "shingles", F.explode(blocks(F.col("print"))).alias("block"))
-    right = index.select("item", "length", "item_print", "item_shingles", F.explode(blocks(F.col("item_print"))).alias("block"))
-    distance = reduce(lambda a, b: a + b, [F.bit_count(F.get("print", F.lit(h)).bitwiseXOR(F.get("item_print", F.lit(h)))) for h in range(HALVES)])
-    close = left.join(right, ["length", "block"]).where(distance <= RADIUS).select("id", "start", "length", "shingles", "item", "item_shingles").distinct()
-    scored = close.withColumn("similarity", _similarity(F.col("shingles"), F.col("item_shingles"))).where(F.col("similarity") >= SIMILARITY)
-    best = scored.groupBy("id", "item").agg(F.max_by(F.col("start"), F.struct("similarity", -F.col("start"))).alias("start"), F.max("similarity").alias("similarity"))
-    return best.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "start", "similarity")
+    found = _best(text_leaks(docs, benchmark, id_col, text_col, item_col, item_text_col), ["id", "item"])
+    return found.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "start", "similarity")
