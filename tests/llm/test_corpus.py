@@ -151,7 +151,8 @@ def mix(rows):
     size = lambda t: len(WORD.findall(t or ""))
     by = defaultdict(list)
     for d, t, s in rows:
-        by[s].append((hashlib.md5(("" if d is None else str(d)).encode()).hexdigest(), d is not None, d or 0, size(t)))
+        key = ("" if d is None else str(d)) + "|" + hashlib.md5((t or "").encode()).hexdigest()
+        by[s].append((hashlib.md5(key.encode()).hexdigest(), d is not None, d or 0, size(t)))
     names = sorted((s for s in by if s is not None), key=lambda s: s.encode()) + [None] * (None in by)
     sizes = {s: sum(r[3] for r in by[s]) for s in names}
     weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}

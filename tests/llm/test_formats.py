@@ -105,6 +105,38 @@ def test_chat_round_trip(spark, budget, history):
     assert sum(r.formatted_chars for r in got) == sum(len(w.text) for w in windows)
 
 
+def test_ten_thousand_turns(spark):
+    """One conversation: every window is filled, as a loop over all turns fills it."""
+    turns = [(1, i, "system" if i == 0 else "user" if i % 2 else "assistant", "w " * (i * 7 % 23)) for i in range(10_000)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    windows = sorted(chat.formatted(df, 1024, 512).collect(), key=lambda w: w.window)
+    tokens = [len(t.split()) + chat.MARKS for *_, t in turns]
+    at, shown = 0, []
+    while at < len(turns):
+        spent, back = (tokens[0] if at else 0), []
+        for k in range(at - 1, 0, -1):
+            if sum(tokens[b] for b in back) + tokens[k] > min(512, 1024 - spent - tokens[at]):
+                break
+            back.insert(0, k)
+        spent += sum(tokens[b] for b in back)
+        end = at
+        while end < len(turns) and (end == at or spent + tokens[end] <= 1024):
+            spent += tokens[end]
+            end += 1
+        shown.append(([0] if at else []) + back + list(range(at, end)))
+        at = end
+    assert [[(r, t) for r, t in chat.parsed(w.text)] for w in windows] == [[turns[k][2:] for k in ks] for ks in shown]
+    assert max(len(ks) for ks in shown) > 64
+    assert Counter(tuple(r)[:5] for r in chat.round_trip(df, 1024, 512).collect()) == Counter(expected(turns))
+
+
+def test_chat_sql(spark):
+    import duckdb
+
+    want = duckdb.sql(chat.SQL.replace("FROM conversations", f"FROM '{SF}/conversations.parquet'")).fetchall()
+    assert Counter(tuple(r) for r in queries.op8_chat(spark, SF).collect()) == Counter(want)
+
+
 def test_chat_query(spark):
     got = queries.op8_chat(spark, SF).collect()
     rows = [(r.conv_id, r.turn, r.role, r.text) for r in spark.read.parquet(f"{SF}/conversations.parquet").collect()]

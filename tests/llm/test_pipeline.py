@@ -3,7 +3,6 @@
 from collections import Counter
 
 import corpus_pipeline
-from pyspark.sql import functions as F
 
 from tests.conftest import SF as SMALL
 from tests.llm.plain import ODD, secret
@@ -47,8 +46,22 @@ def test_stages_on_odd_rows(spark):
             assert at.columns == docs.columns and at.count() > 0
         if name == "near_duplicates":
             ids = Counter(r.doc_id for r in at.collect())
-            assert all(n == 1 for d, n in ids.items() if d is not None)
-            assert at.where("doc_id is null").count() == 2
+            assert ids[40] == 2 and all(n == 1 for d, n in ids.items() if d not in (None, 40))
+            assert at.where("doc_id is null").count() == 1  # the other one's text is null like that of document 1
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), SF).count() == 0
-    assert spark.createDataFrame([(1,)], "a int").select(F.col("a")).count() == 1
+
+
+def test_repeated_and_null_ids(spark):
+    """A third of all rows share an id, others have none: copies and leaks go, all other texts stay."""
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    rows = [(7, text(k)) for k in range(20)] + [(7, text(3)), (7, text(3)), (8, text(4)), (None, text(5)), (None, text(100)), (None, text(100) + " more"), (None, item), (9, text(101)), (9, item)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t), k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, h int")
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
+    assert kept.columns == docs.columns
+    got = Counter((r.doc_id, r.text) for r in kept.collect())
+    assert sum(got.values()) == 20 + 1 + 1 + 1 and got[(7, text(3))] == 1 and (8, text(4)) not in got
+    assert sum(d is None for d, _ in got.elements()) == 1 and (9, item) in got
+    clean = Counter((r.doc_id, r.text) for r in corpus_pipeline.drop_benchmark_leaks(spark, docs, SF).collect())
+    assert clean == Counter(r for r in rows if r[1] != item)

@@ -74,7 +74,7 @@ def test_quality_rules(docs, labels):
     assert Counter(tuple(r)[:7] for r in got) == Counter((r.doc_id, *base(r.text)) for r in docs.collect())
     # The verdict, by counting buckets one by one.
     trusted = {r.doc_id for r in labels.where("quality = 1 and doc_id is not null").collect()}
-    raw, target, each = np.ones(quality.BUCKETS), np.zeros(quality.BUCKETS), []
+    raw, target, each = np.zeros(quality.BUCKETS), np.zeros(quality.BUCKETS), []
     for r in docs.collect():
         texts = Texts(pa.array([r.text or ""]))
         words = texts.words()
@@ -83,12 +83,21 @@ def test_quality_rules(docs, labels):
         if r.doc_id in trusted:
             np.add.at(target, keys, 1)
         each.append((r.doc_id, base(r.text)[5], keys))
-    share = raw / raw.sum()
-    ratio = np.log((target + quality.PRIOR * share) / (target.sum() + quality.PRIOR) / share)
+    share, a = np.maximum(raw, 1) / raw.sum(), quality.PRIOR_SHARE
+    ratio = np.log((target / target.sum() + a * share) / (1 + a) / share)
     want = Counter((i, not failed and (ratio[k].mean() if len(k) else 0) >= quality.THRESHOLD) for i, failed, k in each)
     assert Counter((r.doc_id, r.kept) for r in got) == want
 
 
+def test_quality_of_a_doubled_corpus(spark, docs, labels):
+    """The same texts twice: nothing changes."""
+    more = docs.union(docs.withColumn("doc_id", F.col("doc_id") + 1_000_000))
+    twice = labels.union(labels.withColumn("doc_id", F.col("doc_id") + 1_000_000))
+    once = Counter((r.doc_id, round(r.score, 9), r.kept) for r in quality.judged(docs, labels).collect())
+    got = Counter((r.doc_id, round(r.score, 9), r.kept) for r in quality.judged(more, twice).collect() if r.doc_id is None or r.doc_id < 1_000_000)
+    assert all(got[k] >= n for k, n in once.items())
+
+
 def test_quality_verdict_follows_labels(spark):
     sf = SF.replace("0.001", "0.1")
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
@@ -124,6 +133,30 @@ def test_toxicity_of_odd_rows(docs, labels):
     assert all(r.held_out == (r.doc_id is None or zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
 
 
+def test_risk_and_gradient():
+    """One step of the fit moves along the gradient of the risk, taken numerically; also where the clean part is negative."""
+    rng = np.random.default_rng(0)
+    x = {k: rng.random((n, 4)) < 0.4 for k, n in (("p", 30), ("u", 40))}
+    side = lambda a: toxicity.Sparse(*np.nonzero(a), len(a))
+    for prior, weight in ((0.2, np.zeros(4)), (0.45, np.array([3.0, 2.0, 2.0, 3.0]))):
+        clean, grad, slope = toxicity.risk_gradient(side(x["p"]), side(x["u"]), weight, 0.3, prior, np.ones(30, bool), np.ones(40, bool))
+
+        def parts(w, b):
+            gp, gu = x["p"] @ w + b, x["u"] @ w + b
+            loss = lambda g, y: np.log1p(np.exp(-y * g)).mean()
+            return prior * loss(gp, 1), loss(gu, -1) - prior * loss(gp, -1)
+
+        def target(w, b):
+            toxic, rest = parts(w, b)
+            return toxic + rest if clean >= 0 else -rest
+
+        assert abs(clean - parts(weight, 0.3)[1]) < 1e-12
+        step = 1e-6
+        numeric = [(target(weight + step * e, 0.3) - target(weight - step * e, 0.3)) / (2 * step) for e in np.eye(4)]
+        assert np.allclose(grad, numeric, atol=1e-7)
+        assert abs(slope - (target(weight, 0.3 + step) - target(weight, 0.3 - step)) / (2 * step)) < 1e-7
+
+
 def test_risk_is_corrected_when_negative():
     """With the prior set too high the plain estimate would go below zero; training still ends with finite weights."""
     p = toxicity.Sparse(np.arange(100), np.zeros(100, int), 100)

@@ -15,11 +15,12 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
+from itertools import groupby
 
-import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxloom.scratch import saved
@@ -29,13 +30,11 @@ OPEN, CLOSE = "<|turn|>", "<|end|>\n"
 CONTROL = re.compile(r"(<)(\\*)(\||/?s>|</?SYS>>|/?unk>|/?pad>|start_of_turn>|end_of_turn>)|(\[)(\\*)(/?INST\])")
 ESCAPED = re.compile(r"(<)\\(\\*)(\||/?s>|</?SYS>>|/?unk>|/?pad>|start_of_turn>|end_of_turn>)|(\[)\\(\\*)(/?INST\])")
 TURN = re.compile(r"<\|turn\|>([^\n]*)\n(.*?)<\|end\|>\n", re.DOTALL)
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
+WORD = r"[^\x20\x09-\x0D]+"
 
 BUDGET, HISTORY = 1024, 256
 #: Tokens of a turn's marks and role.
 MARKS = 4
-#: Turns whose prefix sums are held at a time; a longer conversation goes on in the next block.
-BLOCK_TURNS = 4096
 BATCH_CHARS = 4 << 20
 
 
@@ -59,60 +58,65 @@ def parsed(window: str) -> list[tuple[str, str]]:
     return [(plain_role(m[1]), unescaped(m[2])) for m in TURN.finditer(window)]
 
 
-def laid_out(turns: list[tuple[str, str]], system: tuple[str, str] | None, before: list[tuple[str, str]], budget: int, history: int) -> Iterator[tuple[str, int, list[tuple[int, int]]]]:
-    """(window, repeated turns, loss spans) over some turns of a conversation.
+@dataclass
+class Turn:
+    role: str
+    text: str
+    #: tokens, marks included, and the prefix sum of tokens over the conversation up to this turn
+    tokens: int
+    total: int
 
-    ``system`` is repeated in every window unless it is the first of ``turns`` itself; ``before`` are turns that came
-    earlier, to be repeated as history.
+
+def laid_out(turns: Iterable[Turn], budget: int, history: int) -> Iterator[tuple[str, int, list[tuple[int, int]]]]:
+    """(window, repeated turns, loss spans) of a conversation.
+
+    A window takes new turns as long as the prefix sums say that they fit. The turns come as a stream; what is held is a
+    window, and the turns before it that a history can reach.
     """
-    cost = np.array([len(WORD.findall(t)) + MARKS for _, t in turns], np.int64)
-    past = list(before)
-    opening = len(WORD.findall(system[1])) + MARKS if system else 0
-    sums = np.concatenate([[0], np.cumsum(cost)])
-    at = 0
-    while at < len(turns):
-        shown = [system] if system and not (at == 0 and not before) else []
-        spent = opening if shown else 0
-        back: list[tuple[str, str]] = []
-        for role, text in reversed(past):
-            n = len(WORD.findall(text)) + MARKS
-            if spent + n > min(budget, opening + history):
-                break
-            back.insert(0, (role, text))
-            spent += n
-        repeated = shown + back
-        # History gives way where a new turn would not fit beside it.
-        while back and spent + cost[at] > budget:
-            spent -= len(WORD.findall(back[0][1])) + MARKS
-            back.pop(0)
-            repeated = shown + back
-        end = max(at + 1, int(np.searchsorted(sums, sums[at] + budget - spent, side="right")) - 1)
-        out, place, loss = [], 0, []
-        for k, (role, text) in enumerate(repeated + turns[at:end]):
-            piece, begin = turn_text(role, text)
-            if k >= len(repeated) and role == "assistant":
-                loss.append((place + begin, place + len(piece) - len(CLOSE)))
-            out.append(piece)
-            place += len(piece)
-        yield "".join(out), len(repeated), loss
-        past = (past + turns[at:end])[-64:]
-        if system and past and past[0] is system:
-            past = past[1:]
-        at = end
-
-
-def _grouped(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[object, list[tuple]]]:
-    """(conversation, rows) from rows that come sorted by conversation; a long one comes in blocks."""
-    key, held, started = None, [], False
-    for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
-            if started and (row[0] != key or len(held) >= BLOCK_TURNS):
-                yield key, held
-                held = []
-            key, started = row[0], True
-            held.append(row[1:])
-    if started:
-        yield key, held
+    system: Turn | None = None
+    past: list[Turn] = []
+    repeated: list[Turn] = []
+    new: list[Turn] = []
+    room = 0
+    for turn in turns:
+        if not new and not past and turn.role == "system":
+            system = turn
+        if new and turn.total - new[0].total + new[0].tokens > room:
+            yield _window(repeated, new)
+            past = (past + [t for t in new if t is not system])[-(history // MARKS + 1) :]
+            new = []
+        if not new:
+            opening = [system] if system and turn is not system else []
+            spent = sum(t.tokens for t in opening)
+            most = min(history, budget - spent - turn.tokens)  # history gives way where the new turn would not fit beside it
+            back: list[Turn] = []
+            for t in reversed(past):
+                if t.tokens > most:
+                    break
+                back.append(t)
+                most -= t.tokens
+            repeated = opening + back[::-1]
+            room = budget - sum(t.tokens for t in repeated)
+        new.append(turn)
+    if new:
+        yield _window(repeated, new)
+
+
+def _window(repeated: list[Turn], new: list[Turn]) -> tuple[str, int, list[tuple[int, int]]]:
+    out, place, loss = [], 0, []
+    for k, turn in enumerate(repeated + new):
+        piece, begin = turn_text(turn.role, turn.text)
+        if k >= len(repeated) and turn.role == "assistant":
+            loss.append((place + begin, place + len(piece) - len(CLOSE)))
+        out.append(piece)
+        place += len(piece)
+    return "".join(out), len(repeated), loss
+
+
+def _conversations(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[object, Iterator[tuple]]]:
+    """(conversation, its rows as a stream) from rows that come sorted by conversation."""
+    rows = (row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in columns), strict=True))
+    return groupby(rows, key=lambda row: row[0])
 
 
 def _batches(rows: Iterator[tuple], schema: pa.Schema, size: Callable[[tuple], int]) -> Iterator[pa.RecordBatch]:
@@ -135,26 +139,24 @@ def formatted(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) ->
     """The windows (conv_id, window, text, n_repeated, loss) of all conversations of ``turns`` (conv_id, turn, role, text).
 
     Turns go by ``turn``, null first; ties by role, then text. Null roles and texts are empty. Rows with a null conv_id are
-    one conversation; repeated rows are turns of their own. Rows are sorted in Spark and streamed through the formatter,
-    so that the longest conversation doesn't have to fit into memory.
+    one conversation; repeated rows are turns of their own. Tokens are counted and summed up in Spark; rows are sorted
+    there and streamed through the formatter, so that the longest conversation doesn't have to fit into memory. A turn of
+    any length is laid out whole. Empty tables give empty results; other columns, whatever their names, don't matter.
     """
 
     def layout(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def windows() -> Iterator[tuple]:
-            last, number, system, past = object(), 0, None, []
-            for conv, rows in _grouped(batches, ["conv_id", "role", "text"]):
-                if conv != last:
-                    last, number, past = conv, 0, []
-                    system = rows[0] if rows[0][0] == "system" else None
-                for text, repeated, loss in laid_out(rows, system, past, budget, history):
-                    yield conv, number, text, repeated, [{"start": s, "end": e} for s, e in loss]
-                    number += 1
-                past = (past + rows)[-64:]
+            for conv, rows in _conversations(batches, ["conv_id", "role", "text", "tokens", "total"]):
+                for k, (text, repeated, loss) in enumerate(laid_out((Turn(*r[1:]) for r in rows), budget, history)):
+                    yield conv, k, text, repeated, [{"start": s, "end": e} for s, e in loss]
 
         yield from _batches(windows(), WINDOWS, lambda row: len(row[2]))
 
     rows = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    counted = rows.withColumn("tokens", F.regexp_count("text", F.lit(WORD)).cast("long") + MARKS)
+    order = ["turn", "role", "text"]
+    summed = counted.withColumn("total", F.sum("tokens").over(Window.partitionBy("conv_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    ordered = summed.sortWithinPartitions("conv_id", *order)
     return ordered.mapInArrow(layout, "conv_id long, window long, text string, n_repeated long, loss array<struct<start:long,end:long>>")
 
 
@@ -163,26 +165,18 @@ def read_back(windows: DataFrame) -> DataFrame:
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def conversations() -> Iterator[tuple]:
-            last, state = object(), None
-            for conv, rows in _grouped(batches, ["conv_id", "text", "n_repeated", "loss"]):
-                if conv != last or state is None:
-                    if state:
-                        yield (last, *finished(state))
-                    last, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                for text, repeated, loss in rows:
-                    state[4] += len(text)
-                    for role, said in parsed(text)[repeated:]:
-                        state[0] += 1
-                        state[1].update(f"{role}\n{said}\n".encode())
+            for conv, rows in _conversations(batches, ["conv_id", "text", "n_repeated", "loss"]):
+                n_turns, said, chars, loss_chars, targets = 0, hashlib.sha256(), 0, 0, hashlib.sha256()
+                for _, text, repeated, loss in rows:
+                    chars += len(text)
+                    for role, words in parsed(text)[repeated:]:
+                        n_turns += 1
+                        said.update(f"{role}\n{words}\n".encode())
                     for s in loss:
                         target = unescaped(text[s["start"] : s["end"]])
-                        state[2] += len(target)
-                        state[3].update(target.encode())
-            if state:
-                yield (last, *finished(state))
-
-        def finished(state: list) -> tuple:
-            return state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4]
+                        loss_chars += len(target)
+                        targets.update(target.encode())
+                yield conv, n_turns, said.hexdigest(), loss_chars, targets.hexdigest(), chars
 
         yield from _batches(conversations(), DIGESTS, lambda row: 0)
 
@@ -193,3 +187,33 @@ def read_back(windows: DataFrame) -> DataFrame:
 def round_trip(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
     """Formats ``turns``, writes the windows, and reads the digests back from what was written."""
     return read_back(saved(formatted(turns, budget, history), "windows"))
+
+
+#: The same rows in DuckDB's SQL. n_turns to loss_sha256 come from the table; formatted_chars lays the windows out by
+#: recursion over their first turns.
+SQL = r"""
+WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+      UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+n AS (SELECT *, replace(replace(role, '\', '\\'), chr(10), '\n') AS named FROM c),
+t AS (SELECT *, row_number() OVER w AS i, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) + 4 AS tokens,
+             17 + len(text) + len(named) + len(regexp_extract_all(text, '<\\*(?:\||/?s>|</?SYS>>|/?unk>|/?pad>|start_of_turn>|end_of_turn>)|\[\\*/?INST\]'))
+             + len(regexp_extract_all(named, '<\\*(?:\||/?s>|</?SYS>>|/?unk>|/?pad>|start_of_turn>|end_of_turn>)|\[\\*/?INST\]')) AS chars
+      FROM n WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+p AS (SELECT *, sum(tokens) OVER (PARTITION BY conv_id ORDER BY i)::BIGINT AS total, sum(chars) OVER (PARTITION BY conv_id ORDER BY i)::BIGINT AS sized FROM t),
+s AS (SELECT conv_id, tokens AS s_tokens, chars AS s_chars FROM p WHERE i = 1 AND role = 'system'),
+r AS (SELECT conv_id, 1::BIGINT AS first, 0::BIGINT AS chars FROM p WHERE i = 1
+      UNION ALL
+      SELECT r.conv_id, n.last + 1, r.chars + n.chars FROM r, LATERAL (
+        WITH a AS (SELECT p.*, CASE WHEN r.first > 1 THEN coalesce(s_tokens, 0) ELSE 0 END AS o_tokens, CASE WHEN r.first > 1 THEN coalesce(s_chars, 0) ELSE 0 END AS o_chars, s_tokens IS NOT NULL AS has
+                   FROM p LEFT JOIN s USING (conv_id) WHERE p.conv_id = r.conv_id AND p.i = r.first),
+        b AS (SELECT a.*, coalesce((SELECT min(q.i) FROM p q WHERE q.conv_id = a.conv_id AND q.i < a.i AND q.i > CASE WHEN a.has THEN 1 ELSE 0 END
+                                    AND a.total - a.tokens - q.total + q.tokens <= least(256, 1024 - a.o_tokens - a.tokens)), a.i) AS begin FROM a),
+        e AS (SELECT b.*, b.total - b.tokens - coalesce((SELECT q.total - q.tokens FROM p q WHERE q.conv_id = b.conv_id AND q.i = b.begin), 0) AS back FROM b),
+        z AS (SELECT e.*, greatest(e.i, (SELECT max(q.i) FROM p q WHERE q.conv_id = e.conv_id AND q.i >= e.i AND (q.i = e.i OR q.total - e.total + e.tokens <= 1024 - e.o_tokens - e.back))) AS last FROM e)
+        SELECT z.last, z.o_chars + (SELECT q.sized FROM p q WHERE q.conv_id = z.conv_id AND q.i = z.last) - (SELECT q.sized - q.chars FROM p q WHERE q.conv_id = z.conv_id AND q.i = z.begin) AS chars FROM z) n
+      WHERE r.first <= (SELECT max(q.i) FROM p q WHERE q.conv_id = r.conv_id)),
+f AS (SELECT conv_id, max(chars)::BIGINT AS formatted_chars FROM r GROUP BY conv_id)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+       coalesce(sum(len(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256, formatted_chars
+FROM p JOIN f USING (conv_id) GROUP BY conv_id, formatted_chars
+"""

@@ -29,7 +29,7 @@ from voxloom.scratch import saved
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 42, 6
-BLOCK_ROWS, BLOCK_BYTES = 1000, 8 << 20
+BLOCK_ROWS, BLOCK_BYTES = 300, 8 << 20
 
 
 def probminhash(docs: np.ndarray, keys: np.ndarray, weights: np.ndarray, n_docs: int, registers: int) -> np.ndarray:
@@ -201,16 +201,18 @@ def _links(texts: DataFrame) -> DataFrame:
     return found.unionByName(star).unionByName(_linked(within.unionByName(across)))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every row's (id_col, class_id): the smallest id among the texts that a chain of similar texts connects to it.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", text_hash: bool = False) -> DataFrame:
+    """Every row's (id_col, class_id): the smallest id among the texts that a chain of similar texts connects to it; with
+    ``text_hash`` also h, the hash of its text, and first, whether (id, h) is the least of its class (null ids last).
 
     Similar: the Jaccard similarity of the sets of five-word shingles is ``SIMILARITY`` or more; words are runs without
     white space, and a text of one to four words is one shingle. Null and empty texts have no words and form one class
     (they are equal). Rows with a null id compare like others and get their class's smallest id (null if none has one).
     Repeated rows come out as often as they came in; rows that share an id but not a text are judged each by its text.
-    Empty tables give empty results; other columns don't matter.
+    Texts of any length are compared whole. Empty tables give empty results; other columns, whatever their names, don't
+    matter.
     """
-    pairs = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    pairs = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"), F.col(text_col).alias("text"))
     signed = saved(pairs.mapInArrow(sign, "id long, h long, node long, bands array<long>"), "signed")
     buckets = signed.select("node", F.explode("bands").alias("bucket")).distinct()
     heads = buckets.groupBy("bucket").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -223,6 +225,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = families.join(first, "node").select("node", "label", F.col("r.id").alias("_id"), F.col("r.h").alias("_h"))
     texts = pairs.join(members, F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h"))).select("label", "node", "text")
     classes = components(_links(saved(texts, "families")))
-    ids = signed.select("id", "node").join(classes, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = saved(ids.groupBy("label").agg(F.min("id").alias("class_id")), "classes")
-    return ids.join(least, "label").select(F.col("id").alias(id_col), "class_id")
+    ids = signed.select("id", "h", "node").join(classes, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    least = saved(ids.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("r")), "classes")
+    first = F.col("id").eqNullSafe(F.col("r.id")) & (F.col("h") == F.col("r.h"))
+    more = [F.col("h"), first.alias("first")] if text_hash else []
+    return ids.join(least, "label").select(F.col("id").alias(id_col), F.col("r.id").alias("class_id"), *more)

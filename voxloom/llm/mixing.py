@@ -1,7 +1,9 @@
 """Mixing sources to target weights. DataFrame functions only.
 
 Every source gets a share of all words by its weight, at most ``MOST`` times its own size; what a source can't take is
-shared again by weight. Each document has a random but repeatable key (the MD5 of its id). A source's rows are cut into
+shared again by weight. Each document has a random but repeatable key (the MD5 of its id and text, so that
+rows without an id, or with the same one, lie apart). Rows that repeat are one row with a count until the end. A source's
+rows are cut into
 key ranges of about ``RANGE_ROWS`` rows; sums of the ranges give each range's place in its source, and a running sum
 inside the range gives each row's. No task sorts more than a few ranges, however large a source is. A source takes its
 rows in key order, again from the start if it has to, until its budget is met to the word: the last row is cut.
@@ -53,18 +55,20 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     by id, then size; repeated rows stand for themselves. Reruns agree. An empty table gives an empty result.
     """
     size = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long")
-    key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
-    rows = saved(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), key.alias("key")), "sizes")
-    goals = saved(targets(rows.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows")), weights, most), "targets")
+    hashed = F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
+    key = F.md5(F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("")), hashed).cast("binary"))
+    rows = saved(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), key.alias("key")).groupBy("id", "source", "size", "key").agg(F.count(F.lit(1)).alias("copies")), "sizes")
+    goals = saved(targets(rows.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("size"), F.count(F.lit(1)).alias("rows")), weights, most), "targets")
     first = F.conv(F.substring("key", 1, 8), 16, 10).cast("long")
     placed = rows.join(goals.select("sid", F.col("source").alias("_source"), "rows"), F.col("source").eqNullSafe(F.col("_source")))
-    placed = placed.withColumn("range", F.floor(first * F.ceil(F.col("rows") / RANGE_ROWS) / F.lit(2.0**32))).select("id", "sid", "size", "key", "range")
-    sums = placed.groupBy("sid", "range").agg(F.sum("size").alias("words"))
+    placed = placed.withColumn("range", F.floor(first * F.ceil(F.col("rows") / RANGE_ROWS) / F.lit(2.0**32))).select("id", "sid", "size", "copies", "key", "range")
+    sums = placed.groupBy("sid", "range").agg(F.sum(F.col("size") * F.col("copies")).alias("words"))
     earlier = Window.partitionBy("sid").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("sid", "range", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("offset"))
     inside = Window.partitionBy("sid", "range").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    running = placed.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    joined = running.join(offsets, ["sid", "range"]).join(goals, "sid")
+    running = placed.withColumn("inside", F.coalesce(F.sum(F.col("size") * F.col("copies")).over(inside), F.lit(0)))
+    each = running.withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))).withColumn("inside", F.col("inside") + F.col("nth") * F.col("size"))
+    joined = each.join(offsets, ["sid", "range"]).join(goals, "sid")
     budget = F.round("target").cast("long")
     take = sum((F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), budget - (F.col("source_size") * e + F.col("offset") + F.col("inside")))) for e in range(most)), F.lit(0).cast("long"))
     return joined.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", take.alias("taken"))
@@ -73,7 +77,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
 #: The same rows in DuckDB's SQL.
 SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, md5(coalesce(doc_id::VARCHAR, '')) AS k,
+  SELECT doc_id, source, md5(coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, ''))) AS k,
          len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::BIGINT] AS weight,

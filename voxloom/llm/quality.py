@@ -19,9 +19,10 @@ from voxloom.llm.text import SPACES, Texts, Words, counted, filled, mix, slices
 from voxloom.scratch import saved
 
 BUCKETS = 1 << 16
-#: N-grams added to the target, spread like the raw counts: an n-gram that is rare in both says little.
-PRIOR = 200_000.0
-THRESHOLD = -0.1
+#: Spread like the raw counts, so many n-grams are added to each one of the target: what is rare in both says little. A share,
+#: so that a corpus of any size, with the same texts in the same proportions, is judged alike.
+PRIOR_SHARE = 1.0
+THRESHOLD = -0.06
 LEAST_WORDS, MOST_REPEATED_PERCENT = 50, 50
 #: Labels are broadcast up to this many rows (24 bytes each); beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
@@ -102,8 +103,10 @@ def log_ratios(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, l
     found = sums.toPandas()
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     raw[found.bucket], target[found.bucket] = found.raw, found.target
-    share = (raw + 1) / (raw + 1).sum()
-    return np.log((target + PRIOR * share) / (target.sum() + PRIOR) / share)
+    if not target.sum():
+        return np.zeros(BUCKETS)
+    share, own = raw / raw.sum(), target / target.sum()
+    return np.log(np.divide(own + PRIOR_SHARE * share, (1 + PRIOR_SHARE) * share, out=np.ones(BUCKETS), where=share > 0))
 
 
 def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
@@ -111,7 +114,8 @@ def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     Null and empty texts have no words and fail the base rules; their score is 0. Without any trusted text every score is
     0. Rows with a null id are never trusted, but judged; repeated rows count and come out as often as they came in.
-    Labels that repeat count once. Empty tables give empty results; texts of any length are read whole.
+    Labels that repeat count once. Empty tables give empty results; texts of any length are read whole; other columns,
+    whatever their names, don't matter.
     """
     ratios = log_ratios(docs, labels, id_col, text_col, label_col)
 

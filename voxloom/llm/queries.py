@@ -62,4 +62,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": warc.SQL, "op6_mixing": mixing.SQL}
+    return {"op4_warc": warc.SQL, "op6_mixing": mixing.SQL, "op8_chat": chat.SQL}

@@ -1,6 +1,6 @@
 """Toxicity by non-negative positive-unlabelled learning: numpy classifiers over hashed words and word beginnings.
 
-Only confirmed toxic examples count as labels; everything else is unlabelled text, of which a share ``prior`` is toxic.
+Only confirmed toxic examples count as labels; the texts at large are unlabelled, and a share ``prior`` of them is toxic.
 With P the mean over the examples and U that over the unlabelled texts, the risk of a classifier g is
 
     prior * P[loss(g, toxic)] + max(0, U[loss(g, clean)] - prior * P[loss(g, clean)])
@@ -9,9 +9,13 @@ The second term is the risk on clean texts, estimated without any; it can't be n
 estimate below zero its gradient is turned round (Kiryo et al. 2017). The loss is the logistic one, so the sigmoid of g
 is the chance of being toxic.
 
-Training reads bounded samples, about ``MOST_EXAMPLES`` and ``MOST_UNLABELLED`` rows chosen by a hash; the prior is
-counted over all labels. Features are counted and chosen in Spark; the task that fits the classifiers gets only the
-numbers of the chosen features that each sampled text has. Scoring reads every text whole.
+The unlabelled texts are a sample of all texts, confirmed examples among them, as the estimate asks for: U is the mean over
+the texts as they come, and P over the toxic ones.
+
+The fit reads bounded samples, about ``MOST_EXAMPLES`` examples and ``MOST_UNLABELLED`` texts chosen by a hash; the prior is
+counted over all labels, and the features are counted over all examples and all texts that aren't held out. The task that
+fits the classifiers gets only the numbers of the chosen features that each sampled text has. Scoring reads every text
+whole.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxloom.llm.text import Texts, counted, filled, mix, slices
@@ -87,6 +91,18 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
 
 
+def risk_gradient(p: Sparse, u: Sparse, weight: np.ndarray, bias: float, prior: float, on_p: np.ndarray, on_u: np.ndarray) -> tuple[float, np.ndarray, float]:
+    """The risk on clean texts as estimated from a batch, and the gradient for weights and bias of the step to take."""
+    mp, mu = p.margin(weight, bias), u.margin(weight, bias)
+    clean = np.logaddexp(0, mu[on_u]).mean() - prior * np.logaddexp(0, mp[on_p]).mean()
+    share = on_p * (prior / on_p.sum())
+    sp = sigmoid(mp)
+    away_p, away_u = -sp * share, sigmoid(mu) * on_u / on_u.sum()
+    # Where the estimate is too low to be true: step back.
+    gp, gu = ((sp - 1) * share + away_p, away_u) if clean >= 0 else (-away_p, -away_u)
+    return clean, p.pull(gp, len(weight)) + u.pull(gu, len(weight)), gp.sum() + gu.sum()
+
+
 def fitted(p: Sparse, u: Sparse, size: int, prior: float, seed: int) -> tuple[np.ndarray, float]:
     """Weights and bias of least non-negative risk on the given texts, by proximal steps over random part batches."""
     rng = np.random.default_rng(seed)
@@ -99,17 +115,8 @@ def fitted(p: Sparse, u: Sparse, size: int, prior: float, seed: int) -> tuple[np
             on_p, on_u = in_p == k, in_u == k
             if not on_p.any() or not on_u.any():
                 continue
-            mp, mu = p.margin(weight, bias), u.margin(weight, bias)
-            sp, su = sigmoid(mp), sigmoid(mu)
-            clean = np.logaddexp(0, mu[on_u]).mean() - prior * np.logaddexp(0, mp[on_p]).mean()
-            toward = (sp - 1) * on_p * (prior / on_p.sum())
-            away_p, away_u = -sp * on_p * (prior / on_p.sum()), su * on_u / on_u.sum()
-            if clean >= 0:
-                gp, gu = toward + away_p, away_u
-            else:  # the estimate is too low to be true: step back
-                gp, gu = -away_p, -away_u
-            grad = p.pull(gp, size) + u.pull(gu, size) + DECAY * weight
-            slope = gp.sum() + gu.sum()
+            _, grad, slope = risk_gradient(p, u, weight, bias, prior, on_p, on_u)
+            grad = grad + DECAY * weight
             scale_w += grad * grad
             scale_b += slope * slope
             step = RATE / np.sqrt(scale_w)
@@ -119,26 +126,39 @@ def fitted(p: Sparse, u: Sparse, size: int, prior: float, seed: int) -> tuple[np
     return weight, bias
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, example) to (feature, in_p, in_u): how many of a task's examples and other texts have each feature."""
-    seen = np.zeros((2, 1 << BITS), np.int64)
-    for batch in batches:
-        column, example = filled(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+def _counted(texts: Iterator[pa.RecordBatch], known: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """(text) to (feature, n): how many of a task's texts have each feature, of ``known`` ones only if given."""
+    seen = np.zeros(1 << BITS if known is None else len(known), np.int64)
+    for batch in texts:
+        column = filled(batch.column(0))
         for low, high in slices(column):
-            rows, ids = features(Texts(column.slice(low, high - low)))
-            of = example[low:high][rows]
-            seen[0] += np.bincount(ids[of], minlength=1 << BITS)
-            seen[1] += np.bincount(ids[~of], minlength=1 << BITS)
-    some = np.flatnonzero(seen.any(axis=0))
-    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[0, some]), pa.array(seen[1, some])], ["feature", "in_p", "in_u"])
+            own = Texts(column.slice(low, high - low))
+            ids, n = np.unique(features(own)[1] if known is None else _hits(own, known)[1], return_counts=True)
+            seen[ids] += n
+    some = np.flatnonzero(seen)
+    yield pa.RecordBatch.from_arrays([pa.array(some if known is None else known[some]), pa.array(seen[some])], ["feature", "n"])
+
 
+def evidence(in_p: Column, in_u: Column, ratio: float) -> Column:
+    """The log-likelihood ratio of a count in the examples against the rate in all texts; 0 where it is below that rate."""
+    expected = (in_u + 1) * ratio
+    return F.when(in_p > expected, in_p * F.log(in_p / expected) - (in_p - expected)).otherwise(0.0)
 
-def chosen(sample: DataFrame, n_p: int, n_u: int) -> np.ndarray:
-    """The features whose counts in examples stand out, in order; at most 2 ** BITS numbers."""
-    counts = sample.select("text", "example").mapInArrow(_counts, "feature long, in_p long, in_u long").groupBy("feature").agg(F.sum("in_p").alias("in_p"), F.sum("in_u").alias("in_u"))
-    expected = (F.col("in_u") + 1) * (n_p / max(1, n_u))
-    evidence = F.col("in_p") * F.log(F.col("in_p") / expected) - (F.col("in_p") - expected)
-    return np.sort(counts.where((F.col("in_p") > expected) & (evidence >= LEAST_EVIDENCE)).select("feature").toPandas()["feature"].to_numpy(np.int64))
+
+def chosen(rows: DataFrame, n_p: int, n_u: int) -> np.ndarray:
+    """The features whose counts in examples stand out, in order; at most 2 ** BITS numbers. rows: text, example.
+
+    All examples and all texts count. Texts are searched only for features that the examples have so often that they
+    could stand out: with in_p of n_p examples, in_u is in_p at least, as examples are texts too.
+    """
+    spark, ratio = rows.sparkSession, n_p / max(1, n_u)
+    in_p = rows.where("example").select("text").mapInArrow(lambda b: _counted(b, None), "feature long, n long").groupBy("feature").agg(F.sum("n").alias("in_p"))
+    in_p = saved(in_p.where(evidence(F.col("in_p"), F.col("in_p"), ratio) >= LEAST_EVIDENCE), "features")
+    known = np.sort(in_p.select("feature").toPandas()["feature"].to_numpy(np.int64))
+    shared = spark.sparkContext.broadcast(known)
+    in_u = rows.select("text").mapInArrow(lambda b: _counted(b, shared.value), "feature long, n long").groupBy("feature").agg(F.sum("n").alias("in_u"))
+    strong = in_p.join(in_u, "feature").where(evidence(F.col("in_p"), F.col("in_u"), ratio) >= LEAST_EVIDENCE)
+    return np.sort(strong.select("feature").toPandas()["feature"].to_numpy(np.int64))
 
 
 def _hits(texts: Texts, used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -152,11 +172,11 @@ def _hits(texts: Texts, used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(sample: pd.DataFrame, size: int, prior: float) -> bytes:
-    """Weights (feature, model) and biases, pickled. Rows: example, hits (places of the chosen features)."""
+    """Weights (feature, model) and biases, pickled. Rows: in_p, in_u, hits (places of the chosen features)."""
     prior = float(np.clip(prior, 1e-3, 0.5))
     sides = []
-    for example in (True, False):
-        hits = sample.loc[sample["example"] == example, "hits"].to_list()
+    for side in ("in_p", "in_u"):
+        hits = sample.loc[sample[side], "hits"].to_list()
         lengths = np.array([len(h) for h in hits], np.int64)
         columns = np.concatenate([np.asarray(h, np.int64) for h in hits]) if len(hits) else np.zeros(0, np.int64)
         sides.append(Sparse(np.repeat(np.arange(len(hits)), lengths), columns, len(hits)))
@@ -178,12 +198,13 @@ def held_out(id_col: str):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(True))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """Every row's (id_col, held_out, score, predicted).
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", text_hash: bool = False) -> DataFrame:
+    """Every row's (id_col, held_out, score, predicted), and with ``text_hash`` the hash h of its text.
 
     Null and empty texts score like a text without any known word. A row whose id is null counts as held out. Labels that
     repeat count once; an id with both labels counts as toxic. Repeated rows come out alike. Without examples or other
-    texts every score is the prior. Empty tables give empty results; texts of any length are read whole.
+    texts every score is the prior. Empty tables give empty results; texts of any length are read whole. Other columns of
+    either table, whatever their names, don't matter.
     """
     spark = docs.sparkSession
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("_id")).agg((F.max(label_col) == 1).alias("example"))
@@ -191,30 +212,35 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     told = known.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.col("example").cast("long")), F.lit(0)).alias("n_p")).first()
     prior = told["n_p"] / told["n"] if told["n"] else UNKNOWN_PRIOR
     side = F.broadcast(known) if told["n"] <= BROADCAST_ROWS else known
-    rows = docs.where(~held_out(id_col)).select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(side, "_id", "left")
-    drawn = rows.select("text", F.coalesce("example", F.lit(False)).alias("example"), F.pmod(F.xxhash64("text", "_id"), F.lit(1 << 30)).alias("draw"))
-    most = F.when(F.col("example"), MOST_EXAMPLES / max(1, told["n_p"])).otherwise(MOST_UNLABELLED / max(1, docs.count()))
-    sample = saved(drawn.where(F.col("draw") < most * (1 << 30)).select("text", "example"), "sample")
-    size = {r["example"]: r["n"] for r in sample.groupBy("example").agg(F.count(F.lit(1)).alias("n")).collect()}
-    used = chosen(sample, size.get(True, 0), size.get(False, 0))
+    rows = docs.where(~held_out(id_col)).select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(side, "_id", "left").select("text", "_id", F.coalesce("example", F.lit(False)).alias("example"))
+    sizes = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.col("example").cast("long")), F.lit(0)).alias("n_p")).first()
+    used = chosen(rows, sizes["n_p"], sizes["n"]) if sizes["n_p"] else np.zeros(0, np.int64)
+    shared_used = spark.sparkContext.broadcast(used)
+    draw = lambda k, most, of: F.pmod(F.xxhash64("text", "_id", F.lit(k)), F.lit(1 << 30)) < most / max(1, of) * (1 << 30)
+    drawn = rows.select("text", (F.col("example") & draw(1, MOST_EXAMPLES, sizes["n_p"])).alias("in_p"), draw(2, MOST_UNLABELLED, sizes["n"]).alias("in_u"))
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = filled(batch.column(0))
             for low, high in slices(column):
-                found, at = _hits(Texts(column.slice(low, high - low)), used)
+                found, at = _hits(Texts(column.slice(low, high - low)), shared_used.value)
                 ends = np.searchsorted(found, np.arange(high - low + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(low, high - low), pa.ListArray.from_arrays(pa.array(ends), pa.array(at.astype(np.int32)))], ["example", "hits"])
+                own = [batch.column(k).slice(low, high - low) for k in (1, 2)]
+                yield pa.RecordBatch.from_arrays([*own, pa.ListArray.from_arrays(pa.array(ends), pa.array(at.astype(np.int32)))], ["in_p", "in_u", "hits"])
 
-    fit = sample.mapInArrow(hits, "example boolean, hits array<int>").groupBy(F.lit(0).alias("all")).applyInPandas(lambda s: pd.DataFrame({"model": [train(s, len(used), prior)]}), "model binary").first()
+    sample = drawn.where("in_p or in_u").mapInArrow(hits, "in_p boolean, in_u boolean, hits array<int>")
+    fit = sample.groupBy(F.lit(0).alias("all")).applyInPandas(lambda s: pd.DataFrame({"model": [train(s, len(used), prior)]}), "model binary").first()
     weights, bias = pickle.loads(fit["model"]) if fit else (np.zeros((len(used), MODELS)), np.full(MODELS, np.log(prior / (1 - prior))))
     shared = spark.sparkContext.broadcast((used, weights, bias))
+    extra = ["h"] if text_hash else []
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = filled(batch.column(1))
             for low, high in slices(column):
                 out = scores(Texts(column.slice(low, high - low)), *shared.value)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), batch.column(2).slice(low, high - low), pa.array(out), pa.array((out >= 0.5).astype(np.int32))], [id_col, "held_out", "score", "predicted"])
+                own = [batch.column(k).slice(low, high - low) for k in range(batch.num_columns)]
+                yield pa.RecordBatch.from_arrays([own[0], own[2], pa.array(out), pa.array((out >= 0.5).astype(np.int32)), *own[3:]], [id_col, "held_out", "score", "predicted", *extra])
 
-    return docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("_text"), held_out(id_col).alias("held_out")).mapInArrow(score, f"`{id_col}` long, held_out boolean, score double, predicted int")
+    read = [F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("_text"), held_out(id_col).alias("held_out")] + ([F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h")] if text_hash else [])
+    return docs.select(*read).mapInArrow(score, f"`{id_col}` long, held_out boolean, score double, predicted int" + (", h long" if text_hash else ""))

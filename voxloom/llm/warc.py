@@ -114,6 +114,8 @@ class WarcReader(DataSourceReader):
                 head = _head(f, first=True)
                 if head is None:
                     return
+                if not head.get("content-length", "").isdigit():
+                    raise ValueError(f"a record in {path} doesn't say how long it is")
                 size = int(head["content-length"])
                 if not self._passes(head):
                     _skip(f, size)
@@ -234,7 +236,8 @@ def archived(pages: DataFrame, id_col: str = "page_id", path: str | None = None)
     """Writes ``pages`` as WARC files and reads them back: (id_col, payload_bytes, payload_digest, record_type, refers_to).
 
     Length and digest are of the payload that was read: a revisit's is its response's. Null payloads are empty ones; null
-    ids come back null. Repeated rows come out as often as they came in. An empty table gives an empty result.
+    ids come back null. Repeated rows come out as often as they came in. An empty table gives an empty result; pages of any
+    length are written whole; other columns, whatever their names, don't matter.
     """
     spark = pages.sparkSession
     path = path or fresh_path(spark, "warc")
