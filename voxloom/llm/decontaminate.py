@@ -197,3 +197,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     """
     found = _best(text_leaks(docs, benchmark, id_col, text_col, item_col, item_text_col), ["id", "item"])
     return found.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "start", "similarity")
+
+
+#: The same rows in DuckDB's SQL: every window with a shingle of an item. Items are taken to have five words or more.
+SQL = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+i AS (SELECT item_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM benchmark),
+ds AS (SELECT doc_id, len(w) AS n, k - 1 AS p, array_to_string(w[k : k + 4], ' ') AS x FROM (SELECT *, unnest(range(1, len(w) - 3)) AS k FROM d)),
+its AS (SELECT item_id, len(w) AS n, array_to_string(w[k : k + 4], ' ') AS x FROM (SELECT *, unnest(range(1, len(w) - 3)) AS k FROM i)),
+ic AS (SELECT item_id, n, x, count(*) AS c FROM its GROUP BY ALL),
+hit AS (SELECT doc_id, ds.n AS words, ic.item_id, ic.n AS size, ic.x, ic.c, ds.p FROM ds JOIN ic USING (x)),
+win AS (SELECT *, unnest(range(greatest(0, least(p - size + 5, words - size)), greatest(0, least(p, words - size)) + 1)) AS start FROM hit),
+same AS (SELECT doc_id, item_id, words, size, start, x, least(count(*), c) AS c FROM win WHERE p BETWEEN start AND start + size - 5 GROUP BY doc_id, item_id, words, size, start, x, win.c),
+sim AS (SELECT doc_id, item_id, start, sum(c)::DOUBLE / ((least(words, size) - 4) + (size - 4) - sum(c)::DOUBLE) AS similarity FROM same GROUP BY doc_id, item_id, words, size, start)
+SELECT doc_id, item_id, arg_max(start, (similarity, -start))::INTEGER AS start, max(similarity) AS similarity FROM sim WHERE similarity >= {SIMILARITY} GROUP BY doc_id, item_id
+"""

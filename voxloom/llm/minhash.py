@@ -230,3 +230,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = F.col("id").eqNullSafe(F.col("r.id")) & (F.col("h") == F.col("r.h"))
     more = [F.col("h"), first.alias("first")] if text_hash else []
     return ids.join(least, "label").select(F.col("id").alias(id_col), F.col("r.id").alias("class_id"), *more)
+
+
+#: The same rows in DuckDB's SQL: all pairs that share a shingle, and the closure of the similar ones.
+SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN ['none'] WHEN len(w) < {SHINGLE} THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - {SHINGLE - 2}), lambda i: array_to_string(w[i : i + {SHINGLE - 1}], ' '))) END AS sh, len(w) = 0 AS none FROM d),
+u AS (SELECT doc_id, none, len(sh) AS n, unnest(sh) AS x FROM s),
+e AS (SELECT a.doc_id AS a, b.doc_id AS b FROM u a JOIN u b ON a.x = b.x AND a.none = b.none AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING count(*) >= {SIMILARITY} * (a.n + b.n - count(*)) - 1e-9),
+r AS (SELECT doc_id, doc_id AS other FROM d UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.other = e.a)
+SELECT doc_id, min(other) AS class_id FROM r GROUP BY doc_id
+"""

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.spans import found, is_kind, placed, redacted, small, tagged, with_replaced, written
+from voxloom.llm.spans import found, is_kind, placed, redacted, small, sql_spans, tagged, with_replaced, written
 from voxloom.scratch import saved
 
 # The base patterns. Possessive quantifiers and the look-behinds change no match; they keep a run that
@@ -161,3 +161,38 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     terms = F.transform("terms", lambda s: marked(s, F.lit("[term]")))
     found = sanitised(docs, id_col, text_col, disclosure).select(id_col, "h", F.concat(kinds, terms).alias("spans"))
     return with_replaced(docs, found, id_col, text_col, length_col)
+
+
+_DIGITS = "regexp_replace(v, '[^0-9]', '', 'g')"
+_LUHN = f"list_sum(list_transform(range(1, len({_DIGITS}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN reverse({_DIGITS})[i]::INT ELSE reverse({_DIGITS})[i]::INT * 2 - CASE WHEN reverse({_DIGITS})[i]::INT > 4 THEN 9 ELSE 0 END END)) % 10 = 0"
+_SQL_KINDS = {
+    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
+    "ip": (r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", r"regexp_full_match(v, '0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])(?:\.0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])){3}')"),
+    "card": (r"[0-9](?:[\x20-]?[0-9])+", f"CASE WHEN len({_DIGITS}) BETWEEN 13 AND 19 THEN {_LUHN} ELSE false END"),
+    "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", f"len({_DIGITS}) BETWEEN 9 AND 15"),
+}
+
+#: The digest's rows in DuckDB's SQL, pair by pair of entity and term.
+SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+{sql_spans(_SQL_KINDS)},
+held AS (SELECT doc_id, list({{'s': s, 'e': e}}) AS base FROM spans GROUP BY doc_id),
+left_over AS (SELECT d.doc_id, CASE WHEN base IS NULL THEN text ELSE array_to_string(list_transform(string_split(text, ''), lambda c, i: CASE WHEN len(list_filter(base, lambda b: b.s < i AND i <= b.e)) > 0 THEN ' ' ELSE c END), '') END AS text
+              FROM d LEFT JOIN held USING (doc_id)),
+terms AS (SELECT DISTINCT doc_id, lower(unnest(regexp_extract_all(text, '\p{{L}}{{3,}}'))) AS term FROM left_over),
+n AS (SELECT count(*)::DOUBLE AS n FROM d),
+entity AS (SELECT DISTINCT doc_id, v FROM spans),
+df_t AS (SELECT term, count(*) AS c FROM terms GROUP BY term), df_e AS (SELECT v, count(*) AS c FROM entity GROUP BY v HAVING count(*) >= {MIN_SUPPORT}),
+pair AS (SELECT term, v, count(*) AS c FROM terms JOIN (SELECT * FROM entity SEMI JOIN df_e USING (v)) USING (doc_id) GROUP BY term, v HAVING count(*) >= {MIN_SUPPORT}),
+disclosed AS (SELECT DISTINCT pair.term FROM pair JOIN df_t USING (term) JOIN df_e USING (v), n
+              WHERE df_e.c < n AND log2(pair.c * n / (df_t.c::DOUBLE * df_e.c)) >= {DISCLOSURE} * log2(n / df_e.c)),
+hit AS (SELECT doc_id, text FROM left_over WHERE doc_id IN (SELECT doc_id FROM terms SEMI JOIN disclosed USING (term))),
+w AS (SELECT doc_id, regexp_extract_all(text, '\p{{L}}{{3,}}') AS m, string_split_regex(text, '\p{{L}}{{3,}}') AS p FROM hit),
+word AS (SELECT doc_id, m[i] AS v, (coalesce(list_sum(list_transform(p[1:i], lambda x: len(x))), 0) + coalesce(list_sum(list_transform(m[1:i], lambda x: len(x))), 0))::BIGINT AS e FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM w)),
+told AS (SELECT doc_id, 4 AS rank, 'term' AS kind, e - len(v) AS s, e FROM word WHERE lower(v) IN (SELECT term FROM disclosed)),
+every AS (SELECT doc_id, rank, kind, s, e FROM spans UNION ALL SELECT * FROM told),
+g AS (SELECT doc_id, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
+             string_agg(kind || ':' || s || ':' || e, ',' ORDER BY rank, s) FILTER (kind <> 'term') AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY rank, s) AS spans FROM every GROUP BY doc_id)
+SELECT doc_id, coalesce(n_email, 0)::BIGINT AS n_email, coalesce(n_ip, 0)::BIGINT AS n_ip, coalesce(n_card, 0)::BIGINT AS n_card, coalesce(n_phone, 0)::BIGINT AS n_phone,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (doc_id)
+"""

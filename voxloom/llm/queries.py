@@ -62,4 +62,5 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": warc.SQL, "op6_mixing": mixing.SQL, "op8_chat": chat.SQL}
+    by_query = {op1_near_duplicates: minhash, op2_personal_data: pii, op4_warc: warc, op6_mixing: mixing, op8_chat: chat, op9_secrets: secrets, op10_benchmark_leaks: decontaminate}
+    return {f.__name__: module.SQL for f, module in by_query.items()}

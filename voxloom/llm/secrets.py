@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.spans import apart, found, placed, small, tagged, with_replaced, written
+from voxloom.llm.spans import apart, found, placed, small, sql_spans, tagged, with_replaced, written
 from voxloom.scratch import saved
 
 # The base patterns.
@@ -107,3 +107,32 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     """
     marked = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(s["live"], "[secret]").otherwise("[example]").alias("mark"))
     return with_replaced(docs, owned(docs, id_col, text_col, **columns).select(id_col, "h", F.transform("spans", marked).alias("spans")), id_col, text_col, length_col)
+
+
+_KEYWORD = "|".join("".join(f"[{c}{c.upper()}]" for c in w).replace("[__]", "_?") for w in ("password", "passwd", "secret", "token", "api_key"))
+_ASSIGNED = rf"""(?:{_KEYWORD})["'']?\x20*[:=]\x20*["'']?"""
+_VALUE = f"regexp_replace(v, '^{_ASSIGNED}', '')"
+_SEGMENTS = r"regexp_full_match(v, '[/_=+-]*(?:(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4})[/_=+-]+)*(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4})[/_=+-]*')"
+_ENTROPY_SQL = "-list_sum(list_transform(list_distinct(string_split(v, '')), lambda c: (len(v) - len(replace(v, c, ''))) / len(v)::DOUBLE * log2((len(v) - len(replace(v, c, ''))) / len(v)::DOUBLE)))"
+_SQL_KINDS = {
+    "assign": (rf"{_ASSIGNED}[A-Za-z0-9+/_.=-]+", f"len({_VALUE}) >= 6"),
+    "access": ("AKIA[A-Z0-9]+", "len(v) >= 20"),
+    "hex": ("[0-9a-f]{24,}", "true"),
+    "other": ("[A-Za-z0-9+/_=-]{20,}", f"regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND NOT {_SEGMENTS} AND {_ENTROPY_SQL} >= {LEAST_ENTROPY}"),
+}
+
+#: The digest's rows in DuckDB's SQL.
+SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(source, chr(0)) AS owner, coalesce(source, chr(0)) || chr(1) || coalesce(lang, chr(0)) AS repository FROM documents),
+{sql_spans(_SQL_KINDS)},
+apart AS (SELECT * FROM spans x WHERE kind <> 'other' OR NOT EXISTS (SELECT 1 FROM spans b WHERE b.doc_id = x.doc_id AND b.kind <> 'other' AND b.s < x.e AND b.e > x.s)),
+held AS (SELECT a.*, CASE WHEN kind = 'assign' THEN {_VALUE} ELSE v END AS secret, owner, repository FROM apart a JOIN d USING (doc_id)),
+counted AS (SELECT secret, count(DISTINCT owner) AS owners, count(DISTINCT repository) AS repositories FROM held GROUP BY secret),
+judged AS (SELECT held.*, repositories, owners = 1 OR (owners <= {LIVE_OWNERS} AND repositories <= {LIVE_REPOSITORIES}) AS live FROM held JOIN counted USING (secret)),
+g AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+             string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) FILTER (kind <> 'other') AS base,
+             string_agg(CASE kind WHEN 'other' THEN 'live' ELSE kind END || ':' || s || ':' || e, ',' ORDER BY s, rank) FILTER (kind <> 'other' OR live) AS spans,
+             count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_example, max(repositories) AS most_repositories FROM judged GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+       coalesce(n_live, 0)::BIGINT AS n_live, coalesce(n_example, 0)::BIGINT AS n_example, coalesce(most_repositories, 0)::BIGINT AS most_repositories FROM d LEFT JOIN g USING (doc_id)
+"""

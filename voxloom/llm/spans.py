@@ -130,3 +130,19 @@ def with_replaced(docs: DataFrame, found: DataFrame, id_col: str, text_col: str,
     if length_col:
         new[length_col] = F.when(hit, F.length(f"{own}clean").cast("long")).otherwise(F.col(length_col))
     return cleaned.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+
+
+def sql_spans(kinds: dict[str, tuple[str, str]], source: str = "d") -> str:
+    """DuckDB's SQL for spans: CTE ``spans`` (doc_id, rank, kind, s, e, v) of all matches for which a condition on v holds.
+
+    ``kinds``: kind to (pattern, condition); ``source``: a CTE with doc_id and text.
+    """
+    each = [
+        f"SELECT doc_id, {rank} AS rank, '{kind}' AS kind, text, regexp_extract_all(text, '{pattern}') AS m, string_split_regex(text, '{pattern}') AS p FROM {source}"
+        for rank, (kind, (pattern, _)) in enumerate(kinds.items())
+    ]
+    holds = " ".join(f"WHEN '{kind}' THEN {condition}" for kind, (_, condition) in kinds.items())
+    ends = "coalesce(list_sum(list_transform(p[1:i], lambda x: len(x))), 0) + coalesce(list_sum(list_transform(m[1:i], lambda x: len(x))), 0)"
+    return f"""matches AS ({" UNION ALL ".join(each)}),
+found AS (SELECT doc_id, rank, kind, m[i] AS v, ({ends})::BIGINT AS e FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM matches WHERE len(m) > 0)),
+spans AS (SELECT doc_id, rank, kind, e - len(v) AS s, e, v FROM found WHERE CASE kind {holds} END)"""
