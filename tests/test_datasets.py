@@ -5,8 +5,7 @@ import json
 import pytest
 
 from voxloom import config
-from voxloom.functions.schedules import validation_cadence
-from voxloom.operators import inference
+from voxloom.operators import inference, splits
 from voxloom.schemas import PATCH_INDEX, VOLUME_STATS
 from voxloom.sources import datasets, json_files
 
@@ -41,25 +40,50 @@ def test_report(spark):
 
 def test_config(tmp_path):
     path = tmp_path / "c.yaml"
-    path.write_text("data: {split_version: V2}\nloss: {beta: 1}\n")
+    path.write_text("data: {split_version: V2, dataset_root: null}\nloss: {beta: 1}\n")
     got = config.load(str(path), **{"loss.beta": 3})
     assert got == {"data": {"split_version": "v2", "dataset_root": "split_v2"}, "loss": {"beta": 3}}
-    assert config.consistent({"data": {"dataset_root": "split_v1"}})["data"]["split_version"] == "v1"
+    assert config.settled({"data.dataset_root": "split_v1"})["data.split_version"] == "v1"
+    assert config.settled({"data.dataset_root": "elsewhere"}) == {"data.dataset_root": "elsewhere"} and config.settled({"a.b": 1}) == {"a.b": 1}
     for bad in ("loss", "loss.none", "none.beta", "a.b.c"):
         with pytest.raises(KeyError):
             config.load(str(path), **{bad: 1})
-    with pytest.raises(ValueError, match="Config mismatch"):
-        config.consistent({"data": {"split_version": "v2", "dataset_root": "split_v1"}})
-    with pytest.raises(ValueError):
-        config.consistent({"data": {"split_version": "v9"}})
-
-
-def test_cadence():
-    assert validation_cadence(1000, 450, 20) == (100, 200)
-    assert validation_cadence(1000, 450, 500) == (500, 1000)
-    assert validation_cadence(10, 450, 1, "full_val_each_epoch") == (450, 10)
-    with pytest.raises(ValueError):
-        validation_cadence(1, 1, 1, "never")
+    for version, root in (("v2", "split_v1"), ("v9", None), ("v1", "elsewhere")):
+        with pytest.raises(ValueError):
+            config.settled({"data.split_version": version, "data.dataset_root": root})
+    assert config.latent_shape(64, 2, 8, 32) == {"factor": 4, "side": 16, "latents": 32768, "stages": [32, 64, 128]}
+
+
+def test_migrated(spark, tmp_path):
+    old, one, two = (f"{tmp_path}/{n}" for n in ("old", "m1", "m2"))
+    index = spark.createDataFrame([(v, "g", "train", 0, 0, 0, 8, 8, 0.1) for v in ("vol_a", "vol_b")], PATCH_INDEX)
+    datasets.write_root(spark, old, index, spark.createDataFrame([("vol_a", "train"), ("vol_b", "train")], "volume_id string, split string"), spark.createDataFrame([], VOLUME_STATS), 1)
+    datasets.migrated(spark, old, one, two, spark.createDataFrame([("vol_a", "val"), ("vol_b", "test")], "volume_id string, split string"), 42)
+    assert {r.split for r in spark.read.parquet(f"{one}/patch_index").collect()} == {"train"}
+    assert {(r.volume_id, r.split) for r in spark.read.parquet(f"{two}/patch_index").collect()} == {("vol_a", "val"), ("vol_b", "test")}
+    assert datasets.voxel_path(spark, two) == datasets.voxel_path(spark, one) == f"{old}/voxels"
+    with pytest.raises(ValueError, match="already"):
+        datasets.migrated(spark, old, one, two, spark.createDataFrame([("vol_a", "val")], "volume_id string, split string"), 42)
+
+
+def test_large_documents(spark, monkeypatch):
+    monkeypatch.setattr(json_files, "MOST_VOLUMES", 1)
+    with pytest.raises(ValueError, match="document"):
+        json_files.splits_document(spark.createDataFrame([("a", "val"), ("b", "val")], "volume_id string, split string"), 1)
+
+
+def test_bins_like_numpy():
+    import numpy as np
+
+    bins = {"low": ["c", "a", "b", "d"], "high": ["x", "z", "y"]}
+    got = splits.binned_like_numpy(bins, {"low": {"n_val": 1, "n_test": 1}, "high": {"n_val": 1, "n_test": 1}}, 42)
+    rng, want = np.random.default_rng(42), {}
+    for ids in (["a", "b", "c", "d"], ["x", "y", "z"]):
+        rng.shuffle(ids)
+        want |= {v: "val" if k == 0 else "test" if k == 1 else "train" for k, v in enumerate(ids)}
+    assert got == want
+    with pytest.raises(ValueError, match="want"):
+        splits.binned_like_numpy({"low": ["a"]}, {"low": {"n_val": 1, "n_test": 1}}, 1)
 
 
 def test_models():

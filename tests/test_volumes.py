@@ -210,7 +210,7 @@ def test_stratified_split(spark):
     assert [r.volume_id for r in got if r.split == "excluded"] == ["out"]
     with pytest.raises(ValueError, match="outside"):
         splits.stratified_split(spark.createDataFrame([("x", 0.12)], "volume_id string, phi_median double"), edges, targets, 1)
-    with pytest.raises(ValueError, match="only has"):
+    with pytest.raises(ValueError, match="want"):
         splits.stratified_split(df.where("phi_median < 0.06"), edges, targets, 1)
     with pytest.raises(KeyError):
         splits.porosity_medians(df)

@@ -1,45 +1,51 @@
-"""Configurations: YAML sections of fields, with overrides."""
+"""Configurations: YAML sections of fields, looked at as one table of ``section.field`` keys."""
 
 from __future__ import annotations
 
 from typing import Any
 
-from voxloom.operators.splits import split_column
+#: The datasets that there are, as (split version, dataset folder).
+DATASETS = (("v1", "split_v1"), ("v2", "split_v2"))
+VERSION, FOLDER = "data.split_version", "data.dataset_root"
 
 
-def overridden(config: dict[str, Any], overrides: dict[str, Any]) -> dict[str, Any]:
-    """The configuration with ``section.field`` values replaced; what isn't there can't be, and is a KeyError."""
-    out = {section: dict(fields) if isinstance(fields, dict) else fields for section, fields in config.items()}
-    for key, value in overrides.items():
-        section, dot, field = key.partition(".")
-        if not dot or "." in field:
-            raise KeyError(f"{key!r} is not of the form section.field")
-        if section not in out or field not in out[section]:
-            raise KeyError(f"the configuration has no {key!r}")
-        out[section][field] = value
+def flat(config: dict[str, Any]) -> dict[str, Any]:
+    return {f"{section}.{field}": value for section, fields in config.items() for field, value in (fields or {}).items()}
+
+
+def nested(fields: dict[str, Any]) -> dict[str, Any]:
+    out: dict[str, Any] = {}
+    for key, value in fields.items():
+        section, _, field = key.partition(".")
+        out.setdefault(section, {})[field] = value
     return out
 
 
-def consistent(config: dict[str, Any]) -> dict[str, Any]:
-    """The data section with split version and dataset folder agreeing: one follows from the other where it is missing."""
-    data = config.get("data")
-    if not isinstance(data, dict):
-        return config
-    data = dict(data)
-    root = data.get("dataset_root")
-    if data.get("split_version") is None:
-        if isinstance(root, str) and root.strip().lower() in ("split_v1", "split_v2"):
-            data["split_version"] = root.strip().lower()[-2:]
-        return config | {"data": data}
-    version = str(data["split_version"]).strip().lower()
-    split_column(version)
-    if root is not None and root != f"split_{version}":
-        raise ValueError(f"Config mismatch: split version {version} goes with split_{version}, not {root}")
-    return config | {"data": data | {"split_version": version, "dataset_root": f"split_{version}"}}
-
-
-def load(path: str, **overrides: Any) -> dict[str, Any]:
+def settled(fields: dict[str, Any]) -> dict[str, Any]:
+    """The fields with version and folder of the dataset filled in from ``DATASETS``.
+
+    Both are compared without case and outer spaces. A folder of another name stands for itself, as long as no version is
+    asked for.
+    """
+    asked = [None if fields.get(k) is None else str(fields[k]).strip().lower() for k in (VERSION, FOLDER)]
+    fitting = [d for d in DATASETS if all(a is None or a == x for a, x in zip(asked, d, strict=True))]
+    if asked[0] is not None and not fitting:
+        raise ValueError(f"no dataset is {dict(zip((VERSION, FOLDER), asked, strict=True))}; there are {DATASETS}")
+    return fields | dict(zip((VERSION, FOLDER), fitting[0], strict=True)) if len(fitting) == 1 else fields
+
+
+def load(path: str, **replaced: Any) -> dict[str, Any]:
+    """The configuration of a YAML file, some fields replaced by key; a key that the file doesn't have is a KeyError."""
     import yaml
 
     with open(path, encoding="utf-8") as f:
-        return consistent(overridden(yaml.safe_load(f), overrides))
+        fields = flat(yaml.safe_load(f))
+    unknown = sorted(set(replaced) - set(fields))
+    if unknown:
+        raise KeyError(f"{path} has no {unknown}")
+    return nested(settled(fields | replaced))
+
+
+def latent_shape(side: int, halvings: int, channels: int, first: int) -> dict[str, Any]:
+    """What follows from an encoder's sizes: each stage halves the side and doubles the channels."""
+    return {"factor": 1 << halvings, "side": side >> halvings, "latents": channels * (side >> halvings) ** 3, "stages": [first << k for k in range(halvings + 1)]}

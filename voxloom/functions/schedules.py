@@ -1,4 +1,4 @@
-"""Schedules over a step column, and the arithmetic of validation windows."""
+"""Schedules: a learning rate by step, and how validation windows spread over an epoch, as column expressions."""
 
 from __future__ import annotations
 
@@ -15,11 +15,11 @@ def learning_rate(step: Column, base: float, least: float, warmup: int, total: i
     return F.when(step < warmup, rise).otherwise(least + (base - least) * (1 + F.cos(math.pi * turn)) / 2)
 
 
-def validation_cadence(train_steps: int, val_steps: int, val_batches: int, schedule: str = "cover_val_once_per_epoch") -> tuple[int, int]:
-    """(batches per validation, steps between validations) so that an epoch sees all of val once, in windows or at once."""
-    if schedule == "full_val_each_epoch":
-        return val_steps, train_steps
-    if schedule != "cover_val_once_per_epoch":
-        raise ValueError(f"no schedule {schedule!r}")
-    batches = max(100, val_batches)
-    return batches, max(1, train_steps // max(1, -(-val_steps // batches)))
+def windows_of(batches: Column, window: Column, least: int = 1) -> Column:
+    """How many windows of ``window`` batches, ``least`` at least, cover so many batches."""
+    return F.ceil(batches / F.greatest(window, F.lit(least)))
+
+
+def steps_between(train_steps: Column, windows: Column) -> Column:
+    """Training steps from one window to the next, so that an epoch goes through all of them; one step at least."""
+    return F.greatest(F.floor(train_steps / F.greatest(windows, F.lit(1))), F.lit(1))

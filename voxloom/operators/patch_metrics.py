@@ -165,7 +165,11 @@ def active_channels(freebits_used: Column, channels: int) -> Column:
     return channels - F.bround(freebits_used * channels)
 
 
+def voxel_moments(draws: DataFrame) -> DataFrame:
+    """(patch_id, voxel, mean, std) of draws (patch_id, voxel, value); the sample's deviation, 0 for a single draw."""
+    return draws.groupBy("patch_id", "voxel").agg(F.avg("value").alias("mean"), F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("std"))
+
+
 def monte_carlo(draws: DataFrame) -> DataFrame:
     """(patch_id, diversity, collapsed) from draws (patch_id, voxel, value): the mean over voxels of the draws' deviation."""
-    voxel = draws.groupBy("patch_id", "voxel").agg(F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("std"))
-    return voxel.groupBy("patch_id").agg(F.avg("std").alias("diversity")).withColumn("collapsed", F.col("diversity") < 1e-5)
+    return voxel_moments(draws).groupBy("patch_id").agg(F.avg("std").alias("diversity")).withColumn("collapsed", F.col("diversity") < 1e-5)

@@ -95,3 +95,15 @@ def range_verdict(low: Column, high: Column) -> Column:
 def logit_verdict(recon_range: Column, gt_range: Column) -> Column:
     """Collapse below a tenth of the true range, divergence beyond five times of it."""
     return F.when(recon_range < 0.1 * gt_range, "collapse").when(recon_range > 5 * gt_range, "diverging").otherwise("ok")
+
+
+def value_histograms(rows: DataFrame, keys: list[str], value: str, bins: int = 30) -> DataFrame:
+    """(keys, bin, low, high, n): per key, counts of a value in equal bins from its least to its largest, empty ones left
+    out; NaN and null don't count, and where all values are equal they are in bin 0."""
+    v = F.col(value).cast("double")
+    real = rows.select(*keys, v.alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    ends = real.groupBy(*keys).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+    width = (F.col("_high") - F.col("_low")) / bins
+    at = F.when(F.col("_high") > F.col("_low"), F.least(F.floor((F.col("_v") - F.col("_low")) / width), F.lit(bins - 1))).otherwise(0).cast("int")
+    counts = real.join(F.broadcast(ends) if len(keys) == 0 else ends, keys).withColumn("bin", at).groupBy(*keys, "bin", "_low", "_high").agg(F.count(F.lit(1)).alias("n"))
+    return counts.select(*keys, "bin", (F.col("_low") + F.col("bin") * width).alias("low"), (F.col("_low") + (F.col("bin") + 1) * width).alias("high"), "n")

@@ -52,6 +52,21 @@ def derive_root(spark: SparkSession, source: str, target: str, splits: DataFrame
     spark.createDataFrame([(voxel_path(spark, source),)], "path string").coalesce(1).write.mode("overwrite").json(f"{target}/{VOXELS}_link")
 
 
+def migrated(spark: SparkSession, source: str, first: str, second: str, splits: DataFrame, seed: int) -> None:
+    """Two dataset folders out of one with an old layout: ``first`` keeps its splits, ``second`` has those given. Both
+    refer to the voxels of ``source``, which stays as it is. A target that is there already is an error."""
+    for target in (first, second):
+        try:
+            spark.read.parquet(f"{target}/{INDEX}")
+        except Exception as e:  # Spark reports a missing path when it plans the read
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+        else:
+            raise ValueError(f"{target} is there already")
+    derive_root(spark, source, first)
+    derive_root(spark, first, second, splits, seed)
+
+
 def report_document(reports: DataFrame, summary: DataFrame) -> DataFrame:
     """(value): the evaluation report as one line of JSON per volume, after a line with the summary."""
     head = summary.select(F.to_json(F.struct(F.lit("summary").alias("kind"), *summary.columns)).alias("value"), F.lit(0).alias("at"))

@@ -11,10 +11,30 @@ from voxloom.operators.splits import split_column
 from voxloom.schemas import SPLIT_NAMES, SPLITS, VOLUME_STATS
 
 
+#: Volumes of a document that goes through the driver; larger maps are tables (``write_split_lines``).
+MOST_VOLUMES = 100_000
+
+
+def _few(rows: DataFrame) -> list:
+    found = rows.limit(MOST_VOLUMES + 1).collect()
+    if len(found) > MOST_VOLUMES:
+        raise ValueError(f"a document holds {MOST_VOLUMES} volumes at most; write the table instead")
+    return found
+
+
+def write_split_lines(splits: DataFrame, path: str, seed: int) -> None:
+    """A split map as JSON lines, one for each volume, for any number of volumes."""
+    splits.select("volume_id", "split", F.lit(seed).alias("seed")).write.mode("overwrite").json(path)
+
+
+def read_split_lines(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(SPLITS).json(path)
+
+
 def splits_document(splits: DataFrame, seed: int, before: str | None = None) -> str:
     """The JSON text of a split map: seed, counts and volumes, merged into an earlier document. It has a line per volume
     and is made for the few volumes of a study; larger maps are tables."""
-    volumes = {r.volume_id: r.split for r in splits.select("volume_id", "split").toLocalIterator()}
+    volumes = {r.volume_id: r.split for r in _few(splits.select("volume_id", "split"))}
     counts = {s: sum(v == s for v in volumes.values()) for s in SPLIT_NAMES}
     return json.dumps((json.loads(before) if before else {}) | {"seed": seed, "counts": counts, "volumes": volumes}, indent=2)
 
@@ -43,7 +63,7 @@ def read_stats(spark: SparkSession, path: str) -> DataFrame:
 def stats_document(stats: DataFrame) -> str:
     """The JSON text of volume statistics."""
     out = {}
-    for r in stats.toLocalIterator():
+    for r in _few(stats):
         d = r.asDict()
         name = d.pop("volume_id")
         out[name] = {k: v for k, v in d.items() if v is not None}
@@ -54,6 +74,3 @@ def append_log(records: DataFrame, path: str) -> None:
     """Adds records to a folder of JSON lines."""
     records.write.mode("append").json(path)
 
-
-def empty_splits(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], SPLITS)
