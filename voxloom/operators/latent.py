@@ -1,19 +1,20 @@
 """Latent space analysis: sampling, scaling, principal components, neighbours and silhouettes.
 
-What is broadcast here is a reservoir sample of a bounded number of rows per class, or a matrix of dimension x dimension.
+Comparisons of all rows with all others go block by block, a task for each pair of blocks. What goes through the driver is a
+matrix of dimension x dimension.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows that may be broadcast as one block of neighbours.
-MOST_ROWS = 20_000
+#: Rows of a block when all rows are compared with all others.
+BLOCK_ROWS = 4000
 
 
 def reservoir(rows: DataFrame, label: str, key: str, most: int = 1024, seed: int = 42) -> DataFrame:
@@ -88,25 +89,35 @@ def _distances(m: np.ndarray, block: np.ndarray) -> Iterator[np.ndarray]:
         yield np.sqrt(np.maximum((part**2).sum(axis=1)[:, None] + square - 2 * part @ block.T, 0))
 
 
-def _block(rows: DataFrame, columns: list[str], vector: str, size: int):
-    """A bounded sample on the driver, to be broadcast."""
-    found = rows.select(*columns, vector).limit(MOST_ROWS + 1).toPandas()
-    if len(found) > MOST_ROWS:
-        raise ValueError(f"more than {MOST_ROWS} rows to compare with; take a reservoir sample first")
-    return found, np.array(found[vector].to_list(), np.float64).reshape(-1, size)
+def _in_blocks(left: DataFrame, right: DataFrame, compare: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+    """``compare`` for all pairs of a block of left rows and a block of right rows, ``BLOCK_ROWS`` rows each, a task a pair.
+
+    Exact for any number of rows; what a task holds doesn't grow with it. Both frames have a column ``key``.
+    """
+    n = [max(1, -(-df.count() // BLOCK_ROWS)) for df in (left, right)]
+    block = lambda k: F.pmod(F.xxhash64("key"), F.lit(n[k])).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(n[k] - 1)))
+    a = left.withColumn("_i", block(0)).withColumn("_j", every(1))
+    b = right.withColumn("_j", block(1)).withColumn("_i", every(0))
+    return a.groupBy("_i", "_j").cogroup(b.groupBy("_i", "_j")).applyInArrow(compare, schema)
+
+
+def _column(t: pa.Table, name: str) -> np.ndarray:
+    return t.column(name).to_numpy()
+
+
+def _all_distances(a: pa.Table, b: pa.Table, size: int) -> np.ndarray:
+    return np.concatenate([np.zeros((0, b.num_rows)), *_distances(_matrix(a.column("v").combine_chunks(), size), _matrix(b.column("v").combine_chunks(), size))])
 
 
 def nearest(test: DataFrame, train: DataFrame, vector: str, key: str, size: int) -> DataFrame:
-    """(key, distance): each test row's distance to the nearest of the (sampled, bounded) training rows."""
-    _, block = _block(train, [], vector, size)
-    shared = test.sparkSession.sparkContext.broadcast(block)
+    """(key, distance): each test row's distance to the nearest of the training rows; infinite if there are none."""
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            near = [d.min(axis=1, initial=np.inf) for d in _distances(_matrix(batch.column(1), size), shared.value)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(near) if near else np.zeros(0))], [key, "distance"])
+    def least(a: pa.Table, b: pa.Table) -> pa.Table:
+        return pa.table({"key": a.column("key"), "distance": pa.array(_all_distances(a, b, size).min(axis=1, initial=np.inf))})
 
-    return test.select(F.col(key).cast("long").alias(key), vector).mapInArrow(search, f"`{key}` long, distance double")
+    rows = [df.select(F.col(key).cast("long").alias("key"), F.col(vector).alias("v")) for df in (test, train)]
+    return _in_blocks(*rows, least, "key long, distance double").groupBy(F.col("key").alias(key)).agg(F.min("distance").alias("distance"))
 
 
 def memorisation(test: DataFrame, train: DataFrame, vector: str, key: str, size: int, n_test: int = 1000, n_train: int = 5000) -> DataFrame:
@@ -116,28 +127,20 @@ def memorisation(test: DataFrame, train: DataFrame, vector: str, key: str, size:
 
 
 def silhouettes(sample: DataFrame, vector: str, key: str, label: str, size: int) -> DataFrame:
-    """(key, silhouette) over a bounded sample, Euclidean; a class of one row has 0."""
-    found, block = _block(sample, [label], vector, size)
-    names, which = np.unique(found[label].astype(str).to_numpy(), return_inverse=True) if len(found) else (np.array([]), np.zeros(0, int))
-    one = np.eye(len(names))[which]
-    shared = sample.sparkSession.sparkContext.broadcast((names, one, block))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, one, block = shared.value
-        n = one.sum(axis=0)
-        for batch in batches:
-            own = np.searchsorted(names, np.array(batch.column(1).to_pylist(), names.dtype))
-            parts = [d @ one for d in _distances(_matrix(batch.column(2), size), block)]
-            total = np.concatenate(parts) if parts else np.zeros((0, len(names)))
-            rows = np.arange(len(own))
-            a = total[rows, own] / np.maximum(1, n[own] - 1)
-            means = total / n
-            means[rows, own] = np.inf
-            b = means.min(axis=1, initial=np.inf)
-            s = np.where((n[own] > 1) & np.isfinite(b), (b - a) / np.maximum(np.maximum(a, b), 1e-300), 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s)], [key, "silhouette"])
+    """(key, silhouette) of all rows, Euclidean; a class of one row, or a single class, has 0."""
+
+    def totals(a: pa.Table, b: pa.Table) -> pa.Table:
+        names, which = np.unique(np.array(b.column("label").to_pylist(), object).astype(str), return_inverse=True)
+        sums = _all_distances(a, b, size) @ np.eye(len(names))[which]
+        keys, own = (np.repeat(np.array(a.column(c).to_pylist(), object), len(names)) for c in ("key", "label"))
+        return pa.table({"key": pa.array(keys, pa.int64()), "label": pa.array(own, pa.string()), "other": pa.array(np.tile(names, a.num_rows).tolist(), pa.string()), "total": pa.array(sums.ravel())})
 
-    return sample.select(F.col(key).cast("long").alias(key), F.col(label).cast("string").alias(label), vector).mapInArrow(score, f"`{key}` long, silhouette double")
+    rows = sample.select(F.col(key).cast("long").alias("key"), F.col(label).cast("string").alias("label"), F.col(vector).alias("v"))
+    sizes = rows.groupBy(F.col("label").alias("other")).agg(F.count(F.lit(1)).alias("n"))
+    sums = _in_blocks(rows, rows, totals, "key long, label string, other string, total double").groupBy("key", "label", "other").agg(F.sum("total").alias("total")).join(sizes, "other")
+    own = F.col("label") == F.col("other")
+    means = sums.groupBy(F.col("key").alias(key)).agg(F.max(F.when(own & (F.col("n") > 1), F.col("total") / (F.col("n") - 1))).alias("a"), F.min(F.when(~own, F.col("total") / F.col("n"))).alias("b"))
+    return means.select(key, F.coalesce((F.col("b") - F.col("a")) / F.greatest("a", "b", F.lit(1e-300)), F.lit(0.0)).alias("silhouette"))
 
 
 def folds(sample: DataFrame, label: str, key: str, k: int = 5) -> DataFrame:
@@ -147,35 +150,38 @@ def folds(sample: DataFrame, label: str, key: str, k: int = 5) -> DataFrame:
 
 
 def knn_accuracy(sample: DataFrame, vector: str, key: str, label: str, size: int, k: int = 5, n_folds: int = 5) -> DataFrame:
-    """(fold, accuracy): each row is classed by the majority of its k nearest rows of other folds, ties by class name."""
-    dealt = folds(sample, label, key, n_folds)
-    found, block = _block(dealt, [label, "fold"], vector, size)
-    names, which = np.unique(found[label].astype(str).to_numpy(), return_inverse=True) if len(found) else (np.array([]), np.zeros(0, int))
-    shared = sample.sparkSession.sparkContext.broadcast((names, which, found["fold"].to_numpy(np.int64) if len(found) else np.zeros(0, np.int64), block))
+    """(fold, accuracy): each row is classed by the majority of its k nearest rows of other folds, ties by class name; of
+    equally near rows those with the smaller key come first."""
+
+    def near(a: pa.Table, b: pa.Table) -> pa.Table:
+        """The k nearest of a block for each row."""
+        b = b.sort_by("key")
+        d = _all_distances(a, b, size)
+        d[_column(a, "fold")[:, None] == _column(b, "fold")[None, :]] = np.inf
+        order = np.argsort(d, axis=1, kind="stable")[:, :k]
+        row = np.repeat(np.arange(a.num_rows), order.shape[1])
+        kept = np.isfinite(d[row, order.ravel()])
+        row, at = row[kept], order.ravel()[kept]
+        mine, other = a.select(["key", "label", "fold"]).take(pa.array(row)), b.select(["key", "label"]).take(pa.array(at))
+        return pa.table([*mine.columns, *other.columns, pa.array(d[row, at])], ["key", "label", "fold", "near", "class", "distance"])
 
-    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, which, fold, block = shared.value
-        for batch in batches:
-            mine = batch.column(1).to_numpy(zero_copy_only=False)
-            at, right = 0, []
-            for d in _distances(_matrix(batch.column(2), size), block):
-                d[mine[at : at + len(d), None] == fold[None, :]] = np.inf
-                near = np.argsort(d, axis=1, kind="stable")[:, :k]
-                votes = np.stack([(which[near] == c).sum(axis=1) for c in range(len(names))], axis=1)
-                right += (names[votes.argmax(axis=1)] == np.array(batch.column(0).to_pylist()[at : at + len(d)])).tolist()
-                at += len(d)
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(np.array(right, np.float64))], ["fold", "hit"])
-
-    hits = dealt.select(F.col(label).cast("string").alias(label), F.col("fold").cast("long").alias("fold"), vector).mapInArrow(vote, "fold long, hit double")
-    return hits.groupBy("fold").agg(F.avg("hit").alias("accuracy"))
+    dealt = folds(sample, label, key, n_folds)
+    rows = dealt.select(F.col(key).cast("long").alias("key"), F.col(label).cast("string").alias("label"), F.col("fold").cast("long").alias("fold"), F.col(vector).alias("v"))
+    found = _in_blocks(rows, rows, near, "key long, label string, fold long, near long, class string, distance double")
+    nth = F.row_number().over(Window.partitionBy("key").orderBy("distance", "near"))
+    votes = found.withColumn("nth", nth).where(F.col("nth") <= k).groupBy("key", "label", "fold", "class").agg(F.count(F.lit(1)).alias("n"))
+    chosen = votes.groupBy("key", "label", "fold").agg(F.min_by("class", F.struct(-F.col("n"), F.col("class"))).alias("chosen"))
+    return chosen.groupBy("fold").agg(F.avg((F.col("chosen") == F.col("label")).cast("double")).alias("accuracy"))
 
 
 def separation_verdict(accuracy: Column, silhouette: Column) -> Column:
     return F.when((accuracy > 0.65) & (silhouette > 0.05), "separated").otherwise("not separated")
 
 
-def reparameterised(rows: DataFrame, seed: int, mu: str = "mu", logvar: str = "logvar") -> DataFrame:
-    """Adds z = mu + sigma * noise, with one normal draw per value from the row's own hash and the seed."""
+def reparameterised(rows: DataFrame, seed: int, mu: str = "mu", logvar: str = "logvar", noise: str | None = None) -> DataFrame:
+    """Adds z = mu + sigma * noise, with one normal draw per value from the row's own hash and the seed, or the numbers of
+    the array column ``noise``."""
     uniform = lambda i, salt: (F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), F.col("vec_id"), i), F.lit(1 << 52)) + 1) / float((1 << 52) + 1)
-    noise = lambda i: F.sqrt(-2 * F.log(uniform(i, 1))) * F.cos(2 * np.pi * uniform(i, 2))
-    return rows.withColumn("z", F.transform(F.col(mu), lambda m, i: m + F.exp(0.5 * F.get(F.col(logvar), i)) * noise(i)))
+    drawn = lambda i: F.sqrt(-2 * F.log(uniform(i, 1))) * F.cos(2 * np.pi * uniform(i, 2))
+    at = drawn if noise is None else lambda i: F.get(F.col(noise), i)
+    return rows.withColumn("z", F.transform(F.col(mu), lambda m, i: m + F.exp(0.5 * F.get(F.col(logvar), i)) * at(i)))

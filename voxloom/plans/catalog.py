@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 FLAGSHIP = "ref54_distribution_by_split"
-MODULES = ("q_volumes", "q_splits", "q_metrics", "q_analysis", "q_evaluation", "q_sources")
+MODULES = ("q_volumes", "q_splits", "q_metrics", "q_analysis", "q_evaluation", "q_sources", "q_files")
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 

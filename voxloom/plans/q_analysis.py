@@ -113,9 +113,9 @@ def class_counts(spark, sf):
     return classes(spark, sf).groupBy("patch_class").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("ref117_reservoir", "SELECT label, vec_id FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('42|' || vec_id::VARCHAR), vec_id) AS k FROM embeddings) WHERE k <= 20")
+@query("ref117_reservoir", "SELECT label, vec_id FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('42|' || vec_id::VARCHAR), vec_id) AS k FROM embeddings) WHERE k <= 1024")
 def reservoir(spark, sf):
-    return la.reservoir(si.table(spark, sf, "embeddings").select("label", "vec_id"), "label", "vec_id", 20)
+    return la.reservoir(si.table(spark, sf, "embeddings").select("label", "vec_id"), "label", "vec_id")
 
 
 @with_sql("ref118_channel_table", "SELECT vec_id, " + ", ".join(f"round(avg(mu) FILTER (ch = {c}), 6) AS mu_ch{c:02d}_mean" for c in range(8)) + " FROM p GROUP BY 1")
@@ -143,11 +143,12 @@ def components(spark, sf):
     return la.projected(e, "embedding", mean, axes).select("vec_id", F.transform("pc", lambda v: F.round(v, 6)).alias("pc"))
 
 
-_DIST = "s AS (SELECT vec_id, label::VARCHAR AS label, [x::DOUBLE FOR x IN embedding] AS v FROM embeddings WHERE label < 2), d AS (SELECT a.vec_id, a.label AS la, b.vec_id AS wid, b.label AS lb, list_distance(a.v, b.v) AS d FROM s a JOIN s b ON a.vec_id <> b.vec_id)"
+_DIST = "s AS (SELECT vec_id, (label < 5)::INT::VARCHAR AS label, [x::DOUBLE FOR x IN embedding] AS v FROM embeddings), d AS (SELECT a.vec_id, a.label AS la, b.vec_id AS wid, b.label AS lb, list_distance(a.v, b.v) AS d FROM s a JOIN s b ON a.vec_id <> b.vec_id)"
 
 
 def two(spark, sf):
-    return si.table(spark, sf, "embeddings").where("label < 2")
+    """All rows, in two classes of labels."""
+    return si.table(spark, sf, "embeddings").withColumn("label", (F.col("label") < 5).cast("int").cast("string"))
 
 
 @query("ref123_silhouette", f"WITH {_DIST}, m AS (SELECT vec_id, la, avg(d) FILTER (la = lb) AS a, avg(d) FILTER (la <> lb) AS b FROM d GROUP BY 1, 2) SELECT vec_id, round(coalesce((b - a) / greatest(a, b), 0), 5) AS silhouette FROM m")
@@ -173,10 +174,10 @@ def crops(spark, sf):
     return rounded(si.model_output(spark, sf).select("vec_id", total(tx.crop(central_slice(F.col("xct"), 4, 0), 4, 4, F.lit(9), F.lit(0), 2)).alias("corner")))
 
 
-@query("ref94_memorisation", "WITH s AS (SELECT vec_id, [x::DOUBLE FOR x IN embedding] AS v, row_number() OVER (PARTITION BY vec_id % 4 = 0 ORDER BY md5('nn|' || vec_id::VARCHAR), vec_id) AS k, vec_id % 4 = 0 AS t FROM embeddings), m AS (SELECT a.vec_id, min(list_distance(a.v, b.v)) AS d FROM s a JOIN s b ON a.t AND NOT b.t AND a.k <= 100 AND b.k <= 300 GROUP BY 1) SELECT round(avg(d), 5) AS nn_mean, round(stddev_samp(d), 5) AS nn_std, count(*) AS n FROM m")
+@query("ref94_memorisation", "WITH s AS (SELECT vec_id, [x::DOUBLE FOR x IN embedding] AS v, row_number() OVER (PARTITION BY vec_id % 4 = 0 ORDER BY md5('nn|' || vec_id::VARCHAR), vec_id) AS k, vec_id % 4 = 0 AS t FROM embeddings), m AS (SELECT a.vec_id, min(list_distance(a.v, b.v)) AS d FROM s a JOIN s b ON a.t AND NOT b.t AND a.k <= 1000 AND b.k <= 5000 GROUP BY 1) SELECT round(avg(d), 5) AS nn_mean, round(stddev_samp(d), 5) AS nn_std, count(*) AS n FROM m")
 def memorisation(spark, sf):
     e = si.table(spark, sf, "embeddings")
-    return rounded(la.memorisation(e.where("vec_id % 4 = 0"), e.where("vec_id % 4 <> 0"), "embedding", "vec_id", 64, 100, 300), 5)
+    return rounded(la.memorisation(e.where("vec_id % 4 = 0"), e.where("vec_id % 4 <> 0"), "embedding", "vec_id", 64), 5)
 
 
 @query("ref130_reparameterised")

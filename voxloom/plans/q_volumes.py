@@ -87,9 +87,9 @@ def patch_grid(spark, sf):
     return pi.grid(si.shapes(spark, sf), 4, 2).select("volume_id", "source_group", "split", "z0", "y0", "x0")
 
 
-@query("ref38_integral_volume", f"WITH {si.PLACED_SQL} SELECT a.volume_id, a.z::INT AS z, a.y::INT AS y, a.x::INT AS x, sum(b.mask)::BIGINT AS s FROM placed a JOIN placed b ON a.volume_id = b.volume_id AND b.z <= a.z AND b.y <= a.y AND b.x <= a.x WHERE a.volume_id::INT % 4 = 0 GROUP BY ALL")
+@query("ref38_integral_volume", f"WITH {si.PLACED_SQL}, a AS (SELECT volume_id, z, y, x, sum(mask) OVER (PARTITION BY volume_id, z, y ORDER BY x) AS s FROM placed), b AS (SELECT volume_id, z, y, x, sum(s) OVER (PARTITION BY volume_id, z, x ORDER BY y) AS s FROM a) SELECT volume_id, z::INT AS z, y::INT AS y, x::INT AS x, (sum(s) OVER (PARTITION BY volume_id, y, x ORDER BY z))::BIGINT AS s FROM b")
 def integral_volume(spark, sf):
-    return pi.integral(si.placed(spark, sf)).where(F.col("volume_id").cast("int") % 4 == 0)
+    return pi.integral(si.placed(spark, sf))
 
 
 @query("ref39_box_sums", f"WITH {si.PLACED_SQL}, {si.SHAPES_SQL}, g AS ({_GRID.format(ps=3, st=5)}) {_SUMS.format(ps=3)}")
