@@ -28,8 +28,8 @@ HALVES = 2
 #: Words that differ between texts of similarity 0.8 turn about 17 of 128 bits at most, with a deviation of 4.
 RADIUS = 31
 BLOCK_BITS = 16
-#: Shingles of the items that are broadcast; more are looked up by a join that shuffles.
-BROADCAST_SHINGLES = 500_000
+#: Shingles of the items, and probes of their fingerprints, that are broadcast; more are looked up by a join that shuffles.
+BROADCAST_SHINGLES, BROADCAST_PROBES = 500_000, 1_000_000
 GAP = r"[\x20\x09-\x0D]+"
 
 
@@ -107,6 +107,10 @@ def item_probes(fingerprint: Column) -> Column:
     return _probes(fingerprint, [(0, 0), (0, 1), (0, 2), (1, 2)])
 
 
+#: Blocks times choices of at most two bits, those of two bits twice.
+PROBES_AN_ITEM = 64 * HALVES // BLOCK_BITS * (1 + BLOCK_BITS + BLOCK_BITS * (BLOCK_BITS - 1))
+
+
 def _starts(places: Column, length: Column, n_words: Column) -> Column:
     """The starts of all windows with ceil(0.8 n) of ``places`` or more, n = length - 4; a text shorter than that is one.
 
@@ -169,6 +173,7 @@ def text_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     prints = saved(windows(rows, full, most), "windows")
     left = prints.select("id", "h", "start", "length", "print", F.explode(window_probes(F.col("print"))).alias("probe"))
     right = index.select("item", "length", F.col("print").alias("item_print"), F.explode(item_probes(F.col("print"))).alias("probe"))
+    right = F.broadcast(right) if index.count() * PROBES_AN_ITEM <= BROADCAST_PROBES else right.hint("merge")
     differ = [F.get("print", F.lit(h)).bitwiseXOR(F.get("item_print", F.lit(h))) for h in range(HALVES)]
     met = left.join(right, ["length", "probe"]).where(sum((F.bit_count(d) for d in differ[1:]), F.bit_count(differ[0])) <= RADIUS)
     number, each = F.shiftright("probe", BLOCK_BITS + 1), 64 // BLOCK_BITS
