@@ -124,6 +124,15 @@ def test_more_labels_than_may_be_broadcast(docs, labels, monkeypatch):
     assert Counter((r.doc_id, round(r.score, 9)) for r in few[1]) == Counter((r.doc_id, round(r.score, 9)) for r in toxicity.toxicity(docs, labels).collect())
 
 
+def test_toxicity_of_another_order_of_rows(spark):
+    """Partitions and the order of rows don't change a score."""
+    sf = SF.replace("0.001", "0.01")
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    once = {r.doc_id: r.score for r in toxicity.toxicity(docs, labels).collect()}
+    again = {r.doc_id: r.score for r in toxicity.toxicity(docs.repartition(7, "n_chars").sortWithinPartitions("text"), labels.repartition(3)).collect()}
+    assert once == again
+
+
 def test_toxicity_of_odd_rows(docs, labels):
     got = toxicity.toxicity(docs, labels).collect()
     assert Counter(r.doc_id for r in got) == Counter(r.doc_id for r in docs.collect())

@@ -133,8 +133,11 @@ def _counted(texts: Iterator[pa.RecordBatch], known: np.ndarray | None) -> Itera
         column = filled(batch.column(0))
         for low, high in slices(column):
             own = Texts(column.slice(low, high - low))
-            ids, n = np.unique(features(own)[1] if known is None else _hits(own, known)[1], return_counts=True)
-            seen[ids] += n
+            if known is None:
+                ids, n = np.unique(features(own)[1], return_counts=True)
+                seen[ids] += n
+            else:
+                seen += np.bincount(_hits(own, known)[1], minlength=len(known))
     some = np.flatnonzero(seen)
     yield pa.RecordBatch.from_arrays([pa.array(some if known is None else known[some]), pa.array(seen[some])], ["feature", "n"])
 
@@ -172,7 +175,9 @@ def _hits(texts: Texts, used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(sample: pd.DataFrame, size: int, prior: float) -> bytes:
-    """Weights (feature, model) and biases, pickled. Rows: in_p, in_u, hits (places of the chosen features)."""
+    """Weights (feature, model) and biases, pickled. Rows: at, in_p, in_u, hits (places of the chosen features); they are put
+    into the order of ``at``, a hash, so that every run draws the same batches."""
+    sample = sample.sort_values("at", kind="stable")
     prior = float(np.clip(prior, 1e-3, 0.5))
     sides = []
     for side in ("in_p", "in_u"):
@@ -217,7 +222,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     used = chosen(rows, sizes["n_p"], sizes["n"]) if sizes["n_p"] else np.zeros(0, np.int64)
     shared_used = spark.sparkContext.broadcast(used)
     draw = lambda k, most, of: F.pmod(F.xxhash64("text", "_id", F.lit(k)), F.lit(1 << 30)) < most / max(1, of) * (1 << 30)
-    drawn = rows.select("text", (F.col("example") & draw(1, MOST_EXAMPLES, sizes["n_p"])).alias("in_p"), draw(2, MOST_UNLABELLED, sizes["n"]).alias("in_u"))
+    drawn = rows.select("text", F.xxhash64("text", "_id").alias("at"), (F.col("example") & draw(1, MOST_EXAMPLES, sizes["n_p"])).alias("in_p"), draw(2, MOST_UNLABELLED, sizes["n"]).alias("in_u"))
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -225,10 +230,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
             for low, high in slices(column):
                 found, at = _hits(Texts(column.slice(low, high - low)), shared_used.value)
                 ends = np.searchsorted(found, np.arange(high - low + 1)).astype(np.int32)
-                own = [batch.column(k).slice(low, high - low) for k in (1, 2)]
-                yield pa.RecordBatch.from_arrays([*own, pa.ListArray.from_arrays(pa.array(ends), pa.array(at.astype(np.int32)))], ["in_p", "in_u", "hits"])
+                own = [batch.column(k).slice(low, high - low) for k in (1, 2, 3)]
+                yield pa.RecordBatch.from_arrays([*own, pa.ListArray.from_arrays(pa.array(ends), pa.array(at.astype(np.int32)))], ["at", "in_p", "in_u", "hits"])
 
-    sample = drawn.where("in_p or in_u").mapInArrow(hits, "in_p boolean, in_u boolean, hits array<int>")
+    sample = drawn.where("in_p or in_u").mapInArrow(hits, "at long, in_p boolean, in_u boolean, hits array<int>")
     fit = sample.groupBy(F.lit(0).alias("all")).applyInPandas(lambda s: pd.DataFrame({"model": [train(s, len(used), prior)]}), "model binary").first()
     weights, bias = pickle.loads(fit["model"]) if fit else (np.zeros((len(used), MODELS)), np.full(MODELS, np.log(prior / (1 - prior))))
     shared = spark.sparkContext.broadcast((used, weights, bias))
