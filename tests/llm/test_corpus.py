@@ -14,7 +14,6 @@ from tests.conftest import SF
 from tests.llm.plain import ODD, WORD, shingles
 from voxloom.llm import decontaminate, minhash, mixing
 from voxloom.llm.text import Texts, counted
-from voxloom.operators import components
 
 FIELDS = "doc_id long, text string, lang string, source string, n_chars long, label string, id long"
 
@@ -123,17 +122,6 @@ def test_signature_estimates_probability_jaccard():
     assert abs((sig[0] == sig[1]).mean() - true) < 0.04
 
 
-def test_components(spark):
-    rnd = random.Random(4)
-    pairs = [(rnd.randint(0, 300), rnd.randint(0, 300)) for _ in range(180)] + [(1000 + i, 1001 + i) for i in range(60)]
-    got = {r.node: r.label for r in components.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
-    up = {x: x for p in pairs for x in p}
-    for _ in range(400):
-        for a, b in pairs:
-            up[a] = up[b] = min(up[a], up[b])
-    assert got == {x: up[x] for p in pairs if p[0] != p[1] for x in p}
-
-
 def test_empty(spark):
     none = spark.createDataFrame([], FIELDS)
     assert minhash.near_duplicates(none).count() == 0
