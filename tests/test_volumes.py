@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from voxloom.operators import components, patch_index, segmentation, splits, statistics, volumes
+from voxloom.sources import chunks
 
 
 def rows_of(volume, name="a"):
@@ -17,6 +18,21 @@ def frame(spark, volume, name="a"):
     return spark.createDataFrame(rows_of(volume, name), "volume_id string, z int, y int, x int, v int")
 
 
+def pieces(spark, volume, name="a", size=5):
+    """Chunks of a volume."""
+    rows = []
+    for at in np.ndindex(*[-(-n // size) for n in volume.shape]):
+        cube = volume[tuple(slice(k * size, (k + 1) * size) for k in at)]
+        rows.append((name, *at, *cube.shape, bytearray(cube.astype(np.uint8).tobytes())))
+    return spark.createDataFrame(rows, "volume_id string, cz int, cy int, cx int, d int, h int, w int, xct binary")
+
+
+def flags(found, *columns, size=5):
+    """The set of places for each column of bytes."""
+    rows = chunks.voxels(found, size, {c: c for c in columns}).collect()
+    return [{(r.z, r.y, r.x) for r in rows if r[c]} for c in columns]
+
+
 def flood(mask, offsets):
     """Labels by flood fill, in raster order from 1."""
     label, n = np.zeros(mask.shape, int), 0
@@ -111,11 +127,28 @@ def test_components(spark, connectivity, offsets):
 
 
 def test_material_mask(spark, volume):
-    assert voxels(segmentation.material_mask(frame(spark, volume))) == true(plain_material(volume))
+    assert flags(segmentation.material_mask(pieces(spark, volume), 5), "sample") == [true(plain_material(volume))]
+
+
+@pytest.mark.parametrize(("window", "size"), [(3, 5), (8, 3), (30, 4), (4, 20)])
+def test_local_threshold_over_chunks(spark, volume, window, size):
+    want = np.stack([plain_sauvola(volume[:, y, :], window, 0.125) for y in range(volume.shape[1])], axis=1)
+    assert flags(segmentation.local_threshold(pieces(spark, volume, size=size), window, 0.125, size), "binary", size=size) == [true(want)]
+
+
+def test_histogram_of_chunks(spark, volume):
+    got = {r.v: r.n for r in segmentation.histogram(pieces(spark, volume)).collect()}
+    assert got == dict(Counter(volume.ravel().tolist()))
+
+
+def test_runs_that_touch_or_overlap_are_merged(spark):
+    rows = [("a", 0, 0, 0, 4), ("a", 0, 0, 2, 3), ("a", 0, 0, 5, 6), ("a", 0, 0, 8, 9), ("a", 0, 0, 8, 9), ("a", 0, 1, 1, 1)]
+    got = components.merged(spark.createDataFrame(rows, "volume_id string, z int, y int, x0 int, x1 int")).collect()
+    assert {(r.y, r.x0, r.x1) for r in got} == {(0, 0, 6), (0, 8, 9), (1, 1, 1)} and len(got) == 3
 
 
 def test_segmented_pores(spark, volume):
-    got = segmentation.segmented_pores(frame(spark, volume), frontwall=2, backwall=9, window=4, k=0.125, least=2).collect()
+    got = segmentation.segmented_pores(pieces(spark, volume), frontwall=2, backwall=9, window=4, k=0.125, least=2, size=5)
     at = np.argwhere(volume > 0)
     lo, hi = np.maximum(at.min(axis=0) - 4, 0), np.minimum(at.max(axis=0) + 4, np.array(volume.shape) - 1) + 1
     box = tuple(slice(a, b) for a, b in zip(lo, hi, strict=True))
@@ -125,15 +158,13 @@ def test_segmented_pores(spark, volume):
     binary, sample = np.zeros(volume.shape, bool), np.zeros(volume.shape, bool)
     binary[box], sample[box] = local, plain_material(crop)
     pores = plain_clean(~binary & sample, 2)
-    assert {(r.z, r.y, r.x) for r in got if r.binary} == true(binary)
-    assert {(r.z, r.y, r.x) for r in got if r.sample} == true(sample)
-    assert {(r.z, r.y, r.x) for r in got if r.pore} == true(pores) and pores.any()
-    assert len(got) == volume.size
+    assert flags(got, "binary", "sample", "pore") == [true(binary), true(sample), true(pores)] and pores.any()
+    assert chunks.voxels(got, 5, {"pore": "pore"}).count() == volume.size
 
 
 def test_empty_volume_has_no_pores_and_is_all_sample(spark):
-    got = segmentation.masks(frame(spark, np.zeros((3, 3, 3), int))).collect()
-    assert len(got) == 27 and all(r["mask"] == 0 and r.sample for r in got)
+    got = segmentation.masks(pieces(spark, np.zeros((3, 6, 3), int)), size=5)
+    assert flags(got, "mask", "sample") == [set(), true(np.ones((3, 6, 3)))]
 
 
 def test_statistics(spark, volume):
@@ -165,15 +196,19 @@ def test_box_sums(spark):
     assert got == {("a", 0): 0, ("a", 4): 1, ("b", 4): 64, ("c", 2): 0}
 
 
-def test_two_point_curve():
-    mask = np.random.default_rng(2).random((5, 6, 7)) < 0.4
+@pytest.mark.parametrize(("shape", "side", "r_max"), [((5, 6, 7), 3, 6), ((9, 4, 10), 4, 3), ((7, 7, 7), 16, 2.5), ((1, 8, 5), 2, 20)])
+def test_two_point_curves(spark, shape, side, r_max):
+    mask = np.random.default_rng(2).random(shape) < 0.4
     sums, counts = np.zeros(6), np.zeros(6)
     for lag in np.ndindex(mask.shape):
         r = np.sqrt(sum(min(d, n - d) ** 2 for d, n in zip(lag, mask.shape, strict=True)))
-        if r < 6:
-            sums[int(r)] += (mask & np.roll(mask, lag, (0, 1, 2))).mean()
-            counts[int(r)] += 1
-    assert np.allclose(volumes.two_point(mask, 6, 6), sums / np.maximum(counts, 1))
+        if r < r_max:
+            at = np.searchsorted(np.linspace(0, r_max, 7), r, side="right") - 1
+            sums[at] += (mask & np.roll(mask, lag, (0, 1, 2))).mean()
+            counts[at] += 1
+    shapes = spark.createDataFrame([("a", *shape), ("empty", 2, 2, 2)], "volume_id string, d int, h int, w int")
+    got = {r.volume_id: r.s2 for r in volumes.two_point_curves(frame(spark, mask.astype(int)).where("v = 1"), shapes, r_max, 6, side).collect()}
+    assert np.allclose(got["a"], sums / np.maximum(counts, 1)) and got["empty"] == [0.0] * 6
 
 
 def test_hull():
@@ -184,6 +219,8 @@ def test_hull():
     assert volumes.hull_voxels(np.array([[0, 0, 0], [0, 0, 4]])) == 5
     ball = np.argwhere(sum((g - 6) ** 2 for g in np.meshgrid(*[np.arange(13)] * 3, indexing="ij")) <= 30)
     assert len(ball) <= volumes.hull_voxels(ball) <= 1.2 * len(ball)
+    ends = np.array([p for p in ball.tolist() if [*p[:2], p[2] + 1] not in ball.tolist() or [*p[:2], p[2] - 1] not in ball.tolist()])
+    assert len(ends) < len(ball) and volumes.hull_voxels(ends) == volumes.hull_voxels(ball)
     shell = ball[rng.permutation(len(ball))[: len(ball) // 2]]
     assert len(shell) < volumes.hull_voxels(shell) <= volumes.hull_voxels(ball)
 

@@ -39,24 +39,44 @@ def runs(voxels: DataFrame) -> DataFrame:
     return numbered.groupBy("volume_id", "z", "y", "_run").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).drop("_run")
 
 
-def labelled(voxels: DataFrame, connectivity: int) -> DataFrame:
-    """(volume_id, z, y, x, label): label is the (z, y, x) of the component's first voxel in that order.
+def merged(pieces: DataFrame) -> DataFrame:
+    """(volume_id, z, y, x0, x1): the maximal runs of runs that may overlap, touch or repeat within a line."""
+    line = Window.partitionBy("volume_id", "z", "y").orderBy("x0", "x1")
+    before = F.max("x1").over(line.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = pieces.select("volume_id", "z", "y", "x0", "x1", F.when(F.col("x0") <= before + 1, 0).otherwise(1).alias("_fresh"))
+    numbered = fresh.withColumn("_run", F.sum("_fresh").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy("volume_id", "z", "y", "_run").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1")).drop("_run")
+
+
+def labelled_runs(lines: DataFrame, connectivity: int) -> DataFrame:
+    """(volume_id, z, y, x0, x1, label) of maximal runs; label is the (z, y, x) of the component's first voxel in that order.
 
     Runs, not voxels, are the nodes: a solid of n voxels has about n ** (2/3) of them. Connectivity 4 and 8 stay within a
     slice of equal z, 6 and 26 go across.
     """
-    lines, gap = NEIGHBOURS[connectivity]
-    own = saved(runs(voxels).withColumn("node", F.struct("volume_id", "z", "y", "x0")), "runs")
-    step = F.explode(F.array(*[F.struct(F.lit(dz).alias("dz"), F.lit(dy).alias("dy")) for dz, dy in lines])).alias("d")
-    near = own.select("volume_id", "node", "x0", "x1", "z", "y", step).select("volume_id", F.col("node").alias("a"), F.col("x0").alias("a0"), F.col("x1").alias("a1"), (F.col("z") + F.col("d.dz")).alias("z"), (F.col("y") + F.col("d.dy")).alias("y"))
-    edges = near.join(own.select("volume_id", "z", "y", F.col("node").alias("b"), "x0", "x1"), ["volume_id", "z", "y"]).where((F.col("x0") <= F.col("a1") + gap) & (F.col("a0") <= F.col("x1") + gap))
+    near, gap = NEIGHBOURS[connectivity]
+    own = saved(lines.select("volume_id", "z", "y", "x0", "x1", F.struct("volume_id", "z", "y", "x0").alias("node")), "runs")
+    step = F.explode(F.array(*[F.struct(F.lit(dz).alias("dz"), F.lit(dy).alias("dy")) for dz, dy in near])).alias("d")
+    moved = own.select("volume_id", "node", "x0", "x1", "z", "y", step).select("volume_id", F.col("node").alias("a"), F.col("x0").alias("a0"), F.col("x1").alias("a1"), (F.col("z") + F.col("d.dz")).alias("z"), (F.col("y") + F.col("d.dy")).alias("y"))
+    edges = moved.join(own.select("volume_id", "z", "y", F.col("node").alias("b"), "x0", "x1"), ["volume_id", "z", "y"]).where((F.col("x0") <= F.col("a1") + gap) & (F.col("a0") <= F.col("x1") + gap))
     found = components(edges.select("a", "b"))
     named = own.join(found, "node", "left").withColumn("label", F.coalesce("label", "node"))
     first = F.struct(F.col("label.z").alias("z"), F.col("label.y").alias("y"), F.col("label.x0").alias("x"))
-    return named.select("volume_id", "z", "y", F.explode(F.sequence("x0", "x1")).alias("x"), first.alias("label"))
+    return named.select("volume_id", "z", "y", "x0", "x1", first.alias("label"))
+
+
+def spread(lines: DataFrame) -> DataFrame:
+    """The voxels of runs: (volume_id, z, y, x) and the other columns of the run."""
+    rest = [c for c in lines.columns if c not in ("volume_id", "z", "y", "x0", "x1")]
+    return lines.select("volume_id", "z", "y", F.explode(F.sequence("x0", "x1")).alias("x"), *rest)
+
+
+def labelled(voxels: DataFrame, connectivity: int) -> DataFrame:
+    """(volume_id, z, y, x, label) of set voxels."""
+    return spread(labelled_runs(runs(voxels), connectivity))
 
 
-def sizes(labels: DataFrame) -> DataFrame:
-    """(volume_id, label, size, dz, dy, dx): voxels and extents of each component."""
+def sizes(lines: DataFrame) -> DataFrame:
+    """(volume_id, label, size, dz, dy, dx) of labelled runs: voxels and extents of each component."""
     extent = lambda a: (F.max(a) - F.min(a) + 1).alias(f"d{a}")
-    return labels.groupBy("volume_id", "label").agg(F.count(F.lit(1)).alias("size"), extent("z"), extent("y"), extent("x"))
+    return lines.groupBy("volume_id", "label").agg(F.sum((F.col("x1") - F.col("x0") + 1).cast("long")).alias("size"), extent("z"), extent("y"), (F.max("x1") - F.min("x0") + 1).alias("dx"))

@@ -1,130 +1,292 @@
 """Segmentation of volumes: local and global thresholds, material mask, pores.
 
-``voxels``: volume_id, z, y, x, v; dense. Local thresholds are computed slice by slice in NumPy; everything that spans a
-volume (histograms, boxes, components, void filling) is joins and grouping, so no volume has to fit into a task.
+Volumes are chunks (volume_id, cz, cy, cx, d, h, w, xct; dense, see ``sources.chunks``) and stay chunks: a mask is one more
+column of bytes. Only strips at the faces of chunks are shuffled for local thresholds, and runs of voxels along x for what
+spans a volume (components, void filling); boxes and histograms are partial aggregations. No volume has to fit into a task.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxloom.operators import statistics
-from voxloom.operators.components import labelled, sizes
+from voxloom.operators.components import labelled_runs, merged, runs, sizes, spread
 from voxloom.scratch import saved
 
 RANGE = 128.0
 #: A value that exceeds its threshold by less than rounding errors of sums doesn't exceed it.
 TIE = 1e-9
 MARGIN = 4
+CHUNK = ["volume_id", "cz", "cy", "cx"]
+EXTENT = ["d", "h", "w"]
+BOX = ["z0", "z1", "y0", "y1", "x0", "x1"]
+_KEYS = "volume_id string, cz int, cy int, cx int"
+_RUNS = "volume_id string, z int, y int, x0 int, x1 int"
+_KINDS = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+
+
+def _per_chunk(chunks: DataFrame, schema: str, rows: Callable[[dict], dict | None]) -> DataFrame:
+    """What ``rows`` makes of each chunk: columns of ``schema``, single values or arrays of equal length."""
+    columns = [c.split(" ") for c in schema.split(", ")]
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                r = batch.slice(k, 1).to_pylist()[0]
+                out = rows(r)
+                if out is None:
+                    continue
+                n = max((len(v) for v in out.values() if isinstance(v, np.ndarray)), default=1)
+                yield pa.RecordBatch.from_arrays([pa.array(out[c].astype(np.int64) if isinstance(out[c], np.ndarray) else [out[c]] * n).cast(_KINDS[kind]) for c, kind in columns], [c for c, _ in columns])
+
+    return chunks.mapInArrow(mapped, schema)
+
+
+def _cube(r: dict, column: str = "xct") -> np.ndarray:
+    return np.frombuffer(r[column], np.uint8).reshape([r[c] for c in EXTENT])
+
+
+def _inside(r: dict, size: int) -> tuple[slice, ...]:
+    """The part of a chunk that lies in the row's box."""
+    return tuple(slice(max(0, r[f"{a}0"] - r[f"c{a}"] * size), max(0, min(r[n], r[f"{a}1"] + 1 - r[f"c{a}"] * size))) for a, n in zip("zyx", EXTENT, strict=True))
+
+
+def _lines(on: np.ndarray, r: dict, size: int) -> dict | None:
+    """The runs along x of a chunk's set voxels; a run ends at the chunk's face."""
+    wide = np.pad(on.astype(np.int8), [(0, 0), (0, 0), (1, 1)])
+    step = np.diff(wide, axis=2)
+    (z, y, x0), (_, _, x1) = np.nonzero(step == 1), np.nonzero(step == -1)
+    if not len(z):
+        return None
+    return {"volume_id": r["volume_id"], "z": z + r["cz"] * size, "y": y + r["cy"] * size, "x0": x0 + r["cx"] * size, "x1": x1 - 1 + r["cx"] * size}
+
+
+def _drawn(lines: DataFrame, size: int, name: str) -> DataFrame:
+    """(volume_id, cz, cy, cx, name): the runs of each chunk, cut at its faces; at most as many as half its voxels."""
+    at = lines.withColumn("cx", F.explode(F.sequence(F.floor(F.col("x0") / size).cast("int"), F.floor(F.col("x1") / size).cast("int"))))
+    own = [F.col("z") % size, F.col("y") % size, F.greatest("x0", F.col("cx") * size) % size, F.least(F.col("x1"), (F.col("cx") + 1) * size - 1) % size]
+    part = F.struct(*[c.cast("int").alias(a) for c, a in zip(own, ("z", "y", "x0", "x1"), strict=True)])
+    return at.groupBy("volume_id", F.floor(F.col("z") / size).cast("int").alias("cz"), F.floor(F.col("y") / size).cast("int").alias("cy"), "cx").agg(F.collect_list(part).alias(name))
 
 
-def sauvola(image: np.ndarray, window: int, k: float) -> np.ndarray:
-    """Whether each pixel exceeds the threshold m (1 + k (s / 128 - 1)) of its window; edges are mirrored.
+def _draw(r: dict, name: str) -> np.ndarray:
+    out = np.zeros([r[c] for c in EXTENT], bool)
+    for p in r[name] or []:
+        out[p["z"], p["y"], p["x0"] : p["x1"] + 1] = True
+    return out
 
-    An even window grows by one.
+
+def histogram(chunks: DataFrame) -> DataFrame:
+    """(volume_id, v, n) of the intensities that occur."""
+
+    def counts(r: dict) -> dict:
+        n = np.bincount(np.frombuffer(r["xct"], np.uint8), minlength=256)
+        return {"volume_id": r["volume_id"], "v": np.flatnonzero(n), "n": n[n > 0]}
+
+    return _per_chunk(chunks, "volume_id string, v int, n long", counts).groupBy("volume_id", "v").agg(F.sum("n").alias("n"))
+
+
+def sauvola(wide: np.ndarray, window: int, k: float) -> np.ndarray:
+    """Whether pixels exceed the threshold m (1 + k (s / 128 - 1)) of their window, slice by slice along the middle axis.
+
+    ``wide`` has ``window // 2`` pixels more on each end of the first and last axis than the result.
     """
-    w = window + (window % 2 == 0)
-    pad = w // 2
-    wide = np.pad(image.astype(np.float64), pad, mode="reflect")
+    w, wide = 2 * (window // 2) + 1, wide.astype(np.float64)
 
     def box(a: np.ndarray) -> np.ndarray:
-        s = np.zeros((a.shape[0] + 1, a.shape[1] + 1))
-        s[1:, 1:] = a.cumsum(axis=0).cumsum(axis=1)
-        return (s[w:, w:] - s[:-w, w:] - s[w:, :-w] + s[:-w, :-w]) / (w * w)
+        s = np.pad(a, [(1, 0), (0, 0), (1, 0)]).cumsum(axis=0).cumsum(axis=2)
+        return (s[w:, :, w:] - s[:-w, :, w:] - s[w:, :, :-w] + s[:-w, :, :-w]) / (w * w)
 
     m = box(wide)
     s = np.sqrt(np.maximum(box(wide * wide) - m * m, 0))
-    return image - m * (1 + k * (s / RANGE - 1)) > TIE
+    p = w // 2
+    return wide[p : wide.shape[0] - p, :, p : wide.shape[2] - p] - m * (1 + k * (s / RANGE - 1)) > TIE
 
 
-def local_threshold(voxels: DataFrame, window: int, k: float) -> DataFrame:
-    """(volume_id, z, y, x, v, binary): Sauvola's threshold in every slice of equal y; binary marks material."""
+def box_of(chunks: DataFrame, size: int = 64) -> DataFrame:
+    """(volume_id, z0, z1, y0, y1, x0, x1): what holds all voxels above 0, and ``MARGIN`` around it inside the volume."""
 
-    def slice_of(t: pa.Table) -> pa.Table:
-        z, x = (t.column(c).to_numpy() for c in ("z", "x"))
-        image = np.zeros((z.max() - z.min() + 1, x.max() - x.min() + 1))
-        image[z - z.min(), x - x.min()] = t.column("v").to_numpy()
-        hit = sauvola(image, window, k)[z - z.min(), x - x.min()]
-        return t.append_column("binary", pa.array(hit))
+    def ends(r: dict) -> dict:
+        cube, out = _cube(r), {"volume_id": r["volume_id"]}
+        for k, (a, n) in enumerate(zip("zyx", EXTENT, strict=True)):
+            at = np.flatnonzero(cube.any(axis=tuple({0, 1, 2} - {k}))) + r[f"c{a}"] * size
+            out |= {f"{a}0": int(at[0]) if len(at) else None, f"{a}1": int(at[-1]) if len(at) else None, f"n{a}": r[f"c{a}"] * size + r[n] - 1}
+        return out
 
-    rows = voxels.select("volume_id", "z", "y", "x", "v")
-    return rows.groupBy("volume_id", "y").applyInArrow(slice_of, rows.select("*", F.lit(True).alias("binary")).schema)
+    found = _per_chunk(chunks, "volume_id string, " + ", ".join(f"{a}0 int, {a}1 int, n{a} int" for a in "zyx"), ends)
+    out = found.groupBy("volume_id").agg(*[f(f"{a}{n}").alias(f"{a}{n}") for a in "zyx" for n, f in (("0", F.min), ("1", F.max))], *[F.max(f"n{a}").alias(f"n{a}") for a in "zyx"]).where("z0 is not null")
+    return out.select("volume_id", *[c for a in "zyx" for c in (F.greatest(F.col(f"{a}0") - MARGIN, F.lit(0)).alias(f"{a}0"), F.least(F.col(f"{a}1") + MARGIN, F.col(f"n{a}")).alias(f"{a}1"))])
+
+
+def whole_box(chunks: DataFrame, size: int = 64) -> DataFrame:
+    """The same columns for the whole of each volume."""
+    end = lambda a, n: F.max(F.col(f"c{a}") * size + F.col(n) - 1).cast("int").alias(f"{a}1")
+    return chunks.groupBy("volume_id").agg(*[end(a, n) for a, n in zip("zyx", EXTENT, strict=True)]).select("volume_id", *[c for a in "zyx" for c in (F.lit(0).alias(f"{a}0"), F.col(f"{a}1"))])
+
+
+def local_threshold(chunks: DataFrame, window: int, k: float, size: int = 64, box: DataFrame | None = None) -> DataFrame:
+    """(volume_id, cz, cy, cx, d, h, w, binary): Sauvola's threshold in every slice of equal y; binary marks material.
+
+    An even window grows by one; edges are mirrored. With ``box``, only what lies in a volume's box is seen, the rest is 0.
+    A chunk sends strips of half a window to the chunks around it.
+    """
+    half = window // 2
+    far = max(1, math.ceil(half / size))
+    rows = chunks.select(*CHUNK, *EXTENT, "xct").join(box if box is not None else whole_box(chunks, size), "volume_id")
+    steps = [(dz, dx) for dz in range(-far, far + 1) for dx in range(-far, far + 1)]
+
+    def strips(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for j in range(batch.num_rows):
+                row = batch.slice(j, 1)
+                r = row.to_pylist()[0]
+                cube = _cube(r)
+                for dz, dx in steps:
+                    # The part that the chunk (dz, dx) further sees, and the row and column where it starts there.
+                    z, x = (slice(max(0, d * size - half), min(n, (d + 1) * size + half)) for d, n in ((dz, r["d"]), (dx, r["w"])))
+                    part = cube[z, :, x]
+                    if part.size:
+                        yield pa.RecordBatch.from_pylist([{"volume_id": r["volume_id"], "cz": r["cz"] + dz, "cy": r["cy"], "cx": r["cx"] + dx, "own": dz == dx == 0, "z": z.start - dz * size, "x": x.start - dx * size, "d": part.shape[0], "h": part.shape[1], "w": part.shape[2], "part": part.tobytes(), **{c: r[c] for c in BOX}}], sent)
+
+    sent = pa.schema([("volume_id", pa.string()), *[(c, pa.int32()) for c in ("cz", "cy", "cx")], ("own", pa.bool_()), *[(c, pa.int32()) for c in ("z", "x", *EXTENT)], ("part", pa.binary()), *[(c, pa.int32()) for c in BOX]])
+    ddl = f"{_KEYS}, own boolean, z int, x int, d int, h int, w int, part binary, " + ", ".join(f"{c} int" for c in BOX)
+
+    def mirrored(first: int, n: int, low: int, high: int) -> np.ndarray:
+        """Where each of n places from ``first`` - half reads from, mirrored at low and high."""
+        at = np.arange(first - half, first + n + half) - low
+        turn = 2 * (high - low)
+        at = at % turn if turn else at * 0
+        return np.minimum(at, turn - at) + low
+
+    def judged(t: pa.Table) -> pa.Table:
+        parts = t.to_pylist()
+        own = next((p for p in parts if p["own"]), None)
+        kinds = pa.schema([("volume_id", pa.string()), *[(c, pa.int32()) for c in ("cz", "cy", "cx", *EXTENT)], ("binary", pa.binary())])
+        if own is None:
+            return kinds.empty_table()
+        field = np.zeros((size + 2 * half, own["h"], size + 2 * half), np.uint8)
+        for p in parts:
+            field[p["z"] + half : p["z"] + half + p["d"], :, p["x"] + half : p["x"] + half + p["w"]] = _cube(p, "part")
+        where = _inside(own, size)
+        out = np.zeros([own[c] for c in EXTENT], np.uint8)
+        if out[where].size:
+            from_z, from_x = (mirrored(s.start, s.stop - s.start, own[f"{a}0"] - own[f"c{a}"] * size, own[f"{a}1"] - own[f"c{a}"] * size) + half for s, a in ((where[0], "z"), (where[2], "x")))
+            out[where] = sauvola(field[np.ix_(from_z, np.arange(where[1].start, where[1].stop), from_x)], window, k)
+        return pa.Table.from_pylist([{**{c: own[c] for c in (*CHUNK, *EXTENT)}, "binary": out.tobytes()}], kinds)
+
+    return rows.mapInArrow(strips, ddl).groupBy(*CHUNK).applyInArrow(judged, f"{_KEYS}, d int, h int, w int, binary binary")
 
 
 def cleaned_slices(voxels: DataFrame, least: int = 2) -> DataFrame:
     """The set voxels without 2-D components (4-connected, slices of equal z) of fewer than ``least`` pixels."""
-    labels = saved(labelled(voxels, 4), "slices")
-    return labels.join(sizes(labels).where(F.col("size") >= least), ["volume_id", "label"], "left_semi").drop("label")
+    labels = saved(labelled_runs(runs(voxels), 4), "slices")
+    return spread(labels.join(sizes(labels).where(F.col("size") >= least), ["volume_id", "label"], "left_semi").drop("label"))
 
 
-def box_of(voxels: DataFrame) -> DataFrame:
-    """(volume_id, z0, z1, y0, y1, x0, x1): what holds all voxels above 0, and ``MARGIN`` around it inside the volume."""
-    on = F.col("v") > 0
-    ends = [f(F.when(on, F.col(a))).alias(f"{a}{n}") for a in "zyx" for n, f in ((0, F.min), (1, F.max))]
-    out = voxels.groupBy("volume_id").agg(*ends, *[F.max(a).alias(f"n{a}") for a in "zyx"]).where("z0 is not null")
-    return out.select("volume_id", *[F.greatest(F.col(f"{a}0") - MARGIN, F.lit(0)).alias(f"{a}0") for a in "zyx"], *[F.least(F.col(f"{a}1") + MARGIN, F.col(f"n{a}")).alias(f"{a}1") for a in "zyx"])
-
-
-def material_mask(voxels: DataFrame) -> DataFrame:
-    """(volume_id, z, y, x) of the sample: above Otsu's threshold, within the box of the first component of the
-    projection along z (8-connected; the first by rows, which need not be the largest), with enclosed voids filled."""
-    limits = statistics.otsu(statistics.histogram(voxels))
-    marked = saved(voxels.join(limits, "volume_id").select("volume_id", "z", "y", "x", (F.col("v") > F.col("otsu_threshold")).alias("on")), "marked")
-    shadow = marked.where("on").select("volume_id", F.lit(0).alias("z"), "y", "x").distinct()
-    labels = saved(labelled(shadow, 8), "shadow")
+def material_mask(chunks: DataFrame, size: int = 64, box: DataFrame | None = None) -> DataFrame:
+    """(volume_id, cz, cy, cx, d, h, w, sample): above Otsu's threshold, within the box of the first component of the
+    projection along z (8-connected; the first by rows, which need not be the largest), with enclosed voids filled.
+
+    With ``box``, a volume is what lies in its box.
+    """
+    rows = chunks.select(*CHUNK, *EXTENT, "xct").join(box if box is not None else whole_box(chunks, size), "volume_id")
+
+    def cropped(r: dict) -> dict:
+        values = _cube(r)[_inside(r, size)]
+        n = np.bincount(values.ravel(), minlength=256)
+        return {"volume_id": r["volume_id"], "v": np.flatnonzero(n), "n": n[n > 0]}
+
+    limits = statistics.otsu(_per_chunk(rows, "volume_id string, v int, n long", cropped).groupBy("volume_id", "v").agg(F.sum("n").alias("n")))
+    marked = saved(rows.join(limits, "volume_id"), "marked")
+
+    def on(r: dict) -> np.ndarray:
+        out = np.zeros([r[c] for c in EXTENT], bool)
+        where = _inside(r, size)
+        out[where] = _cube(r)[where] > r["otsu_threshold"]
+        return out
+
+    def shadow(r: dict) -> dict | None:
+        found = _lines(on(r).any(axis=0)[None], r, size)
+        return None if found is None else found | {"z": found["z"] * 0}
+
+    labels = saved(labelled_runs(merged(_per_chunk(marked, _RUNS, shadow)), 8), "shadow")
     first = labels.groupBy("volume_id").agg(F.min("label").alias("label"))
-    box = labels.join(first, ["volume_id", "label"]).groupBy("volume_id").agg(*[f(a).alias(f"{a}{n}") for a in "yx" for n, f in ((0, F.min), (1, F.max))])
-    depth = marked.groupBy("volume_id").agg(F.min("z").alias("z0"), F.max("z").alias("z1"))
-    inside = marked.join(box.join(depth, "volume_id"), "volume_id").where(F.col("y").between(F.col("y0"), F.col("y1")) & F.col("x").between(F.col("x0"), F.col("x1")))
-    empty = labelled(inside.where(~F.col("on")), 6)
-    face = F.lit(False)
-    for a in "zyx":
+    ends = labels.join(first, ["volume_id", "label"]).groupBy("volume_id").agg(F.min("y").alias("y0"), F.max("y").alias("y1"), F.min("x0").alias("x0"), F.max("x1").alias("x1"))
+    inner = saved(marked.drop("y0", "y1", "x0", "x1").join(ends, "volume_id"), "inner")
+
+    def gaps(r: dict) -> dict | None:
+        out = np.zeros([r[c] for c in EXTENT], bool)
+        where = _inside(r, size)
+        out[where] = ~on(r)[where]
+        return _lines(out, r, size)
+
+    voids = labelled_runs(merged(_per_chunk(inner, _RUNS, gaps)), 6).withColumnsRenamed({"x0": "from", "x1": "to"})
+    sides = inner.groupBy("volume_id").agg(*[F.first(c).alias(c) for c in BOX])
+    face = (F.col("from") == F.col("x0")) | (F.col("to") == F.col("x1"))
+    for a in "zy":
         face = face | (F.col(a) == F.col(f"{a}0")) | (F.col(a) == F.col(f"{a}1"))
-    placed = saved(empty.join(box.join(depth, "volume_id"), "volume_id").withColumn("face", face), "voids")
+    placed = saved(voids.join(sides, "volume_id").select("volume_id", "z", "y", F.col("from").alias("x0"), F.col("to").alias("x1"), "label", face.alias("face")), "voids")
     closed = placed.groupBy("volume_id", "label").agg(F.max("face").alias("open")).where(~F.col("open"))
-    filled = placed.join(closed, ["volume_id", "label"], "left_semi")
-    return inside.where("on").select("volume_id", "z", "y", "x").unionByName(filled.select("volume_id", "z", "y", "x"))
+    filled = _drawn(placed.join(closed, ["volume_id", "label"], "left_semi"), size, "filled")
+
+    def solid(r: dict) -> dict:
+        out = _draw(r, "filled")
+        where = _inside(r, size)
+        out[where] |= on(r)[where]
+        return {c: r[c] for c in (*CHUNK, *EXTENT)} | {"sample": out.astype(np.uint8).tobytes()}
+
+    return _per_chunk(inner.join(filled, CHUNK, "left"), f"{_KEYS}, d int, h int, w int, sample binary", solid)
+
+
+def _kept_pores(lines: DataFrame, least: int) -> DataFrame:
+    labels = saved(labelled_runs(lines, 26), "pores")
+    good = sizes(labels).where((F.col("size") >= least) & (F.col("dz") >= 2) & (F.col("dy") >= 2) & (F.col("dx") >= 2))
+    return labels.join(good, ["volume_id", "label"], "left_semi").drop("label")
 
 
 def clean_pores(pores: DataFrame, least: int = 8) -> DataFrame:
     """The voxels of 26-connected pores of ``least`` voxels or more that extend over two voxels or more on every axis."""
-    labels = saved(labelled(pores, 26), "pores")
-    good = sizes(labels).where((F.col("size") >= least) & (F.col("dz") >= 2) & (F.col("dy") >= 2) & (F.col("dx") >= 2))
-    return labels.join(good, ["volume_id", "label"], "left_semi").select("volume_id", "z", "y", "x")
+    return spread(_kept_pores(runs(pores), least))
 
 
-def segmented_pores(voxels: DataFrame, frontwall: int = 0, backwall: int = 0, window: int = 30, k: float = 0.125, least: int = -1) -> DataFrame:
-    """(volume_id, z, y, x, pore, sample, binary) of every voxel of the volumes that hold anything above 0.
+def segmented_pores(chunks: DataFrame, frontwall: int = 0, backwall: int = 0, window: int = 30, k: float = 0.125, least: int = -1, size: int = 64) -> DataFrame:
+    """(volume_id, cz, cy, cx, d, h, w, pore, sample, binary): bytes 0 or 1 of the volumes that hold anything above 0.
 
     Local threshold and material mask see the box of the data only; wall slices count from the box's first slice and are
     material. A pore is what the local threshold leaves inside the sample; ``least`` > 0 removes small and flat ones.
     """
-    box = saved(box_of(voxels), "box")
-    joined = voxels.join(box, "volume_id")
-    within = F.lit(True)
-    for a in "zyx":
-        within = within & F.col(a).between(F.col(f"{a}0"), F.col(f"{a}1"))
-    cropped = joined.where(within)
-    local = local_threshold(cropped, window, k).join(box.select("volume_id", "z0"), "volume_id")
-    at = F.col("z") - F.col("z0")
-    wall = (at < frontwall) if frontwall > 0 else F.lit(False)
-    wall = wall | (at >= backwall) if backwall > 0 else wall
-    binary = local.select("volume_id", "z", "y", "x", (F.col("binary") | wall).alias("binary"))
-    sample = material_mask(cropped.select("volume_id", "z", "y", "x", "v")).withColumn("sample", F.lit(True))
-    keys = ["volume_id", "z", "y", "x"]
-    out = joined.select(*keys).join(binary, keys, "left").join(sample, keys, "left").select(*keys, F.coalesce("sample", F.lit(False)).alias("sample"), F.coalesce("binary", F.lit(False)).alias("binary"))
-    out = saved(out.withColumn("pore", F.col("sample") & ~F.col("binary")), "pores")
-    if least > 0:
-        kept = clean_pores(out.where("pore"), least).withColumn("kept", F.lit(True))
-        out = out.join(kept, keys, "left").withColumn("pore", F.coalesce("kept", F.lit(False))).drop("kept")
-    return out.select(*keys, "pore", "sample", "binary")
-
-
-def masks(voxels: DataFrame, **options) -> DataFrame:
-    """(volume_id, z, y, x, mask, sample) of every voxel; a volume without data has no pores and is all sample."""
-    keys = ["volume_id", "z", "y", "x"]
-    found = segmented_pores(voxels, **options)
-    return voxels.select(*keys).join(found, keys, "left").select(*keys, F.coalesce(F.col("pore").cast("int"), F.lit(0)).alias("mask"), F.coalesce("sample", F.lit(True)).alias("sample"))
+    box = saved(box_of(chunks, size), "box")
+    local = local_threshold(chunks, window, k, size, box).select(*CHUNK, *EXTENT, "binary").join(box, "volume_id")
+    both = local.join(material_mask(chunks, size, box).select(*CHUNK, "sample"), CHUNK, "left")
+
+    def combined(r: dict) -> dict:
+        binary = _cube(r, "binary").astype(bool)
+        at = np.arange(r["d"])[:, None, None] + r["cz"] * size - r["z0"]
+        wall = ((at < frontwall) if frontwall > 0 else at != at) | ((at >= backwall) if backwall > 0 else at != at)
+        where = _inside(r, size)
+        binary[where] |= np.broadcast_to(wall, binary.shape)[where]
+        sample = _cube(r, "sample").astype(bool) if r["sample"] is not None else np.zeros(binary.shape, bool)
+        masks = {"pore": sample & ~binary, "sample": sample, "binary": binary}
+        return {c: r[c] for c in (*CHUNK, *EXTENT)} | {c: m.astype(np.uint8).tobytes() for c, m in masks.items()}
+
+    schema = f"{_KEYS}, d int, h int, w int, pore binary, sample binary, binary binary"
+    out = saved(_per_chunk(both, schema, combined), "segmented")
+    if least <= 0:
+        return out
+    kept = _drawn(_kept_pores(merged(_per_chunk(out, _RUNS, lambda r: _lines(_cube(r, "pore"), r, size))), least), size, "kept")
+    redrawn = lambda r: {c: r[c] for c in (*CHUNK, *EXTENT, "sample", "binary")} | {"pore": _draw(r, "kept").astype(np.uint8).tobytes()}
+    return _per_chunk(out.drop("pore").join(kept, CHUNK, "left"), schema, redrawn)
+
+
+def masks(chunks: DataFrame, size: int = 64, **options) -> DataFrame:
+    """(volume_id, cz, cy, cx, d, h, w, mask, sample) of every chunk; a volume without data has no pores and is all sample."""
+    found = segmented_pores(chunks, size=size, **options).select(*CHUNK, "pore", "sample")
+    n = (F.col("d") * F.col("h") * F.col("w")).cast("int")
+    filled = lambda c, byte: F.coalesce(F.col(c), F.unhex(F.repeat(F.lit(byte), n)))
+    return chunks.select(*CHUNK, *EXTENT).join(found, CHUNK, "left").select(*CHUNK, *EXTENT, filled("pore", "00").alias("mask"), filled("sample", "01").alias("sample"))

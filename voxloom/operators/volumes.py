@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxloom.functions.arrays import sigmoid
-from voxloom.operators.components import labelled, sizes
+from voxloom.operators.components import labelled_runs, runs, sizes
 from voxloom.scratch import saved
 
 
@@ -27,30 +27,80 @@ def stitched(tiles: DataFrame, ps: int) -> DataFrame:
     return voxel.select("volume_id", at("z0", F.floor(F.col("i") / (ps * ps))).alias("z"), at("y0", F.floor(F.col("i") / ps) % ps).alias("y"), at("x0", F.col("i") % ps).alias("x"), F.least(F.greatest("t.xct_logits", F.lit(0.0)), F.lit(1.0)).alias("xct"), sigmoid(F.col("t.mask_logits")).alias("mask"))
 
 
-def two_point(binary: np.ndarray, r_max: int, n_bins: int) -> np.ndarray:
-    """The chance that two points at distance r (in ``n_bins`` shells up to r_max, periodic) are both set."""
-    spectrum = np.abs(np.fft.rfftn(binary.astype(np.float64))) ** 2
-    corr = np.fft.irfftn(spectrum, binary.shape, axes=range(binary.ndim)) / binary.size
-    lags = np.meshgrid(*[np.minimum(np.arange(n), n - np.arange(n)) for n in binary.shape], indexing="ij", sparse=True)
-    shell = np.searchsorted(np.linspace(0, r_max, n_bins + 1), np.sqrt(sum(a**2 for a in lags)), side="right") - 1
-    inside = shell < n_bins
-    n = np.bincount(shell[inside], minlength=n_bins)
-    return np.bincount(shell[inside], corr[inside], minlength=n_bins) / np.maximum(n, 1)
+def _reach(n: int, r_max: float) -> int:
+    return min(math.ceil(r_max), n // 2)
+
+
+def shell_pairs(own: np.ndarray, wide: np.ndarray, shape: list[int], r_max: float, n_bins: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each shell: pairs of a set voxel of a block and one of the volume, and how many lags of the volume it has.
 
+    ``wide`` is the block with its surroundings, ``_reach`` voxels more on each end, periodic.
+    """
+    axes = range(own.ndim)
+    product = np.conj(np.fft.rfftn(own.astype(np.float64), wide.shape, axes=axes)) * np.fft.rfftn(wide.astype(np.float64))
+    found = np.rint(np.fft.irfftn(product, wide.shape, axes=axes))
+    lags = []
+    for a, n in enumerate(shape):
+        reach = _reach(n, r_max)
+        lag = np.arange(max(-reach, -((n - 1) // 2)), reach + 1)
+        found = np.take(found, lag + reach, axis=a)
+        lags.append(lag)
+    distance = np.sqrt(sum(a**2 for a in np.meshgrid(*lags, indexing="ij", sparse=True)))
+    shell = np.searchsorted(np.linspace(0, r_max, n_bins + 1), distance, side="right") - 1
+    inside = shell < n_bins
+    return np.bincount(shell[inside], found[inside], minlength=n_bins), np.bincount(shell[inside], minlength=n_bins)
 
-def two_point_curves(voxels: DataFrame, shapes: DataFrame, r_max: int = 50, n_bins: int = 50) -> DataFrame:
-    """(volume_id, s2): the curve of each volume (set voxels; shapes: volume_id, d, h, w). The transform needs a whole
-    volume, so a volume is a group here; zeros for one without set voxels."""
-    rows = shapes.select("volume_id", "d", "h", "w").join(voxels.select("volume_id", "z", "y", "x"), "volume_id", "left")
 
-    def curve(t: pa.Table) -> pa.Table:
-        shape = [t.column(c)[0].as_py() for c in "dhw"]
-        block = np.zeros(shape, bool)
-        some = t.filter(t.column("z").is_valid())
-        block[tuple(some.column(c).to_numpy() for c in "zyx")] = True
-        return pa.table({"volume_id": t.column("volume_id").slice(0, 1), "s2": pa.array([two_point(block, r_max, n_bins).tolist()])})
+def two_point_curves(voxels: DataFrame, shapes: DataFrame, r_max: float = 50, n_bins: int = 50, side: int = 64) -> DataFrame:
+    """(volume_id, s2): the chance that two points of a volume at distance r (in ``n_bins`` shells up to r_max, periodic)
+    are both set, for set voxels and shapes (volume_id, d, h, w); zeros for a volume without set voxels.
 
-    return rows.groupBy("volume_id").applyInArrow(curve, "volume_id string, s2 array<double>")
+    Set voxels are packed into blocks of ``side`` ** 3 bits. A block goes to the blocks within reach of it, each block
+    counts its pairs with its surroundings, and the counts add up to the volume's: exact, and no task holds a volume.
+    """
+    cell = shapes.select("volume_id", *[F.col(c).cast("int").alias(c) for c in "dhw"]).join(voxels.select("volume_id", "z", "y", "x"), "volume_id")
+    keys = [F.floor(F.col(a) / side).cast("int").alias(f"b{a}") for a in "zyx"]
+
+    def packed(key: tuple, t: pa.Table) -> pa.Table:
+        bits = np.zeros((side,) * 3, bool)
+        bits[tuple(t.column(a).to_numpy() % side for a in "zyx")] = True
+        return t.slice(0, 1).select(["volume_id", "d", "h", "w", "bz", "by", "bx"]).append_column("bits", pa.array([np.packbits(bits).tobytes()]))
+
+    own = cell.select("*", *keys).groupBy("volume_id", "bz", "by", "bx").applyInArrow(packed, "volume_id string, d int, h int, w int, bz int, by int, bx int, bits binary")
+    own = saved(own, "blocks")
+    sent = own
+    for a, n in zip("zyx", "dhw", strict=True):
+        # Every block that has a set voxel of this one within reach, and where this one stands as seen from there.
+        reach = f"least({math.ceil(r_max)}, {n} div 2)"
+        places = f"transform(sequence(-1, 1), m -> m * {n} + b{a} * {side})"
+        blocks = f"sequence(0, cast(({n} - 1) div {side} as int))"
+        pairs = f"flatten(transform({places}, p -> transform({blocks}, t -> named_struct('to', t, 'at', p - t * {side}))))"
+        near = f"filter({pairs}, s -> s.at < least({side}, {n} - s.to * {side}) + {reach} and s.at + least({side}, {n} - b{a} * {side}) > -{reach})"
+        sent = sent.withColumn(f"s{a}", F.explode(F.expr(near)))
+    sent = sent.select("volume_id", "d", "h", "w", "bits", *[F.col(f"s{a}.{c}").cast("int").alias(f"{c}_{a}") for a in "zyx" for c in ("to", "at")])
+
+    def counted(t: pa.Table) -> pa.Table:
+        first = t.slice(0, 1).to_pylist()[0]
+        shape = [first[c] for c in "dhw"]
+        reach = [_reach(n, r_max) for n in shape]
+        extent = [min(side, n - first[f"to_{a}"] * side) for a, n in zip("zyx", shape, strict=True)]
+        wide, block = np.zeros([e + 2 * r for e, r in zip(extent, reach, strict=True)], bool), np.zeros(extent, bool)
+        for r in t.to_pylist():
+            bits = np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=side**3).astype(bool).reshape((side,) * 3)
+            at = [r[f"at_{a}"] + q for a, q in zip("zyx", reach, strict=True)]
+            into = tuple(slice(max(0, p), min(m, p + side)) for p, m in zip(at, wide.shape, strict=True))
+            wide[into] |= bits[tuple(slice(i.start - p, i.stop - p) for i, p in zip(into, at, strict=True))]
+            if at == reach:
+                block = bits[tuple(slice(0, e) for e in extent)]
+        if not block.any():
+            return t.schema.empty_table().select(["volume_id"]).append_column("bin", pa.array([], pa.int32())).append_column("pairs", pa.array([], pa.int64())).append_column("lags", pa.array([], pa.int64()))
+        pairs, lags = shell_pairs(block, wide, shape, r_max, n_bins)
+        return pa.table({"volume_id": pa.array([first["volume_id"]] * n_bins), "bin": pa.array(np.arange(n_bins, dtype=np.int32)), "pairs": pa.array(pairs.astype(np.int64)), "lags": pa.array(lags.astype(np.int64))})
+
+    around = sent.groupBy("volume_id", "to_z", "to_y", "to_x").applyInArrow(counted, "volume_id string, bin int, pairs long, lags long")
+    bins = around.groupBy("volume_id", "bin").agg(F.sum("pairs").alias("pairs"), F.max("lags").alias("lags")).join(shapes.select("volume_id", (F.col("d").cast("double") * F.col("h") * F.col("w")).alias("n")), "volume_id")
+    curve = bins.groupBy("volume_id").agg(F.sort_array(F.collect_list(F.struct("bin", (F.col("pairs") / F.col("n") / F.greatest("lags", F.lit(1))).alias("s2")))).alias("s")).select("volume_id", F.col("s.s2").alias("s2"))
+    return shapes.select("volume_id").join(curve, "volume_id", "left").select("volume_id", F.coalesce("s2", F.array_repeat(F.lit(0.0), n_bins)).alias("s2"))
 
 
 def curve_distance(a: DataFrame, b: DataFrame, eps: float = 1e-12) -> DataFrame:
@@ -79,7 +129,7 @@ def sample_distance(a: DataFrame, b: DataFrame, value: str = "size") -> DataFram
 
 def pore_sizes(voxels: DataFrame, volumes: DataFrame) -> DataFrame:
     """(volume_id, size) of the 6-connected pores; 0.0 for a volume without any."""
-    found = sizes(labelled(voxels, 6)).select("volume_id", F.col("size").cast("double").alias("size"))
+    found = sizes(labelled_runs(runs(voxels), 6)).select("volume_id", F.col("size").cast("double").alias("size"))
     return volumes.select("volume_id").join(found, "volume_id", "left").select("volume_id", F.coalesce("size", F.lit(0.0)).alias("size"))
 
 
@@ -90,11 +140,17 @@ def hull_voxels(points: np.ndarray) -> int:
     ends = np.concatenate([points + 0.5 * s * np.eye(3, dtype=int)[a] for a in range(3) for s in (1, -1)])
     planes = _hull_planes(np.unique(ends, axis=0))
     shape = points.max(axis=0) + 1
-    inside = 0
-    yx = np.stack(np.meshgrid(np.arange(shape[1]), np.arange(shape[2]), indexing="ij"), axis=-1).reshape(-1, 2)
+    inside, y = 0, np.arange(shape[1])[:, None]
+    nz, ny, nx, off = planes.T
+    flat = np.abs(nx) < 1e-12
     for z in range(shape[0]):
-        grid = np.column_stack([np.full(len(yx), z), yx])
-        inside += int((grid @ planes[:, :3].T <= planes[:, 3] + 1e-8).all(axis=1).sum())
+        # On each line along x the planes leave an interval.
+        left = off + 1e-8 - nz * z - ny * y
+        edge = left / np.where(flat, 1, nx)
+        low = np.where(~flat & (nx < 0), edge, 0).max(axis=1)
+        high = np.where(~flat & (nx > 0), edge, shape[2] - 1).min(axis=1)
+        n = np.floor(high) - np.ceil(low) + 1
+        inside += int(np.where((left[:, flat] >= 0).all(axis=1), np.maximum(n, 0), 0).sum())
     return inside
 
 
@@ -141,18 +197,20 @@ def pore_shapes(voxels: DataFrame, most: int = 500) -> DataFrame:
 
     Sphericity takes the hull's voxels for the surface, as an approximation. The limit is part of the measure.
     """
-    labels = saved(labelled(voxels, 26), "pores")
+    labels = saved(labelled_runs(runs(voxels), 26), "pores")
     order = Window.partitionBy("volume_id").orderBy(F.col("size").desc(), "label")
     large = sizes(labels).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most).select("volume_id", "label", "size")
+    # The ends of a pore's lines have the hull of all its voxels; a line's runs meet on the map side.
+    ends = labels.groupBy("volume_id", "label", "z", "y").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1")).join(large, ["volume_id", "label"])
 
     def measure(t: pa.Table) -> pa.Table:
-        points = np.column_stack([t.column(c).to_numpy() for c in "zyx"])
-        v = len(points)
+        z, y, x0, x1 = (t.column(c).to_numpy() for c in ("z", "y", "x0", "x1"))
+        points = np.unique(np.concatenate([np.column_stack([z, y, x]) for x in (x0, x1)]), axis=0)
+        v = t.column("size")[0].as_py()
         s = math.pi ** (1 / 3) * (6 * v) ** (2 / 3) / hull_voxels(points)
-        return pa.table({"volume_id": t.column("volume_id").slice(0, 1), "label": t.column("label").slice(0, 1), "size": pa.array([v]), "sphericity": pa.array([s]), "eq_diameter": pa.array([(6 * v / math.pi) ** (1 / 3)])})
+        return t.slice(0, 1).select(["volume_id", "label", "size"]).append_column("sphericity", pa.array([s])).append_column("eq_diameter", pa.array([(6 * v / math.pi) ** (1 / 3)]))
 
-    rows = labels.join(large.select("volume_id", "label"), ["volume_id", "label"]).select("volume_id", "label", "z", "y", "x")
-    return rows.groupBy("volume_id", "label").applyInArrow(measure, "volume_id string, label struct<z:int,y:int,x:int>, size long, sphericity double, eq_diameter double")
+    return ends.groupBy("volume_id", "label").applyInArrow(measure, "volume_id string, label struct<z:int,y:int,x:int>, size long, sphericity double, eq_diameter double")
 
 
 def morphology(voxels: DataFrame, volumes: DataFrame, most: int = 500) -> DataFrame:

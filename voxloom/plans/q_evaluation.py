@@ -10,6 +10,7 @@ from voxloom.operators import volumes as vo
 from voxloom.plans import stand_ins as si
 from voxloom.plans.catalog import query
 from voxloom.plans.q_metrics import rounded, with_sql
+from voxloom.sources import chunks
 
 _P = f"WITH RECURSIVE {si.PLACED_SQL}, {si.SHAPES_SQL}"
 _REACH = """s AS (SELECT volume_id, z * 64 + y * 8 + x AS id, z, y, x FROM placed WHERE {on}),
@@ -26,9 +27,10 @@ def sparse(spark, sf):
     return si.placed(spark, sf, 0.15).where("mask = 1").select("volume_id", "z", "y", "x")
 
 
-def intensities(spark, sf):
-    v = F.least(F.greatest(F.floor((F.col("e").cast("double") + 0.55) * 230), F.lit(0)), F.lit(255)).cast("int")
-    return si.dense(spark, sf).select("volume_id", "z", "y", "x", v.alias("v"))
+def by_voxel(found, columns: tuple[str, ...]):
+    """The voxels of chunks of 4 x 4 x 4, with flags for the columns."""
+    rows = chunks.voxels(found, 4, {c: c for c in columns})
+    return rows.withColumns({c: F.col(c) == 1 for c in columns})
 
 
 @query("ref22_cleaned_slices", f"{_P}, {_FOUR} SELECT l.volume_id, (node // 64)::INT AS z, ((node // 8) % 8)::INT AS y, (node % 8)::INT AS x FROM lab l JOIN comp c USING (volume_id, label) WHERE size >= 3")
@@ -43,7 +45,7 @@ def clean_pores(spark, sf):
 
 @query("ref24_component_sizes", f"{_P}, {_TWENTYSIX} SELECT volume_id, label::INT AS first, size, dz::INT AS dz, dy::INT AS dy, dx::INT AS dx FROM comp")
 def component_sizes(spark, sf):
-    return cc.sizes(cc.labelled(sparse(spark, sf), 26)).select("volume_id", (F.col("label.z") * 64 + F.col("label.y") * 8 + F.col("label.x")).alias("first"), "size", "dz", "dy", "dx")
+    return cc.sizes(cc.labelled_runs(cc.runs(sparse(spark, sf)), 26)).select("volume_id", (F.col("label.z") * 64 + F.col("label.y") * 8 + F.col("label.x")).alias("first"), "size", "dz", "dy", "dx")
 
 
 @query("ref19_sauvola", f"""{_P}, i AS (SELECT volume_id, z, y, x, least(greatest(floor((e::DOUBLE + 0.55) * 230), 0), 255)::INT AS v, max(z) OVER (PARTITION BY volume_id, y) AS mz, max(x) OVER (PARTITION BY volume_id, y) AS mx FROM placed),
@@ -51,22 +53,42 @@ off AS (SELECT a.v AS dz, b.v AS dx FROM range(-1, 2) a(v) CROSS JOIN range(-1,
 w AS (SELECT i.volume_id, i.z, i.y, i.x, i.v, avg(j.v) AS m, avg(j.v * j.v) AS q FROM i CROSS JOIN off JOIN i j ON j.volume_id = i.volume_id AND j.y = i.y AND j.z = i.mz - abs(i.mz - abs(i.z + off.dz)) AND j.x = i.mx - abs(i.mx - abs(i.x + off.dx)) GROUP BY ALL)
 SELECT volume_id, z::INT AS z, y::INT AS y, x::INT AS x, v - m * (1 + 0.125 * (sqrt(greatest(q - m * m, 0)) / 128 - 1)) > 1e-9 AS binary FROM w""")
 def sauvola(spark, sf):
-    return sg.local_threshold(intensities(spark, sf), 2, 0.125).select("volume_id", "z", "y", "x", "binary")
-
-
-@query("ref23_material_mask")
+    return by_voxel(sg.local_threshold(si.intensity_chunks(spark, sf), 2, 0.125, 4), ("binary",))
+
+
+#: The box of the data is the whole of these volumes: something is above 0 within the margin of every face. The last one
+#: may have fewer slices (mz is a volume's last).
+_MATERIAL = """i AS (SELECT volume_id, z, y, x, least(greatest(floor((e::DOUBLE + 0.55) * 230), 0), 255)::INT AS v, max(z) OVER (PARTITION BY volume_id) AS mz FROM placed),
+hist AS (SELECT volume_id, v, count(*) AS n FROM i GROUP BY 1, 2),
+sums AS (SELECT volume_id, v, sum(n) OVER u AS w, sum(n * v) OVER u AS m, sum(n) OVER a AS t, sum(n * v) OVER a AS mt FROM hist WINDOW u AS (PARTITION BY volume_id ORDER BY v), a AS (PARTITION BY volume_id)),
+classes AS (SELECT volume_id, v, CASE WHEN w < t THEN (mt / t * (w / t) - m / t) ** 2 / ((w / t) * (1 - w / t)) ELSE 0 END AS s FROM sums),
+limits AS (SELECT volume_id, v AS t FROM classes QUALIFY row_number() OVER (PARTITION BY volume_id ORDER BY s DESC, v) = 1),
+marked AS (SELECT i.*, i.v > t AS lit FROM i JOIN limits USING (volume_id)),
+shadow AS (SELECT DISTINCT volume_id, y, x FROM marked WHERE lit),
+piece AS (SELECT volume_id, min(y * 8 + x) // 8 AS y, min(y * 8 + x) % 8 AS x FROM shadow GROUP BY 1 UNION SELECT s.volume_id, s.y, s.x FROM piece p JOIN shadow s ON s.volume_id = p.volume_id AND abs(s.y - p.y) <= 1 AND abs(s.x - p.x) <= 1),
+box AS (SELECT volume_id, min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1 FROM piece GROUP BY 1),
+inner_ AS (SELECT m.*, z IN (0, mz) OR y IN (y0, y1) OR x IN (x0, x1) AS face FROM marked m JOIN box USING (volume_id) WHERE y BETWEEN y0 AND y1 AND x BETWEEN x0 AND x1),
+outside AS (SELECT volume_id, z, y, x FROM inner_ WHERE NOT lit AND face UNION SELECT n.volume_id, n.z, n.y, n.x FROM outside o JOIN inner_ n ON n.volume_id = o.volume_id AND abs(n.z - o.z) + abs(n.y - o.y) + abs(n.x - o.x) = 1 AND NOT n.lit),
+sample AS (SELECT volume_id, z, y, x FROM inner_ ANTI JOIN outside USING (volume_id, z, y, x))"""
+_SEGMENTED = """off AS (SELECT a.v AS dz, b.v AS dx FROM range(-2, 3) a(v) CROSS JOIN range(-2, 3) b(v)),
+w AS (SELECT i.volume_id, i.z, i.y, i.x, i.v, avg(j.v) AS m, avg(j.v * j.v) AS q FROM i CROSS JOIN off JOIN i j ON j.volume_id = i.volume_id AND j.y = i.y AND j.z = i.mz - abs(i.mz - abs(i.z + off.dz)) AND j.x = 7 - abs(7 - abs(i.x + off.dx)) GROUP BY ALL),
+segmented AS (SELECT w.volume_id, w.z, w.y, w.x, v - m * (1 + 0.125 * (sqrt(greatest(q - m * m, 0)) / 128 - 1)) > 1e-9 AS bin_, s.z IS NOT NULL AS sample FROM w LEFT JOIN sample s USING (volume_id, z, y, x))"""
+_KEPT = _REACH.format(on="sample AND NOT bin_", near="TRUE").replace("FROM placed", "FROM segmented")
+
+
+@query("ref23_material_mask", f"{_P}, {_MATERIAL} SELECT volume_id, z::INT AS z, y::INT AS y, x::INT AS x FROM sample")
 def material_mask(spark, sf):
-    return sg.material_mask(intensities(spark, sf))
+    return by_voxel(sg.material_mask(si.intensity_chunks(spark, sf), 4), ("sample",)).where("sample").drop("sample")
 
 
-@query("ref25_segmented_pores")
+@query("ref25_segmented_pores", f"{_P}, {_MATERIAL}, {_SEGMENTED}, {_KEPT}, kept AS (SELECT l.volume_id, node FROM lab l JOIN comp c USING (volume_id, label) WHERE size >= 2 AND dz >= 2 AND dy >= 2 AND dx >= 2) SELECT g.volume_id, z::INT AS z, y::INT AS y, x::INT AS x, node IS NOT NULL AS pore, sample, bin_ AS binary FROM segmented g LEFT JOIN kept k ON k.volume_id = g.volume_id AND k.node = z * 64 + y * 8 + x")
 def segmented_pores(spark, sf):
-    return sg.segmented_pores(intensities(spark, sf), window=5, least=2)
+    return by_voxel(sg.segmented_pores(si.intensity_chunks(spark, sf), window=5, least=2, size=4), ("pore", "sample", "binary"))
 
 
-@query("ref26_masks")
+@query("ref26_masks", f"{_P}, {_MATERIAL}, {_SEGMENTED} SELECT volume_id, z::INT AS z, y::INT AS y, x::INT AS x, (sample AND NOT bin_)::INT AS mask, sample FROM segmented")
 def masks(spark, sf):
-    return sg.masks(intensities(spark, sf), window=5)
+    return by_voxel(sg.masks(si.intensity_chunks(spark, sf), window=5, size=4), ("mask", "sample")).withColumn("mask", F.col("mask").cast("int"))
 
 
 @query("ref88_stitched", "WITH t AS (SELECT (vec_id // 8)::VARCHAR AS volume_id, vec_id % 8 AS part, unnest(embedding)::DOUBLE AS e, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings) SELECT volume_id, ((part // 4) * 4 + pos // 16)::INT AS z, (((part // 2) % 2) * 4 + (pos // 4) % 4)::INT AS y, (pos % 4)::INT AS x, round(least(greatest(e, 0), 1), 6) AS xct, round(1 / (1 + exp(-(e - 1))), 6) AS mask FROM t WHERE part % 2 = 0")

@@ -61,6 +61,15 @@ def dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("volume_id", at(F.floor(F.col("part") / 4), F.floor(F.col("pos") / 16)).alias("z"), at(F.floor(F.col("part") / 2) % 2, F.floor(F.col("pos") / 4) % 4).alias("y"), at(F.col("part") % 2, F.col("pos") % 4).alias("x"), "e")
 
 
+def intensity_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same volumes as chunks of 4 x 4 x 4 with intensities 0 to 255: an embedding is a chunk."""
+    e, part = table(spark, sf_dir, "embeddings"), F.col("vec_id") % 8
+    level = lambda v: F.least(F.greatest(F.floor((v.cast("double") + 0.55) * 230), F.lit(0)), F.lit(255))
+    xct = F.unhex(F.array_join(F.transform("embedding", lambda v: F.lpad(F.hex(level(v)), 2, "0")), ""))
+    at = [F.floor(part / 4), F.floor(part / 2) % 2, part % 2]
+    return e.select(F.floor(F.col("vec_id") / 8).cast("string").alias("volume_id"), *[c.cast("int").alias(n) for c, n in zip(at, ("cz", "cy", "cx"), strict=True)], *[F.lit(4).alias(n) for n in "dhw"], xct.alias("xct"))
+
+
 def placed(spark: SparkSession, sf_dir: str, above: float = 0.1) -> DataFrame:
     """volume_id, z, y, x, mask of the same volumes."""
     return dense(spark, sf_dir).select("volume_id", "z", "y", "x", (F.col("e") > F.lit(above).cast("float")).cast("int").alias("mask"))

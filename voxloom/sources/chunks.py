@@ -48,18 +48,22 @@ def missing(volumes: DataFrame, stored: DataFrame) -> DataFrame:
     return volumes.join(stored.select("volume_id").distinct(), "volume_id", "left_anti")
 
 
-def voxels(chunks: DataFrame, size: int = 64) -> DataFrame:
-    """(volume_id, z, y, x, v, mask): the long form, for operators that work on voxels."""
+def voxels(chunks: DataFrame, size: int = 64, columns: dict[str, str] | None = None) -> DataFrame:
+    """The long form, for operators that work on voxels: (volume_id, z, y, x) and a column for each one of bytes in
+    ``columns``, by its new name; v (of xct) and mask by default."""
+    names = columns or {"xct": "v", "mask": "mask"}
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
+            for k in range(batch.num_rows):
+                r = batch.slice(k, 1).to_pylist()[0]
                 at = np.indices((r["d"], r["h"], r["w"]), np.int32).reshape(3, -1)
                 base = (r["cz"] * size, r["cy"] * size, r["cx"] * size)
-                names = pa.array([r["volume_id"]] * at.shape[1])
-                yield pa.RecordBatch.from_arrays([names, *[pa.array((a + b).astype(np.int32)) for a, b in zip(at, base, strict=True)], *[pa.array(np.frombuffer(r[c], np.uint8).astype(np.int32)) for c in ("xct", "mask")]], ["volume_id", "z", "y", "x", "v", "mask"])
+                ids = pa.array([r["volume_id"]] * at.shape[1], pa.string())
+                yield pa.RecordBatch.from_arrays([ids, *[pa.array((a + b).astype(np.int32)) for a, b in zip(at, base, strict=True)], *[pa.array(np.frombuffer(r[c], np.uint8).astype(np.int32)) for c in names]], ["volume_id", "z", "y", "x", *names.values()])
 
-    return chunks.mapInArrow(spread, "volume_id string, z int, y int, x int, v int, mask int")
+    rows = chunks.select("volume_id", "cz", "cy", "cx", "d", "h", "w", *names)
+    return rows.mapInArrow(spread, "volume_id string, z int, y int, x int, " + ", ".join(f"{n} int" for n in names.values()))
 
 
 def patches(index: DataFrame, chunks: DataFrame, split: str, size: int = 64) -> DataFrame:
