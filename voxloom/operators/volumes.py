@@ -67,7 +67,6 @@ def two_point_curves(voxels: DataFrame, shapes: DataFrame, r_max: float = 50, n_
         return t.slice(0, 1).select(["volume_id", "d", "h", "w", "bz", "by", "bx"]).append_column("bits", pa.array([np.packbits(bits).tobytes()]))
 
     own = cell.select("*", *keys).groupBy("volume_id", "bz", "by", "bx").applyInArrow(packed, "volume_id string, d int, h int, w int, bz int, by int, bx int, bits binary")
-    own = saved(own, "blocks")
     sent = own
     for a, n in zip("zyx", "dhw", strict=True):
         # Every block that has a set voxel of this one within reach, and where this one stands as seen from there.
