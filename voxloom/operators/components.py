@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,25 +13,40 @@ from voxloom.scratch import saved
 NEIGHBOURS = {4: ([(0, 1)], 0), 8: ([(0, 1)], 1), 6: ([(0, 1), (1, 0)], 0), 26: ([(0, 1), (1, -1), (1, 0), (1, 1)], 1)}
 
 
-def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
+def components(edges: DataFrame, on_round: Callable[[int], None] | None = None) -> DataFrame:
     """(node, label) of every node of ``edges`` (a, b); label is the smallest node of its component.
 
-    Every round gives each node the smallest label around it and then follows that label once more, so a path shrinks
-    to half or less. The groupings combine on the map side, so a node with very many edges is no hot key; the joins
-    have a shuffle on either side, which adaptive execution may split. Each round's labels are a written table. Nodes may
-    be of any type that has an order.
+    Each round orders the nodes anew by a hash, hooks every node under the first of its neighbours and itself, follows the
+    hooks once more, and contracts: edges become edges between the hooks' ends, without loops and repeats. A node is left
+    only if another one is hooked under it, so the nodes, and with them the edges, fall to less than half in the mean,
+    whatever the shape and the numbering: log n rounds, without a limit on them. The rounds' hooks are then followed back
+    from the last, smallest, table to the first.
+
+    The groupings combine on the map side, so a node with very many edges is no hot key; the joins have a shuffle on either
+    side, which adaptive execution may split. Each round's tables are written. Nodes may be of any type that has an order;
+    loops don't count, so a node with nothing but loops isn't there. ``on_round`` is told each round's number of edges.
     """
-    both = saved(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
-    labels = saved(both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("least", "a").alias("label")), "labels")
-    for _ in range(rounds):
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near")).withColumnRenamed("a", "node")
-        lower = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        after = saved(lower.join(jump, "label", "left").select("node", "old", F.least("label", "further").alias("label")), "labels")
-        labels = after.select("node", "label")
-        if after.where("label <> old").isEmpty():
-            return labels
-    raise RuntimeError(f"no end after {rounds} rounds")
+    rest = saved(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    hooks = []
+    while n_edges := rest.count():
+        if on_round:
+            on_round(n_edges)
+        order = lambda c, seed=len(hooks): F.struct(F.xxhash64(F.lit(seed), c).alias("h"), F.col(c).alias("node"))
+        ends = rest.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("near")), F.struct(F.col("b").alias("node"), F.col("a").alias("near")))).alias("e")).select("e.*")
+        first = ends.groupBy("node").agg(F.min(order("near")).alias("near")).select("node", F.least("near", order("node"))["node"].alias("up"))
+        further = first.select(F.col("node").alias("up"), F.col("up").alias("further"))
+        hook = saved(first.join(further, "up").select("node", F.col("further").alias("up")), "hooks")
+        hooks.append(hook)
+        moved = rest.join(hook.withColumnsRenamed({"node": "a", "up": "_a"}), "a").join(hook.withColumnsRenamed({"node": "b", "up": "_b"}), "b")
+        rest = saved(moved.where("_a <> _b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct(), "edges")
+    if not hooks:
+        return rest.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    roots = hooks.pop()
+    while hooks:
+        above = roots.select(F.col("up").alias("root"), F.col("node").alias("up"))
+        roots = saved(hooks.pop().join(above, "up", "left").select("node", F.coalesce("root", "up").alias("up")), "roots")
+    least = roots.groupBy("up").agg(F.min("node").alias("label"))
+    return saved(roots.join(least, "up").select("node", "label"), "labels")
 
 
 def runs(voxels: DataFrame) -> DataFrame:
