@@ -301,3 +301,13 @@ def test_words_and_counts():
     assert words.counts.tolist() == [3, 0, 1] and h[0] == h[2] and len({*h.tolist()}) == 3
     docs, keys, counts = counted(words.text_of(), h)
     assert docs.tolist() == [0, 0, 2] and sorted(counts.tolist()) == [1, 1, 2] and len(keys) == 3
+
+
+def test_a_chain_of_revisions(spark):
+    """Each text shares enough with the next one only; what links the first and the last is the whole chain."""
+    words = [f"w{k}" for k in range(2000 * 40 + 400)]
+    order = list(range(2000))
+    random.Random(6).shuffle(order)
+    rows = [(k, " ".join(words[40 * at : 40 * at + 400])) for k, at in enumerate(order)]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {tuple(r) for r in got.collect()} == {(k, 0) for k in range(2000)}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxloom.llm import chat, decontaminate, minhash, mixing, pii, quality, secrets, tokens, toxicity, warc
+from voxloom.llm import chat, decontaminate, exact_dedup, filter_audit, minhash, mixing, pii, quality, resampling, secrets, tokens, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -57,10 +57,22 @@ def op10_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_resampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_near_duplicates, op2_personal_data, op3_toxicity, op4_warc, op5_quality, op6_mixing, op7_token_counts, op8_chat, op9_secrets, op10_benchmark_leaks)}
+    return {f.__name__: f for f in (op1_near_duplicates, op2_personal_data, op3_toxicity, op4_warc, op5_quality, op6_mixing, op7_token_counts, op8_chat, op9_secrets, op10_benchmark_leaks, op11_resampled, op12_exact_duplicates, op13_filter_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
-    by_query = {op1_near_duplicates: minhash, op2_personal_data: pii, op4_warc: warc, op6_mixing: mixing, op8_chat: chat, op9_secrets: secrets, op10_benchmark_leaks: decontaminate}
+    by_query = {op1_near_duplicates: minhash, op2_personal_data: pii, op4_warc: warc, op6_mixing: mixing, op8_chat: chat, op9_secrets: secrets, op10_benchmark_leaks: decontaminate, op11_resampled: resampling, op12_exact_duplicates: exact_dedup, op13_filter_audit: filter_audit}
     return {f.__name__: module.SQL for f, module in by_query.items()}
