@@ -1,8 +1,9 @@
 """Segmentation of volumes: local and global thresholds, material mask, pores.
 
 Volumes are chunks (volume_id, cz, cy, cx, d, h, w, xct; dense, see ``sources.chunks``) and stay chunks: a mask is one more
-column of bytes. Only strips at the faces of chunks are shuffled for local thresholds, and runs of voxels along x for what
-spans a volume (components, void filling); boxes and histograms are partial aggregations. No volume has to fit into a task.
+column of bytes. Only strips at the faces of chunks are shuffled for local thresholds, and runs in the faces for what spans
+a volume (voids and pores, see ``chunk_labels``); boxes and histograms are partial aggregations. No volume has to fit into a
+task.
 """
 
 from __future__ import annotations
@@ -12,10 +13,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.operators import statistics
+from voxloom.operators import chunk_labels, statistics
 from voxloom.operators.components import labelled_runs, merged, runs, sizes, spread
 from voxloom.scratch import saved
 
@@ -67,21 +68,6 @@ def _lines(on: np.ndarray, r: dict, size: int) -> dict | None:
     return {"volume_id": r["volume_id"], "z": z + r["cz"] * size, "y": y + r["cy"] * size, "x0": x0 + r["cx"] * size, "x1": x1 - 1 + r["cx"] * size}
 
 
-def _drawn(lines: DataFrame, size: int, name: str) -> DataFrame:
-    """(volume_id, cz, cy, cx, name): the runs of each chunk, cut at its faces; at most as many as half its voxels."""
-    at = lines.withColumn("cx", F.explode(F.sequence(F.floor(F.col("x0") / size).cast("int"), F.floor(F.col("x1") / size).cast("int"))))
-    own = [F.col("z") % size, F.col("y") % size, F.greatest("x0", F.col("cx") * size) % size, F.least(F.col("x1"), (F.col("cx") + 1) * size - 1) % size]
-    part = F.struct(*[c.cast("int").alias(a) for c, a in zip(own, ("z", "y", "x0", "x1"), strict=True)])
-    return at.groupBy("volume_id", F.floor(F.col("z") / size).cast("int").alias("cz"), F.floor(F.col("y") / size).cast("int").alias("cy"), "cx").agg(F.collect_list(part).alias(name))
-
-
-def _draw(r: dict, name: str) -> np.ndarray:
-    out = np.zeros([r[c] for c in EXTENT], bool)
-    for p in r[name] or []:
-        out[p["z"], p["y"], p["x0"] : p["x1"] + 1] = True
-    return out
-
-
 def histogram(chunks: DataFrame) -> DataFrame:
     """(volume_id, v, n) of the intensities that occur."""
 
@@ -203,7 +189,8 @@ def material_mask(chunks: DataFrame, size: int = 64, box: DataFrame | None = Non
         return {"volume_id": r["volume_id"], "v": np.flatnonzero(n), "n": n[n > 0]}
 
     limits = statistics.otsu(_per_chunk(rows, "volume_id string, v int, n long", cropped).groupBy("volume_id", "v").agg(F.sum("n").alias("n")))
-    marked = saved(rows.join(limits, "volume_id"), "marked")
+    limits = saved(limits, "limits")
+    marked = rows.join(limits, "volume_id")
 
     def on(r: dict) -> np.ndarray:
         out = np.zeros([r[c] for c in EXTENT], bool)
@@ -218,25 +205,19 @@ def material_mask(chunks: DataFrame, size: int = 64, box: DataFrame | None = Non
     labels = saved(labelled_runs(merged(_per_chunk(marked, _RUNS, shadow)), 8), "shadow")
     first = labels.groupBy("volume_id").agg(F.min("label").alias("label"))
     ends = labels.join(first, ["volume_id", "label"]).groupBy("volume_id").agg(F.min("y").alias("y0"), F.max("y").alias("y1"), F.min("x0").alias("x0"), F.max("x1").alias("x1"))
-    inner = saved(marked.drop("y0", "y1", "x0", "x1").join(ends, "volume_id"), "inner")
+    inner = marked.drop("y0", "y1", "x0", "x1").join(saved(ends, "ends"), "volume_id")
 
-    def gaps(r: dict) -> dict | None:
+    def gaps(r: dict) -> np.ndarray:
         out = np.zeros([r[c] for c in EXTENT], bool)
         where = _inside(r, size)
         out[where] = ~on(r)[where]
-        return _lines(out, r, size)
+        return out
 
-    voids = labelled_runs(merged(_per_chunk(inner, _RUNS, gaps)), 6).withColumnsRenamed({"x0": "from", "x1": "to"})
-    sides = inner.groupBy("volume_id").agg(*[F.first(c).alias(c) for c in BOX])
-    face = (F.col("from") == F.col("x0")) | (F.col("to") == F.col("x1"))
-    for a in "zy":
-        face = face | (F.col(a) == F.col(f"{a}0")) | (F.col(a) == F.col(f"{a}1"))
-    placed = saved(voids.join(sides, "volume_id").select("volume_id", "z", "y", F.col("from").alias("x0"), F.col("to").alias("x1"), "label", face.alias("face")), "voids")
-    closed = placed.groupBy("volume_id", "label").agg(F.max("face").alias("open")).where(~F.col("open"))
-    filled = _drawn(placed.join(closed, ["volume_id", "label"], "left_semi"), size, "filled")
+    voids = saved(chunk_labels.labelled(chunk_labels.pieces(inner, gaps, 6, size), 6, size), "voids")
+    filled = chunk_labels.by_chunk(voids, ~F.col("open"), "filled")
 
     def solid(r: dict) -> dict:
-        out = _draw(r, "filled")
+        out = chunk_labels.chosen(r, gaps(r), 6, size, "filled")
         where = _inside(r, size)
         out[where] |= on(r)[where]
         return {c: r[c] for c in (*CHUNK, *EXTENT)} | {"sample": out.astype(np.uint8).tobytes()}
@@ -244,15 +225,14 @@ def material_mask(chunks: DataFrame, size: int = 64, box: DataFrame | None = Non
     return _per_chunk(inner.join(filled, CHUNK, "left"), f"{_KEYS}, d int, h int, w int, sample binary", solid)
 
 
-def _kept_pores(lines: DataFrame, least: int) -> DataFrame:
-    labels = saved(labelled_runs(lines, 26), "pores")
-    good = sizes(labels).where((F.col("size") >= least) & (F.col("dz") >= 2) & (F.col("dy") >= 2) & (F.col("dx") >= 2))
-    return labels.join(good, ["volume_id", "label"], "left_semi").drop("label")
-
-
 def clean_pores(pores: DataFrame, least: int = 8) -> DataFrame:
     """The voxels of 26-connected pores of ``least`` voxels or more that extend over two voxels or more on every axis."""
-    return spread(_kept_pores(runs(pores), least))
+    labels = saved(labelled_runs(runs(pores), 26), "pores")
+    return spread(labels.join(sizes(labels).where(_is_pore(least)), ["volume_id", "label"], "left_semi").drop("label"))
+
+
+def _is_pore(least: int) -> Column:
+    return (F.col("size") >= least) & (F.col("dz") >= 2) & (F.col("dy") >= 2) & (F.col("dx") >= 2)
 
 
 def segmented_pores(chunks: DataFrame, frontwall: int = 0, backwall: int = 0, window: int = 30, k: float = 0.125, least: int = -1, size: int = 64) -> DataFrame:
@@ -279,9 +259,11 @@ def segmented_pores(chunks: DataFrame, frontwall: int = 0, backwall: int = 0, wi
     out = saved(_per_chunk(both, schema, combined), "segmented")
     if least <= 0:
         return out
-    kept = _drawn(_kept_pores(merged(_per_chunk(out, _RUNS, lambda r: _lines(_cube(r, "pore"), r, size))), least), size, "kept")
-    redrawn = lambda r: {c: r[c] for c in (*CHUNK, *EXTENT, "sample", "binary")} | {"pore": _draw(r, "kept").astype(np.uint8).tobytes()}
-    return _per_chunk(out.drop("pore").join(kept, CHUNK, "left"), schema, redrawn)
+    pore = lambda r: _cube(r, "pore").astype(bool)
+    found = saved(chunk_labels.labelled(chunk_labels.pieces(out.select(*CHUNK, *EXTENT, "pore"), pore, 26, size), 26, size), "pores")
+    kept = chunk_labels.by_chunk(found, _is_pore(least), "kept")
+    redrawn = lambda r: {c: r[c] for c in (*CHUNK, *EXTENT, "sample", "binary")} | {"pore": chunk_labels.chosen(r, pore(r), 26, size, "kept").astype(np.uint8).tobytes()}
+    return _per_chunk(out.join(kept, CHUNK, "left"), schema, redrawn)
 
 
 def masks(chunks: DataFrame, size: int = 64, **options) -> DataFrame:
