@@ -21,12 +21,14 @@ def union_find(pairs) -> dict:
     return {x: root(x) for p in pairs if p[0] != p[1] for x in p}
 
 
-def held(spark, pairs, most_rounds=None) -> None:
+def held(spark, pairs, spread=False) -> None:
+    """With ``spread`` a task joins 50 edges at a time, so the rounds have to find what goes across."""
     rounds = []
-    got = {r.node: r.label for r in components.components(spark.createDataFrame(pairs, "a long, b long"), rounds.append).collect()}
+    got = {r.node: r.label for r in components.components(spark.createDataFrame(pairs, "a long, b long"), rounds.append, 50 if spread else components.BLOCK_EDGES).collect()}
     assert got == union_find(pairs)
     assert rounds == sorted(rounds, reverse=True)
-    assert len(rounds) <= (most_rounds or 2 + math.log(max(2, len(got)), 1.7))
+    assert len(rounds) <= 2 or spread  # a graph that fits into a block is done at once
+    assert len(rounds) <= 2 + math.log(max(2, len(got)), 1.7)
 
 
 def shuffled_path(n: int, seed: int) -> list:
@@ -43,8 +45,11 @@ def test_components(spark):
 
 
 @pytest.mark.parametrize("pairs", [shuffled_path(10_000, 1), [(i, i + 1) for i in range(3000)], [(0, i) for i in range(1, 3000)] + [(i, i) for i in range(5)]], ids=["random path", "sorted path", "star"])
-def test_long_paths(spark, pairs):
-    held(spark, pairs)
+@pytest.mark.parametrize("spread", [False, True])
+def test_long_paths(spark, pairs, spread):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50 if spread else 10_000)
+    held(spark, pairs, spread)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def voxels_held(spark, voxels, connectivity) -> None:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.operators.components import NEIGHBOURS, components
+from voxloom.operators.components import NEIGHBOURS, components, joined
 from voxloom.scratch import saved
 
 #: A component is named by its first voxel in the order of z, y, x: (z << 42) + (y << 21) + x, so volumes have up to 2^21 voxels a side.
@@ -24,19 +24,6 @@ _AXIS = 21
 _PIECES = "volume_id string, cz int, cy int, cx int, first long, whole boolean, size long, z0 int, z1 int, y0 int, y1 int, x0 int, x1 int, open boolean"
 
 
-def joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The smallest of 0..n-1 that the edges (a, b) connect each with; every round hooks larger roots under smaller ones."""
-    up = np.arange(n)
-    while len(a):
-        ra, rb = up[a], up[b]
-        apart = ra != rb
-        a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
-        np.minimum.at(up, np.maximum(ra, rb), np.minimum(ra, rb))
-        while not np.array_equal(further := up[up], up):
-            up = further
-    return up
-
-
 class Labelled:
     """The runs along x of a mask, in the order of z, y, x, and ``root``: the first run of each run's component."""
 
