@@ -5,8 +5,9 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from voxloom.operators import components, patch_index, segmentation, splits, statistics, volumes
+from voxloom.operators import components, ordering, patch_index, segmentation, splits, statistics, volumes
 from voxloom.sources import chunks
 
 
@@ -231,9 +232,9 @@ def test_splits(spark):
     a, b, c = ({r.volume_id: r.split for r in splits.counted_split(v, 14, 3, 3, s).collect()} for s in (42, 42, 99))
     assert a == b != c and Counter(a.values()) == {"train": 14, "val": 3, "test": 3}
     assert Counter(splits.dealt_like_numpy(ids, 8, 2, 2, 7).values()) == {"train": 8, "val": 2, "test": 2}
-    with pytest.raises(ValueError, match="only 20 available"):
+    with pytest.raises(ValueError, match="24 volumes can't be dealt from 20"):
         splits.counted_split(v, 18, 3, 3, 1)
-    with pytest.raises(ValueError, match="only 5 available"):
+    with pytest.raises(ValueError, match="from 5"):
         splits.dealt_like_numpy(ids[:5], 4, 3, 3, 1)
 
 
@@ -245,7 +246,12 @@ def test_stratified_split(spark):
     got = splits.stratified_split(df, edges, targets, 42, ["out"]).collect()
     assert Counter((r.bin, r.split) for r in got if r.split != "excluded") == {(f"b{i}", s): 1 for i in range(5) for s in ("train", "val", "test")}
     assert [r.volume_id for r in got if r.split == "excluded"] == ["out"]
-    with pytest.raises(ValueError, match="outside"):
+    assert {r.phi_median for r in got if r.volume_id == "v0"} == {0.001}  # of rows that repeat, the first in the given order
+    assert {r.phi_median for r in splits.stratified_split(df, edges, targets, 42, ["out"], [-F.col("phi_median")]).collect() if r.volume_id == "v0"} == {0.004}
+    assert {tuple(r) for r in splits.split_summary(splits.stratified_split(df, edges, targets, 42, ["out"]), targets).collect()} == {(f"b{i}", 1, 1, 1, 3, 3) for i in range(5)}
+    with pytest.warns(UserWarning, match="bin b2 has 4 volumes"):
+        splits.stratified_split(df, edges, targets, 42)
+    with pytest.raises(ValueError, match="no bin holds"):
         splits.stratified_split(spark.createDataFrame([("x", 0.12)], "volume_id string, phi_median double"), edges, targets, 1)
     with pytest.raises(ValueError, match="want"):
         splits.stratified_split(df.where("phi_median < 0.06"), edges, targets, 1)
@@ -254,3 +260,35 @@ def test_stratified_split(spark):
     assert splits.split_column(" V2 ") == "split_v2"
     with pytest.raises(ValueError):
         splits.split_column("v3")
+
+
+def test_hulls_merge(spark):
+    """A pore's hull from columns of lines is that of all its voxels."""
+    rng = np.random.default_rng(9)
+    rows, want = [], {}
+    for k in range(6):
+        centre, spread = rng.integers(0, 40, 3), rng.integers(1, 14, 3)
+        points = np.unique(np.rint(centre + rng.normal(size=(150, 3)) * spread).astype(int), axis=0)
+        points = points - np.minimum(points.min(axis=0), 0)
+        rows += [("v", k, *map(int, p), int(p[2])) for p in points]
+        want[k] = volumes.hull_voxels(points)
+    rows += [("v", 9, 5, 5, 3, 3), ("w", 9, 0, 0, 0, 20)]
+    lines = spark.createDataFrame(rows, "volume_id string, label int, z int, y int, x0 int, x1 int")
+    got = {(r.volume_id, r.label): r.hull for r in volumes.hull_sizes(lines, 8).collect()}
+    assert got == {("v", k): n for k, n in want.items()} | {("v", 9): 1, ("w", 9): 21}
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 777])
+def test_percentiles_and_batches(spark, n):
+    rng = np.random.default_rng(n)
+    values = [None if k % 50 == 3 else float("nan") if k % 97 == 5 else float(rng.integers(0, 40)) / 8 for k in range(n)]
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, v double").repartition(5)
+    shares = [0, 0.1, 0.25, 0.5, 0.75, 0.9, 0.999, 1]
+    want = df.agg(*[F.percentile("v", F.lit(s)) for s in shares]).first()
+    assert [str(x) for x in ordering.percentiles(df, "v", shares)] == [str(x) for x in want]
+    with pytest.raises(ValueError, match="shares"):
+        ordering.percentiles(df, "v", [1.5])
+    plain = {r.k: r.batch_id for r in ordering.batched(df, 50, ["k"]).collect()}
+    assert plain == {k: k // 50 for k in range(n)}
+    a, b, c = ({r.k: r.batch_id for r in ordering.batched(df, 50, ["k"], seed, drop_last=True).collect()} for seed in (1, 1, 2))
+    assert a == b and sorted(Counter(a.values()).items()) == [(k, 50) for k in range(n // 50)] and (a != c or n < 50)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from voxloom.functions import losses
 from voxloom.functions.arrays import mean, sharpness, sigmoid
+from voxloom.operators.ordering import percentiles
 from voxloom.operators.patch_metrics import ratio
 
 
@@ -57,7 +58,7 @@ def focus(maps: Column, side: int) -> Column:
 
 def percentile_threshold(rows: DataFrame, score: str, percent: float = 75.0) -> float:
     """The exact percentile of single-precision scores, with linear interpolation."""
-    return rows.agg(F.percentile(F.col(score).cast("float").cast("double"), F.lit(percent / 100))).first()[0]
+    return percentiles(rows.select(F.col(score).cast("float").cast("double").alias("score")), "score", [percent / 100])[0]
 
 
 def two_way(density: Column, threshold: float) -> Column:
@@ -73,7 +74,7 @@ def compared_decoders(patches: DataFrame, auxiliary: str, threshold: float, side
     original = F.transform("xct_logits", sigmoid)
     loss = lambda pred: losses.charbonnier_sum(pred, F.col("xct")) / F.size("xct")
     rows = with_variance_map(patches, side, kernel).select(
-        "split", "dataset_index", "volume_id", mean("mask").alias("porosity"), variance_density(F.col("variance_map")).alias("transition_density"),
+        "split", "dataset_index", "volume_id", "z0", "y0", "x0", mean("mask").alias("porosity"), variance_density(F.col("variance_map")).alias("transition_density"),
         loss(original).alias("xct_loss_original"), loss(F.col(auxiliary)).alias("xct_loss_auxiliary"),
         sharpness(F.col("xct"), side).alias("sharpness_gt"), sharpness(original, side).alias("sharpness_recon_original"), sharpness(F.col(auxiliary), side).alias("sharpness_recon_auxiliary"),
     )
@@ -108,7 +109,7 @@ def top_per_class(rows: DataFrame, label: str, by: str, k: int = 3, keys: tuple[
 def described(rows: DataFrame, value: str, percents: tuple[float, ...] = (0.25, 0.5, 0.75, 0.9)) -> DataFrame:
     """count, mean, sample std, min, exact percentiles and max of a column, in one row."""
     v = F.col(value).cast("double")
-    return rows.agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), *[F.percentile(v, F.lit(p)).alias(f"p{p * 100:g}") for p in percents], F.max(v).alias("max"))
+    return rows.agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), *[F.lit(p).cast("double").alias(f"p{share * 100:g}") for share, p in zip(percents, percentiles(rows, value, percents), strict=True)], F.max(v).alias("max"))
 
 
 def gain_verdict(gain: Column, interior_gain: Column, factor: float = 1.25) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -132,17 +133,24 @@ def pore_sizes(voxels: DataFrame, volumes: DataFrame) -> DataFrame:
     return volumes.select("volume_id").join(found, "volume_id", "left").select("volume_id", F.coalesce("size", F.lit(0.0)).alias("size"))
 
 
+def face_centres(voxels: np.ndarray) -> np.ndarray:
+    """The centres of the faces of voxels; they span space even for a single voxel."""
+    return np.unique(np.concatenate([voxels + 0.5 * s * np.eye(3, dtype=int)[a] for a in range(3) for s in (1, -1)]), axis=0)
+
+
 def hull_voxels(points: np.ndarray) -> int:
     """How many voxel centres lie in the convex hull of the voxels' face centres (a border counts as inside)."""
     low = points.min(axis=0)
-    points = points - low
-    ends = np.concatenate([points + 0.5 * s * np.eye(3, dtype=int)[a] for a in range(3) for s in (1, -1)])
-    planes = _hull_planes(np.unique(ends, axis=0))
-    shape = points.max(axis=0) + 1
+    planes, _ = hull(face_centres(points - low))
+    return voxels_within(planes, points.max(axis=0) - low + 1, range(points[:, 0].max() - low[0] + 1))
+
+
+def voxels_within(planes: np.ndarray, shape: np.ndarray, slices: Iterable[int]) -> int:
+    """How many voxel centres of some slices along z of a box from the origin lie within outward planes (n, offset)."""
     inside, y = 0, np.arange(shape[1])[:, None]
     nz, ny, nx, off = planes.T
     flat = np.abs(nx) < 1e-12
-    for z in range(shape[0]):
+    for z in slices:
         # On each line along x the planes leave an interval.
         left = off + 1e-8 - nz * z - ny * y
         edge = left / np.where(flat, 1, nx)
@@ -153,8 +161,8 @@ def hull_voxels(points: np.ndarray) -> int:
     return inside
 
 
-def _hull_planes(p: np.ndarray) -> np.ndarray:
-    """Outward planes (n, offset) of the hull of points that span space, added point by point."""
+def hull(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Outward planes (n, offset) and corners of the hull of points that span space, added point by point."""
     a, b = p[p[:, 0].argmin()], p[p[:, 0].argmax()]
     c = p[np.linalg.norm(np.cross(p - a, b - a), axis=1).argmax()]
     d = p[np.abs((p - a) @ np.cross(b - a, c - a)).argmax()]
@@ -188,7 +196,50 @@ def _hull_planes(p: np.ndarray) -> np.ndarray:
             if np.linalg.norm(np.cross(corners[v] - corners[u], x - corners[u])) > 1e-9:
                 fresh.append(plane((u, v, len(corners) - 1)))
         faces = [f for k, f in enumerate(faces) if not seen[k]] + fresh
-    return np.array([[*f[1], f[2]] for f in faces])
+    used = sorted({i for f in faces for i in f[0]})
+    return np.array([[*f[1], f[2]] for f in faces]), np.array([corners[i] for i in used])
+
+
+def hull_sizes(lines: DataFrame, side: int = 64) -> DataFrame:
+    """(volume_id, label, hull): the voxels in the convex hull of each label, of its lines' ends (z, y, x0, x1).
+
+    Hulls merge: the hull of the corners of the parts' hulls is that of the whole. So lines go to columns of ``side`` x
+    ``side`` of them, each column sends its corners, and the label's planes go to slabs of ``side`` slices, which count
+    voxels. No group holds more than a column's lines, the corners of all columns, or a label's planes.
+    """
+    keys = ["volume_id", "label"]
+    kind = lines.schema["label"].dataType.simpleString()
+    own = lines.select(*keys, "z", "y", "x0", "x1", F.floor(F.col("z") / side).alias("bz"), F.floor(F.col("y") / side).alias("by"))
+
+    def column(t: pa.Table) -> pa.Table:
+        z, y, x0, x1 = (t.column(c).to_numpy() for c in ("z", "y", "x0", "x1"))
+        low = np.array([z.min(), y.min(), x0.min()])
+        _, corners = hull(face_centres(np.unique(np.concatenate([np.column_stack([z, y, x]) for x in (x0, x1)]), axis=0) - low))
+        corners = corners + low
+        first = pa.table({c: pa.chunked_array([t.column(c).chunk(0).take(pa.array(np.zeros(len(corners), np.int64)))]) for c in keys})
+        return first.append_column("z", pa.array(corners[:, 0])).append_column("y", pa.array(corners[:, 1])).append_column("x", pa.array(corners[:, 2]))
+
+    corners = own.groupBy(*keys, "bz", "by").applyInArrow(column, f"volume_id string, label {kind}, z double, y double, x double")
+
+    def whole(t: pa.Table) -> pa.Table:
+        points = np.column_stack([t.column(c).to_numpy() for c in "zyx"])
+        low = np.ceil(points.min(axis=0))
+        planes, _ = hull(np.unique(points - low, axis=0))
+        shape = (np.floor(points.max(axis=0)) - low + 1).astype(int)
+        return t.slice(0, 1).select(keys).append_column("planes", pa.array([planes.ravel().tolist()])).append_column("shape", pa.array([shape.tolist()], pa.list_(pa.int64())))
+
+    planes = corners.groupBy(*keys).applyInArrow(whole, f"volume_id string, label {kind}, planes array<double>, shape array<long>")
+    slabs = planes.withColumn("slab", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("shape")[0] - 1) / side))))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for flat, shape, slab in zip(*(batch.column(c).to_pylist() for c in (2, 3, 4)), strict=True):
+                found.append(voxels_within(np.array(flat).reshape(-1, 4), np.array(shape), range(slab * side, min(shape[0], (slab + 1) * side))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.int64())], [*keys, "n"])
+
+    counted = slabs.mapInArrow(count, f"volume_id string, label {kind}, n long")
+    return counted.groupBy(*keys).agg(F.sum("n").alias("hull"))
 
 
 def pore_shapes(voxels: DataFrame, most: int = 500) -> DataFrame:
@@ -198,18 +249,12 @@ def pore_shapes(voxels: DataFrame, most: int = 500) -> DataFrame:
     """
     labels = saved(labelled_runs(runs(voxels), 26), "pores")
     order = Window.partitionBy("volume_id").orderBy(F.col("size").desc(), "label")
-    large = sizes(labels).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most).select("volume_id", "label", "size")
+    large = saved(sizes(labels).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most).select("volume_id", "label", "size"), "large")
     # The ends of a pore's lines have the hull of all its voxels; a line's runs meet on the map side.
-    ends = labels.groupBy("volume_id", "label", "z", "y").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1")).join(large, ["volume_id", "label"])
-
-    def measure(t: pa.Table) -> pa.Table:
-        z, y, x0, x1 = (t.column(c).to_numpy() for c in ("z", "y", "x0", "x1"))
-        points = np.unique(np.concatenate([np.column_stack([z, y, x]) for x in (x0, x1)]), axis=0)
-        v = t.column("size")[0].as_py()
-        s = math.pi ** (1 / 3) * (6 * v) ** (2 / 3) / hull_voxels(points)
-        return t.slice(0, 1).select(["volume_id", "label", "size"]).append_column("sphericity", pa.array([s])).append_column("eq_diameter", pa.array([(6 * v / math.pi) ** (1 / 3)]))
-
-    return ends.groupBy("volume_id", "label").applyInArrow(measure, "volume_id string, label struct<z:int,y:int,x:int>, size long, sphericity double, eq_diameter double")
+    ends = labels.groupBy("volume_id", "label", "z", "y").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1")).join(large.select("volume_id", "label"), ["volume_id", "label"], "left_semi")
+    v = F.col("size")
+    sphericity = math.pi ** (1 / 3) * F.pow(6 * v, F.lit(2 / 3)) / F.col("hull")
+    return large.join(hull_sizes(ends), ["volume_id", "label"]).select("volume_id", "label", "size", sphericity.alias("sphericity"), F.pow(6 * v / math.pi, F.lit(1 / 3)).alias("eq_diameter"))
 
 
 def morphology(voxels: DataFrame, volumes: DataFrame, most: int = 500) -> DataFrame:
@@ -222,10 +267,31 @@ def morphology(voxels: DataFrame, volumes: DataFrame, most: int = 500) -> DataFr
 
 def volume_report(voxels: DataFrame) -> DataFrame:
     """(volume_id, porosity_gt, porosity_pred, porosity_error, xct_mae) of voxels with gt, pred, xct_gt and xct_pred."""
-    out = voxels.groupBy("volume_id").agg(F.avg(F.col("gt").cast("double")).alias("porosity_gt"), F.avg((F.col("pred") >= 0.5).cast("double")).alias("porosity_pred"), F.avg(F.abs(F.col("xct_gt") - F.col("xct_pred"))).alias("xct_mae"))
+    out = voxels.groupBy("volume_id").agg(F.avg((F.col("gt") >= 0.5).cast("double")).alias("porosity_gt"), F.avg((F.col("pred") >= 0.5).cast("double")).alias("porosity_pred"), F.avg(F.abs(F.col("xct_gt") - F.col("xct_pred"))).alias("xct_mae"))
     return out.withColumn("porosity_error", F.abs(F.col("porosity_pred") - F.col("porosity_gt")))
 
 
+def volume_record(voxels: DataFrame, shapes: DataFrame, r_max: int = 50, most: int = 500) -> DataFrame:
+    """One record per volume of ``shapes`` (volume_id, d, h, w), of voxels with z, y, x and the columns of ``volume_report``:
+    what that gives, s2_wasserstein, s2_gt, s2_pred (curves of ``r_max`` shells), s2_r_vals (their middles),
+    psd_wasserstein, and morphology_gt and morphology_pred.
+
+    A mask is what reaches 0.5. A curve without any pore is zeros, a volume without pores has the one size 0.
+    """
+    base = saved(voxels, "voxels")
+    by_side = {}
+    for side in ("gt", "pred"):
+        on = base.where(F.col(side) >= 0.5).select("volume_id", "z", "y", "x")
+        form = morphology(on, shapes, most)
+        by_side[side] = (saved(two_point_curves(on, shapes, r_max, r_max), "curves"), pore_sizes(on, shapes), form.select("volume_id", F.struct(*[c for c in form.columns if c != "volume_id"]).alias(f"morphology_{side}")))
+    (s2, psd, form), (s2_pred, psd_pred, form_pred) = by_side["gt"], by_side["pred"]
+    middles = F.array(*[F.lit(k + 0.5) for k in range(r_max)]).alias("s2_r_vals")
+    out = volume_report(base).join(curve_distance(s2, s2_pred).withColumnRenamed("distance", "s2_wasserstein"), "volume_id")
+    out = out.join(s2.withColumnRenamed("s2", "s2_gt"), "volume_id").join(s2_pred.withColumnRenamed("s2", "s2_pred"), "volume_id").select("*", middles)
+    out = out.join(sample_distance(psd, psd_pred).withColumnRenamed("distance", "psd_wasserstein"), "volume_id")
+    return out.join(form, "volume_id").join(form_pred, "volume_id")
+
+
 def across_volumes(reports: DataFrame, metrics: list[str]) -> DataFrame:
     """(metric, mean, std): over volumes, without NaN; the population's deviation."""
     long = reports.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in metrics])).alias("m")).select("m.*")

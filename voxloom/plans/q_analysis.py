@@ -27,7 +27,7 @@ def maps(spark, sf):
 
 def compared(spark, sf):
     p = si.model_output(spark, sf)
-    p = p.withColumns({"split": F.when(F.col("vec_id") % 2 == 0, "val").otherwise("test"), "dataset_index": F.col("vec_id"), "aux": F.transform("xct_logits", lambda x: 0.5 * sigmoid(x) + 0.25)})
+    p = p.withColumns({"split": F.when(F.col("vec_id") % 2 == 0, "val").otherwise("test"), "dataset_index": F.col("vec_id"), "aux": F.transform("xct_logits", lambda x: 0.5 * sigmoid(x) + 0.25), **{a: (F.col("vec_id") % 8 * k).cast("int") for k, a in enumerate(("z0", "y0", "x0"), 1)}})
     return tx.compared_decoders(p, "aux", 0.02, SIDE, 3)
 
 
@@ -63,7 +63,7 @@ def means(spark, sf):
     return rounded(si.model_output(spark, sf).select("vec_id", F.posexplode(channel_means(F.col("mu"), 8)).alias("ch", "mean")))
 
 
-_COLS = "split, dataset_index, volume_id, round(porosity, 6) AS porosity, round(density, 6) AS transition_density, label AS transition_label, round(lo, 6) AS xct_loss_original, round(lx, 6) AS xct_loss_auxiliary, round(g, 6) AS sharpness_gt, round(o, 6) AS sharpness_recon_original, round(a, 6) AS sharpness_recon_auxiliary, round(CASE WHEN g > 0 THEN o / g ELSE 'nan'::DOUBLE END, 6) AS sharpness_ratio_original, round(CASE WHEN g > 0 THEN a / g ELSE 'nan'::DOUBLE END, 6) AS sharpness_ratio_auxiliary"
+_COLS = "split, dataset_index, volume_id, (vec_id % 8)::INT AS z0, (vec_id % 8 * 2)::INT AS y0, (vec_id % 8 * 3)::INT AS x0, round(porosity, 6) AS porosity, round(density, 6) AS transition_density, label AS transition_label, round(lo, 6) AS xct_loss_original, round(lx, 6) AS xct_loss_auxiliary, round(g, 6) AS sharpness_gt, round(o, 6) AS sharpness_recon_original, round(a, 6) AS sharpness_recon_auxiliary, round(CASE WHEN g > 0 THEN o / g ELSE 'nan'::DOUBLE END, 6) AS sharpness_ratio_original, round(CASE WHEN g > 0 THEN a / g ELSE 'nan'::DOUBLE END, 6) AS sharpness_ratio_auxiliary"
 
 
 @with_sql("ref109_compared_decoders", f"{_COMP} SELECT {_COLS} FROM c")

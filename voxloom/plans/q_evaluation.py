@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from voxloom.operators import components as cc
@@ -161,6 +163,42 @@ def across_volumes(spark, sf):
     return rounded(vo.across_volumes(report(spark, sf), ["porosity_error", "xct_mae"]))
 
 
+def record(spark, sf):
+    """Records of the dense volumes, the mask above 0.1 as truth and above 0.15 as prediction."""
+    v = si.dense(spark, sf).select("volume_id", "z", "y", "x", *[(F.col("e") > F.lit(x).cast("float")).cast("double").alias(n) for n, x in (("gt", 0.1), ("pred", 0.15))], F.col("e").cast("double").alias("xct_gt"), F.abs("e").cast("double").alias("xct_pred"))
+    return vo.volume_record(v, si.shapes(spark, sf), 5)
+
+
+
+
+def _reach(side: str, on: str, near: str) -> str:
+    """The components' tables under names of their own."""
+    return re.sub(r"\b(nb|reach|lab|comp|(?<![.AS] )s(?= AS| a\b| b\b| UNION))\b", rf"\1_{side}", _REACH.format(on=f"{on} = 1", near=near))
+
+
+_STEPS = "abs(a.z - b.z) + abs(a.y - b.y) + abs(a.x - b.x) <= 1"
+_RECORD = f"""{_P}, {_S2.format(m='mask', o='c')}, {_S2B}, {_reach('g6', 'mask', _STEPS)}, {_reach('p6', 'sparse', _STEPS)}, {_reach('g26', 'mask', 'TRUE')}, {_reach('p26', 'sparse', 'TRUE')},
+por AS (SELECT volume_id, avg(mask) AS gt, avg(sparse) AS pr, avg(abs(e::DOUBLE - abs(e::DOUBLE))) AS mae FROM placed GROUP BY 1),
+u AS (SELECT volume_id, r, coalesce(c.s2 / nullif(sum(c.s2) OVER w, 0), 0) AS p, coalesce(c2.s2 / nullif(sum(c2.s2) OVER w, 0), 0) AS q FROM c JOIN c2 USING (volume_id, r) WINDOW w AS (PARTITION BY volume_id)),
+s2w AS (SELECT volume_id, sum(g) FILTER (r < 4) AS s2 FROM (SELECT volume_id, r, abs(sum(p - q) OVER (PARTITION BY volume_id ORDER BY r)) AS g FROM u) GROUP BY 1),
+sizes AS (SELECT volume_id, coalesce(size, 0) AS v, 1 AS g, 0 AS p FROM shapes LEFT JOIN comp_g6 USING (volume_id) UNION ALL SELECT volume_id, coalesce(size, 0), 0, 1 FROM shapes LEFT JOIN comp_p6 USING (volume_id)),
+psd AS (SELECT volume_id, sum(abs(a / na - b / nb) * dx) AS psd FROM (SELECT volume_id, sum(g) OVER u AS a, sum(p) OVER u AS b, sum(g) OVER t AS na, sum(p) OVER t AS nb, lead(v, 1, v) OVER u - v AS dx FROM (SELECT volume_id, v, sum(g) AS g, sum(p) AS p FROM sizes GROUP BY 1, 2) WINDOW u AS (PARTITION BY volume_id ORDER BY v), t AS (PARTITION BY volume_id)) GROUP BY 1),
+dg AS (SELECT volume_id, count(*) AS n_gt, avg((6 * size / pi()) ** (1 / 3.0)) AS d_gt FROM comp_g26 GROUP BY 1), dp AS (SELECT volume_id, count(*) AS n_pred, avg((6 * size / pi()) ** (1 / 3.0)) AS d_pred FROM comp_p26 GROUP BY 1),
+rec AS (SELECT volume_id, gt AS porosity_gt, pr AS porosity_pred, abs(pr - gt) AS porosity_error, mae AS xct_mae, s2 AS s2_wasserstein, psd AS psd_wasserstein, n_gt, n_pred, coalesce(d_gt, 'nan'::DOUBLE) AS d_gt, coalesce(d_pred, 'nan'::DOUBLE) AS d_pred FROM por JOIN s2w USING (volume_id) JOIN psd USING (volume_id) LEFT JOIN dg USING (volume_id) LEFT JOIN dp USING (volume_id))"""
+_METRICS = ["porosity_error", "xct_mae", "s2_wasserstein", "psd_wasserstein"]
+
+
+@query("ref95_volume_record", f"{_RECORD} SELECT volume_id, {', '.join(f'round({m}, 6) AS {m}' for m in ('porosity_gt', 'porosity_pred', *_METRICS, 'd_gt', 'd_pred'))}, n_gt, n_pred, 5::INT AS shells FROM rec")
+def volume_record(spark, sf):
+    form = [F.col(f"morphology_{s}.{c}").alias(f"{n}_{s}") for s in ("gt", "pred") for c, n in (("eq_diameter_mean", "d"), ("n_pores", "n"))]
+    return rounded(record(spark, sf).select("volume_id", "porosity_gt", "porosity_pred", *_METRICS, *form, F.size("s2_r_vals").alias("shells")))
+
+
+@query("ref96_across_records", f"{_RECORD} " + " UNION ALL ".join(f"SELECT '{m}' AS metric, round(avg({m}), 6) AS mean, round(stddev_pop({m}), 6) AS std FROM rec" for m in _METRICS))
+def across_records(spark, sf):
+    return rounded(vo.across_volumes(record(spark, sf), _METRICS))
+
+
 @query("ref97_test_volumes", f"WITH {si.POROSITIES_SQL} SELECT DISTINCT volume_id FROM idx WHERE split = 'test'")
 def test_volumes(spark, sf):
     return si.porosities(spark, sf).where("split = 'test'").select("volume_id").distinct()

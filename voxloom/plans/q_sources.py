@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from voxloom.operators import ordering
 from voxloom.operators import patch_index as pi
 from voxloom.plans import stand_ins as si
 from voxloom.plans.catalog import query
@@ -62,10 +63,14 @@ def patch_source(spark, sf):
     return got.select("volume_id", "z0", "y0", "x0", F.aggregate("mask", F.lit(0).cast("long"), lambda a, v: a + v).alias("pores"))
 
 
-@query("ref11_batches", "SELECT TRUE AS even, count(*) AS n FROM events")
+@query("ref11_batches", "SELECT event_id, (row_number() OVER (ORDER BY event_id) - 1) // 128 AS batch_id FROM events")
 def batches(spark, sf):
-    b = chunks.batched(si.table(spark, sf, "events"), 1000, ["event_id"]).groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"))
-    return b.agg((F.max("n") < 1600).alias("even"), F.sum("n").alias("n"))
+    return ordering.batched(si.table(spark, sf, "events").select("event_id"), 128, ["event_id"])
+
+
+@query("ref11_shuffled_batches", "SELECT event_id, (row_number() OVER (ORDER BY md5('42|' || event_id::VARCHAR), event_id) - 1) // 128 AS batch_id FROM events QUALIFY batch_id < (SELECT count(*) // 128 FROM events)")
+def shuffled_batches(spark, sf):
+    return ordering.batched(si.table(spark, sf, "events").select("event_id"), 128, ["event_id"], seed=42, drop_last=True)
 
 
 @query("ref12_log_lines", "SELECT event_id AS step, event_type AS split, round(value, 6) AS total FROM events")

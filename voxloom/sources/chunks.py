@@ -96,8 +96,3 @@ def patches(index: DataFrame, chunks: DataFrame, split: str, size: int = 64) ->
     schema = index.select("*", F.lit(None).cast("array<float>").alias("xct"), F.lit(None).cast("array<smallint>").alias("mask")).schema
     return parts.groupBy("volume_id", "z0", "y0", "x0").applyInArrow(assembled, schema)
 
-
-def batched(rows: DataFrame, size: int, keys: list[str]) -> DataFrame:
-    """Adds a repeatable batch_id: rows are dealt by hash to about as many batches as ``size`` rows each make."""
-    n = max(1, -(-rows.count() // size))
-    return rows.withColumn("batch_id", F.pmod(F.xxhash64(*keys), F.lit(n)))
