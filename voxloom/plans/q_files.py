@@ -16,8 +16,8 @@ from voxloom.operators import latent as la
 from voxloom.plans import stand_ins as si
 from voxloom.plans.catalog import query
 from voxloom.schemas import VOLUME_STATS
-from voxloom.scratch import fresh_path, saved
-from voxloom.sources import chunks, datasets, json_files, samples, tiff
+from voxloom.scratch import fresh_path
+from voxloom.sources import chunks, datasets, file_sink, json_files, samples, tiff
 
 _USERS = "u AS (SELECT DISTINCT user_id::VARCHAR AS volume_id, CASE user_id % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'val' ELSE 'test' END AS split FROM events)"
 
@@ -40,11 +40,9 @@ def tiff_pages(spark, sf):
     def put(t: pa.Table) -> pa.Table:
         volume = np.zeros((8, 8, 8), np.uint8)
         volume[tuple(t.column(c).to_numpy() for c in "zyx")] = t.column("v").to_numpy()
-        name = t.column("volume_id")[0].as_py()
-        tiff.write_file(f"{path}/{name}.tif", volume)
-        return pa.table({"volume_id": [name]})
+        return pa.table({"path": [f"{t.column('volume_id')[0].as_py()}.tif"], "content": [tiff.encoded(volume)]})
 
-    saved(si.dense(spark, sf).select("volume_id", "z", "y", "x", v.alias("v")).groupBy("volume_id").applyInArrow(put, "volume_id string"), "written")
+    file_sink.write_files(si.dense(spark, sf).select("volume_id", "z", "y", "x", v.alias("v")).groupBy("volume_id").applyInArrow(put, file_sink.SCHEMA), path)
     pages = tiff.read(spark, path)
     sums = F.aggregate(F.transform(F.sequence(F.lit(1), F.length("pixels")), lambda i: F.conv(F.hex(F.substring(F.col("pixels"), i, F.lit(1))), 16, 10).cast("long")), F.lit(0).cast("long"), lambda a, b: a + b)
     return pages.select(F.regexp_extract("path", r"(\d+)\.tif$", 1).alias("volume_id"), F.col("z").cast("int").alias("page"), sums.alias("total"))
@@ -91,7 +89,7 @@ def exported(spark, sf):
     p = si.model_output(spark, sf)
     rows = p.select(F.col("vec_id").cast("string").alias("sample_id"), "volume_id", *[F.lit(k).cast("long").alias(c) for k, c in enumerate(("z0", "y0", "x0"))], F.lit(0.25).alias("porosity"), F.lit("g").alias("source_group"),
                     F.col("xct").alias("xct_gt"), F.col("mask").alias("mask_gt"), F.col("xct_logits").alias("xct_recon"), F.col("mask_logits").alias("mask_recon"))
-    samples.write_manifest(saved(samples.export(rows, path, 4), "manifest"), path)
+    samples.write_manifest(samples.export(rows, path, 4), path)
     return path
 
 
@@ -130,14 +128,10 @@ def converted_archives(spark, sf):
         arrays = np.array(t.column("embedding").to_pylist(), np.float32)[order].reshape(-1, 4, 4, 4)
         out = io.BytesIO()
         np.savez(out, xct=arrays)
-        system, name = tiff.opened(f"{path}/{label}.npz")
-        system.create_dir(name.rpartition("/")[0], recursive=True)
-        with system.open_output_stream(name) as f:
-            f.write(out.getvalue())
-        return pa.table({"label": [label]})
-
-    saved(si.table(spark, sf, "embeddings").select(F.col("label").cast("long").alias("label"), "vec_id", "embedding").groupBy("label").applyInArrow(put, "label long"), "archives")
-    saved(samples.convert_archives(spark, path, delete=True), "converted")
+        return pa.table({"path": [f"{label}.npz"], "content": [out.getvalue()]})
+
+    file_sink.write_files(si.table(spark, sf, "embeddings").select(F.col("label").cast("long").alias("label"), "vec_id", "embedding").groupBy("label").applyInArrow(put, file_sink.SCHEMA), path)
+    samples.convert_archives(spark, path, delete=True)
     return volumes(spark, path).select(_number("path", r"/(\d+)/sample").alias("label"), _number("path", r"sample_(\d+)").alias("sample"), F.round("total", 4).alias("total"))
 
 

@@ -10,40 +10,42 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from voxloom.sources.tiff import opened, volume_of, write_file
+from voxloom.scratch import saved
+from voxloom.sources.file_sink import SCHEMA, write_files
+from voxloom.sources.tiff import encoded, opened, volume_of
 
 ARRAYS = ("xct_gt", "mask_gt", "xct_recon", "mask_recon")
 META = ("volume_id", "z0", "y0", "x0", "porosity", "source_group")
 MANIFEST = "sample_id string, volume_id string, z0 long, y0 long, x0 long, porosity double, source_group string"
 
 
-def _put(path: str, text: str) -> None:
-    system, name = opened(path)
-    with system.open_output_stream(name) as f:
-        f.write(text.encode())
+FILES = pa.schema([("path", pa.string()), ("content", pa.binary())])
 
 
 def export(samples: DataFrame, folder: str, side: int) -> DataFrame:
     """Writes samples (sample_id, the META columns, ARRAYS of side ** 3 numbers) and returns their manifest.
 
-    A missing column is a KeyError, an array of another length a ValueError. A task writes each sample to its own folder,
-    by name: a task that runs again writes the same files again.
+    A missing column is a KeyError, an array of another length a ValueError. The files of all samples are committed
+    together (``file_sink``).
     """
     lost = [c for c in ("sample_id", *META, *ARRAYS) if c not in samples.columns]
     if lost:
         raise KeyError(f"missing: {lost}")
 
-    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
+            for k in range(batch.num_rows):
+                r = batch.slice(k, 1).to_pylist()[0]
+                own = []
                 for name in ARRAYS:
                     if len(r[name]) != side**3:
                         raise ValueError(f"{name} of {r['sample_id']} doesn't hold {side}^3 voxels")
-                    write_file(f"{folder}/{r['sample_id']}/{name}.tif", volume_of(np.array(r[name]).reshape(side, side, side)))
-                _put(f"{folder}/{r['sample_id']}/meta.json", json.dumps({k: r[k] for k in META}))
-            yield batch.select(["sample_id", *META])
+                    own.append({"path": f"{r['sample_id']}/{name}.tif", "content": encoded(volume_of(np.array(r[name]).reshape(side, side, side)))})
+                own.append({"path": f"{r['sample_id']}/meta.json", "content": json.dumps({k: r[k] for k in META}).encode()})
+                yield pa.RecordBatch.from_pylist(own, FILES)
 
-    return samples.select("sample_id", *META, *ARRAYS).mapInArrow(put, MANIFEST)
+    write_files(samples.select("sample_id", *META, *ARRAYS).mapInArrow(files, SCHEMA), folder)
+    return samples.selectExpr(*[f"cast({c} as {t}) as {c}" for c, t in (x.split(" ") for x in MANIFEST.split(", "))])
 
 
 def write_manifest(manifest: DataFrame, folder: str) -> None:
@@ -52,24 +54,36 @@ def write_manifest(manifest: DataFrame, folder: str) -> None:
 
 def convert_archives(spark: SparkSession, folder: str, delete: bool = False) -> DataFrame:
     """(path, n): every ``.npz`` archive below a folder becomes a folder of TIFF volumes beside it, one per array and
-    sample; ``delete`` removes an archive, and its ``_meta.json``, once all its volumes are written."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.npz").load(folder).select("path", "content")
+    sample. The volumes of all archives are committed together (``file_sink``); with ``delete``, archives and their
+    ``_meta.json`` go after that, by the written list of them: a job that fails has lost nothing, one that is repeated goes on.
+    """
+    archives = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.npz").load(folder).select("path", "content")
+    _, top = opened(folder)
 
-    def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts = []
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                _, own = opened(path)
+                stem = own[len(top.rstrip("/")) + 1 :].removesuffix(".npz")
                 arrays = np.load(io.BytesIO(content), allow_pickle=False)
-                stem = path.removesuffix(".npz")
                 for name in arrays.files:
                     for k, one in enumerate(arrays[name]):
-                        write_file(f"{stem}/sample_{k:03d}/{name}.tif", volume_of(one))
-                counts.append(max((len(arrays[n]) for n in arrays.files), default=0))
-                if delete:
-                    for old in (path, f"{stem}_meta.json"):
-                        system, name = opened(old)
-                        if system.get_file_info(name).is_file:
-                            system.delete_file(name)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], ["path", "n"])
-
-    return files.mapInArrow(convert, "path string, n long")
+                        yield pa.RecordBatch.from_pylist([{"path": f"{stem}/sample_{k:03d}/{name}.tif", "content": encoded(volume_of(one))}], FILES)
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = [max((len(a) for a in np.load(io.BytesIO(c), allow_pickle=False).values()), default=0) for c in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], ["path", "n"])
+
+    def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                for old in (path, f"{path.removesuffix('.npz')}_meta.json"):
+                    system, name = opened(old)
+                    if system.get_file_info(name).is_file:
+                        system.delete_file(name)
+            yield batch
+
+    found = saved(archives.mapInArrow(counts, "path string, n long"), "archives")
+    write_files(archives.mapInArrow(files, SCHEMA), folder)
+    return saved(found.mapInArrow(removed, "path string, n long"), "removed") if delete else found
