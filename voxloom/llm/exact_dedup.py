@@ -27,7 +27,7 @@ BASES = (1_948_657_204_113_760_931, 874_406_251_930_447_219)
 CHUNK = 4096
 PIECE = 1 << 20
 #: A part of a group that is compared in one task has at most so many bytes of a place, or texts.
-PART_BYTES, PART_ROWS = 16 << 20, 1000
+PART_BYTES, PART_ROWS = 16 << 20, 100
 #: Members of groups that are named in a broadcast; beyond it they are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 
