@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+from voxloom.operators import patch_metrics
 from voxloom.schemas import PATCH_INDEX
 from voxloom.sources import catalogue, chunks, file_sink, json_files, samples, tiff
 from voxloom.streaming import log_monitor
@@ -241,6 +242,24 @@ def test_streams(spark, tmp_path):
     assert {r.step for r in spark.read.json(f"{tmp_path}/due").collect()} == {9, 19, 29, 39}
 
 
+def test_rolling_moments(spark, tmp_path):
+    """Several triggers, a restart from the checkpoint, and lines that come twice."""
+    rng = np.random.default_rng(8)
+    rows = [(b, c, 16, float(rng.normal()), float(rng.random() * 3)) for b in range(30) for c in range(4)]
+    df = spark.createDataFrame(rows, log_monitor.MOMENTS)
+    for low, high in ((0, 7), (5, 20), (20, 30)):
+        df.where(f"batch_id >= {low} and batch_id < {high}").repartition(2).write.mode("append").json(f"{tmp_path}/log")
+        log_monitor.appended(log_monitor.rolling_moments(log_monitor.logs(spark, f"{tmp_path}/log", log_monitor.MOMENTS), 5), f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
+    got = spark.read.schema(log_monitor.MOMENTS).json(f"{tmp_path}/out")
+    assert got.count() == len(rows)
+    by = {(b, c): (n, s, q) for b, c, n, s, q in rows}
+    for r in got.collect():
+        last = [by[b, r.ch] for b in range(max(0, r.batch_id - 4), r.batch_id + 1)]
+        assert np.allclose([r.n, r.s, r.q], np.sum(last, axis=0))
+    want = {tuple(r) for r in patch_metrics.rolling_active(df, 5, 0.1).collect()}
+    assert {tuple(r) for r in patch_metrics.counted_active(got, 0.1).collect()} == want and len(want) == 30
+
+
 def test_windows_close_behind_the_watermark(spark, tmp_path):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("event_id", "ts", "event_type", "value")
     events.repartition(3, "event_id").write.parquet(f"{tmp_path}/events")

@@ -156,7 +156,11 @@ def evaluated(patches: DataFrame, channels: int, side: int) -> DataFrame:
 def rolling_active(by_batch: DataFrame, window: int = 50, threshold: float = 0.01) -> DataFrame:
     """(batch_id, n_active): active units over the moments of the last ``window`` batches, each channel on its own."""
     last = Window.partitionBy("ch").orderBy("batch_id").rowsBetween(1 - window, 0)
-    rolled = by_batch.select("batch_id", "ch", *[F.sum(c).over(last).alias(c) for c in ("n", "s", "q")])
+    return counted_active(by_batch.select("batch_id", "ch", *[F.sum(c).over(last).alias(c) for c in ("n", "s", "q")]), threshold)
+
+
+def counted_active(rolled: DataFrame, threshold: float = 0.01) -> DataFrame:
+    """(batch_id, n_active) of moments (batch_id, ch, n, s, q): the channels whose variance exceeds the threshold."""
     return rolled.groupBy("batch_id").agg(F.sum(F.when(variance(F.col("n"), F.col("s"), F.col("q")) > threshold, 1).otherwise(0)).alias("n_active"))
 
 

@@ -9,6 +9,8 @@ from voxloom.functions.arrays import central_slice, sharpness, total_of
 from voxloom.operators import patch_metrics as pm
 from voxloom.plans import stand_ins as si
 from voxloom.plans.catalog import query
+from voxloom.scratch import fresh_path, saved
+from voxloom.streaming import log_monitor as lm
 
 W = f"WITH {si.OUTPUT_SQL}"
 
@@ -135,11 +137,27 @@ def volume_porosity_errors(spark, sf):
     return rounded(pm.volume_porosity_errors(si.model_output(spark, sf)))
 
 
-@with_sql("ref83_rolling_active_units", _MOM + ", w AS (SELECT batch_id, ch, sum(n) OVER l AS n, sum(s) OVER l AS s, sum(q) OVER l AS q FROM g WINDOW l AS (PARTITION BY ch ORDER BY batch_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)) SELECT batch_id, count(*) FILTER (greatest((q - s * s / n) / (n - 1), 0) > 0.0155) AS n_active FROM w GROUP BY 1")
+_ROLLED = _MOM + ", w AS (SELECT batch_id, ch, sum(n) OVER l AS n, sum(s) OVER l AS s, sum(q) OVER l AS q FROM g WINDOW l AS (PARTITION BY ch ORDER BY batch_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)) SELECT batch_id, count(*) FILTER (greatest((q - s * s / n) / (n - 1), 0) > 0.0155) AS n_active FROM w GROUP BY 1"
+
+
+@with_sql("ref83_rolling_active_units", _ROLLED)
 def rolling(spark, sf):
     return pm.rolling_active(pm.channel_sums(si.model_output(spark, sf), 8), 4, 0.0155)
 
 
+@with_sql("ref83_rolling_stream", _ROLLED)
+def rolling_stream(spark, sf):
+    """The same over a log that grows: three times what was appended is streamed, from the checkpoint of the time before."""
+    sums = saved(pm.channel_sums(si.model_output(spark, sf), 8), "sums")
+    log, out, checkpoint = (fresh_path(spark, n) for n in ("log", "rolled", "checkpoint"))
+    n = sums.agg(F.max("batch_id")).first()[0] + 1
+    for k in range(3):
+        sums.where(F.floor(F.col("batch_id") * 3 / n) == k).write.mode("append").json(log)
+        stream = lm.rolling_moments(lm.logs(spark, log, lm.MOMENTS), 4)
+        lm.appended(stream, out, checkpoint).awaitTermination()
+    return pm.counted_active(spark.read.schema(lm.MOMENTS).json(out), 0.0155)
+
+
 @query("ref84_active_channels", "SELECT event_id, (8 - CASE WHEN h % 2 = 0 THEN h // 2 WHEN (h // 2) % 2 = 0 THEN h // 2 ELSE h // 2 + 1 END)::DOUBLE AS active FROM (SELECT event_id, event_id % 17 AS h FROM events)")
 def active_channels(spark, sf):
     return si.table(spark, sf, "events").select("event_id", pm.active_channels((F.col("event_id") % 17) / 16.0, 8).cast("double").alias("active"))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 LOG = "step long, split string, elapsed double, total double, kl double, beta double, active_fraction double, full_eval boolean, n_batches int"
 
@@ -25,6 +29,32 @@ def running_moments(records: DataFrame, key: str, value: str) -> DataFrame:
     return records.groupBy(key).agg(F.count(v).alias("n"), F.sum(v).alias("s"), F.sum(v * v).alias("q"))
 
 
+MOMENTS = "batch_id long, ch int, n long, s double, q double"
+
+
+def rolling_moments(records: DataFrame, window: int = 50) -> DataFrame:
+    """(batch_id, ch, n, s, q): on a stream of each batch's moments by channel, those of its last ``window`` batches.
+
+    A channel's state is its last ``window`` moments. Batches of a channel come in order; a record that isn't later than
+    the last one is a repeat and is left out. ``patch_metrics.counted_active`` counts the active channels.
+    """
+
+    def rolled(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = list(zip(*state.get, strict=True)) if state.exists else []
+        out = []
+        for r in pd.concat(list(parts)).sort_values("batch_id").itertuples():
+            if held and r.batch_id <= held[-1][0]:
+                continue
+            held = [*held[max(0, len(held) + 1 - window) :], (int(r.batch_id), int(r.n), float(r.s), float(r.q))]
+            out.append((r.batch_id, key[0], *(sum(h[k] for h in held) for k in (1, 2, 3))))
+        if held:
+            state.update(tuple(list(x) for x in zip(*held, strict=True)))
+        yield pd.DataFrame(out, columns=["batch_id", "ch", "n", "s", "q"])
+
+    own = records.select(F.col("batch_id").cast("long"), F.col("ch").cast("int"), F.col("n").cast("long"), F.col("s").cast("double"), F.col("q").cast("double"))
+    return own.groupBy("ch").applyInPandasWithState(rolled, MOMENTS, "ids array<long>, n array<long>, s array<double>, q array<double>", "append", GroupStateTimeout.NoTimeout)
+
+
 def windowed(records: DataFrame, time: str, key: str, value: str, width: str = "1 day", late: str = "1 day") -> DataFrame:
     """(start, key, n, mean) per time window; windows close when the watermark has passed them."""
     timed = records.withColumn("_time", F.col(time).cast("timestamp")).withWatermark("_time", late)
