@@ -1,7 +1,8 @@
 """Latent space analysis: sampling, scaling, principal components, neighbours and silhouettes.
 
-Comparisons of all rows with all others go block by block, a task for each pair of blocks. What goes through the driver is a
-matrix of dimension x dimension.
+Comparisons of all rows with all others go block by block, a task for each pair of blocks; searches for nearest neighbours
+leave out the cells of rows that can't hold one. What goes through the driver is a matrix of dimension x dimension, or the
+pivots of the cells, ``MOST_PIVOTS`` at most.
 """
 
 from __future__ import annotations
@@ -13,8 +14,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxloom.scratch import saved
+
 #: Rows of a block when all rows are compared with all others.
 BLOCK_ROWS = 4000
+#: Rows of a cell in the mean when nearest neighbours are searched, and the largest number of cells.
+CELL_ROWS, MOST_PIVOTS = 1000, 4096
 
 
 def reservoir(rows: DataFrame, label: str, key: str, most: int = 1024, seed: int = 42) -> DataFrame:
@@ -102,6 +107,91 @@ def _in_blocks(left: DataFrame, right: DataFrame, compare: Callable[[pa.Table, p
     return a.groupBy("_i", "_j").cogroup(b.groupBy("_i", "_j")).applyInArrow(compare, schema)
 
 
+def _pivots(rows: DataFrame, size: int) -> np.ndarray:
+    """Vectors of a few rows, chosen by hash: one for ``CELL_ROWS`` rows, ``MOST_PIVOTS`` at most; none if one block holds all."""
+    n = rows.count()
+    k = min(MOST_PIVOTS, -(-n // CELL_ROWS)) if n > BLOCK_ROWS else 0
+    found = [r.v for r in rows.orderBy(F.xxhash64("key"), "key").limit(k).select("v").collect()] if k else []
+    return np.array(found, dtype=np.float64).reshape(-1, size)
+
+
+def _in_cells(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """Adds the nearest pivot, as ``cell``, and the distance to it, as ``gap``."""
+
+    def assigned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            best = [(d.argmin(axis=1), d.min(axis=1)) for d in _distances(_matrix(batch.column("v"), pivots.shape[1]), pivots)]
+            cell, gap = (np.concatenate([b[k] for b in best]) if best else np.zeros(0) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(gap)], [*batch.schema.names, "cell", "gap"])
+
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema], "cell int", "gap double"])
+    return rows.mapInArrow(assigned, schema)
+
+
+def _reached(rows: DataFrame, pivots: np.ndarray, inner: np.ndarray, outer: np.ndarray) -> DataFrame:
+    """Replaces ``cell`` by each other cell that may hold a row within ``bound``; ``inner`` and ``outer`` are the least
+    and largest gap of a cell's rows (infinite and minus infinite for a cell without rows).
+
+    A row x of cell j is no nearer to q than |d(q, p_j) - gap(x)|, by the triangle inequality; and as x is nearer to its
+    own pivot than to q's, d(q, x) is at least (d(q, p_j)^2 - d(q, p_q)^2) / 2 d(p_q, p_j). Rounding is allowed for.
+    """
+    apart = np.concatenate(list(_distances(pivots, pivots)))
+    longest = float(np.sqrt((pivots**2).sum(axis=1)).max())
+
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m, own, bound = _matrix(batch.column("v"), pivots.shape[1]), batch.column("cell").to_numpy(), batch.column("bound").to_numpy()
+            found = []
+            for k, d in enumerate(_distances(m, pivots)):
+                part = slice(k * 256, k * 256 + len(d))
+                at, q = np.arange(len(d)), own[part]
+                scale = 1 + longest + np.sqrt((m[part] ** 2).sum(axis=1))[:, None]
+                u = bound[part][:, None] + 1e-6 * scale
+                near = (d - outer <= u) & (inner - d <= u) & (d**2 - (d[at, q] ** 2)[:, None] <= 2 * apart[q] * u + 1e-9 * scale**2) & np.isfinite(inner)
+                near[at, q] = False
+                found += [np.flatnonzero(n) for n in near]
+            times = np.array([len(f) for f in found], dtype=np.int64)
+            again = batch.take(pa.array(np.repeat(np.arange(batch.num_rows), times)))
+            cells = pa.array(np.concatenate([np.zeros(0, np.int32), *found]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([cells if n == "cell" else c for n, c in zip(again.schema.names, again.columns, strict=True)], again.schema.names)
+
+    return rows.mapInArrow(others, rows.schema)
+
+
+def _met_in_cells(left: DataFrame, right: DataFrame, compare: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+    """``compare`` for all left and right rows with the same ``cell``, ``BLOCK_ROWS`` rows of either side at a time."""
+    parts = lambda df, name: df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias(name))
+    both = F.broadcast(saved(parts(left, "_l").join(parts(right, "_r"), "cell", "left"), "cells").select("cell", "_l", F.coalesce("_r", F.lit(1)).alias("_r")))  # a row a cell
+    block = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    a = left.join(both, "cell").withColumn("_i", block("_l")).withColumn("_j", every("_r")).drop("_l", "_r")
+    b = right.join(both, "cell").withColumn("_j", block("_r")).withColumn("_i", every("_l")).drop("_l", "_r")
+    keys = ["cell", "_i", "_j"]
+    return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInArrow(compare, schema)
+
+
+def neighbours(left: DataFrame, right: DataFrame, size: int, k: int, compare: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+    """What ``compare`` gives for blocks of ``left`` and ``right`` (key, v, ...), among it for every left key (``key``) its
+    k nearest right rows, with their ``distance``.
+
+    Exact for any number of rows. Right rows lie in the cells of pivots. A left row first meets its own cell, where the
+    k-th distance is a bound, and then only the cells that may hold a nearer row (``_reached``). Right rows that fit into one
+    block are compared as they are.
+    """
+    pivots = _pivots(right, size)
+    if not len(pivots):
+        return _in_blocks(left, right, compare, schema)
+    a, b = (saved(_in_cells(df, pivots), "cells") for df in (left, right))
+    inner, outer = np.full(len(pivots), np.inf), np.full(len(pivots), -np.inf)
+    for r in b.groupBy("cell").agg(F.min("gap").alias("low"), F.max("gap").alias("high")).collect():  # a row a pivot
+        inner[r.cell], outer[r.cell] = r.low, r.high
+    own = saved(_met_in_cells(a.drop("gap"), b.drop("gap"), compare, schema), "own")
+    bounds = own.groupBy("key").agg(F.get(F.array_sort(F.collect_list("distance")), F.lit(k - 1)).alias("bound"))
+    bounded = a.drop("gap").join(bounds, "key", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
+    reached = saved(_reached(bounded, pivots, inner, outer).drop("bound"), "reached")
+    return own.unionByName(_met_in_cells(reached, b.drop("gap"), compare, schema))
+
+
 def _column(t: pa.Table, name: str) -> np.ndarray:
     return t.column(name).to_numpy()
 
@@ -117,7 +207,7 @@ def nearest(test: DataFrame, train: DataFrame, vector: str, key: str, size: int)
         return pa.table({"key": a.column("key"), "distance": pa.array(_all_distances(a, b, size).min(axis=1, initial=np.inf))})
 
     rows = [df.select(F.col(key).cast("long").alias("key"), F.col(vector).alias("v")) for df in (test, train)]
-    return _in_blocks(*rows, least, "key long, distance double").groupBy(F.col("key").alias(key)).agg(F.min("distance").alias("distance"))
+    return neighbours(*rows, size, 1, least, "key long, distance double").groupBy(F.col("key").alias(key)).agg(F.min("distance").alias("distance"))
 
 
 def memorisation(test: DataFrame, train: DataFrame, vector: str, key: str, size: int, n_test: int = 1000, n_train: int = 5000) -> DataFrame:
@@ -167,7 +257,7 @@ def knn_accuracy(sample: DataFrame, vector: str, key: str, label: str, size: int
 
     dealt = folds(sample, label, key, n_folds)
     rows = dealt.select(F.col(key).cast("long").alias("key"), F.col(label).cast("string").alias("label"), F.col("fold").cast("long").alias("fold"), F.col(vector).alias("v"))
-    found = _in_blocks(rows, rows, near, "key long, label string, fold long, near long, class string, distance double")
+    found = neighbours(rows, rows, size, k, near, "key long, label string, fold long, near long, class string, distance double")
     nth = F.row_number().over(Window.partitionBy("key").orderBy("distance", "near"))
     votes = found.withColumn("nth", nth).where(F.col("nth") <= k).groupBy("key", "label", "fold", "class").agg(F.count(F.lit(1)).alias("n"))
     chosen = votes.groupBy("key", "label", "fold").agg(F.min_by("class", F.struct(-F.col("n"), F.col("class"))).alias("chosen"))
