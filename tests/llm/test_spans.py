@@ -1,6 +1,7 @@
 """Personal data and secrets against plain Python on a table and on hard rows."""
 
 import math
+import random
 import re
 import time
 from collections import Counter, defaultdict
@@ -53,6 +54,37 @@ def test_terms_against_brute_force(spark, docs, sf):
     assert Counter((r.doc_id, r.spans) for r in pii.digest(pii.sanitised(docs)).collect()) == want
 
 
+def letters(n):
+    return "".join("abcdefghij"[int(c)] for c in f"{n:05d}")
+
+
+def test_terms_of_heavy_texts_against_brute_force(spark, monkeypatch):
+    """Directories that overlap, beside texts with one or two of their addresses: texts of more than two are put off."""
+    monkeypatch.setattr(pii, "DIRECT", 2)
+    monkeypatch.setattr(pii, "PART", 3)
+    g = random.Random(5)
+    one = lambda k: f"{letters(k)} n{k}@a.org"
+    books = [" ".join(one(k) for k in sorted(g.sample(range(40), m))) + " staff list" for m in (3, 5, 9, 17, 30, 30)]
+    notes = [" ".join(one(g.randrange(40)) for _ in range(g.randrange(3))) + " " + g.choice(["memo", "staff", "list", "zzz"]) for _ in range(120)]
+    rows = list(enumerate([*books, *notes, *notes[:10], books[2]]))
+    terms = disclosing([t for _, t in rows])
+    assert any(t in terms for t in map(letters, range(40)))
+    want = Counter((d, joined([*personal(t), *term_spans(t, terms)])) for d, t in rows)
+    assert Counter((r.doc_id, r.spans) for r in pii.digest(pii.sanitised(spark.createDataFrame(rows, "doc_id long, text string"))).collect()) == want
+
+
+def test_recurring_entities_beside_many_terms(spark, monkeypatch):
+    """A text of 5,000 addresses that recur elsewhere and 20,000 terms: the addresses don't meet the terms one by one."""
+    names, words = [letters(k) for k in range(5000)], [f"w{letters(k)}" for k in range(15_000)]
+    book = " ".join(f"{n} n{k}@a.org" for k, n in enumerate(names)) + " " + " ".join(words)
+    rows = [(0, book)] + [(k + 1, f"{n} n{k}@a.org") for k, n in enumerate(names)] + [(6000, " ".join(words)), (6001, " ".join(words) + " more")]
+    sizes, plain = [], pii._together
+    monkeypatch.setattr(pii, "_together", lambda *a: (lambda d: (sizes.append(d.count()), d)[1])(plain(*a)))
+    got = {r.doc_id: r.spans.count("term") for r in pii.digest(pii.sanitised(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert got == {0: 5000, 6000: 0, 6001: 0} | {k + 1: 1 for k in range(5000)}
+    assert sizes == [5000]
+
+
 def test_many_spans_in_one_text(spark):
     """50,000 addresses in one text, and a text of a million words: time doesn't grow with their square."""
     many = " ".join(f"name{i}@host{i % 700}.example.org is mine," for i in range(50_000))

@@ -10,7 +10,9 @@ document, and whole texts.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxloom.llm.spans import found, is_kind, placed, redacted, small, sql_spans, tagged, with_replaced, written
@@ -27,6 +29,8 @@ KINDS = ("email", "ip", "card", "phone")
 
 DISCLOSURE = 0.9
 MIN_SUPPORT = 2
+#: Entities of a text that all its terms meet at once, and entities that a task takes of one text.
+DIRECT, PART = 256, 1000
 
 
 def _is_ip(v: Column) -> Column:
@@ -83,11 +87,47 @@ def _class(name: str) -> Column:
     return F.xxhash64("df", "sum0", "sum1", "sum2").alias(name)
 
 
+def _together(near: DataFrame, told: DataFrame, reach: Callable[[Column], Column], share: float) -> DataFrame:
+    """(entity_class, term_class, df_entity, df_term, df_both): how many documents hold both, for all pairs that can pass.
+
+    ``near``: h, n, load, term_class, df_term; ``told``: h, load, entity_class, df_entity; ``load``: the entity classes of
+    text h; ``share``: the least part of a term's documents that must hold an entity for the term to disclose it.
+
+    Terms meet the entities of a text directly if there are up to ``DIRECT`` of them. Documents of more are put off, the
+    heaviest first, up to half of the ``need`` documents that a term must share with an entity: the entity is then in the
+    other half, the pair is met there, and counted in the documents put off afterwards. Pairs that can't come to ``need``
+    aren't, nor are terms that fewer documents with entities hold. A product is left only for terms most of whose documents
+    are heavy; it goes in parts of ``PART`` entities.
+    """
+    pair = ["entity_class", "term_class", "df_entity", "df_term"]
+    parts = F.ceil(F.col("load") / PART).cast("int")
+
+    def met(rows: DataFrame) -> DataFrame:
+        a = rows.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("load")
+        b = told.select("h", "entity_class", "df_entity", F.pmod(F.xxhash64("entity_class"), parts).cast("int").alias("part"))
+        return a.join(b, ["h", "part"]).where(F.col("df_term") <= reach(F.col("df_entity"))).groupBy(*pair).agg(F.sum("n").alias("df_both"))
+
+    if near.where(F.col("load") > DIRECT).isEmpty():
+        return met(near)
+    near = near.withColumn("level", F.greatest(F.ceil(F.log2(F.col("load") / DIRECT)), F.lit(0)).cast("int"))
+    term = Window.partitionBy("term_class")  # a row for each doubling of the load
+    levels = near.groupBy("term_class", "df_term", "level").agg(F.sum("n").alias("k")).withColumn("held", F.sum("k").over(term))
+    levels = levels.withColumn("need", F.greatest(F.lit(MIN_SUPPORT), F.ceil(F.col("df_term") * (share * (1 - 1e-9))))).where(F.col("held") >= F.col("need"))
+    above = F.sum("k").over(term.orderBy(F.desc("level")))
+    levels = saved(levels.withColumn("late", (F.col("level") > 0) & (above <= F.floor(F.col("need") / 2))), "levels")
+    rows = saved(near.join(levels.select("term_class", "level", "late"), ["term_class", "level"]).drop("level"), "rows")
+    first = saved(met(rows.where(~F.col("late"))), "first")
+    left = levels.where("late").groupBy("term_class").agg((F.max("need") - F.sum("k")).alias("least"))
+    open_pairs = first.join(left, "term_class").where(F.col("df_both") >= F.col("least")).select(*pair)
+    later = rows.where("late").select("h", "n", "term_class").join(open_pairs, "term_class").join(told.select("h", "entity_class"), ["h", "entity_class"])
+    return first.unionByName(later.groupBy(*pair).agg(F.sum("n").alias("df_both"))).groupBy(*pair).agg(F.sum("df_both").alias("df_both"))
+
+
 def disclosed(seen: DataFrame, rows: DataFrame, disclosure: float) -> DataFrame:
     """(low): the terms that disclose an entity. ``seen``: h, base, terms, added, hidden; ``rows``: text.
 
     Entities, and terms, that the same documents hold have the same frequencies and are compared once: what is joined
-    within a text are classes, so a text with many addresses doesn't meet its terms one by one. Only entities that
+    within a text are classes, and texts with very many entities meet only what can pass (``_together``). Only entities that
     ``MIN_SUPPORT`` documents hold, and terms that aren't too frequent for any PMI to reach the threshold
     (df(t) <= df(e) ** d * N ** (1 - d) for threshold d), are looked at; this loses none.
     """
@@ -104,8 +144,10 @@ def disclosed(seen: DataFrame, rows: DataFrame, disclosure: float) -> DataFrame:
     changed = [seen.where(F.size(c) > 0).select("h", F.explode(c).alias("low"), (one * sign).alias("n")) for c, sign in (("added", 1), ("hidden", -1))]
     terms = counted.unionByName(changed[0]).unionByName(changed[1]).groupBy("low").agg(*_frequency(F.col("n")))
     terms = saved(terms.where((F.col("df") >= MIN_SUPPORT) & (F.col("df") <= reach(F.lit(most)))).select("low", F.col("df").alias("df_term"), _class("term_class")), "terms")
-    near = holders.join(small(told.select("h").distinct()), "h", "left_semi").select("h", F.explode("terms").alias("low")).join(terms, "low").select("h", "term_class", "df_term").distinct()
-    both = near.join(told, "h").where(F.col("df_term") <= reach(F.col("df_entity"))).groupBy("entity_class", "term_class", "df_entity", "df_term").agg(F.sum("n").alias("df_both"))
+    loads = small(saved(told.groupBy("h").agg(F.count(F.lit(1)).alias("load")), "loads"))
+    near = saved(holders.join(loads, "h").select("h", "n", "load", F.explode("terms").alias("low")).join(terms, "low").select("h", "n", "load", "term_class", "df_term").distinct(), "near")
+    least = entities.agg(F.min("df_entity")).first()[0]
+    both = _together(near, told.drop("n").join(loads, "h"), reach, (least / n_docs) ** (1 - disclosure))
     pmi = F.log2(F.col("df_both").cast("double") * n_docs / (F.col("df_term").cast("double") * F.col("df_entity")))
     strong = both.where((F.col("df_both") >= MIN_SUPPORT) & (pmi >= disclosure * F.log2(n_docs / F.col("df_entity"))))
     return terms.join(strong.select("term_class").distinct(), "term_class", "left_semi").select("low")
