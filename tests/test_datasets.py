@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from voxloom import config
 from voxloom.operators import inference, splits
@@ -72,6 +73,24 @@ def test_large_documents(spark, monkeypatch):
         json_files.splits_document(spark.createDataFrame([("a", "val"), ("b", "val")], "volume_id string, split string"), 1)
 
 
+def test_folders_of_many_volumes(spark, tmp_path, monkeypatch):
+    """Beyond the limit of a document a folder's splits are lines, and folders are derived and copied as ever."""
+    monkeypatch.setattr(json_files, "MOST_VOLUMES", 2)
+    rows = [("a", "val"), ("b", "train"), ("c", "test"), ("d", "train")]
+    index = spark.createDataFrame([(v, "g", s, 8 * k, 0, 0, 8, 8, 0.1) for v, s in rows for k in range(2)], PATCH_INDEX)
+    given = spark.createDataFrame(rows, "volume_id string, split string")
+    one, two, copy = (str(tmp_path / n) for n in ("one", "two", "copy"))
+    datasets.write_root(spark, one, index, given, spark.createDataFrame([], VOLUME_STATS), 1)
+    datasets.derive_root(spark, one, copy)
+    turned = given.withColumn("split", F.when(F.col("volume_id") == "d", "excluded").otherwise("val"))
+    datasets.derive_root(spark, one, two, turned, 7)
+    for root, want in ((one, given), (copy, given), (two, turned)):
+        assert sorted(datasets.root_splits(spark, root).collect()) == sorted(want.collect())
+    doc = json.loads(spark.read.text(f"{one}/splits", wholetext=True).first()[0])
+    assert doc["seed"] == 1 and doc["counts"]["train"] == 2 and "volumes" not in doc
+    assert {r.volume_id for r in spark.read.parquet(f"{two}/patch_index").collect()} == {"a", "b", "c"}
+
+
 def test_bins_like_numpy():
     import numpy as np
 

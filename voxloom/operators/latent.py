@@ -264,6 +264,13 @@ def knn_accuracy(sample: DataFrame, vector: str, key: str, label: str, size: int
     return chosen.groupBy("fold").agg(F.avg((F.col("chosen") == F.col("label")).cast("double")).alias("accuracy"))
 
 
+def shape_columns(side: int, halvings: Column, channels: int, first: int) -> list[Column]:
+    """What follows from an encoder's number of halvings: factor, side and number of latents, and the widest stage."""
+    shift = lambda how, x: F.call_function(how, F.lit(x).cast("long"), halvings.cast("int"))
+    left = shift("shiftright", side)
+    return [shift("shiftleft", 1).alias("factor"), left.alias("side"), (channels * left * left * left).alias("latents"), shift("shiftleft", first).alias("widest")]
+
+
 def separation_verdict(accuracy: Column, silhouette: Column) -> Column:
     return F.when((accuracy > 0.65) & (silhouette > 0.05), "separated").otherwise("not separated")
 

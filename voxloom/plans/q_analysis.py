@@ -82,10 +82,11 @@ def top(spark, sf):
     return rounded(tx.top_per_class(rows, "transition_label", "loss_gain").select("split", "dataset_index", "transition_label", "loss_gain"))
 
 
-@query("ref111_union_of_splits", "SELECT event_type, count(*) AS n FROM events WHERE event_type IN ('view', 'error') GROUP BY 1")
+@query("ref111_union_of_splits", "SELECT CASE WHEN event_type IN ('view', 'error') THEN 'val' ELSE 'test' END AS split, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def union(spark, sf):
-    e = si.table(spark, sf, "events")
-    return e.where("event_type = 'view'").unionByName(e.where("event_type = 'error'")).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    e = si.table(spark, sf, "events").withColumn("val", F.coalesce(F.col("event_type").isin("view", "error"), F.lit(False)))
+    both = e.where("val").withColumn("split", F.lit("val")).unionByName(e.where("NOT val").withColumn("split", F.lit("test")))
+    return both.groupBy("split", "event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("ref114_described", "SELECT count(value) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, round(min(value), 6) AS min, round(quantile_cont(value, 0.25), 6) AS p25, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.75), 6) AS p75, round(quantile_cont(value, 0.9), 6) AS p90, round(max(value), 6) AS max FROM events")

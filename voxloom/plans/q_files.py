@@ -201,12 +201,10 @@ def registry(spark, sf):
     return got.select("vec_id", F.posexplode("mu").alias("ch", "mu")).withColumn("mu", F.round("mu", 6))
 
 
-@query("ref128_latent_shapes", "SELECT DISTINCT p_size AS halvings, (2 ** p_size)::BIGINT AS factor, (64 // (2 ** p_size)::BIGINT)::BIGINT AS side, (8 * (64 // (2 ** p_size)::BIGINT) ** 3)::BIGINT AS latents, (32 * 2 ** p_size)::BIGINT AS widest FROM part WHERE p_size <= 6")
+@query("ref128_latent_shapes", "SELECT DISTINCT p_size AS halvings, (2 ** p_size)::BIGINT AS factor, (64 // (2 ** p_size)::BIGINT)::BIGINT AS side, (8 * (64 // (2 ** p_size)::BIGINT) ** 3)::BIGINT AS latents, (32 * 2 ** p_size)::BIGINT AS widest FROM part")
 def latent_shapes(spark, sf):
-    known = {n: config.latent_shape(64, n, 8, 32) for n in range(7)}
-    table = spark.createDataFrame([(n, s["factor"], s["side"], s["latents"], s["stages"][-1]) for n, s in known.items()], "n long, factor long, side long, latents long, widest long")
-    sizes = si.table(spark, sf, "part").where("p_size <= 6").select(F.col("p_size").alias("halvings")).distinct()
-    return sizes.join(F.broadcast(table), F.col("halvings") == F.col("n")).drop("n")  # seven rows
+    sizes = si.table(spark, sf, "part").select(F.col("p_size").alias("halvings")).distinct()
+    return sizes.select("halvings", *la.shape_columns(64, F.col("halvings"), 8, 32))
 
 
 @query("ref130_given_noise", f"WITH {si.OUTPUT_SQL} SELECT vec_id, pos::INT AS pos, round(mu + exp(0.5 * logvar) * xct, 6) AS z FROM p")

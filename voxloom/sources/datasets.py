@@ -9,7 +9,7 @@ from voxloom.operators.splits import derived_index
 from voxloom.schemas import VOLUME_STATS
 from voxloom.sources import json_files
 
-INDEX, SPLIT_MAP, STATS, VOXELS = "patch_index", "splits", "volume_stats", "voxels"
+INDEX, SPLIT_MAP, SPLIT_LINES, STATS, VOXELS = "patch_index", "splits", "split_lines", "volume_stats", "voxels"
 
 
 def _text(spark: SparkSession, text: str, path: str) -> None:
@@ -27,12 +27,30 @@ def voxel_path(spark: SparkSession, root: str) -> str:
 
 
 def write_root(spark: SparkSession, root: str, index: DataFrame, splits: DataFrame, stats: DataFrame, seed: int) -> None:
-    """A dataset folder from its tables; voxels are written by ``chunks.write``."""
+    """A dataset folder from its tables; voxels are written by ``chunks.write``. Splits are written as lines, for any number
+    of volumes, and as a document, which has no volumes if there are too many for one."""
     index.write.mode("overwrite").parquet(f"{root}/{INDEX}")
-    _text(spark, json_files.splits_document(splits, seed), f"{root}/{SPLIT_MAP}")
+    json_files.write_split_lines(splits, f"{root}/{SPLIT_LINES}", seed)
+    few = splits.limit(json_files.MOST_VOLUMES + 1).count() <= json_files.MOST_VOLUMES
+    _text(spark, json_files.splits_document(splits, seed) if few else json_files.splits_summary(splits, seed), f"{root}/{SPLIT_MAP}")
     stats.write.mode("overwrite").json(f"{root}/{STATS}")
 
 
+def root_splits(spark: SparkSession, root: str, version: str = "v1") -> DataFrame:
+    """(volume_id, split) of a dataset folder: its lines, or the document of a folder that has none."""
+    lines = _lines(spark, root)
+    return lines.select("volume_id", "split") if lines is not None else json_files.read_splits(spark, f"{root}/{SPLIT_MAP}", version)
+
+
+def _lines(spark: SparkSession, root: str) -> DataFrame | None:
+    try:
+        return json_files.read_split_lines(spark, f"{root}/{SPLIT_LINES}")
+    except Exception as e:  # Spark reports a missing path when it plans the read
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return None
+
+
 def derive_root(spark: SparkSession, source: str, target: str, splits: DataFrame | None = None, seed: int | None = None) -> None:
     """A dataset that shares the voxels of another one. With ``splits`` it keeps the volumes that those assign to train,
     val or test, with their new split, and needs a seed; without, it is a copy. An empty result is an error."""
@@ -40,6 +58,8 @@ def derive_root(spark: SparkSession, source: str, target: str, splits: DataFrame
     stats = spark.read.schema(VOLUME_STATS).json(f"{source}/{STATS}")
     if splits is None:
         index.write.mode("overwrite").parquet(f"{target}/{INDEX}")
+        if _lines(spark, source) is not None:
+            spark.read.text(f"{source}/{SPLIT_LINES}").write.mode("overwrite").text(f"{target}/{SPLIT_LINES}")
         spark.read.text(f"{source}/{SPLIT_MAP}", wholetext=True).coalesce(1).write.mode("overwrite").text(f"{target}/{SPLIT_MAP}")
         stats.write.mode("overwrite").json(f"{target}/{STATS}")
     else:

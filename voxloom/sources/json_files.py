@@ -39,6 +39,12 @@ def splits_document(splits: DataFrame, seed: int, before: str | None = None) ->
     return json.dumps((json.loads(before) if before else {}) | {"seed": seed, "counts": counts, "volumes": volumes}, indent=2)
 
 
+def splits_summary(splits: DataFrame, seed: int) -> str:
+    """The JSON text of a split map without its volumes: seed and counts."""
+    found = {r.split: r.n for r in splits.groupBy("split").agg(F.countDistinct("volume_id").alias("n")).where(F.col("split").isin(*SPLIT_NAMES)).collect()}
+    return json.dumps({"seed": seed, "counts": {s: found.get(s, 0) for s in SPLIT_NAMES}}, indent=2)
+
+
 def read_splits(spark: SparkSession, path: str, version: str = "v1") -> DataFrame:
     """(volume_id, split) of a split map. Version 2 may be a plain map or a map to objects with a split."""
     key = "volumes" if split_column(version) == "split" else "split_v2"
