@@ -7,8 +7,12 @@ that length. ``_starts`` therefore keeps every window that has ceil(0.8 n) such
 
 Every kept window gets a SimHash of its words, 128 bits. Two fingerprints within ``RADIUS`` bits differ by three bits or
 fewer in one of 8 blocks of 16 bits, as 8 x 4 - 1 = 31. Blocks are looked up with up to two bits turned on the item's side
-and one on the window's, which finds every such pair; of random pairs about one in twelve meet. Pairs are then checked by
-the exact weighted Jaccard similarity of their shingles.
+and one on the window's, which finds every such pair; of random pairs about one in twelve meet.
+
+A similar pair may still differ by more bits than that, about one in a thousand of the faintest. Of an item's n shingles a
+similar window lacks n - ceil(0.8 n) at most, so it has one of any n - ceil(0.8 n) + 1 of them; ``rare_pairs`` looks up
+those that the fewest items have, and what the index has missed is added. All pairs are then checked by the exact weighted
+Jaccard similarity of their shingles, so that none of 0.8 or more is lost.
 """
 
 from __future__ import annotations
@@ -111,13 +115,18 @@ def item_probes(fingerprint: Column) -> Column:
 PROBES_AN_ITEM = 64 * HALVES // BLOCK_BITS * (1 + BLOCK_BITS + BLOCK_BITS * (BLOCK_BITS - 1))
 
 
+def needed(n: Column) -> Column:
+    """How many of an item's n shingles a window must have to reach the similarity."""
+    return F.ceil(n * SIMILARITY - 1e-9).cast("int")
+
+
 def _starts(places: Column, length: Column, n_words: Column) -> Column:
     """The starts of all windows with ceil(0.8 n) of ``places`` or more, n = length - 4; a text shorter than that is one.
 
     For each run of so many places the windows that cover it and don't reach back to the place before are a range.
     """
     n = length - (SHINGLE - 1)
-    need = F.ceil(n * SIMILARITY - 1e-9).cast("int")
+    need = needed(n)
 
     def window_starts(p: Column) -> Column:
         def covering(i: Column) -> Column:
@@ -162,6 +171,29 @@ def short_matches(rows: DataFrame, items: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, each) if each else rows.select("id", "h", F.lit(None).cast(items.schema["item"].dataType).alias("item"), F.lit(0).alias("start"), F.lit(1.0).alias("similarity")).where("false")
 
 
+def close_pairs(prints: DataFrame, index: DataFrame) -> DataFrame:
+    """(id, h, start, length, item) of windows and items whose fingerprints differ by ``RADIUS`` bits or fewer."""
+    left = prints.select("id", "h", "start", "length", "print", F.explode(window_probes(F.col("print"))).alias("probe"))
+    right = index.select("item", "length", F.col("print").alias("item_print"), F.explode(item_probes(F.col("print"))).alias("probe"))
+    right = F.broadcast(right) if index.count() * PROBES_AN_ITEM <= BROADCAST_PROBES else right.hint("merge")
+    differ = [F.get("print", F.lit(h)).bitwiseXOR(F.get("item_print", F.lit(h))) for h in range(HALVES)]
+    met = left.join(right, ["length", "probe"]).where(sum((F.bit_count(d) for d in differ[1:]), F.bit_count(differ[0])) <= RADIUS)
+    number, each = F.shiftright("probe", BLOCK_BITS + 1), 64 // BLOCK_BITS
+    in_block = F.bit_count(_shifted(F.when(number < each, differ[0]).otherwise(differ[1]), number % each * BLOCK_BITS).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)))
+    once = met.where((F.getbit("probe", F.lit(BLOCK_BITS)) == 0) | (in_block == 3))  # tier 1 repeats what tier 0 finds
+    return once.select("id", "h", "start", "length", "item")
+
+
+def rare_pairs(prints: DataFrame, index: DataFrame) -> DataFrame:
+    """(id, h, start, length, item) of windows that have one of the n - ceil(0.8 n) + 1 rarest of an item's n shingles."""
+    each = index.select("item", "length", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    items_with = each.groupBy("length", "shingle").agg(F.count(F.lit(1)).alias("items"))
+    ordered = each.join(items_with, ["length", "shingle"]).groupBy("item", "length", "n").agg(F.array_sort(F.collect_list(F.struct("items", "shingle"))).alias("by"))
+    rare = saved(ordered.select("item", "length", F.explode(F.slice("by", 1, F.col("n") - needed(F.col("n")) + 1)).alias("s")).select("item", "length", "s.shingle"), "rare")
+    own = prints.select("id", "h", "start", "length", F.explode("shingles").alias("shingle"))
+    return own.join(F.broadcast(rare) if rare.count() <= BROADCAST_SHINGLES else rare, ["length", "shingle"]).select("id", "h", "start", "length", "item")
+
+
 def text_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(id, h, item, start, similarity): the best window of each text (h: its hash) and item."""
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"), F.col(text_col).alias("text"))
@@ -171,15 +203,7 @@ def text_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     full = items.where(F.col("length") >= SHINGLE)
     index = saved(_fingerprinted(full, most), "index")
     prints = saved(windows(rows, full, most), "windows")
-    left = prints.select("id", "h", "start", "length", "print", F.explode(window_probes(F.col("print"))).alias("probe"))
-    right = index.select("item", "length", F.col("print").alias("item_print"), F.explode(item_probes(F.col("print"))).alias("probe"))
-    right = F.broadcast(right) if index.count() * PROBES_AN_ITEM <= BROADCAST_PROBES else right.hint("merge")
-    differ = [F.get("print", F.lit(h)).bitwiseXOR(F.get("item_print", F.lit(h))) for h in range(HALVES)]
-    met = left.join(right, ["length", "probe"]).where(sum((F.bit_count(d) for d in differ[1:]), F.bit_count(differ[0])) <= RADIUS)
-    number, each = F.shiftright("probe", BLOCK_BITS + 1), 64 // BLOCK_BITS
-    in_block = F.bit_count(_shifted(F.when(number < each, differ[0]).otherwise(differ[1]), number % each * BLOCK_BITS).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)))
-    once = met.where((F.getbit("probe", F.lit(BLOCK_BITS)) == 0) | (in_block == 3))  # tier 1 repeats what tier 0 finds
-    close = once.select("id", "h", "start", "length", "item").distinct()
+    close = close_pairs(prints, index).unionByName(rare_pairs(prints, index)).distinct()
     same = F.col("c.id").eqNullSafe(F.col("w.id")) & (F.col("c.h") == F.col("w.h")) & (F.col("c.start") == F.col("w.start")) & (F.col("c.length") == F.col("w.length"))
     pairs = close.alias("c").join(prints.alias("w"), same).select("c.id", "c.h", "c.start", "c.item", "w.shingles").join(index.select("item", F.col("shingles").alias("item_shingles")), "item")
     common = F.size(F.array_intersect("shingles", "item_shingles"))
