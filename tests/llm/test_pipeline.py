@@ -3,6 +3,7 @@
 from collections import Counter
 
 import corpus_pipeline
+import pytest
 
 from tests.conftest import SF as SMALL
 from tests.llm.plain import ODD, secret
@@ -52,8 +53,10 @@ def test_stages_on_odd_rows(spark):
         assert stage(spark, docs.limit(0), SF).count() == 0
 
 
-def test_repeated_and_null_ids(spark):
-    """A third of all rows share an id, others have none: copies and leaks go, all other texts stay."""
+@pytest.mark.parametrize("most", [corpus_pipeline.BROADCAST_ROWS, -1])
+def test_repeated_and_null_ids(spark, monkeypatch, most):
+    """A third of all rows share an id, others have none: copies and leaks go, all other texts stay; by both kinds of join."""
+    monkeypatch.setattr(corpus_pipeline, "BROADCAST_ROWS", most)
     item = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
     text = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
     rows = [(7, text(k)) for k in range(20)] + [(7, text(3)), (7, text(3)), (8, text(4)), (None, text(5)), (None, text(100)), (None, text(100) + " more"), (None, item), (9, text(101)), (9, item)]

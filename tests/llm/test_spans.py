@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import SF
 from tests.llm.plain import ODD, disclosing, joined, personal, secret, sha, term_spans
-from voxloom.llm import pii, secrets
+from voxloom.llm import pii, secrets, spans
 from voxloom.llm.spans import redacted
 
 FIELDS = "doc_id long, text string, lang string, source string, n_chars long, spans string, h string"
@@ -54,6 +54,14 @@ def test_terms_against_brute_force(spark, docs, sf):
     assert Counter((r.doc_id, r.spans) for r in pii.digest(pii.sanitised(docs)).collect()) == want
 
 
+def test_spans_without_broadcasts(spark, docs, monkeypatch):
+    """The joins that shuffle give the same rows as those that broadcast."""
+    made = lambda: [Counter(map(tuple, d.collect())) for d in (pii.digest(pii.sanitised(docs)), secrets.digest(secrets.owned(docs)))]
+    few = made()
+    monkeypatch.setattr(spans, "BROADCAST_ROWS", -1)
+    assert made() == few
+
+
 def letters(n):
     return "".join("abcdefghij"[int(c)] for c in f"{n:05d}")
 

@@ -1,9 +1,11 @@
 """Token counts, quality rules and toxicity against libraries, plain Python and held-out labels."""
 
+import math
 import random
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -166,6 +168,64 @@ def test_risk_and_gradient():
         assert abs(slope - (target(weight, 0.3 + step) - target(weight, 0.3 - step)) / (2 * step)) < 1e-7
 
 
+def own_features(text):
+    return set(toxicity.features(Texts(pa.array([text or ""])))[1].tolist())
+
+
+def test_toxicity_features_by_brute_force(spark):
+    """Counts over all examples and all texts, feature by feature."""
+    sf = SF.replace("0.001", "0.01")
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    toxic = {r.doc_id for r in labels.where("toxic = 1 and doc_id is not null").collect()}
+    rows = [(r.text, r.doc_id in toxic) for r in docs.collect()]
+    in_p, in_u = Counter(), Counter()
+    for text, example in rows:
+        own = own_features(text)
+        in_u.update(own)
+        in_p.update(own if example else ())
+    n_p = sum(e for _, e in rows)
+    want = set()
+    for f, n in in_p.items():
+        expected = (in_u[f] + 1) * n_p / len(rows)
+        if n > expected and n * math.log(n / expected) - (n - expected) >= toxicity.LEAST_EVIDENCE:
+            want.add(f)
+    frame = docs.sparkSession.createDataFrame(rows, "text string, example boolean")
+    got = toxicity.chosen(frame, n_p, len(rows))
+    assert want and got.tolist() == sorted(want)
+
+
+def test_toxicity_fit_reads_all_texts(spark):
+    """The mean of the shards' classifiers, each fitted in this process; every text is in one shard, repeated ones with their number."""
+    rnd = np.random.default_rng(3)
+    rows = [(int(k), int(rnd.integers(1, 4)), [int(c) for c in np.flatnonzero(rnd.random(6) < 0.3)]) for k in rnd.integers(-(1 << 60), 1 << 60, 900)]
+    examples = pd.DataFrame([(k, 1, [0, 1] if k % 3 else [1, 2]) for k in range(120)], columns=["at", "n", "hits"])
+    texts = spark.createDataFrame(rows, "at long, n long, hits array<int>")
+    weights, bias = toxicity.mixed(texts.repartition(5), examples, 6, 0.2, 4)
+    dealt = texts.withColumn("shard", F.pmod(F.xxhash64("at"), F.lit(4))).toPandas()
+    assert len(dealt) == 900 and dealt.shard.nunique() == 4
+    fits = [[toxicity.fitted(toxicity._side(examples), toxicity._side(g), 6, 0.2, seed) for seed in range(toxicity.MODELS)] for _, g in dealt.groupby("shard")]
+    want = np.mean([[w for w, _ in f] for f in fits], axis=0)
+    assert np.allclose(weights, want.T, atol=1e-8) and np.allclose(bias, np.mean([[b for _, b in f] for f in fits], axis=0), atol=1e-8)
+    one, many = toxicity._side(examples), toxicity._side(dealt)
+    spread = toxicity._side(dealt.loc[dealt.index.repeat(dealt.n)].assign(n=1))
+    on = lambda s: np.ones(s.n, bool)
+    folded = toxicity.risk_gradient(one, many, want[0], 0.1, 0.2, on(one), on(many))
+    plain = toxicity.risk_gradient(one, spread, want[0], 0.1, 0.2, on(one), on(spread))
+    assert all(np.allclose(a, b) for a, b in zip(folded, plain, strict=True))
+
+
+def test_toxicity_in_many_shards(spark, monkeypatch):
+    """Shards of 500 texts: held-out accuracy stays, and so do the scores where rows come in another order."""
+    monkeypatch.setattr(toxicity, "SHARD", 500)
+    sf = SF.replace("0.001", "0.1")
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    got = toxicity.toxicity(docs, labels).toPandas()
+    told = got[got.held_out].merge(labels.toPandas(), on="doc_id")
+    assert (told.predicted == told.toxic).mean() > 0.96
+    again = toxicity.toxicity(docs.repartition(7, "n_chars"), labels).toPandas()
+    assert dict(zip(got.doc_id, got.score)) == dict(zip(again.doc_id, again.score))
+
+
 def test_risk_is_corrected_when_negative():
     """With the prior set too high the plain estimate would go below zero; training still ends with finite weights."""
     p = toxicity.Sparse(np.arange(100), np.zeros(100, int), 100)

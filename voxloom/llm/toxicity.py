@@ -12,15 +12,16 @@ is the chance of being toxic.
 The unlabelled texts are a sample of all texts, confirmed examples among them, as the estimate asks for: U is the mean over
 the texts as they come, and P over the toxic ones.
 
-The fit reads bounded samples, about ``MOST_EXAMPLES`` examples and ``MOST_UNLABELLED`` texts chosen by a hash; the prior is
-counted over all labels, and the features are counted over all examples and all texts that aren't held out. The task that
-fits the classifiers gets only the numbers of the chosen features that each sampled text has. Scoring reads every text
-whole.
+The fit reads all texts that aren't held out. A hash deals them to shards of about ``SHARD`` texts; in each shard's task
+classifiers are fitted to its texts and the examples, and Spark averages the weights of all shards (parameter mixing,
+Zinkevich et al. 2010), as fixed-point numbers, so that their order doesn't matter. Only the examples are bounded: about
+``MOST_EXAMPLES``, chosen by a hash, go to every shard. The prior is counted over all labels, and the features are counted
+over all examples and all texts that aren't held out. A shard gets only the numbers of the chosen features that a text
+has, and repeated rows as one with their number. Scoring reads every text whole.
 """
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +36,9 @@ from voxloom.scratch import saved
 BITS = 22
 #: Lengths in bytes of the word beginnings that are features, besides whole words.
 BEGINNINGS = (4, 5, 6, 7)
-MOST_EXAMPLES, MOST_UNLABELLED = 5_000, 10_000
+MOST_EXAMPLES, SHARD = 5_000, 10_000
+#: Weights are added up in units of 1 / FIXED.
+FIXED = 1 << 30
 #: A feature is used if its count in the examples has so much log-likelihood ratio against the rate in unlabelled texts.
 LEAST_EVIDENCE = 14.0
 MODELS, EPOCHS, RATE, DECAY, PENALTY = 3, 60, 0.3, 1e-6, 2e-5
@@ -75,10 +78,11 @@ def features(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Sparse:
-    """Rows of distinct columns: (row, column) pairs by row."""
+    """Rows of distinct columns: (row, column) pairs by row. ``times``: how often each row occurs, once if not given."""
 
-    def __init__(self, rows: np.ndarray, columns: np.ndarray, n: int):
+    def __init__(self, rows: np.ndarray, columns: np.ndarray, n: int, times: np.ndarray | None = None):
         self.rows, self.columns, self.n = rows, columns, n
+        self.times = np.ones(n) if times is None else times
 
     def margin(self, weight: np.ndarray, bias: float) -> np.ndarray:
         return np.bincount(self.rows, weight[self.columns], minlength=self.n) + bias
@@ -94,10 +98,11 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 def risk_gradient(p: Sparse, u: Sparse, weight: np.ndarray, bias: float, prior: float, on_p: np.ndarray, on_u: np.ndarray) -> tuple[float, np.ndarray, float]:
     """The risk on clean texts as estimated from a batch, and the gradient for weights and bias of the step to take."""
     mp, mu = p.margin(weight, bias), u.margin(weight, bias)
-    clean = np.logaddexp(0, mu[on_u]).mean() - prior * np.logaddexp(0, mp[on_p]).mean()
-    share = on_p * (prior / on_p.sum())
+    in_p, in_u = p.times * on_p, u.times * on_u
+    clean = np.average(np.logaddexp(0, mu), weights=in_u) - prior * np.average(np.logaddexp(0, mp), weights=in_p)
+    share = in_p * (prior / in_p.sum())
     sp = sigmoid(mp)
-    away_p, away_u = -sp * share, sigmoid(mu) * on_u / on_u.sum()
+    away_p, away_u = -sp * share, sigmoid(mu) * in_u / in_u.sum()
     # Where the estimate is too low to be true: step back.
     gp, gu = ((sp - 1) * share + away_p, away_u) if clean >= 0 else (-away_p, -away_u)
     return clean, p.pull(gp, len(weight)) + u.pull(gu, len(weight)), gp.sum() + gu.sum()
@@ -174,21 +179,45 @@ def _hits(texts: Texts, used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rows[hit], at[hit]
 
 
-def train(sample: pd.DataFrame, size: int, prior: float) -> bytes:
-    """Weights (feature, model) and biases, pickled. Rows: at, in_p, in_u, hits (places of the chosen features); they are put
-    into the order of ``at``, a hash, so that every run draws the same batches."""
-    sample = sample.sort_values("at", kind="stable")
-    prior = float(np.clip(prior, 1e-3, 0.5))
-    sides = []
-    for side in ("in_p", "in_u"):
-        hits = sample.loc[sample[side], "hits"].to_list()
-        lengths = np.array([len(h) for h in hits], np.int64)
-        columns = np.concatenate([np.asarray(h, np.int64) for h in hits]) if len(hits) else np.zeros(0, np.int64)
-        sides.append(Sparse(np.repeat(np.arange(len(hits)), lengths), columns, len(hits)))
-    if not sides[0].n or not sides[1].n:
-        return pickle.dumps((np.zeros((size, MODELS)), np.full(MODELS, np.log(prior / (1 - prior)))))
-    models = [fitted(*sides, size, prior, seed) for seed in range(MODELS)]
-    return pickle.dumps((np.stack([w for w, _ in models], axis=1), np.array([b for _, b in models])))
+def _side(rows: pd.DataFrame) -> Sparse:
+    """Rows at, n, hits (places of the chosen features), in the order of ``at``, a hash, so that every run draws the same batches."""
+    rows = rows.sort_values("at", kind="stable")
+    hits = [np.asarray(h, np.int64) for h in rows["hits"]]
+    columns = np.concatenate(hits) if hits else np.zeros(0, np.int64)
+    return Sparse(np.repeat(np.arange(len(hits)), [len(h) for h in hits]), columns, len(hits), rows["n"].to_numpy(np.float64))
+
+
+def bounded(prior: float) -> float:
+    return float(np.clip(prior, 1e-3, 1 - 1e-3))
+
+
+def mixed(texts: DataFrame, examples: pd.DataFrame, size: int, prior: float, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (feature, model) and biases: the mean over all shards of ``texts`` (at, n, hits) of the classifiers fitted to each.
+
+    The weights of a model are followed by its bias. Shards send what isn't 0, and a number of their own.
+    """
+    prior, p = bounded(prior), _side(examples)
+    untaught = np.zeros((size, MODELS)), np.full(MODELS, np.log(prior / (1 - prior)))
+    if not p.n:
+        return untaught
+    shared = texts.sparkSession.sparkContext.broadcast(p)
+
+    def shard(rows: pd.DataFrame) -> pd.DataFrame:
+        u = _side(rows)
+        models = [fitted(shared.value, u, size, prior, seed) for seed in range(MODELS)]
+        flat = np.rint(np.concatenate([np.append(w, b) for w, b in models]) * FIXED).astype(np.int64)
+        some = np.flatnonzero(flat)
+        return pd.DataFrame({"place": np.append(some, -1), "w": np.append(flat[some], 1)})
+
+    dealt = texts.withColumn("shard", F.pmod(F.xxhash64("at"), F.lit(shards)))
+    total = dealt.groupBy("shard").applyInPandas(shard, "place long, w long").groupBy("place").agg(F.sum("w").alias("w")).toPandas().set_index("place")["w"]
+    if not len(total):
+        return untaught
+    flat = np.zeros(MODELS * (size + 1))
+    own = total.drop(-1)
+    flat[own.index.to_numpy()] = own.to_numpy() / FIXED / total[-1]
+    both = flat.reshape(MODELS, size + 1)
+    return np.ascontiguousarray(both[:, :size].T), both[:, size].copy()
 
 
 def scores(texts: Texts, used: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
@@ -208,7 +237,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     Null and empty texts score like a text without any known word. A row whose id is null counts as held out. Labels that
     repeat count once; an id with both labels counts as toxic. Repeated rows come out alike. Without examples or other
-    texts every score is the prior. Empty tables give empty results; texts of any length are read whole. Other columns of
+    texts every score is the prior, which is kept between 0.001 and 0.999. Empty tables give empty results; texts of any length are read whole. Other columns of
     either table, whatever their names, don't matter.
     """
     spark = docs.sparkSession
@@ -221,8 +250,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     sizes = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.col("example").cast("long")), F.lit(0)).alias("n_p")).first()
     used = chosen(rows, sizes["n_p"], sizes["n"]) if sizes["n_p"] else np.zeros(0, np.int64)
     shared_used = spark.sparkContext.broadcast(used)
-    draw = lambda k, most, of: F.pmod(F.xxhash64("text", "_id", F.lit(k)), F.lit(1 << 30)) < most / max(1, of) * (1 << 30)
-    drawn = rows.select("text", F.xxhash64("text", "_id").alias("at"), (F.col("example") & draw(1, MOST_EXAMPLES, sizes["n_p"])).alias("in_p"), draw(2, MOST_UNLABELLED, sizes["n"]).alias("in_u"))
+    drawn = F.pmod(F.xxhash64("text", "_id", F.lit(1)), F.lit(1 << 30)) < MOST_EXAMPLES / max(1, sizes["n_p"]) * (1 << 30)
+    read = rows.select("text", F.xxhash64("text", "_id").alias("at"), (F.col("example") & drawn).alias("in_p"))
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -230,12 +259,15 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
             for low, high in slices(column):
                 found, at = _hits(Texts(column.slice(low, high - low)), shared_used.value)
                 ends = np.searchsorted(found, np.arange(high - low + 1)).astype(np.int32)
-                own = [batch.column(k).slice(low, high - low) for k in (1, 2, 3)]
-                yield pa.RecordBatch.from_arrays([*own, pa.ListArray.from_arrays(pa.array(ends), pa.array(at.astype(np.int32)))], ["at", "in_p", "in_u", "hits"])
-
-    sample = drawn.where("in_p or in_u").mapInArrow(hits, "at long, in_p boolean, in_u boolean, hits array<int>")
-    fit = sample.groupBy(F.lit(0).alias("all")).applyInPandas(lambda s: pd.DataFrame({"model": [train(s, len(used), prior)]}), "model binary").first()
-    weights, bias = pickle.loads(fit["model"]) if fit else (np.zeros((len(used), MODELS)), np.full(MODELS, np.log(prior / (1 - prior))))
+                own = [batch.column(k).slice(low, high - low) for k in (1, 2)]
+                yield pa.RecordBatch.from_arrays([*own, pa.ListArray.from_arrays(pa.array(ends), pa.array(at.astype(np.int32)))], ["at", "in_p", "hits"])
+
+    if sizes["n_p"]:
+        found = read.mapInArrow(hits, "at long, in_p boolean, hits array<int>")
+        texts = saved(found.groupBy("at").agg(F.count(F.lit(1)).alias("n"), F.max("in_p").alias("in_p"), F.first("hits").alias("hits")), "hits")
+        weights, bias = mixed(texts, texts.where("in_p").select("at", "n", "hits").toPandas(), len(used), prior, -(-sizes["n"] // SHARD))
+    else:
+        weights, bias = np.zeros((0, MODELS)), np.full(MODELS, np.log(bounded(prior) / (1 - bounded(prior))))
     shared = spark.sparkContext.broadcast((used, weights, bias))
     extra = ["h"] if text_hash else []
 
@@ -247,5 +279,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
                 own = [batch.column(k).slice(low, high - low) for k in range(batch.num_columns)]
                 yield pa.RecordBatch.from_arrays([own[0], own[2], pa.array(out), pa.array((out >= 0.5).astype(np.int32)), *own[3:]], [id_col, "held_out", "score", "predicted", *extra])
 
-    read = [F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("_text"), held_out(id_col).alias("held_out")] + ([F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h")] if text_hash else [])
-    return docs.select(*read).mapInArrow(score, f"`{id_col}` long, held_out boolean, score double, predicted int" + (", h long" if text_hash else ""))
+    columns = [F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("_text"), held_out(id_col).alias("held_out")] + ([F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h")] if text_hash else [])
+    return docs.select(*columns).mapInArrow(score, f"`{id_col}` long, held_out boolean, score double, predicted int" + (", h long" if text_hash else ""))
