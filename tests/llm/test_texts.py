@@ -150,7 +150,7 @@ def test_risk_and_gradient():
     x = {k: rng.random((n, 4)) < 0.4 for k, n in (("p", 30), ("u", 40))}
     side = lambda a: toxicity.Sparse(*np.nonzero(a), len(a))
     for prior, weight in ((0.2, np.zeros(4)), (0.45, np.array([3.0, 2.0, 2.0, 3.0]))):
-        clean, grad, slope = toxicity.risk_gradient(side(x["p"]), side(x["u"]), weight, 0.3, prior, np.ones(30, bool), np.ones(40, bool))
+        clean, grad, slope = toxicity.risk_gradient(side(x["p"]), side(x["u"]), weight, 0.3, prior)
 
         def parts(w, b):
             gp, gu = x["p"] @ w + b, x["u"] @ w + b
@@ -208,9 +208,7 @@ def test_toxicity_fit_reads_all_texts(spark):
     assert np.allclose(weights, want.T, atol=1e-8) and np.allclose(bias, np.mean([[b for _, b in f] for f in fits], axis=0), atol=1e-8)
     one, many = toxicity._side(examples), toxicity._side(dealt)
     spread = toxicity._side(dealt.loc[dealt.index.repeat(dealt.n)].assign(n=1))
-    on = lambda s: np.ones(s.n, bool)
-    folded = toxicity.risk_gradient(one, many, want[0], 0.1, 0.2, on(one), on(many))
-    plain = toxicity.risk_gradient(one, spread, want[0], 0.1, 0.2, on(one), on(spread))
+    folded, plain = (toxicity.risk_gradient(one, u, want[0], 0.1, 0.2) for u in (many, spread))
     assert all(np.allclose(a, b) for a, b in zip(folded, plain, strict=True))
 
 
@@ -226,6 +224,16 @@ def test_toxicity_in_many_shards(spark, monkeypatch):
     assert dict(zip(got.doc_id, got.score)) == dict(zip(again.doc_id, again.score))
 
 
+def test_rows_dealt_to_parts():
+    rng = np.random.default_rng(7)
+    x, times = rng.random((50, 6)) < 0.3, rng.integers(1, 5, 50)
+    part = rng.choice([0, 1, 3], 50)
+    for k, own in enumerate(toxicity.Sparse(*np.nonzero(x), 50, times).dealt(part, 4)):
+        dense = np.zeros((own.n, 6), bool)
+        dense[own.rows, own.columns] = True
+        assert (dense == x[part == k]).all() and (own.times == times[part == k]).all()
+
+
 def test_risk_is_corrected_when_negative():
     """With the prior set too high the plain estimate would go below zero; training still ends with finite weights."""
     p = toxicity.Sparse(np.arange(100), np.zeros(100, int), 100)

@@ -90,19 +90,30 @@ class Sparse:
     def pull(self, g: np.ndarray, size: int) -> np.ndarray:
         return np.bincount(self.columns, g[self.rows], minlength=size)
 
+    def dealt(self, part: np.ndarray, parts: int) -> list[Sparse]:
+        """The rows of each part, in their order; ``part``: the part of each row."""
+        part = part.astype(np.uint8)
+        of_pair = part[self.rows]
+        pairs, rows = np.argsort(of_pair, kind="stable"), np.argsort(part, kind="stable")
+        pair_ends, row_ends = (np.append(0, np.cumsum(np.bincount(x, minlength=parts))) for x in (of_pair, part))
+        place = np.empty(self.n, np.int64)
+        place[rows] = np.arange(self.n)
+        own, columns, times = place[self.rows[pairs]], self.columns[pairs], self.times[rows]
+        cuts = zip(pair_ends, pair_ends[1:], row_ends, row_ends[1:], strict=False)
+        return [Sparse(own[a:b] - low, columns[a:b], high - low, times[low:high]) for a, b, low, high in cuts]
+
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
 
 
-def risk_gradient(p: Sparse, u: Sparse, weight: np.ndarray, bias: float, prior: float, on_p: np.ndarray, on_u: np.ndarray) -> tuple[float, np.ndarray, float]:
+def risk_gradient(p: Sparse, u: Sparse, weight: np.ndarray, bias: float, prior: float) -> tuple[float, np.ndarray, float]:
     """The risk on clean texts as estimated from a batch, and the gradient for weights and bias of the step to take."""
     mp, mu = p.margin(weight, bias), u.margin(weight, bias)
-    in_p, in_u = p.times * on_p, u.times * on_u
-    clean = np.average(np.logaddexp(0, mu), weights=in_u) - prior * np.average(np.logaddexp(0, mp), weights=in_p)
-    share = in_p * (prior / in_p.sum())
+    clean = np.average(np.logaddexp(0, mu), weights=u.times) - prior * np.average(np.logaddexp(0, mp), weights=p.times)
+    share = p.times * (prior / p.times.sum())
     sp = sigmoid(mp)
-    away_p, away_u = -sp * share, sigmoid(mu) * in_u / in_u.sum()
+    away_p, away_u = -sp * share, sigmoid(mu) * u.times / u.times.sum()
     # Where the estimate is too low to be true: step back.
     gp, gu = ((sp - 1) * share + away_p, away_u) if clean >= 0 else (-away_p, -away_u)
     return clean, p.pull(gp, len(weight)) + u.pull(gu, len(weight)), gp.sum() + gu.sum()
@@ -116,11 +127,10 @@ def fitted(p: Sparse, u: Sparse, size: int, prior: float, seed: int) -> tuple[np
     parts = max(1, min(8, p.n // 50, u.n // 50))
     for _ in range(EPOCHS):
         in_p, in_u = rng.integers(0, parts, p.n), rng.integers(0, parts, u.n)
-        for k in range(parts):
-            on_p, on_u = in_p == k, in_u == k
-            if not on_p.any() or not on_u.any():
+        for some_p, some_u in zip(p.dealt(in_p, parts), u.dealt(in_u, parts), strict=True):
+            if not some_p.n or not some_u.n:
                 continue
-            _, grad, slope = risk_gradient(p, u, weight, bias, prior, on_p, on_u)
+            _, grad, slope = risk_gradient(some_p, some_u, weight, bias, prior)
             grad = grad + DECAY * weight
             scale_w += grad * grad
             scale_b += slope * slope
