@@ -24,15 +24,27 @@ def catalogue_query(spark, sf):
     return catalogue.catalogued(a.unionByName(b).unionByName(c), "/data").select("volume_id", "source_group")
 
 
+def whole_pages(voxels, shapes, **columns):
+    """All pages of 8 x 8 of ``shapes`` (volume_id, z, height, width and bytes by name), 0 where a volume has no voxel: the
+    last one may be cut short anywhere. ``columns`` names the column of voxels for each one of bytes."""
+    of = list(dict.fromkeys(columns.values()))
+    cell = F.struct((F.col("y") * 8 + F.col("x")).cast("int").alias("at"), *[F.col(c).cast("int").alias(c) for c in of])
+    cells = voxels.groupBy("volume_id", "z").agg(F.collect_list(cell).alias("cells"))
+    slices = shapes.select("volume_id", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("z")).join(cells, ["volume_id", "z"], "left")
+    own = F.coalesce("cells", F.array().cast(f"array<struct<at:int,{','.join(f'{c}:int' for c in of)}>>"))
+    lacking = F.transform(F.array_except(F.sequence(F.lit(0), F.lit(63)), own["at"]), lambda i: F.struct(i.alias("at"), *[F.lit(0).alias(c) for c in of]))
+    full = slices.select("volume_id", "z", F.array_sort(F.concat(own, lacking)).alias("cells"))
+    hexed = lambda c: F.unhex(F.array_join(F.transform("cells", lambda x: F.lpad(F.hex(x[c]), 2, "0")), ""))
+    return full.select("volume_id", "z", *[F.lit(8).alias(n) for n in ("height", "width")], *[hexed(c).alias(n) for n, c in columns.items()])
+
+
 @query("ref03_chunk_store", f"WITH {si.PLACED_SQL} SELECT volume_id, count(*) AS n, sum(least(greatest(floor((e::DOUBLE + 0.55) * 230), 0), 255))::BIGINT AS total FROM placed GROUP BY 1")
 def chunk_store(spark, sf):
     v = F.least(F.greatest(F.floor((F.col("e").cast("double") + 0.55) * 230), F.lit(0)), F.lit(255)).cast("int")
-    cells = si.dense(spark, sf).groupBy("volume_id", "z").agg(F.array_sort(F.collect_list(F.struct("y", "x", v.alias("v")))).alias("cells"))
-    hexed = F.array_join(F.transform("cells", lambda c: F.lpad(F.hex(c["v"]), 2, "0")), "")
-    pages = cells.select("volume_id", "z", F.lit(8).alias("height"), F.lit(8).alias("width"), F.unhex(hexed).alias("pixels"))
+    pages = whole_pages(si.dense(spark, sf).select("volume_id", "z", "y", "x", v.alias("v"), F.lit(1).alias("there")), si.shapes(spark, sf), pixels="v", mask="there")
     path = fresh_path(spark, "chunks")
     chunks.write(chunks.chunked(pages, 3), path)
-    return chunks.voxels(chunks.read(spark, path), 3).groupBy("volume_id").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("total"))
+    return chunks.voxels(chunks.read(spark, path), 3).groupBy("volume_id").agg(F.sum("mask").alias("n"), F.sum("v").alias("total"))
 
 
 @query("ref05_index_round_trip", f"WITH {si.POROSITIES_SQL} SELECT volume_id, count(*) AS n FROM idx WHERE split = 'val' GROUP BY 1")
@@ -56,9 +68,7 @@ def split_documents(spark, sf):
 def patch_source(spark, sf):
     dense = si.placed(spark, sf)
     index = pi.patch_index(dense.where("mask = 1").select("volume_id", "z", "y", "x"), si.shapes(spark, sf), 4, 4)
-    cells = dense.groupBy("volume_id", "z").agg(F.array_sort(F.collect_list(F.struct("y", "x", "mask"))).alias("cells"))
-    hexed = F.unhex(F.array_join(F.transform("cells", lambda c: F.lpad(F.hex(c["mask"]), 2, "0")), ""))
-    pages = cells.select("volume_id", "z", F.lit(8).alias("height"), F.lit(8).alias("width"), hexed.alias("pixels"), hexed.alias("mask"))
+    pages = whole_pages(dense, si.shapes(spark, sf), pixels="mask", mask="mask")
     got = chunks.patches(index, chunks.chunked(pages, 3), "val", 3)
     return got.select("volume_id", "z0", "y0", "x0", F.aggregate("mask", F.lit(0).cast("long"), lambda a, v: a + v).alias("pores"))
 
