@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterable, Iterator
 
@@ -52,32 +53,38 @@ def shell_pairs(own: np.ndarray, wide: np.ndarray, shape: list[int], r_max: floa
     return np.bincount(shell[inside], found[inside], minlength=n_bins), np.bincount(shell[inside], minlength=n_bins)
 
 
-def two_point_curves(voxels: DataFrame, shapes: DataFrame, r_max: float = 50, n_bins: int = 50, side: int = 64) -> DataFrame:
-    """(volume_id, s2): the chance that two points of a volume at distance r (in ``n_bins`` shells up to r_max, periodic)
-    are both set, for set voxels and shapes (volume_id, d, h, w); zeros for a volume without set voxels.
-
-    Set voxels are packed into blocks of ``side`` ** 3 bits. A block goes to the blocks within reach of it, each block
-    counts its pairs with its surroundings, and the counts add up to the volume's: exact, and no task holds a volume.
-    """
+def shared_blocks(voxels: DataFrame, shapes: DataFrame, r_max: float, side: int) -> DataFrame:
+    """Blocks of set voxels for ``two_point_curves``: a row for each block (to_z, to_y, to_x) that sees this one, with its
+    bits, and the places (at_z, at_y, at_x) where it does along each axis."""
     cell = shapes.select("volume_id", *[F.col(c).cast("int").alias(c) for c in "dhw"]).join(voxels.select("volume_id", "z", "y", "x"), "volume_id")
     keys = [F.floor(F.col(a) / side).cast("int").alias(f"b{a}") for a in "zyx"]
 
     def packed(key: tuple, t: pa.Table) -> pa.Table:
-        bits = np.zeros((side,) * 3, bool)
+        first = t.slice(0, 1).to_pylist()[0]
+        bits = np.zeros([min(side, first[n] - first[f"b{a}"] * side) for a, n in zip("zyx", "dhw", strict=True)], bool)
         bits[tuple(t.column(a).to_numpy() % side for a in "zyx")] = True
         return t.slice(0, 1).select(["volume_id", "d", "h", "w", "bz", "by", "bx"]).append_column("bits", pa.array([np.packbits(bits).tobytes()]))
 
     own = cell.select("*", *keys).groupBy("volume_id", "bz", "by", "bx").applyInArrow(packed, "volume_id string, d int, h int, w int, bz int, by int, bx int, bits binary")
     sent = own
     for a, n in zip("zyx", "dhw", strict=True):
-        # Every block that has a set voxel of this one within reach, and where this one stands as seen from there.
+        # Every block that has a set voxel of this one within reach, and the places where this one stands as seen from there.
         reach = f"least({math.ceil(r_max)}, {n} div 2)"
-        places = f"transform(sequence(-1, 1), m -> m * {n} + b{a} * {side})"
-        blocks = f"sequence(0, cast(({n} - 1) div {side} as int))"
-        pairs = f"flatten(transform({places}, p -> transform({blocks}, t -> named_struct('to', t, 'at', p - t * {side}))))"
-        near = f"filter({pairs}, s -> s.at < least({side}, {n} - s.to * {side}) + {reach} and s.at + least({side}, {n} - b{a} * {side}) > -{reach})"
-        sent = sent.withColumn(f"s{a}", F.explode(F.expr(near)))
-    sent = sent.select("volume_id", "d", "h", "w", "bits", *[F.col(f"s{a}.{c}").cast("int").alias(f"{c}_{a}") for a in "zyx" for c in ("to", "at")])
+        places = f"transform(sequence(-1, 1), m -> cast(m * {n} + b{a} * {side} - t * {side} as int))"
+        seen = f"filter({places}, at -> at < least({side}, {n} - t * {side}) + {reach} and at + least({side}, {n} - b{a} * {side}) > -{reach})"
+        sent = sent.withColumn(f"s{a}", F.explode(F.expr(f"filter(transform(sequence(0, cast(({n} - 1) div {side} as int)), t -> named_struct('to', t, 'at', {seen})), s -> size(s.at) > 0)")))
+    return sent.select("volume_id", "d", "h", "w", "bz", "by", "bx", "bits", *[F.col(f"s{a}.{c}").alias(f"{c}_{a}") for a in "zyx" for c in ("to", "at")])
+
+
+def two_point_curves(voxels: DataFrame, shapes: DataFrame, r_max: float = 50, n_bins: int = 50, side: int = 64) -> DataFrame:
+    """(volume_id, s2): the chance that two points of a volume at distance r (in ``n_bins`` shells up to r_max, periodic)
+    are both set, for set voxels and shapes (volume_id, d, h, w); zeros for a volume without set voxels.
+
+    Set voxels are packed into blocks of up to ``side`` ** 3 bits, as many as the volume has there. A block goes once to each
+    block within reach of it, with all the places where that one sees it; each block counts its pairs with its surroundings,
+    and the counts add up to the volume's: exact, and no task holds a volume.
+    """
+    sent = shared_blocks(voxels, shapes, r_max, side)
 
     def counted(t: pa.Table) -> pa.Table:
         first = t.slice(0, 1).to_pylist()[0]
@@ -86,12 +93,13 @@ def two_point_curves(voxels: DataFrame, shapes: DataFrame, r_max: float = 50, n_
         extent = [min(side, n - first[f"to_{a}"] * side) for a, n in zip("zyx", shape, strict=True)]
         wide, block = np.zeros([e + 2 * r for e, r in zip(extent, reach, strict=True)], bool), np.zeros(extent, bool)
         for r in t.to_pylist():
-            bits = np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=side**3).astype(bool).reshape((side,) * 3)
-            at = [r[f"at_{a}"] + q for a, q in zip("zyx", reach, strict=True)]
-            into = tuple(slice(max(0, p), min(m, p + side)) for p, m in zip(at, wide.shape, strict=True))
-            wide[into] |= bits[tuple(slice(i.start - p, i.stop - p) for i, p in zip(into, at, strict=True))]
-            if at == reach:
-                block = bits[tuple(slice(0, e) for e in extent)]
+            size = [min(side, n - r[f"b{a}"] * side) for a, n in zip("zyx", shape, strict=True)]
+            bits = np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=math.prod(size)).astype(bool).reshape(size)
+            for at in itertools.product(*[[p + q for p in r[f"at_{a}"]] for a, q in zip("zyx", reach, strict=True)]):
+                into = tuple(slice(max(0, p), min(m, p + e)) for p, m, e in zip(at, wide.shape, size, strict=True))
+                wide[into] |= bits[tuple(slice(i.start - p, i.stop - p) for i, p in zip(into, at, strict=True))]
+                if list(at) == reach:
+                    block = bits
         if not block.any():
             return t.schema.empty_table().select(["volume_id"]).append_column("bin", pa.array([], pa.int32())).append_column("pairs", pa.array([], pa.int64())).append_column("lags", pa.array([], pa.int64()))
         pairs, lags = shell_pairs(block, wide, shape, r_max, n_bins)
