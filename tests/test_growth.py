@@ -1,6 +1,8 @@
 """What leaves a task, and how much of it: small checks of what made large inputs slow."""
 
 from voxloom.operators import volumes
+from voxloom.schemas import VOLUME_CHUNKS
+from voxloom.sources import chunks
 
 
 def test_blocks_have_the_extent_of_their_volume(spark):
@@ -10,3 +12,15 @@ def test_blocks_have_the_extent_of_their_volume(spark):
     rows = volumes.shared_blocks(voxels, shapes, 5, 64).collect()
     assert [len(r.bits) for r in rows] == [64]
     assert [len(r[f"at_{a}"]) for r in rows for a in "zyx"] == [3, 3, 3]
+
+
+def stored(spark, ids, value):
+    return spark.createDataFrame([(i, 0, 0, 0, 1, 1, 1, bytearray([value]), bytearray([0])) for i in ids], VOLUME_CHUNKS)
+
+
+def test_a_store_has_a_folder_for_a_write_and_the_newest_chunks(spark, tmp_path):
+    chunks.write(stored(spark, [f"v{k}" for k in range(200)], 1).repartition(3), f"{tmp_path}/store")
+    assert len([f for f in (tmp_path / "store").rglob("*") if not f.name.startswith((".", "_"))]) <= 4
+    chunks.write(stored(spark, ["v7", "w"], 2), f"{tmp_path}/store")
+    found = {r.volume_id: r.xct[0] for r in chunks.read(spark, f"{tmp_path}/store").collect()}
+    assert found == {f"v{k}": 1 for k in range(200)} | {"v7": 2, "w": 2}

@@ -1,7 +1,8 @@
-"""The chunk store: a row per chunk of a volume, written by volume; and patches cut out of it."""
+"""The chunk store: a row per chunk of a volume, written in generations; and patches cut out of it."""
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +13,11 @@ from pyspark.sql import functions as F
 from voxloom.operators.patch_index import readable
 from voxloom.schemas import VOLUME_CHUNKS
 
+#: The column of the folders of a store, one for each write.
+GENERATION = "written"
+#: Chunks that are unpacked at once, and voxels that are handed on.
+ROWS, VOXELS = 64, 1 << 18
+
 
 def chunked(pages: DataFrame, size: int = 64) -> DataFrame:
     """Chunks (volume_id, cz, cy, cx, d, h, w, xct, mask) of pages (volume_id, z, height, width, pixels, mask).
@@ -35,12 +41,21 @@ def chunked(pages: DataFrame, size: int = 64) -> DataFrame:
 
 
 def write(chunks: DataFrame, path: str) -> None:
-    """Writes chunks by volume; volumes that are there already are replaced one by one, the others stay."""
-    chunks.write.partitionBy("volume_id").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    """Adds chunks to a store; volumes that are there already are replaced one by one, the others stay.
+
+    A write is a generation, a folder of its own with as many files as tasks, however many volumes there are: the newest
+    one that has a volume has all of it. Nothing that is there is touched, so a write that fails changes nothing.
+    """
+    chunks.write.parquet(f"{path}/{GENERATION}={time.time_ns()}")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(VOLUME_CHUNKS).parquet(path)
+    """The chunks of each volume's newest generation."""
+    rows = spark.read.schema(f"{VOLUME_CHUNKS}, {GENERATION} long").parquet(path)
+    if rows.select(GENERATION).distinct().limit(2).count() > 1:
+        newest = rows.groupBy("volume_id").agg(F.max(GENERATION).alias(GENERATION))
+        rows = rows.join(newest, ["volume_id", GENERATION], "left_semi")
+    return rows.select(*[f.split(" ")[0] for f in VOLUME_CHUNKS.split(", ")])
 
 
 def missing(volumes: DataFrame, stored: DataFrame) -> DataFrame:
@@ -53,14 +68,25 @@ def voxels(chunks: DataFrame, size: int = 64, columns: dict[str, str] | None = N
     ``columns``, by its new name; v (of xct) and mask by default."""
     names = columns or {"xct": "v", "mask": "mask"}
 
+    def long(held: list[dict]) -> pa.RecordBatch:
+        places = [np.indices((r["d"], r["h"], r["w"]), np.int32).reshape(3, -1) + np.array([[r["cz"]], [r["cy"]], [r["cx"]]], np.int32) * np.int32(size) for r in held]
+        own = np.repeat(np.arange(len(held)), [p.shape[1] for p in places])
+        ids = pa.array([r["volume_id"] for r in held], pa.string()).take(pa.array(own))
+        values = [pa.array(np.frombuffer(b"".join(r[c] for r in held), np.uint8).astype(np.int32)) for c in names]
+        return pa.RecordBatch.from_arrays([ids, *map(pa.array, np.concatenate(places, axis=1)), *values], ["volume_id", "z", "y", "x", *names.values()])
+
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                r = batch.slice(k, 1).to_pylist()[0]
-                at = np.indices((r["d"], r["h"], r["w"]), np.int32).reshape(3, -1)
-                base = (r["cz"] * size, r["cy"] * size, r["cx"] * size)
-                ids = pa.array([r["volume_id"]] * at.shape[1], pa.string())
-                yield pa.RecordBatch.from_arrays([ids, *[pa.array((a + b).astype(np.int32)) for a, b in zip(at, base, strict=True)], *[pa.array(np.frombuffer(r[c], np.uint8).astype(np.int32)) for c in names]], ["volume_id", "z", "y", "x", *names.values()])
+            held, n = [], 0
+            for k in range(0, batch.num_rows, ROWS):
+                for r in batch.slice(k, ROWS).to_pylist():
+                    held.append(r)
+                    n += r["d"] * r["h"] * r["w"]
+                    if n >= VOXELS:
+                        yield long(held)
+                        held, n = [], 0
+            if held:
+                yield long(held)
 
     rows = chunks.select("volume_id", "cz", "cy", "cx", "d", "h", "w", *names)
     return rows.mapInArrow(spread, "volume_id string, z int, y int, x int, " + ", ".join(f"{n} int" for n in names.values()))
