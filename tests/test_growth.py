@@ -1,6 +1,6 @@
 """What leaves a task, and how much of it: small checks of what made large inputs slow."""
 
-from voxloom.operators import volumes
+from voxloom.operators import segmentation, volumes
 from voxloom.schemas import VOLUME_CHUNKS
 from voxloom.sources import chunks
 
@@ -24,3 +24,9 @@ def test_a_store_has_a_folder_for_a_write_and_the_newest_chunks(spark, tmp_path)
     chunks.write(stored(spark, ["v7", "w"], 2), f"{tmp_path}/store")
     found = {r.volume_id: r.xct[0] for r in chunks.read(spark, f"{tmp_path}/store").collect()}
     assert found == {f"v{k}": 1 for k in range(200)} | {"v7": 2, "w": 2}
+
+
+def test_local_thresholds_have_no_group_for_each_chunk(spark):
+    rows = segmentation.local_threshold(stored(spark, ["a", "b"], 9), 2, 0.125, 4)
+    assert "InArrow" in (plan := rows._jdf.queryExecution().toString()) and "FlatMapGroupsInArrow" not in plan
+    assert [len(r.binary) for r in rows.collect()] == [1, 1]

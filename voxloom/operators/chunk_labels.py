@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from voxloom.operators.components import NEIGHBOURS, components, joined
 from voxloom.scratch import saved
+from voxloom.sources.chunks import ROWS
 
 #: A component is named by its first voxel in the order of z, y, x: (z << 42) + (y << 21) + x, so volumes have up to 2^21 voxels a side.
 _AXIS = 21
@@ -104,11 +105,10 @@ def pieces(chunks: DataFrame, on: Callable[[dict], np.ndarray], connectivity: in
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                r = batch.slice(k, 1).to_pylist()[0]
-                out = _rows(r, on(r), connectivity, size)
-                if out is not None:
-                    yield out
+            for k in range(0, batch.num_rows, ROWS):
+                found = [out for r in batch.slice(k, ROWS).to_pylist() if (out := _rows(r, on(r), connectivity, size)) is not None]
+                if found:
+                    yield from pa.Table.from_batches(found).combine_chunks().to_batches()
 
     return saved(chunks.mapInArrow(mapped, _PIECES), "pieces")
 

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from voxloom.operators import chunk_labels, statistics
 from voxloom.operators.components import labelled_runs, merged, runs, sizes, spread
 from voxloom.scratch import saved
+from voxloom.sources.chunks import ROWS
 
 RANGE = 128.0
 #: A value that exceeds its threshold by less than rounding errors of sums doesn't exceed it.
@@ -29,22 +30,35 @@ EXTENT = ["d", "h", "w"]
 BOX = ["z0", "z1", "y0", "y1", "x0", "x1"]
 _KEYS = "volume_id string, cz int, cy int, cx int"
 _RUNS = "volume_id string, z int, y int, x0 int, x1 int"
-_KINDS = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+_KINDS = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_()}
 
 
-def _per_chunk(chunks: DataFrame, schema: str, rows: Callable[[dict], dict | None]) -> DataFrame:
-    """What ``rows`` makes of each chunk: columns of ``schema``, single values or arrays of equal length."""
+def _several(out: dict | list[dict] | None) -> list[dict | None]:
+    return out if isinstance(out, list) else [out]
+
+
+def _per_chunk(chunks: DataFrame, schema: str, rows: Callable[[dict], dict | list[dict] | None]) -> DataFrame:
+    """What ``rows`` makes of each chunk: columns of ``schema``, single values or arrays of equal length, or a list of
+    such. Chunks come and go ``ROWS`` at a time."""
     columns = [c.split(" ") for c in schema.split(", ")]
 
+    def made(held: list[dict]) -> pa.RecordBatch:
+        times = [max((len(v) for v in out.values() if isinstance(v, np.ndarray)), default=1) for out in held]
+        own = pa.array(np.repeat(np.arange(len(held)), times))
+        arrays = []
+        for c, kind in columns:
+            if isinstance(held[0][c], np.ndarray):
+                arrays.append(pa.array(np.concatenate([out[c].astype(np.int64) for out in held])).cast(_KINDS[kind]))
+            else:
+                arrays.append(pa.array([out[c] for out in held], _KINDS[kind]).take(own))
+        return pa.RecordBatch.from_arrays(arrays, [c for c, _ in columns])
+
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                r = batch.slice(k, 1).to_pylist()[0]
-                out = rows(r)
-                if out is None:
-                    continue
-                n = max((len(v) for v in out.values() if isinstance(v, np.ndarray)), default=1)
-                yield pa.RecordBatch.from_arrays([pa.array(out[c].astype(np.int64) if isinstance(out[c], np.ndarray) else [out[c]] * n).cast(_KINDS[kind]) for c, kind in columns], [c for c, _ in columns])
+            for k in range(0, batch.num_rows, ROWS):
+                held = [out for r in batch.slice(k, ROWS).to_pylist() for out in _several(rows(r)) if out is not None]
+                if held:
+                    yield made(held)
 
     return chunks.mapInArrow(mapped, schema)
 
@@ -127,21 +141,17 @@ def local_threshold(chunks: DataFrame, window: int, k: float, size: int = 64, bo
     rows = chunks.select(*CHUNK, *EXTENT, "xct").join(box if box is not None else whole_box(chunks, size), "volume_id")
     steps = [(dz, dx) for dz in range(-far, far + 1) for dx in range(-far, far + 1)]
 
-    def strips(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for j in range(batch.num_rows):
-                row = batch.slice(j, 1)
-                r = row.to_pylist()[0]
-                cube = _cube(r)
-                for dz, dx in steps:
-                    # The part that the chunk (dz, dx) further sees, and the row and column where it starts there.
-                    z, x = (slice(max(0, d * size - half), min(n, (d + 1) * size + half)) for d, n in ((dz, r["d"]), (dx, r["w"])))
-                    part = cube[z, :, x]
-                    if part.size:
-                        yield pa.RecordBatch.from_pylist([{"volume_id": r["volume_id"], "cz": r["cz"] + dz, "cy": r["cy"], "cx": r["cx"] + dx, "own": dz == dx == 0, "z": z.start - dz * size, "x": x.start - dx * size, "d": part.shape[0], "h": part.shape[1], "w": part.shape[2], "part": part.tobytes(), **{c: r[c] for c in BOX}}], sent)
-
-    sent = pa.schema([("volume_id", pa.string()), *[(c, pa.int32()) for c in ("cz", "cy", "cx")], ("own", pa.bool_()), *[(c, pa.int32()) for c in ("z", "x", *EXTENT)], ("part", pa.binary()), *[(c, pa.int32()) for c in BOX]])
-    ddl = f"{_KEYS}, own boolean, z int, x int, d int, h int, w int, part binary, " + ", ".join(f"{c} int" for c in BOX)
+    def strips(r: dict) -> list[dict]:
+        cube, out = _cube(r), []
+        for dz, dx in steps:
+            # The part that the chunk (dz, dx) further sees, and the row and column where it starts there.
+            z, x = (slice(max(0, d * size - half), min(n, (d + 1) * size + half)) for d, n in ((dz, r["d"]), (dx, r["w"])))
+            part = cube[z, :, x]
+            if part.size:
+                out.append({"volume_id": r["volume_id"], "cz": r["cz"] + dz, "cy": r["cy"], "cx": r["cx"] + dx, "own": int(dz == dx == 0), "z": z.start - dz * size, "x": x.start - dx * size, "d": part.shape[0], "h": part.shape[1], "w": part.shape[2], "part": part.tobytes(), **{c: r[c] for c in BOX}})
+        return out
+
+    ddl = f"{_KEYS}, own int, z int, x int, d int, h int, w int, part binary, " + ", ".join(f"{c} int" for c in BOX)
 
     def mirrored(first: int, n: int, low: int, high: int) -> np.ndarray:
         """Where each of n places from ``first`` - half reads from, mirrored at low and high."""
@@ -150,12 +160,12 @@ def local_threshold(chunks: DataFrame, window: int, k: float, size: int = 64, bo
         at = at % turn if turn else at * 0
         return np.minimum(at, turn - at) + low
 
-    def judged(t: pa.Table) -> pa.Table:
-        parts = t.to_pylist()
+    def judged(r: dict) -> dict | None:
+        parts = r["parts"]
         own = next((p for p in parts if p["own"]), None)
-        kinds = pa.schema([("volume_id", pa.string()), *[(c, pa.int32()) for c in ("cz", "cy", "cx", *EXTENT)], ("binary", pa.binary())])
         if own is None:
-            return kinds.empty_table()
+            return None
+        own |= {c: r[c] for c in CHUNK}
         field = np.zeros((size + 2 * half, own["h"], size + 2 * half), np.uint8)
         for p in parts:
             field[p["z"] + half : p["z"] + half + p["d"], :, p["x"] + half : p["x"] + half + p["w"]] = _cube(p, "part")
@@ -164,9 +174,10 @@ def local_threshold(chunks: DataFrame, window: int, k: float, size: int = 64, bo
         if out[where].size:
             from_z, from_x = (mirrored(s.start, s.stop - s.start, own[f"{a}0"] - own[f"c{a}"] * size, own[f"{a}1"] - own[f"c{a}"] * size) + half for s, a in ((where[0], "z"), (where[2], "x")))
             out[where] = sauvola(field[np.ix_(from_z, np.arange(where[1].start, where[1].stop), from_x)], window, k)
-        return pa.Table.from_pylist([{**{c: own[c] for c in (*CHUNK, *EXTENT)}, "binary": out.tobytes()}], kinds)
+        return {c: own[c] for c in (*CHUNK, *EXTENT)} | {"binary": out.tobytes()}
 
-    return rows.mapInArrow(strips, ddl).groupBy(*CHUNK).applyInArrow(judged, f"{_KEYS}, d int, h int, w int, binary binary")
+    around = _per_chunk(rows, ddl, strips).groupBy(*CHUNK).agg(F.collect_list(F.struct("own", "z", "x", *EXTENT, "part", *BOX)).alias("parts"))
+    return _per_chunk(around, f"{_KEYS}, d int, h int, w int, binary binary", judged)
 
 
 def cleaned_slices(voxels: DataFrame, least: int = 2) -> DataFrame:
