@@ -1,5 +1,8 @@
 """What leaves a task, and how much of it: small checks of what made large inputs slow."""
 
+from pyspark.sql import functions as F
+
+from voxloom import scratch
 from voxloom.operators import segmentation, volumes
 from voxloom.schemas import VOLUME_CHUNKS
 from voxloom.sources import chunks
@@ -30,3 +33,12 @@ def test_local_thresholds_have_no_group_for_each_chunk(spark):
     rows = segmentation.local_threshold(stored(spark, ["a", "b"], 9), 2, 0.125, 4)
     assert "InArrow" in (plan := rows._jdf.queryExecution().toString()) and "FlatMapGroupsInArrow" not in plan
     assert [len(r.binary) for r in rows.collect()] == [1, 1]
+
+
+def test_large_written_tables_do_not_go_through_the_driver(spark, monkeypatch):
+    rows = spark.range(500).withColumn("x", F.lit("the same in every row"))
+    plan = lambda: rows.join(scratch.saved(rows, "rows").groupBy("id").count(), "id")._jdf.queryExecution().toString()
+    assert "BroadcastHashJoin" in plan()
+    monkeypatch.setattr(scratch, "BROADCAST_ROWS", 100)
+    assert "BroadcastHashJoin" not in plan() and "SortMergeJoin" in plan()
+    assert scratch.saved(rows.where("false"), "none").count() == 0

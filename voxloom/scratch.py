@@ -5,7 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of a table that may go through the driver to all executors.
+BROADCAST_ROWS = 50_000
 
 _own: dict[str, str] = {}
 
@@ -28,7 +32,12 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it again: the lineage ends there, and a lost executor costs nothing."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Writes ``df`` to the shared folder and reads it again: the lineage ends there, and a lost executor costs nothing.
+
+    A table of more than ``BROADCAST_ROWS`` rows is joined by shuffles: what Spark sees of it is the size of its compressed
+    files, by which it would send tables of many millions of rows through the driver.
+    """
+    path, counted = fresh_path(df.sparkSession, name), Observation()
+    df.observe(counted, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    return found.hint("merge") if counted.get["n"] > BROADCAST_ROWS else found
