@@ -42,3 +42,11 @@ def test_large_written_tables_do_not_go_through_the_driver(spark, monkeypatch):
     monkeypatch.setattr(scratch, "BROADCAST_ROWS", 100)
     assert "BroadcastHashJoin" not in plan() and "SortMergeJoin" in plan()
     assert scratch.saved(rows.where("false"), "none").count() == 0
+
+
+def test_hulls_are_dealt_out(spark):
+    """Few bytes of lines are much work: no group for each pore, and all partitions take part."""
+    lines = spark.createDataFrame([("v", k, k, 0, 0, k % 3) for k in range(40)], "volume_id string, label int, z int, y int, x0 int, x1 int")
+    plan = (rows := volumes.hull_sizes(lines))._jdf.queryExecution().toString()
+    assert "REPARTITION_BY_NUM" in plan and "FlatMapGroupsInArrow" not in plan
+    assert {r.label: r.hull for r in rows.collect()} == {k: k % 3 + 1 for k in range(40)}

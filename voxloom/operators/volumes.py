@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -175,37 +176,62 @@ def hull(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     c = p[np.linalg.norm(np.cross(p - a, b - a), axis=1).argmax()]
     d = p[np.abs((p - a) @ np.cross(b - a, c - a)).argmax()]
     middle = (a + b + c + d) / 4
-    corners = [a, b, c, d]
+    corners = np.array([a, b, c, d])
 
-    def plane(f):
-        u, v, w = (corners[i] for i in f)
+    def planes(f: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        u, v, w = (corners[f[:, k]] for k in range(3))
         n = np.cross(v - u, w - u)
-        n = n / np.linalg.norm(n)
-        off = n @ u
-        return (f, n, off) if n @ middle < off else ((f[0], f[2], f[1]), -n, -off)
-
-    faces = [plane(f) for f in ((0, 1, 2), (0, 1, 3), (0, 2, 3), (1, 2, 3))]
-    for x in p[np.argsort(-np.linalg.norm(p - middle, axis=1))]:
-        normals, offs = np.array([f[1] for f in faces]), np.array([f[2] for f in faces])
+        n = n / np.linalg.norm(n, axis=1)[:, None]
+        off = (n * u).sum(axis=1)
+        turn = n @ middle >= off
+        n[turn], off[turn], f[turn] = -n[turn], -off[turn], f[turn][:, [0, 2, 1]]
+        return f, n, off
+
+    faces, normals, offs = planes(np.array([(0, 1, 2), (0, 1, 3), (0, 2, 3), (1, 2, 3)]))
+    rest = p[np.argsort(-np.linalg.norm(p - middle, axis=1))]
+    while len(rest := rest[(rest @ normals.T > offs + 1e-9).any(axis=1)]):  # what is inside now stays inside
+        x, rest = rest[0], rest[1:]
         seen = normals @ x > offs + 1e-9
-        if not seen.any():
-            continue
-        rim: dict[tuple[int, int], int] = {}
-        for k in np.flatnonzero(seen):
-            f = faces[k][0]
-            for e in ((f[0], f[1]), (f[1], f[2]), (f[2], f[0])):
-                if (e[1], e[0]) in rim:
-                    del rim[(e[1], e[0])]
-                else:
-                    rim[e] = 1
-        corners.append(x)
-        fresh = []
-        for u, v in rim:
-            if np.linalg.norm(np.cross(corners[v] - corners[u], x - corners[u])) > 1e-9:
-                fresh.append(plane((u, v, len(corners) - 1)))
-        faces = [f for k, f in enumerate(faces) if not seen[k]] + fresh
-    used = sorted({i for f in faces for i in f[0]})
-    return np.array([[*f[1], f[2]] for f in faces]), np.array([corners[i] for i in used])
+        edges = np.concatenate([faces[seen][:, e] for e in ([0, 1], [1, 2], [2, 0])])
+        n = len(corners)
+        rim = edges[~np.isin(edges[:, 0] * n + edges[:, 1], edges[:, 1] * n + edges[:, 0])]
+        u, v = corners[rim[:, 0]], corners[rim[:, 1]]
+        rim = rim[np.linalg.norm(np.cross(v - u, x - u), axis=1) > 1e-9]
+        corners = np.concatenate([corners, x[None]])
+        fresh = planes(np.column_stack([rim, np.full(len(rim), n)]))
+        faces, normals, offs = (np.concatenate([old[~seen], new]) for old, new in zip((faces, normals, offs), fresh, strict=True))
+    return np.column_stack([normals, offs]), corners[np.unique(faces)]
+
+
+#: Shapes of parts of pores whose hulls a worker keeps: small pores are alike.
+KEPT_HULLS = 4096
+
+
+@lru_cache(KEPT_HULLS)
+def _corners(lines: bytes) -> np.ndarray:
+    """The corners of the hull of lines (z, y, x0, x1), their least z, y and x0 at 0."""
+    t = np.frombuffer(lines, np.int64).reshape(-1, 4)
+    return hull(face_centres(np.unique(np.concatenate([t[:, [0, 1, k]] for k in (2, 3)]), axis=0)))[1]
+
+
+@lru_cache(KEPT_HULLS)
+def _planes(points: bytes) -> np.ndarray:
+    """The hull's planes of points (z, y, x)."""
+    return hull(np.frombuffer(points, np.float64).reshape(-1, 3))[0]
+
+
+def _per_row(rows: DataFrame, name: str, kind: str, made: Callable[..., object], *of: str) -> DataFrame:
+    """Adds what ``made`` gives for the columns ``of`` of a row, and leaves those out; rows go to Python in batches."""
+    rest = [c for c in rows.columns if c not in of]
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                out = [made(*r) for r in zip(*(part.column(c).to_pylist() for c in of), strict=True)]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), pa.array(out, pa.int64() if kind == "long" else pa.list_(pa.float64()))], [*rest, name])
+
+    return rows.mapInArrow(added, ", ".join([*(f"{c} {rows.schema[c].dataType.simpleString()}" for c in rest), f"{name} {kind}"]))
 
 
 def hull_sizes(lines: DataFrame, side: int = 64) -> DataFrame:
@@ -216,38 +242,32 @@ def hull_sizes(lines: DataFrame, side: int = 64) -> DataFrame:
     voxels. No group holds more than a column's lines, the corners of all columns, or a label's planes.
     """
     keys = ["volume_id", "label"]
-    kind = lines.schema["label"].dataType.simpleString()
-    own = lines.select(*keys, "z", "y", "x0", "x1", F.floor(F.col("z") / side).alias("bz"), F.floor(F.col("y") / side).alias("by"))
-
-    def column(t: pa.Table) -> pa.Table:
-        z, y, x0, x1 = (t.column(c).to_numpy() for c in ("z", "y", "x0", "x1"))
-        low = np.array([z.min(), y.min(), x0.min()])
-        _, corners = hull(face_centres(np.unique(np.concatenate([np.column_stack([z, y, x]) for x in (x0, x1)]), axis=0) - low))
-        corners = corners + low
-        first = pa.table({c: pa.chunked_array([t.column(c).chunk(0).take(pa.array(np.zeros(len(corners), np.int64)))]) for c in keys})
-        return first.append_column("z", pa.array(corners[:, 0])).append_column("y", pa.array(corners[:, 1])).append_column("x", pa.array(corners[:, 2]))
-
-    corners = own.groupBy(*keys, "bz", "by").applyInArrow(column, f"volume_id string, label {kind}, z double, y double, x double")
-
-    def whole(t: pa.Table) -> pa.Table:
-        points = np.column_stack([t.column(c).to_numpy() for c in "zyx"])
-        low = np.ceil(points.min(axis=0))
-        planes, _ = hull(np.unique(points - low, axis=0))
-        shape = (np.floor(points.max(axis=0)) - low + 1).astype(int)
-        return t.slice(0, 1).select(keys).append_column("planes", pa.array([planes.ravel().tolist()])).append_column("shape", pa.array([shape.tolist()], pa.list_(pa.int64())))
-
-    planes = corners.groupBy(*keys).applyInArrow(whole, f"volume_id string, label {kind}, planes array<double>, shape array<long>")
-    slabs = planes.withColumn("slab", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("shape")[0] - 1) / side))))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for flat, shape, slab in zip(*(batch.column(c).to_pylist() for c in (2, 3, 4)), strict=True):
-                found.append(voxels_within(np.array(flat).reshape(-1, 4), np.array(shape), range(slab * side, min(shape[0], (slab + 1) * side))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.int64())], [*keys, "n"])
+    # Few bytes, much work: each step is dealt out over all partitions, which adaptive execution would put into one by their size.
+    n = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = lines.select(*keys, "z", "y", "x0", "x1", F.floor(F.col("z") / side).alias("bz"), F.floor(F.col("y") / side).alias("by")).repartition(n, *keys, "bz", "by")
+    column = placed.groupBy(*keys, "bz", "by").agg(F.collect_list(F.array(*[F.col(c).cast("long") for c in ("z", "y", "x0", "x1")])).alias("lines")).drop("bz", "by")
+
+    def corners(held: list[list[int]]) -> list[float]:
+        t = np.array(sorted(held), np.int64)
+        low = t.min(axis=0)[[0, 1, 2]]
+        return (_corners((t - low[[0, 1, 2, 2]]).tobytes()) + low).ravel().tolist()
+
+    found = _per_row(column, "corners", "array<double>", corners, "lines").repartition(n, *keys).groupBy(*keys).agg(F.flatten(F.collect_list("corners")).alias("points"))
+
+    def whole(points: list[float]) -> list[float]:
+        """The planes (n, offset) from the least corner, and the extent."""
+        p = np.array(points).reshape(-1, 3)
+        low = np.ceil(p.min(axis=0))
+        return [*(np.floor(p.max(axis=0)) - low + 1), *_planes(np.unique(p - low, axis=0).tobytes()).ravel()]
+
+    planes = _per_row(found, "planes", "array<double>", whole, "points")
+    slabs = planes.withColumn("slab", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("planes")[0] - 1) / side))))
+
+    def count(flat: list[float], slab: int) -> int:
+        shape = np.array(flat[:3]).astype(int)
+        return voxels_within(np.array(flat[3:]).reshape(-1, 4), shape, range(slab * side, min(shape[0], (slab + 1) * side)))
 
-    counted = slabs.mapInArrow(count, f"volume_id string, label {kind}, n long")
-    return counted.groupBy(*keys).agg(F.sum("n").alias("hull"))
+    return _per_row(slabs, "n", "long", count, "planes", "slab").groupBy(*keys).agg(F.sum("n").alias("hull"))
 
 
 def pore_shapes(voxels: DataFrame, most: int = 500) -> DataFrame:
