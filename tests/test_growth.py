@@ -1,9 +1,11 @@
 """What leaves a task, and how much of it: small checks of what made large inputs slow."""
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from voxloom import scratch
-from voxloom.operators import segmentation, volumes
+from voxloom.operators import latent, segmentation, volumes
 from voxloom.schemas import VOLUME_CHUNKS
 from voxloom.sources import chunks
 
@@ -50,3 +52,36 @@ def test_hulls_are_dealt_out(spark):
     plan = (rows := volumes.hull_sizes(lines))._jdf.queryExecution().toString()
     assert "REPARTITION_BY_NUM" in plan and "FlatMapGroupsInArrow" not in plan
     assert {r.label: r.hull for r in rows.collect()} == {k: k % 3 + 1 for k in range(40)}
+
+
+def test_rows_meet_in_wide_blocks_where_cells_save_nothing(spark, monkeypatch):
+    """Uniform rows of many dimensions: no row is sent once for each of the cells, and none farther than its bound comes back."""
+    for name, n in {"CELL_ROWS": 40, "BLOCK_ROWS": 30, "WIDE_ROWS": 200}.items():
+        monkeypatch.setattr(latent, name, n)
+    sides, met, plain = [], [], latent._in_blocks
+    monkeypatch.setattr(latent, "_in_blocks", lambda *rest: sides.append(rest[4:]) or plain(*rest))
+    cells = latent._met_in_cells
+    monkeypatch.setattr(latent, "_met_in_cells", lambda *rest: met.append(1) or cells(*rest))
+    v = np.random.default_rng(1).normal(size=(900, 32))
+    rows = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "id long, v array<double>").repartition(3)
+    found = {r.id: r.distance for r in latent.nearest(rows.where("id < 100"), rows.where("id >= 100"), "v", "id", 32).collect()}
+    want = np.sqrt(((v[:100, None] - v[None, 100:]) ** 2).sum(axis=2)).min(axis=1)
+    assert np.allclose([found[k] for k in range(100)], want, atol=1e-12)
+    assert sides == [(100,)] and len(met) == 1
+
+
+@pytest.mark.parametrize(("scale", "shift"), [(1, 0), (1, 1000), (1e-20, 0), (1e20, 0)])
+def test_nearest_in_a_block(scale, shift):
+    """Exact, ties by place, whatever single precision makes of the numbers."""
+    g = np.random.default_rng(2)
+    a, b = ((g.normal(size=(n, 8)) + shift) * scale for n in (300, 6000))
+    b[100:400], a[3] = b[5], b[5]
+    a[9, 2] = b[77, 1] = np.nan
+    d = np.sqrt(((a[:, None] - b[None]) ** 2).sum(axis=2))
+    d[np.isnan(d)] = np.inf
+    order = np.argsort(d, axis=1, kind="stable")[:, :5]
+    far = np.take_along_axis(d, order, 1)
+    bound = np.where(np.arange(300) % 2, far[:, 4], np.inf)
+    row, at, found = latent._nearest(a, b, 5, bound)
+    assert np.array_equal(at, order[np.isfinite(far)]) and np.allclose(found, far[np.isfinite(far)], rtol=1e-12, atol=0)
+    assert np.array_equal(np.unique(row), np.flatnonzero(np.isfinite(far[:, 0])))

@@ -19,7 +19,11 @@ from voxloom.scratch import saved
 #: Rows of a block when all rows are compared with all others.
 BLOCK_ROWS = 4000
 #: Rows of a cell in the mean when nearest neighbours are searched, and the largest number of cells.
-CELL_ROWS, MOST_PIVOTS = 1000, 4096
+CELL_ROWS, MOST_PIVOTS = 4000, 4096
+#: Cells are used if they leave this share of all pairs at most; else blocks of up to so many rows meet each other.
+CELL_SHARE, WIDE_ROWS = 0.3, 50_000
+#: Rows that are compared at once within a block: left, and right.
+TILE = 256, 4096
 
 
 def reservoir(rows: DataFrame, label: str, key: str, most: int = 1024, seed: int = 42) -> DataFrame:
@@ -94,12 +98,13 @@ def _distances(m: np.ndarray, block: np.ndarray) -> Iterator[np.ndarray]:
         yield np.sqrt(np.maximum((part**2).sum(axis=1)[:, None] + square - 2 * part @ block.T, 0))
 
 
-def _in_blocks(left: DataFrame, right: DataFrame, compare: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
-    """``compare`` for all pairs of a block of left rows and a block of right rows, ``BLOCK_ROWS`` rows each, a task a pair.
+def _in_blocks(left: DataFrame, right: DataFrame, compare: Callable[[pa.Table, pa.Table], pa.Table], schema: str, size: int | None = None) -> DataFrame:
+    """``compare`` for all pairs of a block of left rows and a block of right rows, ``size`` (``BLOCK_ROWS``) rows each, a
+    task a pair.
 
     Exact for any number of rows; what a task holds doesn't grow with it. Both frames have a column ``key``.
     """
-    n = [max(1, -(-df.count() // BLOCK_ROWS)) for df in (left, right)]
+    n = [max(1, -(-df.count() // (size or BLOCK_ROWS))) for df in (left, right)]
     block = lambda k: F.pmod(F.xxhash64("key"), F.lit(n[k])).cast("int")
     every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(n[k] - 1)))
     a = left.withColumn("_i", block(0)).withColumn("_j", every(1))
@@ -128,9 +133,10 @@ def _in_cells(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
     return rows.mapInArrow(assigned, schema)
 
 
-def _reached(rows: DataFrame, pivots: np.ndarray, inner: np.ndarray, outer: np.ndarray) -> DataFrame:
+def _reached(rows: DataFrame, pivots: np.ndarray, inner: np.ndarray, outer: np.ndarray, counted: bool = False) -> DataFrame:
     """Replaces ``cell`` by each other cell that may hold a row within ``bound``; ``inner`` and ``outer`` are the least
-    and largest gap of a cell's rows (infinite and minus infinite for a cell without rows).
+    and largest gap of a cell's rows (infinite and minus infinite for a cell without rows). With ``counted``, gives no more
+    than numbers of rows (cell, n), which add up.
 
     A row x of cell j is no nearer to q than |d(q, p_j) - gap(x)|, by the triangle inequality; and as x is nearer to its
     own pivot than to q's, d(q, x) is at least (d(q, p_j)^2 - d(q, p_q)^2) / 2 d(p_q, p_j). Rounding is allowed for.
@@ -150,12 +156,16 @@ def _reached(rows: DataFrame, pivots: np.ndarray, inner: np.ndarray, outer: np.n
                 near = (d - outer <= u) & (inner - d <= u) & (d**2 - (d[at, q] ** 2)[:, None] <= 2 * apart[q] * u + 1e-9 * scale**2) & np.isfinite(inner)
                 near[at, q] = False
                 found += [np.flatnonzero(n) for n in near]
+            if counted:
+                cells, n = np.unique(np.concatenate([np.zeros(0, np.int64), *found]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), pa.array(n)], ["cell", "n"])
+                continue
             times = np.array([len(f) for f in found], dtype=np.int64)
             again = batch.take(pa.array(np.repeat(np.arange(batch.num_rows), times)))
             cells = pa.array(np.concatenate([np.zeros(0, np.int32), *found]).astype(np.int32))
             yield pa.RecordBatch.from_arrays([cells if n == "cell" else c for n, c in zip(again.schema.names, again.columns, strict=True)], again.schema.names)
 
-    return rows.mapInArrow(others, rows.schema)
+    return rows.mapInArrow(others, "cell int, n long" if counted else rows.schema)
 
 
 def _met_in_cells(left: DataFrame, right: DataFrame, compare: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
@@ -175,23 +185,76 @@ def neighbours(left: DataFrame, right: DataFrame, size: int, k: int, compare: Ca
     k nearest right rows, with their ``distance``.
 
     Exact for any number of rows. Right rows lie in the cells of pivots. A left row first meets its own cell, where the
-    k-th distance is a bound, and then only the cells that may hold a nearer row (``_reached``). Right rows that fit into one
-    block are compared as they are.
+    k-th distance is a ``bound`` (a column that ``compare`` may use), and then only the cells that may hold a nearer row
+    (``_reached``). Where these leave more than ``CELL_SHARE`` of all pairs, all rows meet in wide blocks instead: a row is
+    sent once for a block, not for a cell. Right rows that fit into one block are compared as they are.
     """
     pivots = _pivots(right, size)
     if not len(pivots):
         return _in_blocks(left, right, compare, schema)
     a, b = (saved(_in_cells(df, pivots), "cells") for df in (left, right))
-    inner, outer = np.full(len(pivots), np.inf), np.full(len(pivots), -np.inf)
-    for r in b.groupBy("cell").agg(F.min("gap").alias("low"), F.max("gap").alias("high")).collect():  # a row a pivot
-        inner[r.cell], outer[r.cell] = r.low, r.high
+    inner, outer, rows = np.full(len(pivots), np.inf), np.full(len(pivots), -np.inf), np.zeros(len(pivots))
+    for r in b.groupBy("cell").agg(F.min("gap").alias("low"), F.max("gap").alias("high"), F.count(F.lit(1)).alias("n")).collect():  # a row a pivot
+        inner[r.cell], outer[r.cell], rows[r.cell] = r.low, r.high, r.n
     own = saved(_met_in_cells(a.drop("gap"), b.drop("gap"), compare, schema), "own")
     bounds = own.groupBy("key").agg(F.get(F.array_sort(F.collect_list("distance")), F.lit(k - 1)).alias("bound"))
-    bounded = a.drop("gap").join(bounds, "key", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
-    reached = saved(_reached(bounded, pivots, inner, outer).drop("bound"), "reached")
+    bounded = saved(a.drop("gap").join(bounds, "key", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf")))), "bounded")
+    times = {r.cell: r.n for r in _reached(bounded, pivots, inner, outer, counted=True).groupBy("cell").agg(F.sum("n").alias("n")).collect()}
+    n = bounded.count(), int(rows.sum())
+    if sum(t * rows[c] for c, t in times.items()) > CELL_SHARE * n[0] * n[1]:
+        wide = max(BLOCK_ROWS, min(WIDE_ROWS, max(n) // 8))
+        return _in_blocks(bounded.drop("cell"), b.drop("cell", "gap"), compare, schema, wide)
+    reached = saved(_reached(bounded, pivots, inner, outer), "reached")
     return own.unionByName(_met_in_cells(reached, b.drop("gap"), compare, schema))
 
 
+def _nearest(m: np.ndarray, block: np.ndarray, k: int, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, at, distance): for each row of m its k nearest rows of block that are no farther than the row's bound, of
+    equally near ones the first; by row, nearest first. NaN is no distance.
+
+    Scores |b|^2 - 2 ab in single precision leave few pairs, as they are compared to the bound and the k-th distance so far,
+    with what rounding may add; of those the distances are taken exactly.
+    """
+    real = np.flatnonzero(np.isfinite(block).all(axis=1))
+    block = block[real]
+    middle = block.mean(axis=0) if len(block) else 0.0
+    a, b = m - middle, block - middle
+    length, square = np.sqrt((a**2).sum(axis=1)), (b**2).sum(axis=1)
+    longest = np.sqrt(square.max(initial=0.0))
+    top = max(length.max(initial=0.0, where=np.isfinite(length)), longest)
+    kind, unit = (np.float32, 1.2e-7) if 1e-15 < top < 1e15 else (np.float64, 2.3e-16)
+    left = np.concatenate([-2 * a, np.ones((len(a), 1))], axis=1).astype(kind)
+    right = np.ascontiguousarray(np.concatenate([b, square[:, None]], axis=1).astype(kind).T)
+    slack = (m.shape[1] + 8) * unit * (length + longest) ** 2 + 1e-15 * np.abs(middle).sum() * (length + longest)
+    done = []
+    for low in range(0, len(m), TILE[0]):
+        part = slice(low, low + TILE[0])
+        own, off, extra = m[part], length[part] ** 2, slack[part]
+        limit = bound[part].astype(np.float64) ** 2 - off + extra
+        row, at, far = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        for first in range(0, len(block), TILE[1]):
+            score = left[part] @ right[:, first : first + TILE[1]]
+            if score.shape[1] > k and np.isinf(limit).any():
+                kth = np.partition(score, k - 1, axis=1)[:, k - 1].astype(np.float64) + 2 * extra
+                limit = np.fmin(limit, kth)
+            hit = np.flatnonzero(score <= limit.astype(kind)[:, None])
+            if not len(hit):
+                continue
+            r, c = hit // score.shape[1], hit % score.shape[1] + first
+            d = np.concatenate([np.sqrt(((own[r[x : x + 65536]] - block[c[x : x + 65536]]) ** 2).sum(axis=1)) for x in range(0, len(hit), 65536)])
+            row, at, far = np.concatenate([row, r]), np.concatenate([at, c]), np.concatenate([far, d])
+            order = np.lexsort((at, far, row))
+            row, at, far = row[order], at[order], far[order]
+            start = np.searchsorted(row, np.arange(len(own)))
+            nth = np.arange(len(row)) - start[row]
+            last = np.flatnonzero(nth == k - 1)
+            limit[row[last]] = np.minimum(limit[row[last]], far[last] ** 2 - off[row[last]] + extra[row[last]])
+            row, at, far = (x[nth < k] for x in (row, at, far))
+        near = np.isfinite(far)
+        done.append((row[near] + low, real[at[near]], far[near]))
+    return tuple(np.concatenate([np.zeros(0, t), *[x[i] for x in done]]) for i, t in enumerate((np.int64, np.int64, np.float64)))
+
+
 def _column(t: pa.Table, name: str) -> np.ndarray:
     return t.column(name).to_numpy()
 
@@ -200,11 +263,22 @@ def _all_distances(a: pa.Table, b: pa.Table, size: int) -> np.ndarray:
     return np.concatenate([np.zeros((0, b.num_rows)), *_distances(_matrix(a.column("v").combine_chunks(), size), _matrix(b.column("v").combine_chunks(), size))])
 
 
+def _matrices(a: pa.Table, b: pa.Table, size: int) -> tuple[np.ndarray, np.ndarray]:
+    return _matrix(a.column("v").combine_chunks(), size), _matrix(b.column("v").combine_chunks(), size)
+
+
+def _bounds(a: pa.Table) -> np.ndarray:
+    return _column(a, "bound") if "bound" in a.column_names else np.full(a.num_rows, np.inf)
+
+
 def nearest(test: DataFrame, train: DataFrame, vector: str, key: str, size: int) -> DataFrame:
     """(key, distance): each test row's distance to the nearest of the training rows; infinite if there are none."""
 
     def least(a: pa.Table, b: pa.Table) -> pa.Table:
-        return pa.table({"key": a.column("key"), "distance": pa.array(_all_distances(a, b, size).min(axis=1, initial=np.inf))})
+        out = np.full(a.num_rows, np.inf)
+        row, _, far = _nearest(*_matrices(a, b, size), 1, _bounds(a))
+        out[row] = far
+        return pa.table({"key": a.column("key"), "distance": pa.array(out)})
 
     rows = [df.select(F.col(key).cast("long").alias("key"), F.col(vector).alias("v")) for df in (test, train)]
     return neighbours(*rows, size, 1, least, "key long, distance double").groupBy(F.col("key").alias(key)).agg(F.min("distance").alias("distance"))
@@ -246,14 +320,15 @@ def knn_accuracy(sample: DataFrame, vector: str, key: str, label: str, size: int
     def near(a: pa.Table, b: pa.Table) -> pa.Table:
         """The k nearest of a block for each row."""
         b = b.sort_by("key")
-        d = _all_distances(a, b, size)
-        d[_column(a, "fold")[:, None] == _column(b, "fold")[None, :]] = np.inf
-        order = np.argsort(d, axis=1, kind="stable")[:, :k]
-        row = np.repeat(np.arange(a.num_rows), order.shape[1])
-        kept = np.isfinite(d[row, order.ravel()])
-        row, at = row[kept], order.ravel()[kept]
+        (m, block), bound, fold, others = _matrices(a, b, size), _bounds(a), _column(a, "fold"), _column(b, "fold")
+        found = []
+        for f in np.unique(fold):
+            rows, ats = np.flatnonzero(fold == f), np.flatnonzero(others != f)
+            row, at, far = _nearest(m[rows], block[ats], k, bound[rows])
+            found.append((rows[row], ats[at], far))
+        row, at, far = (np.concatenate([np.zeros(0, t), *[x[i] for x in found]]) for i, t in enumerate((np.int64, np.int64, np.float64)))
         mine, other = a.select(["key", "label", "fold"]).take(pa.array(row)), b.select(["key", "label"]).take(pa.array(at))
-        return pa.table([*mine.columns, *other.columns, pa.array(d[row, at])], ["key", "label", "fold", "near", "class", "distance"])
+        return pa.table([*mine.columns, *other.columns, pa.array(far)], ["key", "label", "fold", "near", "class", "distance"])
 
     dealt = folds(sample, label, key, n_folds)
     rows = dealt.select(F.col(key).cast("long").alias("key"), F.col(label).cast("string").alias("label"), F.col("fold").cast("long").alias("fold"), F.col(vector).alias("v"))
