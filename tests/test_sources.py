@@ -268,3 +268,42 @@ def test_windows_close_behind_the_watermark(spark, tmp_path):
     got = spark.read.json(f"{tmp_path}/w").collect()
     truth = {(r.d, r.event_type): r.n for r in events.selectExpr("date(ts) d", "event_type").groupBy("d", "event_type").count().withColumnRenamed("count", "n").collect()}
     assert got and all(truth[(date.fromisoformat(r.start[:10]), r.event_type)] == r.n for r in got)
+
+
+def test_tasks_move_files(spark, tmp_path):
+    """The commit in the driver only lists the attempts; a task that moves them twice finds them moved."""
+    writer = file_sink.FileWriter(str(tmp_path), "j")
+    done = [writer.write(iter([Row(path=f"a/{k}", content=bytes([k]))])) for k in range(3)]
+    writer.commit([*done[:2], None])
+    assert not (tmp_path / "a").exists() and (tmp_path / "_writing-j" / file_sink.LIST).read_text().count("\n") == 2
+    for _ in range(2):
+        file_sink._move(done[0], str(tmp_path), again=True)
+    assert (tmp_path / "a" / "0").read_bytes() == b"\0"
+    with pytest.raises(OSError, match="0 files of 1"):
+        file_sink._move(done[0], str(tmp_path))
+    file_sink.write_files(spark.createDataFrame([("b/1", b"x")], file_sink.SCHEMA), f"{tmp_path}/out")
+    assert [p.name for p in (tmp_path / "out").iterdir()] == ["b"] and (tmp_path / "out" / "b" / "1").read_bytes() == b"x"
+
+
+def test_files_are_listed_by_tasks(spark, tmp_path):
+    for name in ("a/1.tif", "a/2.tif", "b/c/3.tif", "d/4.tif"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"x")
+    rows = samples.files_of(spark.createDataFrame([("a", 1), ("b", 2), ("b/c", 3), ("nowhere", 4)], "own string, n long"), str(tmp_path))
+    assert sorted((r.n, r.file[len(str(tmp_path)) :]) for r in rows.collect()) == [(1, "/a/1.tif"), (1, "/a/2.tif"), (3, "/b/c/3.tif")]
+    assert "binaryFile" not in rows._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("save", [np.savez, np.savez_compressed])
+def test_archives_are_read_in_slices(spark, tmp_path, save):
+    """Slices of two samples, in C's and Fortran's order; an archive without samples goes too."""
+    x = np.random.default_rng(3).random((5, 2, 3, 4)).astype(np.float32)
+    save(tmp_path / "val.npz", x=x, y=np.asfortranarray(x[:3] * 2))
+    save(tmp_path / "none.npz", x=x[:0])
+    with open(tmp_path / "val.npz", "rb") as f:
+        assert [(r["name"], r["low"], r["high"]) for r in samples.archive_slices(f, 48)] == [("x.npy", 0, 2), ("x.npy", 2, 4), ("x.npy", 4, 5), ("y.npy", 0, 2), ("y.npy", 2, 3)]
+    assert sorted(r.n for r in samples.convert_archives(spark, str(tmp_path), delete=True, most=48).collect()) == [0, 5]
+    for name, a in (("x", x), ("y", x[:3] * 2)):
+        for k, one in enumerate(a):
+            assert np.array_equal(tiff.decoded((tmp_path / "val" / f"sample_{k:03d}" / f"{name}.tif").read_bytes()), one)
+    assert {p.name for p in tmp_path.iterdir()} == {"val"}
