@@ -85,3 +85,18 @@ def test_nearest_in_a_block(scale, shift):
     row, at, found = latent._nearest(a, b, 5, bound)
     assert np.array_equal(at, order[np.isfinite(far)]) and np.allclose(found, far[np.isfinite(far)], rtol=1e-12, atol=0)
     assert np.array_equal(np.unique(row), np.flatnonzero(np.isfinite(far[:, 0])))
+
+
+def test_strips_go_to_chunks_that_are_there(spark, monkeypatch):
+    """A window far wider than the volume: two chunks send a strip to themselves and one to each other, not 81 each."""
+    sent, plain = [], segmentation._per_chunk
+
+    def counted(chunks, schema, rows):
+        out = plain(chunks, schema, rows)
+        if "part binary" in schema:
+            sent.append(out.count())
+        return out
+
+    monkeypatch.setattr(segmentation, "_per_chunk", counted)
+    rows = spark.createDataFrame([("a", 0, 0, k, 4, 4, 4, bytearray(range(k, 64 + k))) for k in range(2)], "volume_id string, cz int, cy int, cx int, d int, h int, w int, xct binary")
+    assert segmentation.local_threshold(rows, 30, 0.125, 4).count() == 2 and sent == [4]

@@ -134,7 +134,7 @@ def local_threshold(chunks: DataFrame, window: int, k: float, size: int = 64, bo
     """(volume_id, cz, cy, cx, d, h, w, binary): Sauvola's threshold in every slice of equal y; binary marks material.
 
     An even window grows by one; edges are mirrored. With ``box``, only what lies in a volume's box is seen, the rest is 0.
-    A chunk sends strips of half a window to the chunks around it.
+    A chunk sends strips of half a window to the chunks around it that the box reaches.
     """
     half = window // 2
     far = max(1, math.ceil(half / size))
@@ -143,7 +143,10 @@ def local_threshold(chunks: DataFrame, window: int, k: float, size: int = 64, bo
 
     def strips(r: dict) -> list[dict]:
         cube, out = _cube(r), []
+        seen = [range(r[f"{a}0"] // size - r[f"c{a}"], r[f"{a}1"] // size - r[f"c{a}"] + 1) for a in "zx"]
         for dz, dx in steps:
+            if (dz or dx) and (dz not in seen[0] or dx not in seen[1]):
+                continue
             # The part that the chunk (dz, dx) further sees, and the row and column where it starts there.
             z, x = (slice(max(0, d * size - half), min(n, (d + 1) * size + half)) for d, n in ((dz, r["d"]), (dx, r["w"])))
             part = cube[z, :, x]
@@ -252,6 +255,10 @@ def segmented_pores(chunks: DataFrame, frontwall: int = 0, backwall: int = 0, wi
     Local threshold and material mask see the box of the data only; wall slices count from the box's first slice and are
     material. A pore is what the local threshold leaves inside the sample; ``least`` > 0 removes small and flat ones.
     """
+    return _segmented(saved(chunks.select(*CHUNK, *EXTENT, "xct"), "chunks"), frontwall, backwall, window, k, least, size)  # six passes read them
+
+
+def _segmented(chunks: DataFrame, frontwall: int = 0, backwall: int = 0, window: int = 30, k: float = 0.125, least: int = -1, size: int = 64) -> DataFrame:
     box = saved(box_of(chunks, size), "box")
     local = local_threshold(chunks, window, k, size, box).select(*CHUNK, *EXTENT, "binary").join(box, "volume_id")
     both = local.join(material_mask(chunks, size, box).select(*CHUNK, "sample"), CHUNK, "left")
@@ -279,7 +286,8 @@ def segmented_pores(chunks: DataFrame, frontwall: int = 0, backwall: int = 0, wi
 
 def masks(chunks: DataFrame, size: int = 64, **options) -> DataFrame:
     """(volume_id, cz, cy, cx, d, h, w, mask, sample) of every chunk; a volume without data has no pores and is all sample."""
-    found = segmented_pores(chunks, size=size, **options).select(*CHUNK, "pore", "sample")
+    chunks = saved(chunks.select(*CHUNK, *EXTENT, "xct"), "chunks")
+    found = _segmented(chunks, size=size, **options).select(*CHUNK, "pore", "sample")
     n = (F.col("d") * F.col("h") * F.col("w")).cast("int")
     filled = lambda c, byte: F.coalesce(F.col(c), F.unhex(F.repeat(F.lit(byte), n)))
     return chunks.select(*CHUNK, *EXTENT).join(found, CHUNK, "left").select(*CHUNK, *EXTENT, filled("pore", "00").alias("mask"), filled("sample", "01").alias("sample"))
