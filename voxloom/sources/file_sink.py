@@ -136,6 +136,9 @@ def write_files(files: DataFrame, folder: str) -> None:
         for batch in batches:
             for r in batch.to_pylist():
                 _move(Attempt(**r), writer.folder, again=True)
+                system, own = opened(r["folder"])
+                if system.get_file_info(own).type == fs.FileType.Directory:
+                    system.delete_dir(own)
                 yield pa.RecordBatch.from_pydict({"files": pa.array([r["files"]], pa.int64())})
 
     try:
